@@ -9,8 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import display as D
+from ..functions import encoders as E
+from ..operators import applications as A
 from ..operators import quality as Q
+from ..operators import staging as S
+from ..schemas import HOME_VALUES, NULL_DEFAULT_COLUMNS, PURPOSE_VALUES
+from ..session import scratch_path
+from ..sources import files
 from ..sources.fixture import raw_loans
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +28,124 @@ def _raw(fn):
     return lambda spark, sf_dir: fn(raw_loans(spark, sf_dir))
 
 
+def _apps(spark, sf_dir) -> DataFrame:
+    return A.applications_from_loans(raw_loans(spark, sf_dir))
+
+
+def _apps_fn(fn):
+    return lambda spark, sf_dir: fn(_apps(spark, sf_dir))
+
+
+def _encode(col: str, enc, out: str):
+    return _raw(lambda raw: raw.select("loan_id", col, enc(col).alias(out)))
+
+
+# --- sources -----------------------------------------------------------------
+
+def scan_loans_csv(spark, sf_dir):
+    path = scratch_path(spark, "loans-csv")
+    files.write_loans_csv(raw_loans(spark, sf_dir), path)
+    return files.read_loans_csv(spark, path)
+
+
+def scan_applications(spark, sf_dir):
+    path = scratch_path(spark, "applications-json")
+    files.write_applications_json(_apps(spark, sf_dir), path)
+    return files.read_applications(spark, path, "json")
+
+
+# --- scored applications (deterministic rule score) ---------------------------
+
+def scored_apps(spark, sf_dir) -> DataFrame:
+    apps = _apps(spark, sf_dir)
+    return apps.withColumn(
+        "default_risk", A.rule_score(E.grade_ordinal("grade"), F.col("dti")))
+
+
+def decision_q(spark, sf_dir):
+    return A.with_decision(scored_apps(spark, sf_dir)).select(
+        "app_id", "default_risk", "decision", "prediction")
+
+
+def denied_only_q(spark, sf_dir):
+    return A.denied_only(A.with_decision(scored_apps(spark, sf_dir))).select(
+        "app_id", "default_risk", "decision")
+
+
+def risk_display_q(spark, sf_dir):
+    return scored_apps(spark, sf_dir).select(
+        "app_id", "default_risk", D.risk_percent("default_risk").alias("risk_text"))
+
+
+def money_display_q(spark, sf_dir):
+    return _apps(spark, sf_dir).select(
+        "app_id", D.money("loan_amnt").alias("loan_amnt_text"),
+        D.money("annual_inc").alias("annual_inc_text"))
+
+
+def question_text_q(spark, sf_dir):
+    valid, _ = A.split_rejects(_apps(spark, sf_dir))
+    return valid.select("app_id", D.question_text().alias("question"))
+
+
+def split_rejects_q(spark, sf_dir):
+    checked = A.with_violations(_apps(spark, sf_dir))
+    return checked.select(
+        "app_id",
+        (F.size("violations") == 0).alias("is_valid"),
+        F.size("violations").alias("n_violations"),
+        F.array_join("violations", ",").alias("violations"),
+    )
+
+
 def registry() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {}
     q["default_rate_by_grade"] = _raw(Q.default_rate_by_grade)
+    # sources
+    q["scan_loans_csv"] = scan_loans_csv
+    q["load_validation"] = _raw(files.load_validation)
+    q["load_profile"] = _raw(files.load_profile)
+    q["scan_applications"] = scan_applications
+    # SQL pipeline
+    q["stg_project"] = _raw(S.stg_project)
+    q["stg_filter"] = _raw(S.stg_filter)
+    q["completed_loans"] = _raw(S.completed_loans)
+    q["mart_filter"] = _raw(lambda r: S.mart_filter(S.loan_features(S.staging(r))))
+    q["mart_project"] = _raw(lambda r: S.mart_project(S.loan_features(S.staging(r))))
+    q["build_layers"] = _raw(lambda r: S.build_layers(r)["mart_training"])
+    q["label_target"] = _encode("loan_status", E.label_target, "target")
+    # encoders
+    q["term_like"] = _encode("term", E.term_like, "term_months")
+    q["term_contains"] = _encode("term", E.term_contains, "term_months")
+    q["term_exact"] = _raw(lambda r: A.applications_from_loans(r).select(
+        "app_id", "term", E.term_exact("term").alias("term_months")))
+    q["grade_ordinal"] = _encode("grade", E.grade_ordinal, "grade_code")
+    q["sub_grade_ordinal"] = _encode("sub_grade", E.sub_grade_ordinal, "sub_grade_code")
+    q["emp_length_like"] = _encode("emp_length", E.emp_length_like, "emp_years")
+    q["emp_length_map"] = _encode("emp_length", E.emp_length_map, "emp_years")
+    q["null_defaults"] = _raw(lambda r: r.select("loan_id", *NULL_DEFAULT_COLUMNS).fillna(
+        NULL_DEFAULT_COLUMNS))
+    q["one_hot_home"] = _raw(lambda r: r.select(
+        "loan_id", "home_ownership", *E.one_hot_columns("home_ownership", HOME_VALUES,
+                                                       "home_ownership_")))
+    q["one_hot_purpose"] = _raw(lambda r: r.select(
+        "loan_id", "purpose", *E.one_hot_columns("purpose", PURPOSE_VALUES, "purpose_")))
+    # data quality and accounting
+    q["dq_not_null"] = _raw(Q.dq_not_null)
+    q["dq_accepted_values"] = _raw(Q.dq_accepted_values)
+    q["dq_report"] = _raw(Q.dq_report)
+    q["rows_dropped"] = _raw(Q.rows_dropped)
+    q["target_distribution"] = _raw(Q.target_distribution)
+    # applications
+    q["fico_range"] = _apps_fn(lambda a: A.fico_range(a).select(
+        "app_id", "fico_range_low", "fico_range_high"))
+    q["serving_project"] = _apps_fn(A.serving_features)
+    q["validate_ranges"] = _apps_fn(A.range_checks)
+    q["validate_enums"] = _apps_fn(A.enum_checks)
+    q["split_rejects"] = split_rejects_q
+    q["decision"] = decision_q
+    q["denied_only"] = denied_only_q
+    q["risk_display"] = risk_display_q
+    q["money_display"] = money_display_q
+    q["question_text"] = question_text_q
     return q

