@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from ..functions import display as D
 from ..functions import encoders as E
 from ..operators import applications as A
+from ..operators import drift as X
+from ..operators import dynamic as P
+from ..operators import metrics as M
 from ..operators import quality as Q
+from ..operators import ranking as R
+from ..operators import split as T
 from ..operators import staging as S
-from ..schemas import HOME_VALUES, NULL_DEFAULT_COLUMNS, PURPOSE_VALUES
+from ..schemas import FEATURE_ORDER, HOME_VALUES, MART_FEATURES, NULL_DEFAULT_COLUMNS, PURPOSE_VALUES
 from ..session import scratch_path
 from ..sources import files
 from ..sources.fixture import raw_loans
@@ -98,6 +103,64 @@ def split_rejects_q(spark, sf_dir):
     )
 
 
+# --- split and metrics on the mart (deterministic rule score) -----------------
+
+def mart_split(spark, sf_dir) -> DataFrame:
+    mart = S.build_layers(raw_loans(spark, sf_dir))["mart_training"]
+    return T.stratified_split(mart)
+
+
+def scored_test_fold(spark, sf_dir) -> DataFrame:
+    test = mart_split(spark, sf_dir).filter(F.col("fold") == "test")
+    return test.select("loan_id", "target", A.rule_score(F.col("grade"), F.col("dti")).alias("score"))
+
+
+def metrics_row(spark, sf_dir) -> DataFrame:
+    test = scored_test_fold(spark, sf_dir).cache()
+    auc = M.auc_roc(test)
+    row = M.accuracy(test).withColumn("auc_roc", F.round(F.lit(auc), 4))
+    out = M.evaluation_gate(row).select("auc_roc", "accuracy", "auc_threshold", "passed", "status")
+    return out
+
+
+def drift_frame(raw: DataFrame) -> DataFrame:
+    period = F.when(F.col("issue_d") < F.lit("1995-06-01").cast("date"), F.lit("base")).otherwise(
+        F.lit("current"))
+    return raw.select(
+        period.alias("period"), "loan_amnt", "int_rate", "installment", "annual_inc", "dti",
+        F.col("fico_range_low").alias("fico"), "open_acc", "pub_rec", "revol_bal", "revol_util",
+        "total_acc", "mort_acc", "pub_rec_bankruptcies")
+
+
+# --- synthetic contributions for the ranking operators ---------------------------
+
+SYNTHETIC_BASE = -0.5
+
+
+def synthetic_contributions(spark, sf_dir) -> DataFrame:
+    """Contributions from a fixed formula over real serving features, so the
+    ranking operators can be checked against SQL."""
+    feats = A.serving_features(_apps(spark, sf_dir))
+    arr = F.array(*[F.struct(
+        F.lit(name).alias("feature"), F.col(name).alias("value"),
+        (((F.col("app_id") * (j + 3)) % 17 - 8).cast("double") / 4.0).alias("shap"))
+        for j, name in enumerate(FEATURE_ORDER)])
+    return feats.select("app_id", F.lit(SYNTHETIC_BASE).alias("base_value"), arr.alias("contributions"))
+
+
+def top_features_q(spark, sf_dir):
+    c = synthetic_contributions(spark, sf_dir)
+    top = c.select("app_id", R.top_features(F.col("contributions")).alias("top"))
+    return top.select("app_id", F.posexplode("top").alias("rank", "f")).select(
+        "app_id", (F.col("rank") + 1).alias("rank"), "f.feature", "f.value", "f.shap")
+
+
+def waterfall_q(spark, sf_dir):
+    w = R.waterfall_steps(synthetic_contributions(spark, sf_dir), "app_id")
+    return w.select("app_id", "step", "feature", "shap", F.round("start", 6).alias("start"),
+                    F.round("end", 6).alias("end"), "direction")
+
+
 def registry() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {}
     q["default_rate_by_grade"] = _raw(Q.default_rate_by_grade)
@@ -148,4 +211,21 @@ def registry() -> dict[str, QueryFn]:
     q["risk_display"] = risk_display_q
     q["money_display"] = money_display_q
     q["question_text"] = question_text_q
+    # split, metrics, gate
+    q["stratified_split"] = lambda spark, d: mart_split(spark, d).select("loan_id", "target", "fold")
+    q["dataset_sizes"] = lambda spark, d: T.dataset_sizes(mart_split(spark, d), len(MART_FEATURES))
+    q["auc_roc"] = lambda spark, d: M.auc_frame(scored_test_fold(spark, d))
+    q["accuracy"] = lambda spark, d: M.accuracy(scored_test_fold(spark, d))
+    q["confusion"] = lambda spark, d: M.confusion(scored_test_fold(spark, d))
+    q["evaluation_gate"] = metrics_row
+    q["threshold_sweep"] = lambda spark, d: M.threshold_sweep(scored_test_fold(spark, d))
+    q["feature_drift"] = _raw(lambda r: X.feature_drift(drift_frame(r), "period", "base", "current"))
+    # training flow's dynamic encoding
+    q["one_hot_dynamic"] = _raw(lambda r: P.training_frame(r).select(
+        "loan_id", *[c for c in P.training_frame(r).columns
+                     if c.startswith("home_ownership_") or c.startswith("purpose_")]))
+    q["numeric_columns"] = _raw(P.training_matrix)
+    # ranking of contributions
+    q["top_features"] = top_features_q
+    q["waterfall_steps"] = waterfall_q
     return q

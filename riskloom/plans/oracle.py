@@ -189,7 +189,7 @@ FROM apps"""
     q["emp_length_like"] = with_(RAW) + (
         f"SELECT loan_id, emp_length, {EMP_LIKE_CASE} AS emp_years FROM raw")
     q["emp_length_map"] = with_(RAW) + (
-        f"SELECT loan_id, emp_length, {EMP_MAP_CASE} AS emp_years FROM raw")
+        f"SELECT loan_id, emp_length, CAST({EMP_MAP_CASE} AS DOUBLE) AS emp_years FROM raw")
     q["null_defaults"] = with_(RAW) + """
 SELECT loan_id, coalesce(pub_rec, 0) AS pub_rec, coalesce(revol_util, 0.0) AS revol_util,
        coalesce(mort_acc, 0) AS mort_acc, coalesce(pub_rec_bankruptcies, 0) AS pub_rec_bankruptcies
@@ -262,6 +262,107 @@ SELECT app_id,
   || '%, Employment: ' || emp_length || ', Purpose: ' || purpose
   || '. Why was this denied and how can the applicant improve?' AS question
 FROM checked WHERE len(violations) = 0"""
+    q.update(_model_side_queries())
+    return q
+
+
+SPLIT = """keyed AS (SELECT loan_id, target, grade, dti, (loan_id * 2654435761) % 1000003 AS k FROM mart),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY k, loan_id) AS rn,
+                  count(*) OVER (PARTITION BY target) AS n FROM keyed),
+split AS (SELECT loan_id, target, grade, dti,
+                 CASE WHEN rn <= floor(0.2 * n) THEN 'test' ELSE 'train' END AS fold FROM ranked)"""
+TEST = """test AS (SELECT loan_id, target, ((7 - grade) * 10 + coalesce(dti, 0) + 1) / 122.0 AS score
+                  FROM split WHERE fold = 'test')"""
+AUC = """ar AS (SELECT target, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rnk
+        FROM test),
+aa AS (SELECT sum(CASE WHEN target = 1 THEN rnk ELSE 0 END) AS rs, count_if(target = 1) AS n1,
+              count_if(target = 0) AS n0 FROM ar),
+auc AS (SELECT round(CAST((rs - n1 * (n1 + 1) / 2.0) / (n1 * n0) AS DOUBLE), 4) AS auc_roc FROM aa)"""
+ACC = """acc AS (SELECT round(avg(CASE WHEN CAST(score > 0.5 AS INTEGER) = target THEN 1.0 ELSE 0.0 END), 4)
+               AS accuracy FROM test)"""
+
+DRIFT_FEATURES = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti", "fico", "open_acc",
+                  "pub_rec", "revol_bal", "revol_util", "total_acc", "mort_acc", "pub_rec_bankruptcies"]
+
+
+def _long_contributions() -> str:
+    cols = ", ".join(FEATURE_ORDER)
+    pos = ", ".join(f"({_q(n)}, {j})" for j, n in enumerate(FEATURE_ORDER))
+    return f"""lc AS (SELECT * FROM serve UNPIVOT INCLUDE NULLS (value FOR feature IN ({cols}))),
+posmap AS (SELECT * FROM (VALUES {pos}) t(feature, pos)),
+c AS (SELECT app_id, pos, lc.feature, value,
+             CAST(((app_id * (pos + 3)) % 17 - 8) AS DOUBLE) / 4.0 AS shap
+      FROM lc JOIN posmap USING (feature)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY abs(shap) DESC, pos) AS step FROM c)"""
+
+
+def _model_side_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    base = with_(RAW, STG, FEAT, MART, SPLIT)
+    q["stratified_split"] = base + "SELECT loan_id, target, fold FROM split"
+    q["dataset_sizes"] = base + """
+SELECT count_if(fold = 'train') AS train_size, count_if(fold = 'test') AS test_size, 35 AS n_features FROM split"""
+    q["auc_roc"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST, AUC) + "SELECT auc_roc FROM auc"
+    q["accuracy"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST, ACC) + "SELECT accuracy FROM acc"
+    q["confusion"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST) + """
+SELECT tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall
+FROM (SELECT count_if(score > 0.5 AND target = 1) AS tp, count_if(score > 0.5 AND target <> 1) AS fp,
+             count_if(score <= 0.5 AND target <> 1) AS tn, count_if(score <= 0.5 AND target = 1) AS fn
+      FROM test)"""
+    q["evaluation_gate"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST, AUC, ACC) + """
+SELECT auc_roc, accuracy, 0.75::DOUBLE AS auc_threshold, coalesce(auc_roc >= 0.75, false) AS passed,
+       CASE WHEN auc_roc >= 0.75 THEN 'SUCCESS' ELSE 'FAILED' END AS status
+FROM auc, acc"""
+    q["threshold_sweep"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST) + """
+, th AS (SELECT CAST(i * 0.05 AS DOUBLE) AS threshold FROM range(0, 21) t(i)),
+cnt AS (SELECT threshold,
+          count_if(score > threshold AND target = 1) AS tp, count_if(score > threshold AND target <> 1) AS fp,
+          count_if(score <= threshold AND target <> 1) AS tn, count_if(score <= threshold AND target = 1) AS fn
+        FROM th, test GROUP BY threshold)
+SELECT threshold, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 4) AS precision,
+       round(tp / nullif(tp + fn, 0), 4) AS recall FROM cnt"""
+    bounds = ", ".join(f"({_q(f)}, {float(APPLICATION_BOUNDS[f][0])}::DOUBLE, {float(APPLICATION_BOUNDS[f][1])}::DOUBLE)"
+                       for f in DRIFT_FEATURES)
+    feats = ", ".join(f"CAST({'fico_range_low' if f == 'fico' else f} AS DOUBLE) AS {f}" for f in DRIFT_FEATURES)
+    q["feature_drift"] = with_(RAW) + f"""
+, d AS (SELECT CASE WHEN issue_d < DATE '1995-06-01' THEN 'base' ELSE 'current' END AS period, {feats} FROM raw),
+lg AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (x FOR feature IN ({", ".join(DRIFT_FEATURES)}))),
+b AS (SELECT * FROM (VALUES {bounds}) t(feature, lo, hi)),
+binned AS (SELECT lg.feature, period,
+             CASE WHEN x IS NULL THEN -1
+                  ELSE CAST(least(greatest(floor((x - lo) / (hi - lo) * 10), 0), 9) AS INTEGER) END AS bin
+           FROM lg JOIN b USING (feature)),
+cnt AS (SELECT feature, bin, count_if(period = 'base') AS n_base, count_if(period = 'current') AS n_cur
+        FROM binned GROUP BY feature, bin),
+sh AS (SELECT feature,
+              greatest(n_base / sum(n_base) OVER (PARTITION BY feature), 1e-4) AS p,
+              greatest(n_cur / sum(n_cur) OVER (PARTITION BY feature), 1e-4) AS q
+       FROM cnt)
+SELECT feature, round(sum((q - p) * ln(q / p)), 6) AS psi, count(*) AS n_bins FROM sh GROUP BY feature"""
+    homes = ["ANY", "MORTGAGE", "NONE", "OTHER", "OWN", "RENT"]
+    purposes = sorted(PURPOSE_VALUES + ["car"])
+    flags = ", ".join([f"coalesce(home_ownership = {_q(v)}, false) AS home_ownership_{v}" for v in homes]
+                      + [f"coalesce(purpose = {_q(v)}, false) AS purpose_{v}" for v in purposes])
+    q["one_hot_dynamic"] = with_(RAW) + f"""
+SELECT loan_id, {flags} FROM raw WHERE loan_status IN ('Fully Paid', 'Charged Off')"""
+    q["numeric_columns"] = with_(RAW) + f"""
+SELECT loan_id, loan_amnt,
+  CASE WHEN coalesce(contains(term, '36'), false) THEN 36 ELSE 60 END AS term,
+  int_rate, installment, CAST({GRADE_CASE} AS DOUBLE) AS grade, CAST({SUB_GRADE_CASE} AS DOUBLE) AS sub_grade,
+  annual_inc, dti, CAST({EMP_MAP_CASE} AS DOUBLE) AS emp_length, fico_range_low, fico_range_high, open_acc,
+  coalesce(pub_rec, 0) AS pub_rec, revol_bal, coalesce(revol_util, 0.0) AS revol_util, total_acc,
+  coalesce(mort_acc, 0) AS mort_acc, coalesce(pub_rec_bankruptcies, 0) AS pub_rec_bankruptcies,
+  CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS target
+FROM raw WHERE loan_status IN ('Fully Paid', 'Charged Off')"""
+    contrib = with_(RAW, APPS, SERVE, _long_contributions())
+    q["top_features"] = contrib + """
+SELECT app_id, CAST(step AS INTEGER) AS rank, feature, value, shap FROM rk WHERE step <= 10"""
+    q["waterfall_steps"] = contrib + """
+, s AS (SELECT *, -0.5 + coalesce(sum(shap) OVER (PARTITION BY app_id ORDER BY step
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rk)
+SELECT app_id, CAST(step AS INTEGER) AS step, feature, shap, round(start, 6) AS start,
+       round(start + shap, 6) AS "end", CASE WHEN shap >= 0 THEN 'increase' ELSE 'decrease' END AS direction
+FROM s"""
     return q
 
 
