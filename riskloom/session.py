@@ -58,3 +58,31 @@ def work_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared work folder."""
     return os.path.join(work_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``riskloom`` importable in Python workers (what ``--py-files`` does).
+
+    Operators that run Python on executors (Arrow batches in ``mapInPandas``
+    / ``applyInPandas``) call this once per application: the package is
+    zipped on the driver and distributed by Spark's file server.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="riskloom-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("riskloom", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
