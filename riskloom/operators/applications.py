@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoders as E
-from ..functions.display import question_text, risk_percent
+from ..functions.display import question_text, risk_percent  # noqa: F401
 from ..schemas import (
     APPLICATION_BOUNDS, APPLICATION_ENUMS, APPLICATION_FIELDS, DECISION_THRESHOLD,
     FEATURE_ORDER, HOME_VALUES, PURPOSE_VALUES,

@@ -19,12 +19,15 @@ from ..operators import dynamic as P
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import ranking as R
+from ..operators import retrieval as RT
+from ..operators.policy import policy_reasons
 from ..operators import split as T
 from ..operators import staging as S
 from ..schemas import FEATURE_ORDER, HOME_VALUES, MART_FEATURES, NULL_DEFAULT_COLUMNS, PURPOSE_VALUES
 from ..session import scratch_path
 from ..sources import files
 from ..sources.fixture import raw_loans
+from ..sources.tables import read_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -161,6 +164,41 @@ def waterfall_q(spark, sf_dir):
                     F.round("end", 6).alias("end"), "direction")
 
 
+# --- retrieval over the driver's text and vector tables ---------------------------
+
+def nearest_chunks_q(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return RT.nearest_neighbors(emb, emb, "vec_id", "vec_id", exclude_self=True)
+
+
+def _tfidf_hits(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    bench = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return RT.tfidf_topk(bench, docs, "item_id", "doc_id"), docs, bench
+
+
+def retrieve_tfidf_q(spark, sf_dir):
+    hits, _, _ = _tfidf_hits(spark, sf_dir)
+    return hits
+
+
+def context_text_q(spark, sf_dir):
+    hits, docs, _ = _tfidf_hits(spark, sf_dir)
+    return RT.context_text(hits, docs, "item_id", "doc_id")
+
+
+def prompt_messages_q(spark, sf_dir):
+    hits, docs, bench = _tfidf_hits(spark, sf_dir)
+    ctx = RT.context_text(hits, docs, "item_id", "doc_id")
+    q = ctx.join(bench.withColumnRenamed("text", "question"), "item_id")
+    return RT.prompt_messages(q, "item_id")
+
+
+def policy_reasons_q(spark, sf_dir):
+    denied = A.denied_only(A.with_decision(scored_apps(spark, sf_dir)))
+    return policy_reasons(denied).select("app_id", "rule_id", "policy", "severity", "reason")
+
+
 def registry() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {}
     q["default_rate_by_grade"] = _raw(Q.default_rate_by_grade)
@@ -228,4 +266,13 @@ def registry() -> dict[str, QueryFn]:
     # ranking of contributions
     q["top_features"] = top_features_q
     q["waterfall_steps"] = waterfall_q
+    # retrieval and policy grounding
+    q["nearest_chunks"] = nearest_chunks_q
+    q["retrieve_tfidf"] = retrieve_tfidf_q
+    q["context_text"] = context_text_q
+    q["prompt_messages"] = prompt_messages_q
+    q["policy_reasons"] = policy_reasons_q
+    # model, text pipeline and stream (row-count checks; invariants in tests)
+    from .model_queries import registry as model_registry
+    q.update(model_registry())
     return q

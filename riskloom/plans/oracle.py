@@ -8,6 +8,8 @@ one shared piece, so both sides start from identical raw loans.
 
 from __future__ import annotations
 
+from ..operators.policy import POLICY_RULES
+from ..schemas import SYSTEM_TEMPLATE
 from ..schemas import (
     APPLICATION_BOUNDS, APPLICATION_ENUMS, EMP_YEARS, FEATURE_ORDER, GRADE_CODES,
     HOME_VALUES, PURPOSE_VALUES, sub_grade_codes,
@@ -263,6 +265,56 @@ SELECT app_id,
   || '. Why was this denied and how can the applicant improve?' AS question
 FROM checked WHERE len(violations) = 0"""
     q.update(_model_side_queries())
+    q.update(_text_queries(scored))
+    return q
+
+
+def _terms(table: str, id_col: str) -> str:
+    return f"""SELECT {id_col}, term, count(*) AS tf FROM (
+      SELECT {id_col}, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM {table})
+    WHERE term <> '' GROUP BY {id_col}, term"""
+
+
+TFIDF = f"""dt AS ({_terms('documents', 'doc_id')}),
+nd AS (SELECT count(*) AS n FROM documents),
+dfq AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+dw AS (SELECT doc_id, dt.term, tf * ln((n + 1.0) / (df + 1)) AS wd FROM dt JOIN dfq USING (term), nd),
+dn AS (SELECT doc_id, sqrt(sum(wd * wd)) AS dnorm FROM dw GROUP BY doc_id),
+qt AS ({_terms('benchmark', 'item_id')}),
+qw AS (SELECT item_id, qt.term, tf * ln((n + 1.0) / (coalesce(df, 0) + 1)) AS wq
+       FROM qt LEFT JOIN dfq USING (term), nd),
+qn AS (SELECT item_id, sqrt(sum(wq * wq)) AS qnorm FROM qw GROUP BY item_id),
+dots AS (SELECT item_id, doc_id, sum(wq * wd) AS dot FROM qw JOIN dw USING (term) GROUP BY item_id, doc_id),
+sc AS (SELECT item_id, doc_id, round(dot / (qnorm * dnorm), 6) AS score
+       FROM dots JOIN qn USING (item_id) JOIN dn USING (doc_id)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc),
+hits AS (SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM rk WHERE rank <= 3),
+ctx AS (SELECT item_id, string_agg(d.text, chr(10) || chr(10) ORDER BY rank) AS context
+        FROM hits JOIN documents d USING (doc_id) GROUP BY item_id)"""
+
+
+def _text_queries(scored_cte: str) -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["nearest_chunks"] = """
+WITH p AS (
+  SELECT a.vec_id AS vec_id, b.vec_id AS neighbor_id,
+         round(list_sum(list_transform(list_zip(a.embedding, b.embedding),
+               lambda z: power(z[1]::DOUBLE - z[2]::DOUBLE, 2))), 4) AS d2
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neighbor_id) AS rank FROM p)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, d2 FROM r WHERE rank <= 3"""
+    q["retrieve_tfidf"] = with_(TFIDF) + "SELECT * FROM hits"
+    q["context_text"] = with_(TFIDF) + "SELECT item_id, context FROM ctx"
+    head, tail = SYSTEM_TEMPLATE.split("{context}")
+    q["prompt_messages"] = with_(TFIDF) + f"""
+SELECT item_id, 0 AS position, 'system' AS role, {_q(head)} || context || {_q(tail)} AS content FROM ctx
+UNION ALL
+SELECT item_id, 1 AS position, 'human' AS role, b.text AS content FROM ctx JOIN benchmark b USING (item_id)"""
+    rules = "\nUNION ALL\n".join(
+        f"SELECT app_id, {_q(rid)} AS rule_id, {_q(pol)} AS policy, {_q(sev)} AS severity, "
+        f"{_q(text)} AS reason FROM denied WHERE {pred}"
+        for rid, pol, sev, pred, text in POLICY_RULES)
+    q["policy_reasons"] = with_(RAW, APPS, scored_cte, "denied AS (SELECT * FROM scored WHERE default_risk > 0.5)") + rules
     return q
 
 
