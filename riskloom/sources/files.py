@@ -71,5 +71,5 @@ def read_applications(spark: SparkSession, path: str, fmt: str = "json") -> Data
 
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
     """Whole policy documents with their source path: (path, text)."""
-    return (spark.read.option("wholetext", "true").text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
