@@ -21,7 +21,21 @@ def _by_abs_desc(left: Column, right: Column) -> Column:
 
 
 def ranked_contributions(contrib: Column) -> Column:
-    """Sort an array<struct<feature, value, shap>> by |shap| desc, stable."""
+    """Sort an array<struct<feature, value, shap>> by |shap| desc, stable.
+
+    The sort key is carried as the leading struct fields (-|shap|, position),
+    so the array sorts by the type's natural ordering: a compiled comparison
+    rather than a lambda evaluated per comparison.  A null shap sorts last.
+    """
+    keyed = F.transform(contrib, lambda x, i: F.struct(
+        F.coalesce(-F.abs(x["shap"]), F.lit(float("inf"))).alias("neg_abs"),
+        i.alias("pos"), x["feature"].alias("feature"), x["value"].alias("value"),
+        x["shap"].alias("shap")))
+    return F.sort_array(keyed, asc=True)
+
+
+def ranked_contributions_by_comparator(contrib: Column) -> Column:
+    """Same order through an explicit comparator (kept for cross-checking)."""
     with_pos = F.transform(contrib, lambda x, i: F.struct(
         i.alias("pos"), x["feature"].alias("feature"), x["value"].alias("value"),
         x["shap"].alias("shap")))
