@@ -23,7 +23,15 @@ def _col(c) -> Column:
 
 
 def _lookup(c: Column, table: dict, default, cast: str) -> Column:
-    """Exact-match lookup as a CASE chain with a default (null -> default)."""
+    """Exact-match lookup with a default (null -> default).
+
+    Small tables become a CASE chain; larger ones a literal map that
+    Catalyst folds into one constant, so the generated code stays small when
+    many encoders are fused into one whole-stage-codegen function.
+    """
+    if len(table) > 8:
+        m = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+        return F.coalesce(m[c], F.lit(default)).cast(cast)
     items = list(table.items())
     first_k, first_v = items[0]
     expr = F.when(c == F.lit(first_k), F.lit(first_v))

@@ -44,6 +44,8 @@ class LeafTable:
     splits: list          # [(node_index_in_tree, goes_left)] along the path
     features: list        # distinct features on the path, in pattern-bit order
     table: np.ndarray     # (2**m, m) contribution per pattern and feature
+    steps: list = field(default_factory=list)      # [(node_index, goes_left, feature)]
+    table_t: np.ndarray | None = None              # (m, 2**m), contiguous per feature
 
 
 @dataclass
@@ -78,9 +80,20 @@ def _leaf_table(value: float, feats: list[int], z: dict[int, float]) -> np.ndarr
     return out
 
 
+_TABLES: dict[str, TreeTables] = {}
+
+
 def tree_tables(spark: SparkSession, model: PipelineModel) -> TreeTables:
-    """Read the GBT's node table (saved model data) and build leaf tables."""
+    """Read the GBT's node table (saved model data) and build leaf tables
+    (once per fitted model in this driver process)."""
     gbt = gbt_stage(model)
+    if gbt.uid in _TABLES:
+        return _TABLES[gbt.uid]
+    _TABLES[gbt.uid] = tt = _build_tables(spark, gbt)
+    return tt
+
+
+def _build_tables(spark: SparkSession, gbt) -> TreeTables:
     path = scratch_path(spark, "gbt-trees")
     gbt.write().overwrite().save(path)
     rows = (spark.read.parquet(os.path.join(path, "data"))
@@ -116,9 +129,11 @@ def tree_tables(spark: SparkSession, model: PipelineModel) -> TreeTables:
                     if fi not in feats:
                         feats.append(fi)
                 if feats:
+                    table = _leaf_table(value, feats, z)
                     tt.leaves.append(LeafTable(
-                        t, [(index[n], gl) for n, _, gl in path], feats,
-                        _leaf_table(value, feats, z)))
+                        t, [(index[n], gl) for n, _, gl in path], feats, table,
+                        [(index[n], gl, fi) for n, fi, gl in path],
+                        np.ascontiguousarray(table.T)))
                 return
             for child, goes_left in ((left, True), (right, False)):
                 frac = nodes[child][1] / cnt if cnt else 0.0
@@ -132,25 +147,29 @@ def tree_tables(spark: SparkSession, model: PipelineModel) -> TreeTables:
 
 
 def _contributions(x: np.ndarray, tt: TreeTables) -> np.ndarray:
-    phi = np.zeros((x.shape[0], tt.n_features))
+    """(rows, features) attributions; feature-major arrays keep every
+    per-node and per-feature access contiguous."""
+    xt = np.ascontiguousarray(x.T)
+    phi_t = np.zeros((tt.n_features, x.shape[0]))
     goes_left = []
     for feat, thr in tt.nodes:
-        g = np.zeros((x.shape[0], len(feat)), dtype=bool)
         internal = np.nonzero(feat >= 0)[0]
+        g = np.zeros((len(feat), x.shape[0]), dtype=bool)
         if len(internal):
-            g[:, internal] = x[:, feat[internal]] <= thr[internal]
+            g[internal] = xt[feat[internal]] <= thr[internal][:, None]
         goes_left.append(g)
     for leaf in tt.leaves:
         g = goes_left[leaf.tree]
         sat = {}
-        for (node, gl), f in zip(leaf.splits, _split_features(leaf, tt)):
-            ok = g[:, node] if gl else ~g[:, node]
+        for node, gl, f in leaf.steps:
+            ok = g[node] if gl else ~g[node]
             sat[f] = ok if f not in sat else (sat[f] & ok)
-        pattern = np.zeros(x.shape[0], dtype=np.int64)
-        for bit, f in enumerate(leaf.features):
+        pattern = sat[leaf.features[0]].astype(np.int64)
+        for bit, f in enumerate(leaf.features[1:], start=1):
             pattern |= sat[f].astype(np.int64) << bit
-        phi[:, leaf.features] += leaf.table[pattern]
-    return phi
+        for k, f in enumerate(leaf.features):
+            phi_t[f] += leaf.table_t[k][pattern]
+    return phi_t.T
 
 
 def _split_features(leaf: LeafTable, tt: TreeTables) -> list[int]:
@@ -169,7 +188,13 @@ def attribute(spark: SparkSession, model: PipelineModel, transformed: DataFrame,
     bc = spark.sparkContext.broadcast(tt)
     extra = [c for c in MODEL_INPUTS if c not in FEATURE_ORDER]
     passthrough = list(keep) + [c for c in FEATURE_ORDER if c not in keep]
-    src = transformed.select(*passthrough, *extra)
+    # the kernel costs far more per row than moving the row: spread rows
+    # round-robin over at least the cluster's parallelism so no upstream
+    # coalescing or skew leaves one task with most of the work
+    sc = spark.sparkContext
+    n_parts = max(2 * sc.defaultParallelism,
+                  int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    src = transformed.select(*passthrough, *extra).repartition(n_parts)
     out_schema = T.StructType(
         [src.schema[c] for c in passthrough]
         + [T.StructField("base_value", T.DoubleType()), T.StructField("logit", T.DoubleType())]
@@ -190,7 +215,7 @@ def attribute(spark: SparkSession, model: PipelineModel, transformed: DataFrame,
 
 
 def contribution_array() -> F.Column:
-    """array<struct<feature, value, shap>> in feature order, from the feature
-    value columns and the shap_* columns."""
-    return F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
-                              F.col(f"shap_{c}").alias("shap")) for c in FEATURE_ORDER])
+    """Keyed array<struct<neg_abs, pos, feature, value, shap>> in feature order,
+    from the feature value columns and the shap_* columns (see ranking)."""
+    from .ranking import keyed_contributions
+    return keyed_contributions(FEATURE_ORDER)

@@ -53,19 +53,30 @@ def training_features(raw: DataFrame) -> DataFrame:
 
 
 def gbt_pipeline(max_iter: int = 100, max_depth: int = 5, step_size: float = 0.1,
-                 seed: int = 42, max_bins: int = 32) -> Pipeline:
+                 seed: int = 42, max_bins: int = 32, cache_node_ids: bool = False,
+                 checkpoint_interval: int = 10) -> Pipeline:
     imputer = Imputer(strategy="median", inputCols=NULLABLE_FEATURES,
                       outputCols=[imputed_name(c) for c in NULLABLE_FEATURES])
     assembler = VectorAssembler(inputCols=MODEL_INPUTS, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(featuresCol="features", labelCol="target", maxIter=max_iter,
                         maxDepth=max_depth, stepSize=step_size, lossType="logistic", seed=seed,
-                        maxBins=max_bins, cacheNodeIds=True, checkpointInterval=10)
+                        maxBins=max_bins, cacheNodeIds=cache_node_ids,
+                        checkpointInterval=checkpoint_interval)
     return Pipeline(stages=[imputer, assembler, gbt])
 
 
 def train_gbt(train: DataFrame, **params) -> PipelineModel:
-    """Fit on the train fold; the fold is cached for the per-level passes."""
-    data = train.select(*FEATURE_ORDER, F.col("target").cast("double").alias("target")).cache()
+    """Fit on the train fold; the fold is cached for the per-level passes.
+
+    Every tree level is one pass over the cached fold, so the fold is spread
+    round-robin over at least twice the cluster's cores: an upstream shuffle
+    that AQE coalesced into a few partitions would otherwise leave most
+    cores idle for all 100 x depth passes.
+    """
+    sc = train.sparkSession.sparkContext
+    n_parts = max(2 * sc.defaultParallelism, train.rdd.getNumPartitions())
+    data = (train.select(*FEATURE_ORDER, F.col("target").cast("double").alias("target"))
+            .repartition(n_parts).cache())
     try:
         return gbt_pipeline(**params).fit(data)
     finally:

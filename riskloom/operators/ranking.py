@@ -1,74 +1,109 @@
 """Per-application ranking of feature contributions: top-k and waterfall steps.
 
-Both work inside each row's own contribution array (36 structs), with
-higher-order array functions: no explode-and-regroup, no shuffle.
+Both work inside each row's own contribution array (36 structs): no
+explode-and-regroup, no shuffle.  The sort key (-|shap|, feature position)
+is carried as the leading struct fields, so ``sort_array`` orders by the
+type's natural ordering and ``slice`` / ``arrays_zip`` finish the job:
+compiled expressions only, no per-element lambdas.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import TOP_FEATURES
+from ..session import ship_package
 
 
-def _by_abs_desc(left: Column, right: Column) -> Column:
-    """Comparator: larger |shap| first; equal |shap| keeps feature order."""
-    la, ra = F.abs(left["shap"]), F.abs(right["shap"])
-    return (F.when(la > ra, F.lit(-1)).when(la < ra, F.lit(1))
-             .when(left["pos"] < right["pos"], F.lit(-1))
-             .when(left["pos"] > right["pos"], F.lit(1)).otherwise(F.lit(0)))
+def keyed_contribution(pos: int, feature: str, value: Column, shap: Column) -> Column:
+    """One element of a keyed contribution array: (neg_abs, pos, feature, value, shap).
+    A null shap sorts last."""
+    return F.struct(
+        F.coalesce(-F.abs(shap), F.lit(float("inf"))).alias("neg_abs"),
+        F.lit(pos).alias("pos"), F.lit(feature).alias("feature"),
+        value.cast("double").alias("value"), shap.cast("double").alias("shap"))
 
 
-def ranked_contributions(contrib: Column) -> Column:
-    """Sort an array<struct<feature, value, shap>> by |shap| desc, stable.
+def keyed_contributions(features: list[str], value_of=None, shap_of=None) -> Column:
+    """Keyed array over ``features`` in order, from value and shap columns."""
+    value_of = value_of or (lambda c: F.col(c))
+    shap_of = shap_of or (lambda c: F.col(f"shap_{c}"))
+    return F.array(*[keyed_contribution(i, c, value_of(c), shap_of(c)) for i, c in enumerate(features)])
 
-    The sort key is carried as the leading struct fields (-|shap|, position),
-    so the array sorts by the type's natural ordering: a compiled comparison
-    rather than a lambda evaluated per comparison.  A null shap sorts last.
-    """
-    keyed = F.transform(contrib, lambda x, i: F.struct(
+
+def add_keys(contrib: Column) -> Column:
+    """Key a plain array<struct<feature, value, shap>> (one lambda pass)."""
+    return F.transform(contrib, lambda x, i: F.struct(
         F.coalesce(-F.abs(x["shap"]), F.lit(float("inf"))).alias("neg_abs"),
         i.alias("pos"), x["feature"].alias("feature"), x["value"].alias("value"),
         x["shap"].alias("shap")))
+
+
+def ranked_contributions(keyed: Column) -> Column:
+    """|shap| descending; equal |shap| keeps feature order (stable)."""
     return F.sort_array(keyed, asc=True)
 
 
-def ranked_contributions_by_comparator(contrib: Column) -> Column:
-    """Same order through an explicit comparator (kept for cross-checking)."""
-    with_pos = F.transform(contrib, lambda x, i: F.struct(
-        i.alias("pos"), x["feature"].alias("feature"), x["value"].alias("value"),
-        x["shap"].alias("shap")))
-    return F.array_sort(with_pos, _by_abs_desc)
+def plain(arr: Column) -> Column:
+    """Drop the sort keys: array<struct<feature, value, shap>>."""
+    return F.arrays_zip(arr["feature"].alias("feature"), arr["value"].alias("value"),
+                        arr["shap"].alias("shap"))
 
 
-def top_features(contrib: Column, k: int = TOP_FEATURES) -> Column:
+def top_features(keyed: Column, k: int = TOP_FEATURES) -> Column:
     """The k largest contributions by absolute value, as feature/value/shap structs."""
-    top = F.slice(ranked_contributions(contrib), 1, k)
-    return F.transform(top, lambda x: F.struct(
-        x["feature"].alias("feature"), x["value"].alias("value"), x["shap"].alias("shap")))
+    return plain(F.slice(ranked_contributions(keyed), 1, k))
+
+
+_STEPS = T.StructType([
+    T.StructField("step", T.IntegerType()), T.StructField("feature", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("shap", T.DoubleType()),
+    T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()),
+    T.StructField("direction", T.StringType()),
+])
 
 
-def waterfall_steps(df: DataFrame, id_col: str, contrib: str = "contributions",
+def waterfall_steps(df: DataFrame, id_col: str, keyed: str = "contributions",
                     base: str = "base_value") -> DataFrame:
-    """One row per step from the base value to the final margin, in the
-    order of |shap| desc: step, feature, value, shap, start, end, direction."""
-    ranked = df.select(id_col, base, ranked_contributions(F.col(contrib)).alias("_r"))
-    step_type = ("struct<step:int,feature:string,value:double,shap:double,start:double>")
-    # one left fold per row: carries the running total and appends each step
-    init = F.struct(F.col(base).cast("double").alias("acc"),
-                    F.array().cast(f"array<{step_type}>").alias("steps"))
-
-    def fold(state, x):
-        step = F.struct(
-            (F.size(state["steps"]) + 1).alias("step"), x["feature"].alias("feature"),
-            x["value"].alias("value"), x["shap"].alias("shap"), state["acc"].alias("start"))
-        return F.struct((state["acc"] + x["shap"]).alias("acc"),
-                        F.array_append(state["steps"], step).alias("steps"))
-
-    steps = ranked.select(id_col, F.aggregate("_r", init, fold)["steps"].alias("_s"))
-    return steps.select(id_col, F.inline("_s")).select(
-        id_col, "step", "feature", "value", "shap", "start",
-        (F.col("start") + F.col("shap")).alias("end"),
-        F.when(F.col("shap") >= 0, F.lit("increase")).otherwise(F.lit("decrease")).alias("direction"),
-    )
+    """One row per step from the base value to the final margin, in the order
+    of |shap| desc: step, feature, value, shap, start, end, direction.
+
+    The order comes from the compiled sort; the running totals are one
+    vectorised cumulative sum per Arrow batch (a row-local scan; a window
+    would need a shuffle of 36 rows per application).
+    """
+    ship_package(df.sparkSession)
+    r = ranked_contributions(F.col(keyed))
+    flat = df.select(id_col, F.col(base).cast("double").alias("_base"),
+                     r["feature"].alias("_f"), r["value"].alias("_v"), r["shap"].alias("_s"))
+    schema = T.StructType([df.schema[id_col]] + _STEPS.fields)
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            lens = pdf["_s"].map(len).to_numpy()
+            m = int(lens.max())
+            if not (lens == m).all():
+                raise ValueError("contribution arrays differ in length")
+            s = np.stack(pdf["_s"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+            base_v = pdf["_base"].to_numpy(dtype=np.float64)
+            # start_k = base + s_1 + ... + s_(k-1), accumulated left to right
+            starts = np.cumsum(np.concatenate([base_v[:, None], s], axis=1), axis=1)[:, :-1]
+            shap = s.ravel()
+            yield pd.DataFrame({
+                id_col: np.repeat(pdf[id_col].to_numpy(), m),
+                "step": np.tile(np.arange(1, m + 1, dtype=np.int32), len(pdf)),
+                "feature": np.concatenate(pdf["_f"].map(list).to_list()),
+                "value": np.concatenate(pdf["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_list()),
+                "shap": shap,
+                "start": starts.ravel(),
+                "end": starts.ravel() + shap,
+                "direction": np.where(shap >= 0, "increase", "decrease"),
+            })
+
+    return flat.mapInPandas(run, schema)

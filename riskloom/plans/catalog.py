@@ -144,10 +144,9 @@ def synthetic_contributions(spark, sf_dir) -> DataFrame:
     """Contributions from a fixed formula over real serving features, so the
     ranking operators can be checked against SQL."""
     feats = A.serving_features(_apps(spark, sf_dir))
-    arr = F.array(*[F.struct(
-        F.lit(name).alias("feature"), F.col(name).alias("value"),
-        (((F.col("app_id") * (j + 3)) % 17 - 8).cast("double") / 4.0).alias("shap"))
-        for j, name in enumerate(FEATURE_ORDER)])
+    shap = {name: ((F.col("app_id") * (j + 3)) % 17 - 8).cast("double") / 4.0
+            for j, name in enumerate(FEATURE_ORDER)}
+    arr = R.keyed_contributions(FEATURE_ORDER, shap_of=lambda c: shap[c])
     return feats.select("app_id", F.lit(SYNTHETIC_BASE).alias("base_value"), arr.alias("contributions"))
 
 

@@ -80,7 +80,8 @@ def _attributed(spark, sf_dir) -> DataFrame:
 
 def contributions_q(spark, sf_dir):
     a = _attributed(spark, sf_dir)
-    return a.select("app_id", F.inline(contribution_array()))
+    return a.select("app_id", F.inline(contribution_array())).select(
+        "app_id", "pos", "feature", "value", "shap")
 
 
 def base_value_q(spark, sf_dir):

@@ -8,8 +8,12 @@ exact divisions, so no engine-dependent rounding enters the fixture.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schemas import LOAN_SCHEMA
+from ..session import scratch_path
 from .tables import read_table
 
 _FIXTURE_SQL = """
@@ -48,10 +52,35 @@ def fixture_sql(orders: str = "orders", customer: str = "customer") -> str:
     return _FIXTURE_SQL.replace("{orders}", orders).replace("{customer}", customer)
 
 
-def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw loan records, one per order, with the schema of ``LOAN_SCHEMA``."""
+def derive_raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw loan records, one per order, with the schema of ``LOAN_SCHEMA`` (lazy)."""
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_acctbal", "c_mktsegment")
     return spark.sql(_FIXTURE_SQL, orders=orders, customer=customer)
+
+
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw loans table, as the pipelines read it: derived once per
+    application and scale, written as parquet into the shared work folder,
+    then scanned like any source table (pushdown, pruning, row-group stats).
+
+    Writing it cuts the lineage back to orders x customer (a lost executor
+    re-reads files instead of re-running the join) and keeps the fixture's
+    wide CASE expressions out of every downstream stage.  Files are hash
+    partitioned and sorted by ``loan_id`` so id-range filters skip row groups.
+    """
+    sc = spark.sparkContext
+    key = (sc.applicationId, os.path.abspath(sf_dir))
+    path = _TABLES.get(key)
+    if path is None:
+        path = scratch_path(spark, "raw-loans")
+        n_files = max(sc.defaultParallelism, 1)
+        (derive_raw_loans(spark, sf_dir).repartition(n_files, "loan_id")
+         .sortWithinPartitions("loan_id").write.mode("overwrite").parquet(path))
+        _TABLES[key] = path
+    return spark.read.schema(LOAN_SCHEMA).parquet(path)
