@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..schemas import CHUNK_OVERLAP, CHUNK_SIZE
-from ..session import ship_package
+from ..session import ship_package, spread
 
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
@@ -117,4 +117,4 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                 "chunk_id": pd.Series(cids, dtype="int32"),
                                 "chunk": pd.Series(texts, dtype="object")})
 
-    return docs.select(id_col, text_col).mapInPandas(run, schema)
+    return spread(docs.select(id_col, text_col)).mapInPandas(run, schema)

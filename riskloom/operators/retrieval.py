@@ -11,10 +11,12 @@ Nearest vectors (exact, squared L2)
     corpus distance evaluations, as in any exact flat search.
 
 TF-IDF cosine top-k
-    Terms are exploded and pre-aggregated per (doc, term) before any join;
-    document frequencies aggregate map-side; hot terms are handled by AQE's
-    skew-join splitting.  Candidate (query, doc) scores are partial-summed
-    before their shuffle, and top-k per query is a window group limit.
+    Documents are partitioned by id once and their terms counted in place.
+    Document frequencies aggregate map-side; they and the query terms are
+    broadcast under a counted bound, so weights, norms and per-(query, doc)
+    dot products never shuffle the term table, and a hot term never lands in
+    one task.  Top-k per query is a window group limit applied before the
+    only shuffle of candidates.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,21 +96,42 @@ def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return t.filter(F.col("term") != "").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _maybe_broadcast(df: DataFrame, n_rows: int, max_rows: int) -> DataFrame:
+    """Broadcast only a side whose counted size is under the bound."""
+    return F.broadcast(df) if n_rows <= max_rows else df
+
+
 def tfidf_topk(queries: DataFrame, docs: DataFrame, q_id: str = "item_id", d_id: str = "doc_id",
-               text_col: str = "text", k: int = RETRIEVAL_K) -> DataFrame:
-    """(q_id, rank, doc_id, score): top-k documents by cosine of tf * ln((N+1)/(df+1))."""
+               text_col: str = "text", k: int = RETRIEVAL_K,
+               max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(q_id, rank, doc_id, score): top-k documents by cosine of tf * ln((N+1)/(df+1)).
+
+    Documents are hash-partitioned by id once; their (doc, term, tf) table is
+    persisted (memory and disk; a lost block is recomputed from lineage),
+    which keeps that partitioning visible to the planner.  With document
+    frequencies and the query terms broadcast (each only under
+    ``max_broadcast_rows``, counted on the persisted table), the weights,
+    document norms, per-(query, doc) dot products and the norm join all run
+    inside each document's partition: no shuffle of the term table.  Only
+    the top-k candidates per query partition cross the network.
+    """
+    spark = docs.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     n_docs = docs.count()
-    dterms = terms(docs, d_id, text_col)
+    by_doc = docs.select(d_id, text_col).repartition(n_parts, d_id)
+    dterms = terms(by_doc, d_id, text_col).persist(StorageLevel.MEMORY_AND_DISK)
     dfreq = dterms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dfreq_side = _maybe_broadcast(dfreq, dfreq.count(), max_broadcast_rows)
     idf = lambda: F.log(F.lit(float(n_docs + 1)) / (F.coalesce(F.col("df"), F.lit(0)) + 1))
-    dw = dterms.join(dfreq, "term").select(d_id, "term", (F.col("tf") * idf()).alias("wd"))
+    dw = dterms.join(dfreq_side, "term").select(d_id, "term", (F.col("tf") * idf()).alias("wd"))
     dnorm = dw.groupBy(d_id).agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
     qterms = terms(queries, q_id, text_col)
-    qw = qterms.join(dfreq, "term", "left").select(q_id, "term", (F.col("tf") * idf()).alias("wq"))
+    qw = qterms.join(dfreq_side, "term", "left").select(q_id, "term", (F.col("tf") * idf()).alias("wq"))
     qnorm = qw.groupBy(q_id).agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dots = (qw.join(dw, "term").groupBy(q_id, d_id)
-              .agg(F.sum(F.col("wq") * F.col("wd")).alias("dot")))
-    scored = (dots.join(qnorm, q_id).join(dnorm, d_id)
+    n_qw = qw.count()
+    dots = (dw.join(_maybe_broadcast(qw, n_qw, max_broadcast_rows), "term")
+              .groupBy(q_id, d_id).agg(F.sum(F.col("wq") * F.col("wd")).alias("dot")))
+    scored = (dots.join(dnorm, d_id).join(_maybe_broadcast(qnorm, n_qw, max_broadcast_rows), q_id)
                   .select(q_id, d_id, F.round(F.col("dot") / (F.col("nq") * F.col("nd")), 6).alias("score")))
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(d_id))
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -121,7 +121,7 @@ def score_stream_q(spark, sf_dir):
     src, out, chk = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-chk"))
     apps = A.applications_from_loans(raw_loans(spark, sf_dir))
     apps.repartition(4).write.parquet(src)
-    q = start_scoring_stream(spark, model, src, out, chk, max_files_per_trigger=1)
+    q = start_scoring_stream(spark, model, src, out, chk)
     q.awaitTermination()
     return spark.read.parquet(out)
 

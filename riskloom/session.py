@@ -86,3 +86,13 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("riskloom", os.path.relpath(full, pkg_dir)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def spread(df, factor: int = 2):
+    """Give CPU-heavy per-row work (tokenising, chunking) at least ``factor`` x
+    the cluster's cores in tasks.  Only inputs with fewer partitions than that
+    (e.g. one large file) are round-robin repartitioned; a scan that already
+    has many splits, the normal case at scale, is left untouched."""
+    sc = df.sparkSession.sparkContext
+    target = factor * sc.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
