@@ -141,10 +141,14 @@ def tfidf_topk(queries: DataFrame, docs: DataFrame, q_id: str = "item_id", d_id:
 # --- context and prompts ------------------------------------------------------
 
 def context_text(hits: DataFrame, texts: DataFrame, q_id: str, d_id: str,
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", hits_bound: int | None = None,
+                 max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """(q_id, context): retrieved texts joined by a blank line, in rank order.
-    Each group holds at most k rows."""
-    j = hits.join(texts.select(d_id, text_col), d_id)
+    Each group holds at most k rows.  ``hits_bound`` (queries x k, known to
+    the caller) lets the few hits be broadcast so the document table is
+    scanned in place instead of shuffled."""
+    small = hits_bound is not None and hits_bound <= max_broadcast_rows
+    j = texts.select(d_id, text_col).join(F.broadcast(hits) if small else hits, d_id)
     g = j.groupBy(q_id).agg(F.array_sort(F.collect_list(F.struct("rank", text_col))).alias("_r"))
     return g.select(q_id, F.array_join(F.transform("_r", lambda x: x[text_col]), "\n\n").alias("context"))
 

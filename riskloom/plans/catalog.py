@@ -182,13 +182,13 @@ def retrieve_tfidf_q(spark, sf_dir):
 
 
 def context_text_q(spark, sf_dir):
-    hits, docs, _ = _tfidf_hits(spark, sf_dir)
-    return RT.context_text(hits, docs, "item_id", "doc_id")
+    hits, docs, bench = _tfidf_hits(spark, sf_dir)
+    return RT.context_text(hits, docs, "item_id", "doc_id", hits_bound=3 * bench.count())
 
 
 def prompt_messages_q(spark, sf_dir):
     hits, docs, bench = _tfidf_hits(spark, sf_dir)
-    ctx = RT.context_text(hits, docs, "item_id", "doc_id")
+    ctx = RT.context_text(hits, docs, "item_id", "doc_id", hits_bound=3 * bench.count())
     q = ctx.join(bench.withColumnRenamed("text", "question"), "item_id")
     return RT.prompt_messages(q, "item_id")
 
@@ -198,6 +198,12 @@ def policy_reasons_q(spark, sf_dir):
     return policy_reasons(denied).select("app_id", "rule_id", "policy", "severity", "reason")
 
 
+def _dynamic_flags(raw: DataFrame) -> DataFrame:
+    df = P.training_frame(raw)
+    return df.select("loan_id", *[c for c in df.columns
+                                  if c.startswith("home_ownership_") or c.startswith("purpose_")])
+
+
 def registry() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {}
     q["default_rate_by_grade"] = _raw(Q.default_rate_by_grade)
@@ -258,9 +264,7 @@ def registry() -> dict[str, QueryFn]:
     q["threshold_sweep"] = lambda spark, d: M.threshold_sweep(scored_test_fold(spark, d))
     q["feature_drift"] = _raw(lambda r: X.feature_drift(drift_frame(r), "period", "base", "current"))
     # training flow's dynamic encoding
-    q["one_hot_dynamic"] = _raw(lambda r: P.training_frame(r).select(
-        "loan_id", *[c for c in P.training_frame(r).columns
-                     if c.startswith("home_ownership_") or c.startswith("purpose_")]))
+    q["one_hot_dynamic"] = _raw(_dynamic_flags)
     q["numeric_columns"] = _raw(P.training_matrix)
     # ranking of contributions
     q["top_features"] = top_features_q

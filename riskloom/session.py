@@ -15,10 +15,17 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "riskloom") -> SparkSession:
+                  app_name: str = "riskloom", driver_memory: str | None = None) -> SparkSession:
+    """Session for local runs and tests (on a cluster the platform's session is used).
+
+    In local mode the driver JVM is also the executor, so ``driver_memory``
+    is the heap every task shares; it only applies when this call starts the JVM.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     conf = {
         "spark.ui.enabled": "false",
         "spark.sql.adaptive.enabled": "true",

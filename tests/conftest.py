@@ -15,7 +15,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from riskloom.session import build_session
-    s = build_session("local[4]", 8, app_name="riskloom-tests")
+    s = build_session("local[4]", 8, app_name="riskloom-tests", driver_memory="8g")
     if s.sparkContext.getCheckpointDir() is None:
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-test-chk-"))
     yield s
