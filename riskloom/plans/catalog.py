@@ -56,6 +56,17 @@ def scan_loans_csv(spark, sf_dir):
     return files.read_loans_csv(spark, path)
 
 
+def scan_policies(spark, sf_dir):
+    """Whole-file text reader with source paths, over one file per benchmark
+    item (written by Spark from the given table)."""
+    path = scratch_path(spark, "text-files")
+    bench = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    bench.write.partitionBy("item_id").text(path)
+    docs = files.read_policies(spark, path)
+    return docs.select(
+        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "text")
+
+
 def scan_applications(spark, sf_dir):
     path = scratch_path(spark, "applications-json")
     files.write_applications_json(_apps(spark, sf_dir), path)
@@ -212,6 +223,7 @@ def registry() -> dict[str, QueryFn]:
     q["load_validation"] = _raw(files.load_validation)
     q["load_profile"] = _raw(files.load_profile)
     q["scan_applications"] = scan_applications
+    q["scan_policies"] = scan_policies
     # SQL pipeline
     q["stg_project"] = _raw(S.stg_project)
     q["stg_filter"] = _raw(S.stg_filter)

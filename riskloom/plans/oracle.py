@@ -156,6 +156,7 @@ SELECT count(*) AS n_rows, 23 AS n_columns,
  'loan_id,loan_amnt,term,int_rate,installment,grade,sub_grade,annual_inc,dti,emp_length,fico_range_low,fico_range_high,open_acc,pub_rec,revol_bal,revol_util,total_acc,mort_acc,pub_rec_bankruptcies,home_ownership,purpose,loan_status,issue_d' AS columns
 FROM raw"""
     q["scan_applications"] = with_(RAW, APPS) + "SELECT * FROM apps"
+    q["scan_policies"] = "SELECT item_id, text || chr(10) AS text FROM benchmark"
     # SQL pipeline
     q["stg_project"] = with_(RAW) + """
 SELECT loan_id, loan_amnt,
