@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import FEATURE_ORDER
-from ..session import scratch_path, ship_package
+from ..session import parallelism, scratch_path, ship_package, spark_context
 from .model import MODEL_INPUTS, gbt_stage, impute
 
 LOGIT_SCALE = 2.0  # Spark GBT: p = 1 / (1 + exp(-2 * margin))
@@ -185,14 +185,14 @@ def attribute(spark: SparkSession, model: PipelineModel, transformed: DataFrame,
     Row-local (``mapInPandas``): no join, no shuffle."""
     ship_package(spark)
     tt = tree_tables(spark, model)
-    bc = spark.sparkContext.broadcast(tt)
+    sc = spark_context(spark)
+    bc = sc.broadcast(tt) if sc is not None else None  # else shipped inside the closure
     extra = [c for c in MODEL_INPUTS if c not in FEATURE_ORDER]
     passthrough = list(keep) + [c for c in FEATURE_ORDER if c not in keep]
     # the kernel costs far more per row than moving the row: spread rows
     # round-robin over at least the cluster's parallelism so no upstream
     # coalescing or skew leaves one task with most of the work
-    sc = spark.sparkContext
-    n_parts = max(2 * sc.defaultParallelism,
+    n_parts = max(2 * parallelism(spark),
                   int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     src = transformed.select(*passthrough, *extra).repartition(n_parts)
     out_schema = T.StructType(
@@ -202,7 +202,7 @@ def attribute(spark: SparkSession, model: PipelineModel, transformed: DataFrame,
     shap_cols = [f"shap_{c}" for c in FEATURE_ORDER]
 
     def run(batches):
-        tables = bc.value
+        tables = bc.value if bc is not None else tt
         for pdf in batches:
             x = pdf[MODEL_INPUTS].to_numpy(dtype=np.float64)
             phi = _contributions(x, tables)

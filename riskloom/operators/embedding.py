@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..session import ship_package
 
 
-def text_embedding_pipeline(text_col: str = "chunk", num_features: int = 1 << 18) -> Pipeline:
+def text_embedding_estimator(text_col: str = "chunk", num_features: int = 1 << 18) -> Pipeline:
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="[^a-z]+", toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
@@ -34,7 +34,7 @@ def text_embedding_pipeline(text_col: str = "chunk", num_features: int = 1 << 18
 def embed_chunks(chunks: DataFrame, text_col: str = "chunk",
                  model: PipelineModel | None = None) -> tuple[DataFrame, PipelineModel]:
     """Fit (or reuse) the default pipeline; returns (chunks + embedding vector, model)."""
-    model = model or text_embedding_pipeline(text_col).fit(chunks)
+    model = model or text_embedding_estimator(text_col).fit(chunks)
     out = model.transform(chunks).drop("_tokens", "_tf", "_tfidf")
     return out, model
 

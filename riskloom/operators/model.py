@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders as E
 from ..schemas import FEATURE_ORDER, HOME_VALUES, NULL_DEFAULT_COLUMNS, PURPOSE_VALUES
+from ..session import parallelism
 from .staging import completed_loans
 
 IMPUTED_SUFFIX = "__imp"
@@ -52,7 +53,7 @@ def training_features(raw: DataFrame) -> DataFrame:
     return df.select("loan_id", *cols, E.label_target("loan_status").alias("target"))
 
 
-def gbt_pipeline(max_iter: int = 100, max_depth: int = 5, step_size: float = 0.1,
+def gbt_estimator(max_iter: int = 100, max_depth: int = 5, step_size: float = 0.1,
                  seed: int = 42, max_bins: int = 32, cache_node_ids: bool = False,
                  checkpoint_interval: int = 10) -> Pipeline:
     imputer = Imputer(strategy="median", inputCols=NULLABLE_FEATURES,
@@ -73,12 +74,15 @@ def train_gbt(train: DataFrame, **params) -> PipelineModel:
     that AQE coalesced into a few partitions would otherwise leave most
     cores idle for all 100 x depth passes.
     """
-    sc = train.sparkSession.sparkContext
-    n_parts = max(2 * sc.defaultParallelism, train.rdd.getNumPartitions())
+    n_parts = 2 * parallelism(train.sparkSession)
+    try:
+        n_parts = max(n_parts, train.rdd.getNumPartitions())
+    except Exception:  # noqa: BLE001 - no RDD view on connect sessions
+        pass
     data = (train.select(*FEATURE_ORDER, F.col("target").cast("double").alias("target"))
             .repartition(n_parts).cache())
     try:
-        return gbt_pipeline(**params).fit(data)
+        return gbt_estimator(**params).fit(data)
     finally:
         data.unpersist()
 

@@ -25,7 +25,7 @@ from ..operators.model import load_latest, save_model, score_batch, training_fea
 from ..operators.policy import offline_explanation, rule_hits
 from ..plans.scoring import score_applications
 from ..plans.training import fit_and_evaluate
-from ..session import scratch_path
+from ..session import app_id, scratch_path
 from ..sources.artifacts import read_metrics, write_metrics
 from ..sources.fixture import raw_loans
 from ..sources.tables import read_table
@@ -38,7 +38,7 @@ _MODELS: dict[tuple[str, str], tuple[PipelineModel, dict, str]] = {}
 
 def trained(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, dict, str]:
     """(model, metrics, saved path), trained once per application and scale."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (app_id(spark), os.path.abspath(sf_dir))
     if key not in _MODELS:
         model, metrics = fit_and_evaluate(spark, raw_loans(spark, sf_dir), **GBT_PARAMS)
         path = scratch_path(spark, "model")

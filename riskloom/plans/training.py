@@ -44,7 +44,7 @@ def fit_and_evaluate(spark: SparkSession, raw: DataFrame, **params) -> tuple[Pip
     return model, metrics
 
 
-def training_pipeline(spark: SparkSession, raw: DataFrame, model_dir: str,
+def run_training(spark: SparkSession, raw: DataFrame, model_dir: str,
                       metrics_dir: str | None = None, **params) -> dict:
     """Returns {'status', 'metrics', 'model_path'}; saves nothing if the gate fails."""
     model, metrics = fit_and_evaluate(spark, raw, **params)

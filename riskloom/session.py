@@ -46,6 +46,26 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def spark_context(spark: SparkSession):
+    """The SparkContext, or None for sessions without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - connect sessions raise here
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def parallelism(spark: SparkSession) -> int:
+    sc = spark_context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.default.parallelism", "0") or 0) or int(
+        spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
@@ -53,11 +73,11 @@ def work_dir(spark: SparkSession) -> str:
     local runs) sets one under the system temp folder and registers it as
     the checkpoint folder too.
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    sc = spark_context(spark)
+    d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
         d = tempfile.mkdtemp(prefix="riskloom-")
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d.rstrip("/")
 
@@ -79,8 +99,8 @@ def ship_package(spark: SparkSession) -> None:
     """
     import zipfile
 
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    key = app_id(spark)
+    if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     fd, path = tempfile.mkstemp(prefix="riskloom-", suffix=".zip")
@@ -91,8 +111,12 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("riskloom", os.path.relpath(full, pkg_dir)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
+    sc = spark_context(spark)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(key)
 
 
 def spread(df, factor: int = 2):
@@ -100,6 +124,9 @@ def spread(df, factor: int = 2):
     the cluster's cores in tasks.  Only inputs with fewer partitions than that
     (e.g. one large file) are round-robin repartitioned; a scan that already
     has many splits, the normal case at scale, is left untouched."""
-    sc = df.sparkSession.sparkContext
-    target = factor * sc.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    target = factor * parallelism(df.sparkSession)
+    try:
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view on connect sessions
+        return df
+    return df.repartition(target) if n < target else df

@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import LOAN_SCHEMA
-from ..session import scratch_path
+from ..session import app_id, parallelism, scratch_path
 from .tables import read_table
 
 _FIXTURE_SQL = """
@@ -74,12 +74,11 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide CASE expressions out of every downstream stage.  Files are hash
     partitioned and sorted by ``loan_id`` so id-range filters skip row groups.
     """
-    sc = spark.sparkContext
-    key = (sc.applicationId, os.path.abspath(sf_dir))
+    key = (app_id(spark), os.path.abspath(sf_dir))
     path = _TABLES.get(key)
     if path is None:
         path = scratch_path(spark, "raw-loans")
-        n_files = max(sc.defaultParallelism, 1)
+        n_files = max(parallelism(spark), 1)
         (derive_raw_loans(spark, sf_dir).repartition(n_files, "loan_id")
          .sortWithinPartitions("loan_id").write.mode("overwrite").parquet(path))
         _TABLES[key] = path

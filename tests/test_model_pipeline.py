@@ -11,7 +11,7 @@ from riskloom.operators.applications import applications_from_loans, split_rejec
 from riskloom.operators.explain import explain_denials
 from riskloom.operators.model import load_latest, save_model
 from riskloom.plans.scoring import score_applications, score_valid
-from riskloom.plans.training import fit_and_evaluate, training_pipeline
+from riskloom.plans.training import fit_and_evaluate, run_training
 from riskloom.sources.fixture import raw_loans
 from riskloom.streaming.score_stream import start_scoring_stream
 
@@ -61,7 +61,7 @@ def test_result_shape(spark, trained):
 def test_gate_blocks_save(spark, tmp_path):
     # a constant target has no ranking signal: the run must not save a model
     raw = raw_loans(spark, SF_SMALL).withColumn("loan_status", F.lit("Fully Paid"))
-    out = training_pipeline(spark, raw, str(tmp_path / "models"), **PARAMS)
+    out = run_training(spark, raw, str(tmp_path / "models"), **PARAMS)
     assert out["status"] == "FAILED" and not os.path.exists(tmp_path / "models")
 
 
