@@ -15,6 +15,7 @@ class).  The full data is never shuffled.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +30,13 @@ def split_key(id_col: str = "loan_id", modulus: int = MODULUS, multiplier: int =
 
 def stratified_split(df: DataFrame, label: str = "target", id_col: str = "loan_id",
                      test_fraction: float = 0.2, modulus: int = MODULUS,
-                     max_classes: int = 100_000) -> DataFrame:
+                     max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Add ``fold`` ('train' / 'test') to every row of ``df``."""
     keyed = df.withColumn("_key", split_key(id_col, modulus))
-    per_key = keyed.groupBy(label, "_key").agg(F.count(F.lit(1)).alias("_n"))
+    # at most classes x modulus rows whatever the input size; persisted so the
+    # size check below and the plan share one aggregation of the input
+    per_key = (keyed.groupBy(label, "_key").agg(F.count(F.lit(1)).alias("_n"))
+               .persist(StorageLevel.MEMORY_AND_DISK))
     by_key = Window.partitionBy(label).orderBy("_key")
     cum = (per_key
            .withColumn("_before", F.coalesce(
@@ -43,8 +47,9 @@ def stratified_split(df: DataFrame, label: str = "target", id_col: str = "loan_i
                       & (F.col("_before") + F.col("_n") >= F.col("_n_test")))
               .select(label, F.col("_key").alias("_cut_key"),
                       (F.col("_n_test") - F.col("_before")).alias("_need")))
-    # one row per class: broadcast only while the class count is small
-    cut_side = F.broadcast(cut) if max_classes and max_classes <= 100_000 else cut
+    # one row per class: broadcast under a counted bound; past it a shuffled
+    # join on the label, where AQE splits a class holding many rows
+    cut_side = F.broadcast(cut) if cut.count() <= max_broadcast_rows else cut
     joined = keyed.join(cut_side, on=label, how="left")
 
     away = joined.filter(F.col("_cut_key").isNull() | (F.col("_key") != F.col("_cut_key")))
