@@ -93,3 +93,18 @@ def test_question_text(spark):
                  "DTI: 20.0%, Employment: 3 years, Purpose: debt_consolidation. "
                  "Why was this denied and how can the applicant improve?")
     assert F is not None
+
+
+def test_policy_rules_on_example_application(spark):
+    from riskloom.operators.policy import policy_reasons
+    base = {"app_id": 1, "grade": "C", "fico": 700, "dti": 20.0, "term": "36 months",
+            "purpose": "debt_consolidation", "emp_length": "3 years"}
+    risky = dict(base, app_id=2, grade="A", fico=570, dti=47.5, term="60 months",
+                 emp_length="< 1 year")
+    df = spark.createDataFrame([base, risky])
+    hits = {}
+    for r in policy_reasons(df).collect():
+        hits.setdefault(r.app_id, []).append(r.rule_id)
+    assert hits[1] == ["dti_20_35"]
+    assert hits[2] == ["dti_above_43", "fico_below_grade_minimum", "fico_below_580",
+                       "term_60_months", "debt_consolidation_dti_40", "employment_under_1_year"]
