@@ -22,13 +22,18 @@ def risk_percent(p) -> Column:
 
 
 def money(x) -> Column:
-    """Thousands separators for a double, like Python's ``f"{x:,}"``.
-
-    Whole values print with one decimal ('10,000.0'); other values with two.
-    """
+    """Thousands separators for a double, like Python's ``f"{x:,}"``:
+    the shortest decimal digits of the value, at least one decimal
+    ('10,000.0', '1,234.5', '1,234,567.891').  (Python switches to scientific
+    notation below 1e-4, which amounts never reach.)"""
     x = _col(x)
-    whole = x == F.floor(x)
-    return F.when(whole, F.format_number(x, 1)).otherwise(F.format_number(x, 2))
+    text = x.cast("string")                      # shortest repr, maybe with an exponent
+    mantissa = F.substring_index(text, "E", 1)
+    exponent = F.when(F.instr(text, "E") > 0,
+                      F.substring_index(text, "E", -1).cast("int")).otherwise(F.lit(0))
+    fraction = F.when(F.instr(mantissa, ".") > 0,
+                      F.length(F.substring_index(mantissa, ".", -1))).otherwise(F.lit(0))
+    return F.call_function("format_number", x, F.greatest(F.lit(1), fraction - exponent))
 
 
 def question_text(df_cols: dict[str, Column] | None = None) -> Column:

@@ -253,9 +253,7 @@ SELECT app_id, default_risk, 'DENIED' AS decision FROM scored WHERE default_risk
     q["risk_display"] = with_(RAW, APPS, scored) + """
 SELECT app_id, default_risk, printf('%.1f%%', round_even(default_risk * 100, 1)) AS risk_text FROM scored"""
     q["money_display"] = with_(RAW, APPS) + """
-SELECT app_id,
-  CASE WHEN loan_amnt = floor(loan_amnt) THEN format('{:,.1f}', loan_amnt) ELSE format('{:,.2f}', loan_amnt) END AS loan_amnt_text,
-  CASE WHEN annual_inc = floor(annual_inc) THEN format('{:,.1f}', annual_inc) ELSE format('{:,.2f}', annual_inc) END AS annual_inc_text
+SELECT app_id, format('{:,}', loan_amnt) AS loan_amnt_text, format('{:,}', annual_inc) AS annual_inc_text
 FROM apps"""
     q["question_text"] = with_(RAW, APPS, CHECKED) + """
 SELECT app_id,

@@ -79,6 +79,9 @@ def test_risk_display(spark):
     rows = df.select(risk_percent("p").alias("r"), money("x").alias("m")).collect()
     assert rows[0].r == "56.2%" and rows[1].r == "12.3%"
     assert rows[0].m == "10,000.0" and rows[1].m == "1,234,567.0"
+    vals = [1234.5, 0.1, 1234567.891, 12345678.9, 99.99, 123456789012.25, 5.0, 60000.0]
+    got = spark.createDataFrame([(v,) for v in vals], "x double").select(money("x").alias("m")).collect()
+    assert [r.m for r in got] == [f"{v:,}" for v in vals]
 
 
 def test_question_text(spark):
