@@ -223,8 +223,8 @@ UNION ALL SELECT 'mart_training', 'dti', 'not_null', count_if(dti IS NULL) FROM
     q["dq_accepted_values"] = dq + sel + " WHERE \"check\" = 'accepted_values'"
     q["rows_dropped"] = with_(RAW) + """
 SELECT count(*) AS initial_rows,
-       count_if(coalesce(loan_status IN ('Fully Paid', 'Charged Off'), false)) AS kept_rows,
-       count_if(NOT coalesce(loan_status IN ('Fully Paid', 'Charged Off'), false)) AS dropped_rows
+       CAST(count_if(coalesce(loan_status IN ('Fully Paid', 'Charged Off'), false)) AS BIGINT) AS kept_rows,
+       CAST(count_if(NOT coalesce(loan_status IN ('Fully Paid', 'Charged Off'), false)) AS BIGINT) AS dropped_rows
 FROM raw"""
     q["target_distribution"] = with_(RAW) + """
 SELECT CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS target, count(*) AS n_rows
@@ -352,13 +352,16 @@ def _model_side_queries() -> dict[str, str]:
     base = with_(RAW, STG, FEAT, MART, SPLIT)
     q["stratified_split"] = base + "SELECT loan_id, target, fold FROM split"
     q["dataset_sizes"] = base + """
-SELECT count_if(fold = 'train') AS train_size, count_if(fold = 'test') AS test_size, 35 AS n_features FROM split"""
+SELECT CAST(count_if(fold = 'train') AS BIGINT) AS train_size, CAST(count_if(fold = 'test') AS BIGINT) AS test_size,
+       35 AS n_features FROM split"""
     q["auc_roc"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST, AUC) + "SELECT auc_roc FROM auc"
     q["accuracy"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST, ACC) + "SELECT accuracy FROM acc"
     q["confusion"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST) + """
 SELECT tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall
-FROM (SELECT count_if(score > 0.5 AND target = 1) AS tp, count_if(score > 0.5 AND target <> 1) AS fp,
-             count_if(score <= 0.5 AND target <> 1) AS tn, count_if(score <= 0.5 AND target = 1) AS fn
+FROM (SELECT CAST(count_if(score > 0.5 AND target = 1) AS BIGINT) AS tp,
+             CAST(count_if(score > 0.5 AND target <> 1) AS BIGINT) AS fp,
+             CAST(count_if(score <= 0.5 AND target <> 1) AS BIGINT) AS tn,
+             CAST(count_if(score <= 0.5 AND target = 1) AS BIGINT) AS fn
       FROM test)"""
     q["evaluation_gate"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST, AUC, ACC) + """
 SELECT auc_roc, accuracy, 0.75::DOUBLE AS auc_threshold, coalesce(auc_roc >= 0.75, false) AS passed,
@@ -367,8 +370,10 @@ FROM auc, acc"""
     q["threshold_sweep"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST) + """
 , th AS (SELECT CAST(i * 0.05 AS DOUBLE) AS threshold FROM range(0, 21) t(i)),
 cnt AS (SELECT threshold,
-          count_if(score > threshold AND target = 1) AS tp, count_if(score > threshold AND target <> 1) AS fp,
-          count_if(score <= threshold AND target <> 1) AS tn, count_if(score <= threshold AND target = 1) AS fn
+          CAST(count_if(score > threshold AND target = 1) AS BIGINT) AS tp,
+          CAST(count_if(score > threshold AND target <> 1) AS BIGINT) AS fp,
+          CAST(count_if(score <= threshold AND target <> 1) AS BIGINT) AS tn,
+          CAST(count_if(score <= threshold AND target = 1) AS BIGINT) AS fn
         FROM th, test GROUP BY threshold)
 SELECT threshold, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 4) AS precision,
        round(tp / nullif(tp + fn, 0), 4) AS recall FROM cnt"""

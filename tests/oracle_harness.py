@@ -54,6 +54,23 @@ def _rows(cols, rows):
     return sorted(out, key=repr)
 
 
+def _spark_type(t) -> str:
+    return t.simpleString().upper()
+
+
+_EQUIV = {"BIGINT": {"BIGINT", "INT64"}, "INT": {"INTEGER", "INT32"}, "DOUBLE": {"DOUBLE", "FLOAT64"},
+          "STRING": {"VARCHAR", "STRING"}, "BOOLEAN": {"BOOLEAN", "BOOL"}, "DATE": {"DATE"},
+          "FLOAT": {"FLOAT"}}
+
+
+def _same_type(spark_t: str, duck_t: str) -> bool:
+    if spark_t in _EQUIV:
+        return duck_t in _EQUIV[spark_t]
+    if spark_t.startswith("ARRAY<") and duck_t.endswith("[]"):
+        return True
+    return spark_t == duck_t
+
+
 def compare(spark, sf_dir, name, fn, sql, con=None):
     con = con or duck(sf_dir)
     t0 = time.time()
@@ -67,6 +84,12 @@ def compare(spark, sf_dir, name, fn, sql, con=None):
     t2 = time.time()
     res = {"name": name, "spark_rows": len(s_rows), "duck_rows": len(d_rows),
            "spark_sec": round(t1 - t0, 2), "duck_sec": round(t2 - t1, 2)}
+    s_types = {f.name: _spark_type(f.dataType) for f in sdf.schema.fields}
+    d_types = {d[0]: str(d[1]).upper() for d in rel.description}
+    mism = {c: (s_types[c], d_types.get(c)) for c in s_types
+            if d_types.get(c) is not None and not _same_type(s_types[c], d_types[c])}
+    if mism:
+        res["type_mismatch"] = mism
     if sorted(s_cols) != sorted(d_cols):
         res["error"] = f"columns differ: spark={s_cols} duck={d_cols}"
         return res
