@@ -32,7 +32,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if os.environ.get("ORACLE_EXACT") else round(v, 6)
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
@@ -42,7 +42,7 @@ def _norm(v):
     try:
         import decimal
         if isinstance(v, decimal.Decimal):
-            return round(float(v), 6)
+            return float(v) if os.environ.get("ORACLE_EXACT") else round(float(v), 6)
     except Exception:
         pass
     return v
