@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..schemas import FEATURE_ORDER
 from ..session import parallelism, scratch_path, ship_package, spark_context
-from .model import MODEL_INPUTS, gbt_stage, impute
+from .model import MODEL_INPUTS, gbt_stage
 
 LOGIT_SCALE = 2.0  # Spark GBT: p = 1 / (1 + exp(-2 * margin))
 

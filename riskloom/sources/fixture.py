@@ -40,7 +40,7 @@ SELECT
   CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'RENT' WHEN 'BUILDING' THEN 'MORTGAGE' WHEN 'FURNITURE' THEN 'OWN' WHEN 'HOUSEHOLD' THEN 'OTHER' WHEN 'MACHINERY' THEN CASE WHEN o.o_orderkey % 2 = 0 THEN 'NONE' ELSE 'ANY' END END AS home_ownership,
   CASE (o.o_orderkey * 5) % 14 WHEN 0 THEN 'credit_card' WHEN 1 THEN 'debt_consolidation' WHEN 2 THEN 'educational' WHEN 3 THEN 'home_improvement' WHEN 4 THEN 'house' WHEN 5 THEN 'major_purchase' WHEN 6 THEN 'medical' WHEN 7 THEN 'moving' WHEN 8 THEN 'other' WHEN 9 THEN 'renewable_energy' WHEN 10 THEN 'small_business' WHEN 11 THEN 'vacation' WHEN 12 THEN 'wedding' ELSE 'car' END AS purpose,
   CASE WHEN o.o_orderstatus = 'O' THEN 'Current'
-       WHEN ((o.o_orderkey * 13) % 7) * 10 + ((o.o_orderkey * 17) % 601) / 10.0 - ((o.o_orderkey * 29) % 271) / 5.0 + (o.o_orderkey * o.o_orderkey) % 41 > 58 THEN 'Charged Off'
+       WHEN ((o.o_orderkey * 13) % 7) * 100 + (o.o_orderkey * 17) % 601 - 2 * ((o.o_orderkey * 29) % 271) + 10 * ((o.o_orderkey * o.o_orderkey) % 41) > 580 THEN 'Charged Off'
        ELSE 'Fully Paid' END AS loan_status,
   CAST(o.o_orderdate AS DATE) AS issue_d
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey

@@ -108,7 +108,7 @@ def main():
     from riskloom.session import build_session
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[8]", 8, driver_memory="12g")
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
