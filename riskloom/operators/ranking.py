@@ -9,14 +9,10 @@ compiled expressions only, no per-element lambdas.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import TOP_FEATURES
-from ..session import ship_package
 
 
 def keyed_contribution(pos: int, feature: str, value: Column, shap: Column) -> Column:
@@ -59,51 +55,27 @@ def top_features(keyed: Column, k: int = TOP_FEATURES) -> Column:
     return plain(F.slice(ranked_contributions(keyed), 1, k))
 
 
-_STEPS = T.StructType([
-    T.StructField("step", T.IntegerType()), T.StructField("feature", T.StringType()),
-    T.StructField("value", T.DoubleType()), T.StructField("shap", T.DoubleType()),
-    T.StructField("start", T.DoubleType()), T.StructField("end", T.DoubleType()),
-    T.StructField("direction", T.StringType()),
-])
-
-
 def waterfall_steps(df: DataFrame, id_col: str, keyed: str = "contributions",
                     base: str = "base_value") -> DataFrame:
     """One row per step from the base value to the final margin, in the order
     of |shap| desc: step, feature, value, shap, start, end, direction.
 
     The order comes from the compiled sort; the running totals are one
-    vectorised cumulative sum per Arrow batch (a row-local scan; a window
-    would need a shuffle of 36 rows per application).
+    ``aggregate`` over the row's own sorted array, accumulated left to right
+    (start_k = base + s_1 + ... + s_(k-1)).  Row-local and JVM-side: a
+    window would shuffle 36 rows per application, a Python stage would move
+    every array through Arrow.
     """
-    ship_package(df.sparkSession)
     r = ranked_contributions(F.col(keyed))
-    flat = df.select(id_col, F.col(base).cast("double").alias("_base"),
-                     r["feature"].alias("_f"), r["value"].alias("_v"), r["shap"].alias("_s"))
-    schema = T.StructType([df.schema[id_col]] + _STEPS.fields)
-
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            lens = pdf["_s"].map(len).to_numpy()
-            m = int(lens.max())
-            if not (lens == m).all():
-                raise ValueError("contribution arrays differ in length")
-            s = np.stack(pdf["_s"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-            base_v = pdf["_base"].to_numpy(dtype=np.float64)
-            # start_k = base + s_1 + ... + s_(k-1), accumulated left to right
-            starts = np.cumsum(np.concatenate([base_v[:, None], s], axis=1), axis=1)[:, :-1]
-            shap = s.ravel()
-            yield pd.DataFrame({
-                id_col: np.repeat(pdf[id_col].to_numpy(), m),
-                "step": np.tile(np.arange(1, m + 1, dtype=np.int32), len(pdf)),
-                "feature": np.concatenate(pdf["_f"].map(list).to_list()),
-                "value": np.concatenate(pdf["_v"].map(lambda a: np.asarray(a, dtype=np.float64)).to_list()),
-                "shap": shap,
-                "start": starts.ravel(),
-                "end": starts.ravel() + shap,
-                "direction": np.where(shap >= 0, "increase", "decrease"),
-            })
-
-    return flat.mapInPandas(run, schema)
+    init = F.struct(F.col(base).cast("double").alias("acc"),
+                    F.array().cast("array<double>").alias("starts"))
+    totals = F.aggregate(r, init, lambda st, x: F.struct(
+        (st["acc"] + x["shap"]).alias("acc"),
+        F.array_append(st["starts"], st["acc"]).alias("starts")))
+    steps = F.arrays_zip(r["feature"].alias("feature"), r["value"].alias("value"),
+                         r["shap"].alias("shap"), totals["starts"].alias("start"))
+    out = df.select(id_col, F.posexplode(steps).alias("_i", "_x"))
+    return out.select(
+        id_col, (F.col("_i") + 1).cast("int").alias("step"), "_x.feature", "_x.value", "_x.shap",
+        "_x.start", (F.col("_x.start") + F.col("_x.shap")).alias("end"),
+        F.when(F.col("_x.shap") >= 0, F.lit("increase")).otherwise(F.lit("decrease")).alias("direction"))
