@@ -8,6 +8,7 @@ exact divisions, so no engine-dependent rounding enters the fixture.
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,7 @@ def derive_raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TABLES: dict[tuple[str, str], str] = {}
+ROWS_PER_FILE = 4_000_000
 
 
 def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,11 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _TABLES.get(key)
     if path is None:
         path = scratch_path(spark, "raw-loans")
-        n_files = max(parallelism(spark), 1)
+        # one file per core, or more when the data is large: at most about
+        # ROWS_PER_FILE loans per file (the orders count reads parquet
+        # footers only; the inner join cannot add rows)
+        n_orders = read_table(spark, sf_dir, "orders").count()
+        n_files = max(parallelism(spark), 1, math.ceil(n_orders / ROWS_PER_FILE))
         (derive_raw_loans(spark, sf_dir).repartition(n_files, "loan_id")
          .sortWithinPartitions("loan_id").write.mode("overwrite").parquet(path))
         _TABLES[key] = path
