@@ -120,7 +120,8 @@ def score_stream_q(spark, sf_dir):
     model, _, _ = trained(spark, sf_dir)
     src, out, chk = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-chk"))
     apps = A.applications_from_loans(raw_loans(spark, sf_dir))
-    apps.repartition(4).write.parquet(src)
+    # land the applications as files (the raw table's own layout, which grows with the data)
+    apps.write.parquet(src)
     q = start_scoring_stream(spark, model, src, out, chk)
     q.awaitTermination()
     return spark.read.parquet(out)
