@@ -19,10 +19,10 @@ Attributions are on the log-odds scale: ``base_value + sum(shap)`` equals
 
 from __future__ import annotations
 
-import itertools
 import math
 import os
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -60,24 +60,33 @@ def _shapley_weights(m: int) -> list[float]:
     return [math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)]
 
 
+@lru_cache(maxsize=None)
+def _subset_algebra(m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For m path features, with subsets and patterns both coded as m-bit
+    integers: bits (2^m, m); contained[p, s] = 1 iff subset s lies inside
+    pattern p; and the Shapley weight of each subset by its size."""
+    codes = np.arange(1 << m)
+    bits = ((codes[:, None] >> np.arange(m)) & 1).astype(bool)
+    contained = ((codes[:, None] & codes[None, :]) == codes[None, :]).astype(np.float64)
+    w = np.array(_shapley_weights(m) + [0.0])  # a subset of all m features never counts
+    return bits, contained, w[bits.sum(axis=1)]
+
+
 def _leaf_table(value: float, feats: list[int], z: dict[int, float]) -> np.ndarray:
     """Contribution of one leaf to each path feature, for every pattern of
-    'row satisfies this feature's path conditions' bits."""
+    'row satisfies this feature's path conditions' bits (bit k = feature k).
+
+    For feature i and pattern p it sums, over subsets S of the other
+    features that p satisfies, w(|S|) times the cover fractions of the
+    features outside S and i; one matrix product does every (p, i).
+    """
     m = len(feats)
-    patterns = np.array(list(itertools.product([0.0, 1.0], repeat=m)))[:, ::-1]  # bit k = feature k
-    w = _shapley_weights(m)
-    out = np.zeros((2 ** m, m))
-    zs = np.array([z[f] for f in feats])
-    for i in range(m):
-        others = [k for k in range(m) if k != i]
-        acc = np.zeros(2 ** m)
-        for r in range(len(others) + 1):
-            for subset in itertools.combinations(others, r):
-                rest = [k for k in others if k not in subset]
-                term = np.prod(patterns[:, list(subset)], axis=1) if subset else np.ones(2 ** m)
-                acc += w[r] * term * (np.prod(zs[rest]) if rest else 1.0)
-        out[:, i] = value * acc * (patterns[:, i] - zs[i])
-    return out
+    bits, contained, w_size = _subset_algebra(m)
+    zs = np.array([z[f] for f in feats], dtype=np.float64)
+    outside = bits[None, :, :] | np.eye(m, dtype=bool)[:, None, :]   # (i, S, k): k in S or k == i
+    rest = np.prod(np.where(outside, 1.0, zs), axis=2)               # (i, S)
+    coef = np.where(bits.T, 0.0, w_size[None, :] * rest)              # S containing i does not count
+    return value * (contained @ coef.T) * (bits.astype(np.float64) - zs)
 
 
 _TABLES: dict[str, TreeTables] = {}
