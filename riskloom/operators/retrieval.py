@@ -35,9 +35,15 @@ from ..session import ship_package
 
 # --- exact k nearest vectors --------------------------------------------------
 
+# bytes of float64 vectors per cogroup when block sizes are not given: the
+# corpus block is held as one matrix, queries are scanned one by one against it
+CORPUS_BLOCK_BYTES = 64 * 1024 * 1024
+QUERY_BLOCK_BYTES = 4 * 1024 * 1024
+
+
 def nearest_neighbors(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str,
-                      vec: str = "embedding", k: int = RETRIEVAL_K, query_block: int = 512,
-                      corpus_block: int = 2048, exclude_self: bool = False,
+                      vec: str = "embedding", k: int = RETRIEVAL_K, query_block: int | None = None,
+                      corpus_block: int | None = None, exclude_self: bool = False,
                       decimals: int = 4) -> DataFrame:
     """(q_id, rank, neighbor_id, d2): the k corpus vectors nearest each query
     by squared L2 (rounded to ``decimals``), ties broken by neighbor id.
@@ -45,8 +51,17 @@ def nearest_neighbors(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: st
     Queries and corpus are hashed into blocks; each (query block, corpus
     block) pair is one cogroup holding at most about query_block +
     corpus_block vectors, where a numpy kernel keeps the k best per query.
+    Each vector is copied once per block of the other side, so blocks are
+    as large as a memory budget allows: by default their sizes follow from
+    the vector dimension (about 64 MB of corpus and 4 MB of queries per
+    group).
     """
     ship_package(queries.sparkSession)
+    if query_block is None or corpus_block is None:
+        first = corpus.select(F.size(F.col(vec))).first()  # one row: the dimension
+        row_bytes = 8 * max(int(first[0]) if first and first[0] else 1, 1)
+        corpus_block = corpus_block or max(256, CORPUS_BLOCK_BYTES // row_bytes)
+        query_block = query_block or max(64, QUERY_BLOCK_BYTES // row_bytes)
     n_q, n_c = queries.count(), corpus.count()
     nqb = max(1, math.ceil(n_q / query_block))
     ncb = max(1, math.ceil(n_c / corpus_block))
