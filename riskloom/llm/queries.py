@@ -5,13 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate, fingerprint, html_text, jaccard, pii, sharding, substrings, toxicity, urls
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of ``documents``: each place but the first, with the documents that keep the text."""
+    return substrings.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "start", "end", "n_chunks", "n_words", "first_doc_ids")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text of ``documents``, learnt from ``labels``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_documents(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+#: The rules of op3.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winning rule and the verdict of every url of ``pages``."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rules_frame(spark, URL_RULES),
+                      carry=("page_id",))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 40 shards of near-equal bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.assign(docs, 40).withColumn("law", F.lit("bytes")).withColumn(
+        "grown_shard", F.lit(None).cast("int"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` as ids of the 50k byte-level vocabulary, and back."""
     import public_tokenizers
@@ -21,9 +51,77 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of ``documents``."""
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("pii", lambda x: x["kind"] < len(pii.BASE))
+    kinds = F.transform("pii", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}")
+              for k, kind in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
+                        pii.joined(F.col("pii")).alias("spans"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of ``benchmark`` inside the texts of ``documents``."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                         table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("doc_hash")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page of ``pages``."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every text of ``documents``."""
+    return jaccard.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text of ``documents`` and of its edited text, and their likeness."""
+    return fingerprint.fingerprint_pairs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+WITH u AS (
+    SELECT page_id,
+           translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+    FROM pages),
+rules(verdict, rule, h, p) AS (VALUES
+    ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+    ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/'))
+SELECT u.page_id, u.host, u.path, max_by(r.rule, length(r.rule)) AS rule,
+       coalesce(max_by(r.verdict, length(r.rule)), 'allow') AS verdict
+FROM (SELECT *, row_number() OVER () AS n FROM u) u
+LEFT JOIN rules r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p)
+GROUP BY u.n, u.page_id, u.host, u.path
+"""
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w
+           FROM documents),
+     b AS (SELECT DISTINCT item_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w
+           FROM benchmark),
+     ds AS (SELECT DISTINCT doc_id, hash(text) AS h,
+                   unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM d),
+     bs AS (SELECT DISTINCT item_id, text,
+                   unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM b),
+     bn AS (SELECT item_id, text, count(*) AS n FROM bs GROUP BY ALL)
+SELECT ds.doc_id, bs.item_id, bn.n AS n_shingles, count(*) AS n_shared, count(*) / bn.n AS containment
+FROM ds JOIN bs USING (s) JOIN bn ON bn.item_id IS NOT DISTINCT FROM bs.item_id AND bn.text = bs.text
+GROUP BY ds.doc_id, ds.h, bs.item_id, bs.text, bn.n HAVING count(*) >= 0.8 * bn.n
+"""
+
+
 def registry() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op5_byte_bpe,)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_url_filter, op4_sharding, op5_byte_bpe, op6_decontamination, op7_html_text, op8_jaccard_join, op9_fingerprints, op10_pii)}
 
 
 def oracle_statements() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL, "op6_decontamination": OP6_SQL}
