@@ -2,12 +2,13 @@
 
 Method: maximum-scoring segment search.
 
-1. Words are counted over all texts, and over a bounded sample of labelled
-   ones by label.  A word's *forms* are the word itself and its first 4, 5 and
-   6 letters, so inflected forms share evidence.
+1. For each word the texts that have it are counted over all texts, and over
+   a bounded sample of labelled ones by label (a text of the sample that is
+   there in several copies counts once).  A word's *forms* are the word itself
+   and its first 4, 5 and 6 letters, so inflected forms share evidence.
 2. A form's log-odds between the labels has an informative Dirichlet prior:
-   the form's frequency in all texts, worth as many words as the labelled
-   sample has.  Forms that are frequent everywhere thus need more evidence.
+   the form's frequency in all texts, worth ``PRIOR`` texts for each one of the
+   labelled sample.  Forms that are frequent everywhere thus need more evidence.
    Forms whose z value reaches ``Z`` keep their log-odds, all others cost
    ``DRIFT``; a word scores the best of its forms.
 3. A linear-time scan (Ruzzo and Tompa) finds every maximal scoring segment.
@@ -45,16 +46,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, same
+from .common import ready
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 20_000
 #: z value that a form's log-odds must reach; cost of any other word; largest chance of a reported segment.
-Z, DRIFT, SIGNIFICANT = 4.0, 0.35, 0.01
+Z, DRIFT, SIGNIFICANT = 2.5, 0.35, 0.01
+#: Texts the prior is worth, for each text of the labelled sample.
+PRIOR = 0.1
 #: Letters of the word stems that count as forms.
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Words a worker remembers the score of; emptied when full.
+#: Words a worker remembers; emptied when full.
 MEMORY = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -65,7 +68,7 @@ def words_of(text: str | None) -> list[str]:
 
 def forms_of(word: str) -> list[str]:
     """The word, and its stems marked by a star."""
-    return [word, *[word[:k] + "*" for k in STEMS if len(word) >= k]]
+    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -103,38 +106,61 @@ class Model:
     lam: float = 1.0
     curve: tuple[float, float] = (-30.0, 0.0)
     drift: float = DRIFT
-    known: dict[str, float] = field(default_factory=dict, repr=False)
+    hot: dict[str, float] = field(default_factory=dict, repr=False)
+    cold: set[str] = field(default_factory=set, repr=False)
 
     def word_score(self, word: str) -> float:
-        s = max([self.odds[f] for f in forms_of(word) if f in self.odds], default=-self.drift)
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        if len(word) <= 64:
-            self.known[word] = s
-        return s
-
-    def scores(self, words: list[str]) -> list[float]:
-        known, score = self.known, self.word_score
-        return [known[w] if w in known else score(w) for w in words]
+        """The best log-odds of the word's forms, or the cost of a word without any."""
+        return max([self.odds[f] for f in forms_of(word) if f in self.odds], default=-self.drift)
+
+    def hits(self, words: list[str]) -> list[tuple[int, float]]:
+        """Places and scores of the words that have a form with log-odds."""
+        if not self.odds:
+            return []
+        if len(self.cold) + len(self.hot) > MEMORY:
+            self.cold.clear()
+            self.hot.clear()
+        some = False
+        for w in set(words) - self.cold:
+            if w not in self.hot:
+                score = self.word_score(w)
+                if score <= 0:
+                    self.cold.add(w)
+                    continue
+                self.hot[w] = score
+            some = True
+        return [(k, self.hot[w]) for k, w in enumerate(words) if w in self.hot] if some else []
+
+    def word_segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """Maximal scoring segments in words.  The words between two hits cost the same each, so they
+        are one step of the scan."""
+        scores, places, last = [], [], -1
+        for k, s in self.hits(words):
+            if k > last + 1:
+                scores.append(-self.drift * (k - last - 1))
+                places.append(last + 1)
+            scores.append(s)
+            places.append(k)
+            last = k
+        return [(places[a], places[b - 1] + 1, s) for a, b, s in segments(scores)]
 
     def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
         """Significant segments: first word, last word + 1, score, chance."""
-        scores = self.scores(words_of(text))
-        n, out = len(scores), []
-        for a, b, s in segments(scores):
-            chance = -math.expm1(-n * math.exp(-self.lam * s))
+        words, out = words_of(text), []
+        for a, b, s in self.word_segments(words):
+            chance = -math.expm1(-len(words) * math.exp(-self.lam * s))
             if chance <= SIGNIFICANT:
                 out.append((a, b, s, chance))
         return out
 
     def evidence(self, text: str | None) -> float:
         """Log of one plus the evidence of all significant segments."""
-        scores = self.scores(words_of(text))
-        if not scores:
+        words = words_of(text)
+        if not words:
             return 0.0
-        log_n = math.log(len(scores))
+        log_n = math.log(len(words))
         least = -math.log(-math.log1p(-SIGNIFICANT))  # what lam * S - log n must reach
-        parts = [x for _, _, s in segments(scores) if (x := self.lam * s - log_n) >= least]
+        parts = [x for _, _, s in self.word_segments(words) if (x := self.lam * s - log_n) >= least]
         return math.log1p(sum(parts))
 
     def probability(self, evidence: float) -> float:
@@ -193,61 +219,59 @@ def held_out_id(doc_id: int) -> bool:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the labelled rows of ``docs`` that are not held out, with counts of all ``docs``."""
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     known = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-             .groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
+             .groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("_toxic"))
              .orderBy(F.xxhash64("_id"), "_id").limit(sample))  # at most `sample` rows of two numbers: broadcast
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    marked = texts.join(F.broadcast(known), same(F.col("doc_id"), F.col("_id")), "left")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = {None: Counter(), 0: Counter(), 1: Counter()}
-
-        def rows() -> pd.DataFrame:
-            every = {w for c in each.values() for w in c}
-            out = pd.DataFrame([(w, each[None][w] + each[0][w] + each[1][w], each[0][w], each[1][w]) for w in every],
-                               columns=["word", "n", "n0", "n1"])
-            for c in each.values():
-                c.clear()
-            return out
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    labelled = texts.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).groupBy(
+        F.xxhash64("text").alias("_hash")).agg(F.min("_id").alias("_id"), F.max("_toxic").alias("_toxic")).drop("_hash")
+    chosen = texts.join(F.broadcast(labelled), F.col("doc_id") == F.col("_id")).select("text", "_toxic")
 
+    def forms_of_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = {0: Counter(), 1: Counter()}
         for df in batches:
             for text, label in zip(df["text"], df["_toxic"], strict=True):
-                each[None if label is None or label != label else int(label > 0)].update(words_of(text))
-            if sum(map(len, each.values())) > 300_000:  # a worker's memory; sums go on in Spark
-                yield rows()
-        yield rows()
-
-    counted = (marked.select("text", "_toxic").mapInPandas(count, "word string, n long, n0 long, n1 long")
-               .groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]))
-    stems = [F.when(F.length("word") >= k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
-    forms = (counted.select(F.explode(F.array_compact(F.array(F.col("word"), *stems))).alias("form"), "n", "n0", "n1")
-             .groupBy("form").agg(*[F.sum(c).cast("double").alias(c) for c in ("n", "n0", "n1")]))
-    total = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("n", "n0", "n1")]).first()
+                seen[label].update({f for w in set(words_of(text)) for f in forms_of(w)})
+        yield pd.DataFrame([(f, c, k) for k, forms in seen.items() for f, c in forms.items()],
+                           columns=["form", "n", "label"])
+
+    # forms of the sample's texts, whose number `sample` bounds
+    by_label = chosen.mapInPandas(forms_of_texts, "form string, n long, label int").groupBy("form").agg(
+        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"),
+        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"))
+    # how many of all texts have a word; a stem counts as often as its words do
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(
+        F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
+    everywhere = (words.select(F.explode(F.array_compact(F.array(F.col("word"), *stems))).alias("form"), "n")
+                  .groupBy("form").agg(F.sum("n").alias("n")))
+    total = chosen.agg(F.count_if(F.col("_toxic") == 0).alias("n0"), F.count_if(F.col("_toxic") == 1).alias("n1")).first()
     if not total["n0"] or not total["n1"]:
         return Model({})
-    mass = total["n0"] + total["n1"]
-    prior = F.col("n") * F.lit(mass / total["n"])
+    mass = PRIOR * (total["n0"] + total["n1"])
+    prior = F.least(F.col("n") / F.lit(float(texts.count())), F.lit(1.0)) * F.lit(mass)
 
     def log_odds(c: str) -> Column:
         a = F.col(c) + prior
-        return F.log(a / (F.lit(total[c] + mass) - a))
+        return F.log(a / (F.lit(total[c] + mass + 0.5) - a))
 
-    odds = (forms.filter((F.col("n1") > 0) & (F.col("n0") + F.col("n1") >= 3))
+    odds = (by_label.filter((F.col("n1") > 0) & (F.col("n0") + F.col("n1") >= 3)).join(everywhere, "form")
             .withColumn("odds", log_odds("n1") - log_odds("n0"))
             .withColumn("sd", F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior)))
             .filter(F.col("odds") / F.col("sd") >= Z).select("form", "odds"))
-    model = Model({r["form"]: float(r["odds"]) for r in odds.collect()})  # forms of the sample's texts
-
-    # the sample again (at most `sample` ids): score distribution of clean words, then each text's evidence
-    chosen = texts.join(F.broadcast(known), same(F.col("doc_id"), F.col("_id"))).select("text", "_toxic")
+    model = Model({r["form"]: float(r["odds"]) for r in odds.collect()})  # some forms of the sample's texts
     sent = model.to_json()
 
+    # the sample again: how words of clean texts score, then the evidence of each text
     def spectrum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, seen = Model.from_json(sent), Counter()
         for df in batches:
             for text in df["text"]:
-                seen.update(round(s, 2) for s in m.scores(words_of(text)))
+                found = words_of(text)
+                hits = [round(s, 2) for _, s in m.hits(found)]
+                seen.update(hits)
+                seen[-m.drift] += len(found) - len(hits)
         yield pd.DataFrame([(float(s), n) for s, n in seen.items()], columns=["score", "n"])
 
     clean = chosen.filter("_toxic = 0").mapInPandas(spectrum, "score double, n long")
@@ -262,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model.from_json(sent)
         for df in batches:
-            yield pd.DataFrame({"x": [round(m.evidence(t), 3) for t in df["text"]], "y": (df["_toxic"] > 0).astype("int32")})
+            yield pd.DataFrame({"x": [round(m.evidence(t), 3) for t in df["text"]], "y": df["_toxic"]})
 
     points = (chosen.mapInPandas(weigh, "x double, y int").groupBy("x")
               .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).toPandas())
