@@ -102,6 +102,3 @@ def one_hot_columns(c, values: list[str], prefix: str) -> list[Column]:
 def label_target(c) -> Column:
     return F.when(_col(c) == F.lit("Charged Off"), F.lit(1)).otherwise(F.lit(0)).cast("int")
 
-
-def any_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, cols)

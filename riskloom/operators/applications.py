@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encoders as E
-from ..functions.display import question_text, risk_percent  # noqa: F401
+from ..functions.display import risk_percent
 from ..schemas import (
     APPLICATION_BOUNDS, APPLICATION_ENUMS, APPLICATION_FIELDS, DECISION_THRESHOLD,
-    FEATURE_ORDER, HOME_VALUES, PURPOSE_VALUES,
+    FEATURE_ORDER, FORM_ENUMS, HOME_VALUES, PURPOSE_VALUES,
 )
 
 
@@ -37,18 +37,26 @@ def range_checks(df: DataFrame) -> DataFrame:
 
 
 def enum_checks(df: DataFrame) -> DataFrame:
-    """One boolean per accept-list (null when the field is missing)."""
+    """One boolean per accept-list, the form's sub-grades included (null when the field is missing)."""
     return df.select("app_id", *[
-        F.col(n).isin(*vals).alias(f"ok_{n}") for n, vals in APPLICATION_ENUMS.items()])
+        F.col(n).isin(*vals).alias(f"ok_{n}") for n, vals in (APPLICATION_ENUMS | FORM_ENUMS).items()])
 
 
-def violations(typed_cols: dict[str, Column] | None = None) -> Column:
-    """Array of every broken rule, in field order: missing, range, value."""
-    c = typed_cols or {}
+def violations(given: dict[str, Column] | None = None) -> Column:
+    """Array of every broken rule, in field order: missing, type, range, value.
+
+    ``given``: the fields as they came, if their types had to be tried: what was given but has no
+    value after the cast has a wrong type.
+    """
     rules = []
     for name, _ in APPLICATION_FIELDS:
-        col = c.get(name, F.col(name))
-        rules.append(F.when(col.isNull(), F.lit(f"{name}:missing")))
+        col = F.col(name)
+        raw = (given or {}).get(name)
+        if raw is None:
+            rules.append(F.when(col.isNull(), F.lit(f"{name}:missing")))
+        else:
+            rules.append(F.when(raw.isNull(), F.lit(f"{name}:missing"))
+                         .when(col.isNull(), F.lit(f"{name}:type")))
         if name in APPLICATION_BOUNDS:
             lo, hi = APPLICATION_BOUNDS[name]
             rules.append(F.when(~col.between(lo, hi), F.lit(f"{name}:range")))
@@ -57,23 +65,45 @@ def violations(typed_cols: dict[str, Column] | None = None) -> Column:
     return F.array_compact(F.array(*rules))
 
 
-def coerce_types(df: DataFrame) -> DataFrame:
-    """Cast loosely typed (e.g. string) request fields with ``try_cast``:
-    a wrong type becomes null and is then reported as missing."""
-    return df.select("app_id", *[
-        F.col(n).try_cast(t).alias(n) if n in df.columns else F.lit(None).cast(t).alias(n)
-        for n, t in APPLICATION_FIELDS])
+MALFORMED = "record:malformed"
+
+
+def checked_records(df: DataFrame, corrupt: str = "_corrupt") -> DataFrame:
+    """app_id, the typed request fields, all violations and the record itself.
+
+    ``df``: app_id and the fields as strings, ``record`` (the line as it came), and ``corrupt``, not
+    null where the line could not be parsed at all.  A malformed record keeps its text and has the
+    one reason ``record:malformed``.
+    """
+    given = [F.col(n).alias(f"_given_{n}") if n in df.columns else F.lit(None).cast("string").alias(f"_given_{n}")
+             for n, _ in APPLICATION_FIELDS]
+    raw = df.select(F.col("app_id").try_cast("long").alias("app_id"), "record", F.col(corrupt).isNotNull().alias("_bad"),
+                    *given)
+    typed = raw.withColumns({n: F.col(f"_given_{n}").try_cast(t) for n, t in APPLICATION_FIELDS})
+    reasons = violations({n: F.col(f"_given_{n}") for n, _ in APPLICATION_FIELDS})
+    return typed.select("app_id", *[n for n, _ in APPLICATION_FIELDS],
+                        F.when(F.col("_bad"), F.array(F.lit(MALFORMED))).otherwise(reasons).alias("violations"), "record")
 
 
 def with_violations(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", violations())
 
 
+def is_valid() -> Column:
+    """Whether no rule is broken: a plain conjunction of null, range and list tests, which reaches the
+    scan as a filter.  Never null."""
+    tests = [F.col(n).isNotNull() for n, _ in APPLICATION_FIELDS]
+    tests += [F.col(n).between(lo, hi) for n, (lo, hi) in APPLICATION_BOUNDS.items()]
+    tests += [F.col(n).isin(*vals) for n, vals in APPLICATION_ENUMS.items()]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected): both from one annotated frame; rejected keeps all reasons."""
-    checked = with_violations(df)
-    ok = F.size("violations") == 0
-    return checked.filter(ok).drop("violations"), checked.filter(~ok)
+    """(valid, rejected): valid by plain filters; only rejects get the array of all their reasons."""
+    return df.filter(is_valid()), with_violations(df.filter(~is_valid()))
 
 
 # --- serving features --------------------------------------------------------
@@ -106,14 +136,17 @@ def serving_features(apps: DataFrame, keep: list[str] | None = None) -> DataFram
 # --- decisions ---------------------------------------------------------------
 
 def decide(p) -> Column:
-    """'DENIED' iff probability > 0.5 (strict), else 'APPROVED'."""
+    """'DENIED' iff probability > 0.5 (strict), else 'APPROVED'; without a probability (null or NaN)
+    there is no decision."""
     p = F.col(p) if isinstance(p, str) else p
-    return F.when(p > F.lit(DECISION_THRESHOLD), F.lit("DENIED")).otherwise(F.lit("APPROVED"))
+    return (F.when(p.isNull() | F.isnan(p), F.lit(None).cast("string"))
+            .when(p > F.lit(DECISION_THRESHOLD), F.lit("DENIED")).otherwise(F.lit("APPROVED")))
 
 
 def prediction(p) -> Column:
+    """1 iff probability > 0.5, null without a probability."""
     p = F.col(p) if isinstance(p, str) else p
-    return (p > F.lit(DECISION_THRESHOLD)).cast("int")
+    return F.when(~F.isnan(p), (p > F.lit(DECISION_THRESHOLD)).cast("int"))
 
 
 def with_decision(df: DataFrame, prob_col: str = "default_risk") -> DataFrame:
@@ -134,5 +167,3 @@ def rule_score(grade_code: Column, dti: Column) -> Column:
     return ((F.lit(7) - grade_code) * 10 + F.coalesce(dti, F.lit(0.0)) + 1) / F.lit(122.0)
 
 
-def with_question(df: DataFrame) -> DataFrame:
-    return df.withColumn("question", question_text())

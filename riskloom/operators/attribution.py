@@ -11,7 +11,8 @@ bounded by trees x leaves), broadcast it, and on executors look up rows by
 pattern in vectorised numpy over Arrow batches (``mapInPandas``).
 
 Scale: the tables grow with the model, not the data; the per-row work is a
-fixed number of vector operations per leaf; the data is never shuffled.
+fixed number of vector operations per leaf.  A scan with a split for each
+core is used as it is; only smaller inputs (one file) are spread first.
 
 Attributions are on the log-odds scale: ``base_value + sum(shap)`` equals
 ``logit(default_risk)`` (Spark's GBT margin times two).
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import FEATURE_ORDER
-from ..session import parallelism, scratch_path, ship_package, spark_context
+from ..session import scratch_path, ship_package, spark_context, spread
 from .model import MODEL_INPUTS, gbt_stage
 
 LOGIT_SCALE = 2.0  # Spark GBT: p = 1 / (1 + exp(-2 * margin))
@@ -41,11 +42,9 @@ LOGIT_SCALE = 2.0  # Spark GBT: p = 1 / (1 + exp(-2 * margin))
 @dataclass
 class LeafTable:
     tree: int
-    splits: list          # [(node_index_in_tree, goes_left)] along the path
     features: list        # distinct features on the path, in pattern-bit order
-    table: np.ndarray     # (2**m, m) contribution per pattern and feature
-    steps: list = field(default_factory=list)      # [(node_index, goes_left, feature)]
-    table_t: np.ndarray | None = None              # (m, 2**m), contiguous per feature
+    steps: list           # [(node_index, goes_left, feature)] along the path
+    table_t: np.ndarray   # (m, 2**m) contribution per feature and pattern
 
 
 @dataclass
@@ -89,17 +88,17 @@ def _leaf_table(value: float, feats: list[int], z: dict[int, float]) -> np.ndarr
     return value * (contained @ coef.T) * (bits.astype(np.float64) - zs)
 
 
-_TABLES: dict[str, TreeTables] = {}
-
-
 def tree_tables(spark: SparkSession, model: PipelineModel) -> TreeTables:
-    """Read the GBT's node table (saved model data) and build leaf tables
-    (once per fitted model in this driver process)."""
+    """Read the GBT's node table (saved model data) and build leaf tables, once for each model object.
+
+    They are kept on the object itself: a refit has the uid of its estimator, so the uid does not
+    tell two models apart.
+    """
     gbt = gbt_stage(model)
-    if gbt.uid in _TABLES:
-        return _TABLES[gbt.uid]
-    _TABLES[gbt.uid] = tt = _build_tables(spark, gbt)
-    return tt
+    tables = getattr(gbt, "_riskloom_tree_tables", None)
+    if tables is None:
+        tables = gbt._riskloom_tree_tables = _build_tables(spark, gbt)
+    return tables
 
 
 def _build_tables(spark: SparkSession, gbt) -> TreeTables:
@@ -138,11 +137,8 @@ def _build_tables(spark: SparkSession, gbt) -> TreeTables:
                     if fi not in feats:
                         feats.append(fi)
                 if feats:
-                    table = _leaf_table(value, feats, z)
-                    tt.leaves.append(LeafTable(
-                        t, [(index[n], gl) for n, _, gl in path], feats, table,
-                        [(index[n], gl, fi) for n, fi, gl in path],
-                        np.ascontiguousarray(table.T)))
+                    tt.leaves.append(LeafTable(t, feats, [(index[n], gl, fi) for n, fi, gl in path],
+                                               np.ascontiguousarray(_leaf_table(value, feats, z).T)))
                 return
             for child, goes_left in ((left, True), (right, False)):
                 frac = nodes[child][1] / cnt if cnt else 0.0
@@ -181,29 +177,20 @@ def _contributions(x: np.ndarray, tt: TreeTables) -> np.ndarray:
     return phi_t.T
 
 
-def _split_features(leaf: LeafTable, tt: TreeTables) -> list[int]:
-    feat, _ = tt.nodes[leaf.tree]
-    return [int(feat[node]) for node, _ in leaf.splits]
-
-
 def attribute(spark: SparkSession, model: PipelineModel, transformed: DataFrame,
               keep: list[str]) -> DataFrame:
     """Attach attributions to rows already passed through ``model.transform``
     (they carry the imputed model inputs).  Output: keep columns, the 36
     feature values, base_value, logit and one ``shap_<feature>`` per feature.
-    Row-local (``mapInPandas``): no join, no shuffle."""
+    Row-local (``mapInPandas``): no join; an input that already has a split
+    for each core is not shuffled."""
     ship_package(spark)
     tt = tree_tables(spark, model)
     sc = spark_context(spark)
     bc = sc.broadcast(tt) if sc is not None else None  # else shipped inside the closure
     extra = [c for c in MODEL_INPUTS if c not in FEATURE_ORDER]
     passthrough = list(keep) + [c for c in FEATURE_ORDER if c not in keep]
-    # the kernel costs far more per row than moving the row: spread rows
-    # round-robin over at least the cluster's parallelism so no upstream
-    # coalescing or skew leaves one task with most of the work
-    n_parts = max(2 * parallelism(spark),
-                  int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    src = transformed.select(*passthrough, *extra).repartition(n_parts)
+    src = spread(transformed.select(*passthrough, *extra), factor=1)
     out_schema = T.StructType(
         [src.schema[c] for c in passthrough]
         + [T.StructField("base_value", T.DoubleType()), T.StructField("logit", T.DoubleType())]

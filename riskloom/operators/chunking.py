@@ -1,19 +1,26 @@
 """Recursive character chunking of whole documents.
 
-Semantics of the common recursive splitter (size 500, overlap 50): split on
-the first separator of ("\\n\\n", "\\n", " ", "") present in the text, keep
-each separator at the start of the piece that follows it, recurse into
-pieces still too long, and greedily merge neighbouring pieces up to the
-size, carrying up to ``overlap`` characters of the previous chunk.
+Behaviour (size 500, overlap 50): a text is cut at every place of the
+coarsest separator it contains, of blank line, line end and space; without
+any, between all characters.  A separator belongs to the piece it begins.
+Pieces shorter than the size are packed: a chunk takes pieces while it stays
+within the size, and the next one begins with as many of the last pieces as
+fit into the overlap and leave room for the piece that did not fit.  A piece
+of the size or more is cut by the next finer separator on its own, and
+nothing is packed across it.  Chunks are stripped of white space at both
+ends; empty ones are dropped.
+
+Here a text is never copied piece by piece: its cuts are offsets, and
+packing moves two pointers over them, so time is linear in the text.
 
 Spark: documents are independent, so a ``mapInPandas`` over Arrow batches
 splits each whole text inside its task; the rows come back exploded as
-(doc_id, chunk_id, chunk).  No shuffle; a document never leaves its task.
+(doc_id, chunk_id, chunk).  A document never leaves its task.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,72 +29,60 @@ from pyspark.sql import types as T
 from ..schemas import CHUNK_OVERLAP, CHUNK_SIZE
 from ..session import ship_package, spread
 
-SEPARATORS = ["\n\n", "\n", " ", ""]
-
-
-def _split_keep(text: str, sep: str) -> list[str]:
-    if not sep:
-        return list(text)
-    parts = re.split(f"({re.escape(sep)})", text)
-    out = [parts[0]] + [parts[i] + parts[i + 1] for i in range(1, len(parts) - 1, 2)]
-    return [p for p in out if p]
-
-
-def _join(docs: list[str], sep: str) -> str | None:
-    text = sep.join(docs).strip()
-    return text or None
-
-
-def _merge(splits: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    sep_len = len(sep)
-    out: list[str] = []
-    current: list[str] = []
-    total = 0
-    for piece in splits:
-        n = len(piece)
-        if total + n + (sep_len if current else 0) > size:
-            if current:
-                doc = _join(current, sep)
-                if doc is not None:
-                    out.append(doc)
-                while total > overlap or (total + n + (sep_len if current else 0) > size and total > 0):
-                    total -= len(current[0]) + (sep_len if len(current) > 1 else 0)
-                    current = current[1:]
-        current.append(piece)
-        total += n + (sep_len if len(current) > 1 else 0)
-    doc = _join(current, sep)
-    if doc is not None:
-        out.append(doc)
-    return out
-
-
-def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-               separators: list[str] = SEPARATORS) -> list[str]:
-    sep, rest = separators[-1], []
-    for i, s in enumerate(separators):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, separators[i + 1:]
-            break
-    pieces = _split_keep(text, sep)
-    chunks: list[str] = []
-    good: list[str] = []
-    for p in pieces:
-        if len(p) < size:
-            good.append(p)
+SEPARATORS = ("\n\n", "\n", " ")
+
+
+def _cuts(text: str, start: int, end: int, separator: str) -> list[int]:
+    """Offsets of the pieces of text[start:end]: its ends, and in front of each separator."""
+    cuts, at = [start], text.find(separator, start, end)
+    while at >= 0:
+        if at > start:
+            cuts.append(at)
+        at = text.find(separator, at + len(separator), end)
+    return [*cuts, end]
+
+
+def _packed(cuts: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Spans of the chunks of neighbouring pieces, each shorter than the size.
+
+    ``first`` is the first piece of the chunk that ends in front of piece ``k``.
+    """
+    first = 0
+    for k in range(len(cuts) - 1):
+        if cuts[k + 1] - cuts[first] <= size or first == k:
             continue
-        if good:
-            chunks.extend(_merge(good, "", size, overlap))
-            good = []
-        if not rest:
-            chunks.append(p)
+        yield cuts[first], cuts[k]
+        while first < k and (cuts[k] - cuts[first] > overlap or cuts[k + 1] - cuts[first] > size):
+            first += 1
+    yield cuts[first], cuts[-1]
+
+
+def _spans(text: str, start: int, end: int, level: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    while level < len(SEPARATORS) and text.find(SEPARATORS[level], start, end) < 0:
+        level += 1
+    if level == len(SEPARATORS):
+        if size > 1:
+            yield from _packed(range(start, end + 1), size, overlap)
         else:
-            chunks.extend(split_text(p, size, overlap, rest))
-    if good:
-        chunks.extend(_merge(good, "", size, overlap))
-    return chunks
+            yield from ((k, k + 1) for k in range(start, end))
+        return
+    cuts = _cuts(text, start, end, SEPARATORS[level])
+    run = [cuts[0]]  # pieces to pack together
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a < size:
+            run.append(b)
+            continue
+        if len(run) > 1:
+            yield from _packed(run, size, overlap)
+        yield from _spans(text, a, b, level + 1, size, overlap)
+        run = [b]
+    if len(run) > 1:
+        yield from _packed(run, size, overlap)
+
+
+def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
+    chunks = (text[a:b].strip() for a, b in _spans(text, 0, len(text), 0, size, overlap)) if text else ()
+    return [c for c in chunks if c]
 
 
 CHUNK_SCHEMA = T.StructType([
@@ -113,7 +108,7 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     ids.append(doc_id)
                     cids.append(k)
                     texts.append(c)
-            yield pd.DataFrame({id_col: pd.Series(ids),
+            yield pd.DataFrame({id_col: pd.Series(ids, dtype=pdf[id_col].dtype),
                                 "chunk_id": pd.Series(cids, dtype="int32"),
                                 "chunk": pd.Series(texts, dtype="object")})
 

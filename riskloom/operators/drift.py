@@ -1,10 +1,10 @@
 """Population stability index (PSI) per feature between two periods.
 
-Bins are fixed: ten equal-width bins over each feature's request bounds
-(values outside clamp to the end bins), plus one bin for nulls.  One pass:
-unpivot to (feature, value) inside the scan stage, bin, and aggregate with
-map-side partial counts; the result has at most features x 11 rows before
-the final sum.
+Bins are fixed: ten equal-width bins over each feature's request bounds,
+one below and one above them, plus one for nulls, so a shift beyond a bound
+shows.  One pass: unpivot to (feature, value) inside the scan stage, bin, and
+aggregate with map-side partial counts; the result has at most features x 13
+rows before the final sum.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from ..schemas import APPLICATION_BOUNDS
 
 N_BINS = 10
 FLOOR_SHARE = 1e-4
+NULL_BIN, BELOW_BIN, ABOVE_BIN = -1, -2, N_BINS
 
 
 def feature_drift(df: DataFrame, period_col: str, base_value: str, current_value: str,
@@ -30,8 +31,9 @@ def feature_drift(df: DataFrame, period_col: str, base_value: str, current_value
     binned = long.withColumns({"_lo": lo_map[F.col("feature")], "_hi": hi_map[F.col("feature")]})
     raw_bin = F.floor((F.col("x") - lo) / (hi - lo) * N_BINS)
     binned = binned.withColumn(
-        "bin", F.when(F.col("x").isNull(), F.lit(-1))
-                .otherwise(F.least(F.greatest(raw_bin, F.lit(0)), F.lit(N_BINS - 1))).cast("int"))
+        "bin", F.when(F.col("x").isNull(), F.lit(NULL_BIN)).when(F.col("x") < lo, F.lit(BELOW_BIN))
+                .when(F.col("x") > hi, F.lit(ABOVE_BIN))
+                .otherwise(F.least(raw_bin, F.lit(N_BINS - 1))).cast("int"))
     counts = binned.groupBy("feature", "bin").agg(
         F.count_if(F.col(period_col) == base_value).alias("n_base"),
         F.count_if(F.col(period_col) == current_value).alias("n_cur"))

@@ -1,10 +1,10 @@
 """The training flow's data-driven encoding: flags for the categories present,
 then every numeric column.
 
-The set of categories is read from the data (a distinct over one column,
-aggregated map-side, so the driver only sees the distinct values).  It is
-bounded by ``max_categories``: exceeding it raises instead of silently
-producing a huge schema.
+The categories of all columns are learnt in one aggregate (sets are merged
+map-side; the driver gets the distinct values, which become columns of the
+plan and so have to be there anyway).  Callers that know them pass them in
+and no job runs.
 """
 
 from __future__ import annotations
@@ -17,27 +17,23 @@ from ..functions import encoders as E
 from ..schemas import NULL_DEFAULT_COLUMNS
 from .staging import completed_loans
 
+FLAGGED = ["home_ownership", "purpose"]
 
-def categories(df: DataFrame, column: str, max_categories: int = 1000) -> list[str]:
-    vals = (df.select(column).where(F.col(column).isNotNull()).distinct()
-              .limit(max_categories + 1).collect())
-    if len(vals) > max_categories:
-        raise ValueError(f"{column}: more than {max_categories} categories")
-    return sorted(r[0] for r in vals)
+
+def categories(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Sorted values present in each column, nulls left out, from one pass."""
+    row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
+    return {c: list(row[c]) for c in columns}
 
 
 def one_hot_dynamic(df: DataFrame, columns: list[str], prefixes: list[str] | None = None,
-                    max_categories: int = 1000) -> DataFrame:
-    """Replace each column by one boolean flag per category present (sorted);
+                    values: dict[str, list[str]] | None = None) -> DataFrame:
+    """Replace each column by one boolean flag per category (of ``values``, or of those present);
     a null value sets no flag.  Flags are booleans, as in pandas >= 2."""
-    prefixes = prefixes or columns
-    out = df
-    for col, prefix in zip(columns, prefixes):
-        cats = categories(df, col, max_categories)
-        out = out.withColumns({
-            f"{prefix}_{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False)) for v in cats
-        }).drop(col)
-    return out
+    values = values or categories(df, columns)
+    flags = {f"{prefix}_{v}": F.coalesce(F.col(c) == F.lit(v), F.lit(False))
+             for c, prefix in zip(columns, prefixes or columns) for v in values[c]}
+    return df.select(*[c for c in df.columns if c not in columns], *[f.alias(n) for n, f in flags.items()])
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ("loan_status", "target")) -> list[str]:
@@ -46,8 +42,7 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ("loan_status", "t
             if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-def training_frame(raw: DataFrame) -> DataFrame:
-    """The training flow's encoding of raw loans, before column selection."""
+def _encoded(raw: DataFrame) -> DataFrame:
     df = completed_loans(raw).withColumns({
         "target": E.label_target("loan_status"),
         "term": E.term_contains("term"),
@@ -55,11 +50,16 @@ def training_frame(raw: DataFrame) -> DataFrame:
         "sub_grade": E.sub_grade_ordinal("sub_grade").cast("double"),
         "emp_length": E.emp_length_map("emp_length"),
     })
-    df = one_hot_dynamic(df, ["home_ownership", "purpose"])
     return df.fillna({k: v for k, v in NULL_DEFAULT_COLUMNS.items() if k in df.columns})
 
 
+def training_frame(raw: DataFrame, values: dict[str, list[str]] | None = None) -> DataFrame:
+    """The training flow's encoding of raw loans, before column selection."""
+    return one_hot_dynamic(_encoded(raw), FLAGGED, values=values)
+
+
 def training_matrix(raw: DataFrame) -> DataFrame:
-    """X (every numeric column except label and status) next to the target."""
-    df = training_frame(raw)
+    """X (every numeric column except label and status) next to the target.  The flags are booleans
+    and not numeric, so their categories need not be known: no job runs."""
+    df = _encoded(raw).drop(*FLAGGED)
     return df.select(*numeric_columns(df), "target")

@@ -31,12 +31,18 @@ def text_embedding_estimator(text_col: str = "chunk", num_features: int = 1 << 1
     ])
 
 
-def embed_chunks(chunks: DataFrame, text_col: str = "chunk",
-                 model: PipelineModel | None = None) -> tuple[DataFrame, PipelineModel]:
-    """Fit (or reuse) the default pipeline; returns (chunks + embedding vector, model)."""
+def embed_chunks(chunks: DataFrame, text_col: str = "chunk", model: PipelineModel | None = None,
+                 keep_tokens: bool = False) -> tuple[DataFrame, PipelineModel]:
+    """Fit (or reuse) the default pipeline; returns (chunks + sparse embedding vector, model),
+    with ``keep_tokens`` also the array ``tokens``."""
     model = model or text_embedding_estimator(text_col).fit(chunks)
-    out = model.transform(chunks).drop("_tokens", "_tf", "_tfidf")
-    return out, model
+    out = model.transform(chunks).drop("_tf", "_tfidf")
+    return (out.withColumnRenamed("_tokens", "tokens") if keep_tokens else out.drop("_tokens")), model
+
+
+def vector_entries(col: str = "embedding") -> F.Column:
+    """struct<size, indices, values> of a sparse vector column: its entries, never the full width."""
+    return F.unwrap_udt(F.col(col))
 
 
 def embed_with(df: DataFrame, fn: Callable[[list[str]], list[list[float]]],

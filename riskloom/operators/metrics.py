@@ -31,7 +31,9 @@ def auc_frame(df: DataFrame, score: str = "score", label: str = "target") -> Dat
 
 def confusion(df: DataFrame, score: str = "score", label: str = "target",
               threshold: float = DECISION_THRESHOLD) -> DataFrame:
-    """tp, fp, tn, fn and precision / recall of the positive (denied) class."""
+    """tp, fp, tn, fn and precision / recall of the positive (denied) class.  Rows without a score
+    (null or NaN) or label are in no count, here and in the sweep."""
+    df = scored_rows(df, score, label)
     pred = F.col(score) > F.lit(threshold)
     pos = F.col(label) == 1
     c = df.agg(
@@ -47,8 +49,14 @@ def confusion(df: DataFrame, score: str = "score", label: str = "target",
     )
 
 
+def scored_rows(df: DataFrame, score: str, label: str) -> DataFrame:
+    """The rows that have both a score and a label."""
+    return df.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isNotNull())
+
+
 def accuracy(df: DataFrame, score: str = "score", label: str = "target",
              threshold: float = DECISION_THRESHOLD) -> DataFrame:
+    df = scored_rows(df, score, label)
     hit = ((F.col(score) > F.lit(threshold)).cast("int") == F.col(label)).cast("double")
     return df.agg(F.round(F.avg(hit), 4).alias("accuracy"))
 
@@ -83,6 +91,7 @@ def threshold_sweep(df: DataFrame, score: str = "score", label: str = "target",
     ``0 .. j-1``.  A histogram over ``j`` (at most len(thresholds)+1 rows)
     and a suffix sum over it give every threshold's counts.
     """
+    df = scored_rows(df, score, label)
     ts = sorted(thresholds)
     s = F.col(score)
     j = sum((s > F.lit(float(t))).cast("int") for t in ts)

@@ -7,11 +7,13 @@ the train fold only) -> ``VectorAssembler`` -> ``GBTClassifier``.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encoders as E
@@ -19,6 +21,7 @@ from ..schemas import FEATURE_ORDER, HOME_VALUES, NULL_DEFAULT_COLUMNS, PURPOSE_
 from ..session import parallelism
 from .staging import completed_loans
 
+PUBLISHED_SCHEMA = "run_ts string, path string, published_ns long"
 IMPUTED_SUFFIX = "__imp"
 # features that can be null after encoding; the rest never are
 NULLABLE_FEATURES = [
@@ -93,11 +96,6 @@ def gbt_stage(model: PipelineModel) -> GBTClassificationModel:
     return [s for s in model.stages if isinstance(s, GBTClassificationModel)][0]
 
 
-def impute(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Apply only the fitted imputer: the values the trees actually see."""
-    return model.stages[0].transform(df)
-
-
 def score_batch(model: PipelineModel, features: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns + default_risk (probability of default)."""
     out = model.transform(features)
@@ -105,12 +103,37 @@ def score_batch(model: PipelineModel, features: DataFrame, keep: list[str]) -> D
 
 
 def save_model(model: PipelineModel, model_dir: str, run_ts: str) -> str:
-    """Timestamped copy, then overwrite 'latest' (the one serving loads)."""
+    """Save under the run's own folder, then publish it as the latest.
+
+    What is published is one small record, appended: readers see the whole new model or the one
+    before, never a folder that is being replaced.
+    """
     path = f"{model_dir}/runs/{run_ts}"
     model.write().overwrite().save(path)
-    model.write().overwrite().save(f"{model_dir}/latest")
+    spark = SparkSession.active()
+    record = spark.range(1).select(F.lit(run_ts).alias("run_ts"), F.lit(path).alias("path"),
+                                   F.lit(time.time_ns()).alias("published_ns"))
+    record.coalesce(1).write.mode("append").json(f"{model_dir}/published")
     return path
 
 
+def latest_path(model_dir: str) -> str:
+    """Folder of the model that was published last."""
+    published = SparkSession.active().read.schema(PUBLISHED_SCHEMA).json(f"{model_dir}/published")
+    last = published.agg(F.max_by("path", "published_ns")).first()[0]
+    if last is None:
+        raise FileNotFoundError(f"no model is published in {model_dir}")
+    return last
+
+
 def load_latest(model_dir: str) -> PipelineModel:
-    return PipelineModel.load(f"{model_dir}/latest")
+    return PipelineModel.load(latest_path(model_dir))
+
+
+def assembled_features(features: DataFrame) -> DataFrame:
+    """The assembler's vector of the encoded features, as the 36 columns again (null where the
+    vector holds NaN), to check encoding and order end to end."""
+    vector = VectorAssembler(inputCols=FEATURE_ORDER, outputCol="_features", handleInvalid="keep").transform(features)
+    values = vector.withColumn("_features", vector_to_array("_features"))
+    return values.select("loan_id", *[F.nanvl(F.col("_features")[k], F.lit(None).cast("double")).alias(c)
+                                      for k, c in enumerate(FEATURE_ORDER)], "target")

@@ -31,14 +31,6 @@ def keyed_contributions(features: list[str], value_of=None, shap_of=None) -> Col
     return F.array(*[keyed_contribution(i, c, value_of(c), shap_of(c)) for i, c in enumerate(features)])
 
 
-def add_keys(contrib: Column) -> Column:
-    """Key a plain array<struct<feature, value, shap>> (one lambda pass)."""
-    return F.transform(contrib, lambda x, i: F.struct(
-        F.coalesce(-F.abs(x["shap"]), F.lit(float("inf"))).alias("neg_abs"),
-        i.alias("pos"), x["feature"].alias("feature"), x["value"].alias("value"),
-        x["shap"].alias("shap")))
-
-
 def ranked_contributions(keyed: Column) -> Column:
     """|shap| descending; equal |shap| keeps feature order (stable)."""
     return F.sort_array(keyed, asc=True)

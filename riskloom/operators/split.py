@@ -6,16 +6,20 @@ multiplicative hash of the id modulo a prime; the first
 does not depend on how the input is partitioned.
 
 Scale: a window over the class alone would put every row of a class in one
-task.  Instead we count rows per (class, key) -- at most classes x modulus
-rows, independent of data size -- find the key holding each class's cut on
-that small table, and only rank the rows sharing that one key.  Every other
-row is assigned by a comparison against the broadcast cut (one row per
-class).  The full data is never shuffled.
+task.  Instead rows are counted per (class, key), at most modulus rows for a
+class whatever the input, the key holding each class's cut is found on that
+small table, and only the rows sharing that one key are ranked to find the
+id of the cut.  One pass then compares every row's (key, id) with its class's
+cut, one row per class, which is joined as Spark's size threshold decides.
+The rows themselves are neither shuffled nor split and joined again.
+
+Rows without an id cannot be told apart, so they do not count towards the
+fraction and are training rows; rows that share an id are always in the same
+fold.  Rows without a class form a class of their own.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,37 +32,32 @@ def split_key(id_col: str = "loan_id", modulus: int = MODULUS, multiplier: int =
     return F.pmod(F.pmod(F.col(id_col), F.lit(modulus)) * F.lit(multiplier % modulus), F.lit(modulus))
 
 
+def split_cuts(df: DataFrame, label: str, id_col: str, test_fraction: float, modulus: int) -> DataFrame:
+    """One row per class with a test fold: (_label, _cut_key, _cut_id), the last test row's key and id."""
+    keys = df.select(F.col(label).alias("_label"), F.col(id_col).alias("_id"),
+                     split_key(id_col, modulus).alias("_key")).filter(F.col("_id").isNotNull())
+    per_key = keys.groupBy("_label", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    by_key = Window.partitionBy("_label").orderBy("_key")
+    n_test = F.floor(F.sum("_n").over(Window.partitionBy("_label")) * F.lit(test_fraction))
+    before = F.coalesce(F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = (per_key.withColumns({"_before": before, "_n_test": n_test.cast("bigint")})
+           .filter((F.col("_before") < F.col("_n_test")) & (F.col("_before") + F.col("_n") >= F.col("_n_test")))
+           .select(F.col("_label").alias("_of"), F.col("_key").alias("_cut_key"),
+                   (F.col("_n_test") - F.col("_before")).alias("_need")))
+    at = keys.join(cut, F.col("_label").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_cut_key")))
+    place = F.row_number().over(Window.partitionBy("_label", "_key").orderBy("_id"))
+    return at.withColumn("_place", place).filter("_place = _need").select(
+        "_label", "_cut_key", F.col("_id").alias("_cut_id"))
+
+
 def stratified_split(df: DataFrame, label: str = "target", id_col: str = "loan_id",
-                     test_fraction: float = 0.2, modulus: int = MODULUS,
-                     max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                     test_fraction: float = 0.2, modulus: int = MODULUS) -> DataFrame:
     """Add ``fold`` ('train' / 'test') to every row of ``df``."""
-    keyed = df.withColumn("_key", split_key(id_col, modulus))
-    # at most classes x modulus rows whatever the input size; persisted so the
-    # size check below and the plan share one aggregation of the input
-    per_key = (keyed.groupBy(label, "_key").agg(F.count(F.lit(1)).alias("_n"))
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    by_key = Window.partitionBy(label).orderBy("_key")
-    cum = (per_key
-           .withColumn("_before", F.coalesce(
-               F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-           .withColumn("_n_class", F.sum("_n").over(Window.partitionBy(label)))
-           .withColumn("_n_test", F.floor(F.col("_n_class") * F.lit(test_fraction)).cast("bigint")))
-    cut = (cum.filter((F.col("_before") < F.col("_n_test"))
-                      & (F.col("_before") + F.col("_n") >= F.col("_n_test")))
-              .select(label, F.col("_key").alias("_cut_key"),
-                      (F.col("_n_test") - F.col("_before")).alias("_need")))
-    # one row per class: broadcast under a counted bound; past it a shuffled
-    # join on the label, where AQE splits a class holding many rows
-    cut_side = F.broadcast(cut) if cut.count() <= max_broadcast_rows else cut
-    joined = keyed.join(cut_side, on=label, how="left")
-
-    away = joined.filter(F.col("_cut_key").isNull() | (F.col("_key") != F.col("_cut_key")))
-    away = away.withColumn(
-        "fold", F.when(F.col("_key") < F.col("_cut_key"), F.lit("test")).otherwise(F.lit("train")))
-    at = joined.filter(F.col("_key") == F.col("_cut_key"))
-    rn = F.row_number().over(Window.partitionBy(label, "_key").orderBy(id_col))
-    at = at.withColumn("fold", F.when(rn <= F.col("_need"), F.lit("test")).otherwise(F.lit("train")))
-    return away.unionByName(at).drop("_key", "_cut_key", "_need")
+    cuts = split_cuts(df, label, id_col, test_fraction, modulus)
+    joined = df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
+    key = split_key(id_col, modulus)
+    test = (key < F.col("_cut_key")) | ((key == F.col("_cut_key")) & (F.col(id_col) <= F.col("_cut_id")))
+    return joined.withColumn("fold", F.when(test, F.lit("test")).otherwise(F.lit("train"))).select(*df.columns, "fold")
 
 
 def dataset_sizes(split: DataFrame, n_features: int) -> DataFrame:

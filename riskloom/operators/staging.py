@@ -104,8 +104,12 @@ def build_layers(raw: DataFrame) -> dict[str, DataFrame]:
     return {"stg_loans": stg, "int_loan_features": feats, "mart_training": mart(feats)}
 
 
-def materialize_mart(raw: DataFrame, path: str) -> DataFrame:
-    """Write the mart as parquet (the one materialized layer) and read it back."""
+def materialize_layers(raw: DataFrame, path: str) -> dict[str, DataFrame]:
+    """The layers by name: staging and features as views, the mart written and read back; all three
+    are temporary views of the session afterwards."""
     layers = build_layers(raw)
     layers["mart_training"].write.mode("overwrite").parquet(path)
-    return raw.sparkSession.read.parquet(path)
+    layers["mart_training"] = raw.sparkSession.read.parquet(path)
+    for name, df in layers.items():
+        df.createOrReplaceTempView(name)
+    return layers

@@ -57,14 +57,32 @@ def scan_loans_csv(spark, sf_dir):
 
 
 def scan_policies(spark, sf_dir):
-    """Whole-file text reader with source paths, over one file per benchmark
-    item (written by Spark from the given table)."""
+    """Whole documents with their source path, over files of many documents each (written by Spark
+    from the given table)."""
     path = scratch_path(spark, "text-files")
-    bench = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
-    bench.write.partitionBy("item_id").text(path)
-    docs = files.read_policies(spark, path)
-    return docs.select(
-        F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long").alias("item_id"), "text")
+    files.write_policies(read_table(spark, sf_dir, "benchmark"), path, "item_id", "text")
+    docs = files.read_policies(spark, path, files.RECORD_SEPARATOR)
+    parts = F.split("text", "\n", 2)
+    return docs.select(parts[0].cast("long").alias("item_id"), parts[1].alias("text"),
+                       (F.length("path") > 0).alias("has_path"))
+
+
+def build_layers_q(spark, sf_dir):
+    """The layers as the session's views, the mart written; the result is read through its view."""
+    S.materialize_layers(raw_loans(spark, sf_dir), scratch_path(spark, "mart"))
+    return spark.table("mart_training")
+
+
+def reject_records_q(spark, sf_dir):
+    """Application lines, some cut off and some with a wrong type, with the reasons of each."""
+    path = scratch_path(spark, "application-lines")
+    line = F.to_json(F.struct("*"))
+    damaged = (F.when(F.col("app_id") % 13 == 0, F.substring(line, F.lit(1), F.length(line) - 1))
+               .when(F.col("app_id") % 11 == 0, F.regexp_replace(line, '"fico":[0-9]+', '"fico":"high"')).otherwise(line))
+    _apps(spark, sf_dir).select(damaged.alias("value")).write.text(path)
+    checked = A.checked_records(files.read_application_records(spark, path))
+    return checked.select("app_id", F.array_join("violations", ",").alias("violations"),
+                          (F.length("record") > 0).alias("has_record"))
 
 
 def scan_applications(spark, sf_dir):
@@ -130,7 +148,7 @@ def scored_test_fold(spark, sf_dir) -> DataFrame:
 
 
 def metrics_row(spark, sf_dir) -> DataFrame:
-    test = scored_test_fold(spark, sf_dir).cache()
+    test = scored_test_fold(spark, sf_dir)
     auc = M.auc_roc(test)
     row = M.accuracy(test).withColumn("auc_roc", F.round(F.lit(auc), 4))
     out = M.evaluation_gate(row).select("auc_roc", "accuracy", "auc_threshold", "passed", "status")
@@ -193,20 +211,20 @@ def retrieve_tfidf_q(spark, sf_dir):
 
 
 def context_text_q(spark, sf_dir):
-    hits, docs, bench = _tfidf_hits(spark, sf_dir)
-    return RT.context_text(hits, docs, "item_id", "doc_id", hits_bound=3 * bench.count())
+    hits, docs, _ = _tfidf_hits(spark, sf_dir)
+    return RT.context_text(hits, docs, "item_id", "doc_id")
 
 
 def prompt_messages_q(spark, sf_dir):
     hits, docs, bench = _tfidf_hits(spark, sf_dir)
-    ctx = RT.context_text(hits, docs, "item_id", "doc_id", hits_bound=3 * bench.count())
+    ctx = RT.context_text(hits, docs, "item_id", "doc_id")
     q = ctx.join(bench.withColumnRenamed("text", "question"), "item_id")
     return RT.prompt_messages(q, "item_id")
 
 
 def policy_reasons_q(spark, sf_dir):
     denied = A.denied_only(A.with_decision(scored_apps(spark, sf_dir)))
-    return policy_reasons(denied).select("app_id", "rule_id", "policy", "severity", "reason")
+    return policy_reasons(denied).select("app_id", "rule_id", "policy", "line", "severity", "reason")
 
 
 def _dynamic_flags(raw: DataFrame) -> DataFrame:
@@ -230,7 +248,8 @@ def registry() -> dict[str, QueryFn]:
     q["completed_loans"] = _raw(S.completed_loans)
     q["mart_filter"] = _raw(lambda r: S.mart_filter(S.loan_features(S.staging(r))))
     q["mart_project"] = _raw(lambda r: S.mart_project(S.loan_features(S.staging(r))))
-    q["build_layers"] = _raw(lambda r: S.build_layers(r)["mart_training"])
+    q["build_layers"] = build_layers_q
+    q["reject_records"] = reject_records_q
     q["label_target"] = _encode("loan_status", E.label_target, "target")
     # encoders
     q["term_like"] = _encode("term", E.term_like, "term_months")

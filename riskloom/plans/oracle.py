@@ -2,20 +2,77 @@
 
 These are the correctness oracle: written as plain SQL over the driver's
 tables (views ``orders``, ``customer``, ``documents``, ``embeddings``,
-``benchmark``), not generated from the Spark plans.  The fixture CTE is the
-one shared piece, so both sides start from identical raw loans.
+``benchmark``), not generated from the Spark plans, with every constant
+restated.  The fixture CTE is the one shared piece, so both sides start from
+identical raw loans.  For a trained model and the text steps the SQL states
+what must hold for every row's key.
 """
 
 from __future__ import annotations
 
-from ..operators.policy import POLICY_RULES
-from ..schemas import SYSTEM_TEMPLATE
-from ..schemas import (
-    APPLICATION_BOUNDS, APPLICATION_ENUMS, EMP_YEARS, FEATURE_ORDER, GRADE_CODES,
-    HOME_VALUES, PURPOSE_VALUES, sub_grade_codes,
-)
 from ..sources.fixture import fixture_sql
 
+# FIXED VALUES, restated here on purpose: a wrong constant in the engine must not pass on both sides.
+GRADE_CODES = {"A": 7, "B": 6, "C": 5, "D": 4, "E": 3, "F": 2, "G": 1}
+SUB_GRADES = [f"{letter}{step}" for letter in "ABCDEFG" for step in range(1, 6)]  # A1 is 35, G5 is 1
+EMP_YEARS = {"Unknown": 0, "< 1 year": 0.5, "1 year": 1, "2 years": 2, "3 years": 3, "4 years": 4, "5 years": 5,
+             "6 years": 6, "7 years": 7, "8 years": 8, "9 years": 9, "10+ years": 10}
+HOME_VALUES = ["MORTGAGE", "NONE", "OTHER", "OWN", "RENT"]
+PURPOSE_VALUES = ["credit_card", "debt_consolidation", "educational", "home_improvement", "house", "major_purchase",
+                  "medical", "moving", "other", "renewable_energy", "small_business", "vacation", "wedding"]
+FEATURE_ORDER = ["loan_amnt", "term", "int_rate", "installment", "grade", "sub_grade", "annual_inc", "dti", "emp_length",
+                 "fico_range_low", "fico_range_high", "open_acc", "pub_rec", "revol_bal", "revol_util", "total_acc",
+                 "mort_acc", "pub_rec_bankruptcies", *[f"home_ownership_{v}" for v in HOME_VALUES],
+                 *[f"purpose_{v}" for v in PURPOSE_VALUES]]
+REQUEST_FIELDS = ["loan_amnt", "term", "int_rate", "installment", "grade", "sub_grade", "annual_inc", "dti", "emp_length",
+                  "fico", "home_ownership", "purpose", "open_acc", "pub_rec", "revol_bal", "revol_util", "total_acc",
+                  "mort_acc", "pub_rec_bankruptcies"]
+APPLICATION_BOUNDS = {"loan_amnt": (1000, 40000), "int_rate": (5.0, 30.0), "installment": (50, 1500),
+                      "annual_inc": (10000, 300000), "dti": (0.0, 60.0), "fico": (580, 850), "open_acc": (0, 40),
+                      "pub_rec": (0, 10), "revol_bal": (0, 100000), "revol_util": (0.0, 100.0), "total_acc": (0, 60),
+                      "mort_acc": (0, 10), "pub_rec_bankruptcies": (0, 5)}
+APPLICATION_ENUMS = {
+    "term": ["36 months", "60 months"],
+    "grade": ["A", "B", "C", "D", "E", "F", "G"],
+    "emp_length": ["< 1 year", "1 year", "2 years", "3 years", "4 years", "5 years", "6 years", "7 years", "8 years",
+                   "9 years", "10+ years", "Unknown"],
+    "home_ownership": ["RENT", "MORTGAGE", "OWN", "OTHER"],
+    "purpose": ["debt_consolidation", "credit_card", "home_improvement", "other", "major_purchase", "small_business",
+                "medical", "moving", "vacation", "wedding", "house", "renewable_energy", "educational"],
+}
+SYSTEM_HEAD = ("You are a loan officer assistant explaining why a loan application was denied. Use the following policy "
+               "documents to explain the decision clearly and professionally to the applicant.\n\nPolicy context:\n")
+SYSTEM_TAIL = ("\n\nProvide a clear, empathetic explanation referencing specific policies. Give the applicant actionable "
+               "advice on how to improve their chances.")
+# rule, policy, line, severity, condition, reason
+POLICY_RULES = [
+    ("dti_below_20", "dti", 4, "favourable", "dti >= 0 AND dti < 20", "Debt-to-income below 20% is excellent."),
+    ("dti_20_35", "dti", 5, "standard", "dti >= 20 AND dti < 35", "Debt-to-income of 20-35% follows the standard process."),
+    ("dti_35_43", "dti", 6, "review", "dti BETWEEN 35 AND 43",
+     "Debt-to-income of 35-43% is elevated risk and needs extra scrutiny."),
+    ("dti_above_43", "dti", 7, "adverse", "dti > 43 AND NOT dti > 50",
+     "Debt-to-income above 43% is high risk and likely denied."),
+    ("dti_above_50", "dti", 8, "adverse", "dti > 50", "Debt-to-income above 50% is denied in most cases."),
+    ("fico_below_grade_minimum", "credit_score", 4, "adverse",
+     "(grade = 'A' AND fico < 750) OR (grade = 'B' AND fico < 700) OR (grade = 'C' AND fico < 660) "
+     "OR (grade = 'D' AND fico < 630) OR (grade = 'E' AND fico < 600)",
+     "FICO score is below the minimum for the credit grade (A 750, B 700, C 660, D 630, E 600)."),
+    ("fico_below_600_grade_f_g", "credit_score", 9, "review", "(grade = 'F' OR grade = 'G') AND fico < 600",
+     "Grades F and G with FICO below 600 are high risk with limited approval."),
+    ("fico_below_580", "credit_score", 11, "adverse", "fico < 580",
+     "FICO below 580 is high risk and denied without compensating factors."),
+    ("term_60_months", "purpose_term", 5, "review", "term = '60 months'",
+     "A 60-month term carries higher risk than 36 months."),
+    ("purpose_small_business", "purpose_term", 8, "review", "purpose = 'small_business'",
+     "Small-business loans carry elevated default risk."),
+    ("debt_consolidation_dti_40", "purpose_term", 9, "adverse", "purpose = 'debt_consolidation' AND NOT dti < 40",
+     "Debt consolidation requires debt-to-income below 40%."),
+    ("employment_under_1_year", "purpose_term", 13, "review", "emp_length = '< 1 year'",
+     "Under one year of employment needs compensating factors."),
+    ("employment_unknown", "purpose_term", 14, "review", "emp_length = 'Unknown'",
+     "Unknown employment history increases the risk assessment."),
+]
+
 
 def _q(v) -> str:
     return "'" + str(v).replace("'", "''") + "'"
@@ -40,6 +97,7 @@ STG = """stg AS (
 GRADE_CASE = ("CASE grade " + " ".join(f"WHEN {_q(k)} THEN {v}" for k, v in GRADE_CODES.items())
               + " ELSE 4 END")
 
+# FIXED VALUES: the substring cascade in order.
 EMP_LIKE_CASE = """CASE WHEN emp_length LIKE '%10+%' THEN 10 WHEN emp_length LIKE '%9%' THEN 9
   WHEN emp_length LIKE '%8%' THEN 8 WHEN emp_length LIKE '%7%' THEN 7 WHEN emp_length LIKE '%6%' THEN 6
   WHEN emp_length LIKE '%5%' THEN 5 WHEN emp_length LIKE '%4%' THEN 4 WHEN emp_length LIKE '%3%' THEN 3
@@ -65,6 +123,7 @@ FEAT = f"""feat AS (
   CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS target
   FROM stg)"""
 
+# FIXED VALUES: the mart's columns in order.
 _MART_COLS = """loan_amnt, term, int_rate, installment, grade_encoded AS grade, annual_inc, dti,
   emp_length_years AS emp_length, fico_range_low, fico_range_high, open_acc, pub_rec, revol_bal,
   revol_util, total_acc, mort_acc, pub_rec_bankruptcies, home_ownership_mortgage, home_ownership_none,
@@ -91,7 +150,7 @@ APPS = """apps AS (
   FROM raw)"""
 
 SUB_GRADE_CASE = ("CASE sub_grade " + " ".join(
-    f"WHEN {_q(k)} THEN {v}" for k, v in sub_grade_codes().items()) + " ELSE 18 END")
+    f"WHEN {_q(k)} THEN {35 - n}" for n, k in enumerate(SUB_GRADES)) + " ELSE 18 END")
 EMP_MAP_CASE = ("CASE emp_length " + " ".join(
     f"WHEN {_q(k)} THEN {float(v)}" for k, v in EMP_YEARS.items()) + " ELSE 0.0 END")
 
@@ -117,7 +176,7 @@ SERVE = f"""serve AS (
 
 def _violations_sql() -> str:
     parts = []
-    for name, _ in _app_field_order():
+    for name in REQUEST_FIELDS:
         parts.append(f"CASE WHEN {name} IS NULL THEN '{name}:missing' END")
         if name in APPLICATION_BOUNDS:
             lo, hi = APPLICATION_BOUNDS[name]
@@ -128,11 +187,6 @@ def _violations_sql() -> str:
     return "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
 
 
-def _app_field_order():
-    from ..schemas import APPLICATION_FIELDS
-    return APPLICATION_FIELDS
-
-
 CHECKED = f"""checked AS (
   SELECT apps.*, {_violations_sql()} AS violations FROM apps)"""
 
@@ -156,7 +210,15 @@ SELECT count(*) AS n_rows, 23 AS n_columns,
  'loan_id,loan_amnt,term,int_rate,installment,grade,sub_grade,annual_inc,dti,emp_length,fico_range_low,fico_range_high,open_acc,pub_rec,revol_bal,revol_util,total_acc,mort_acc,pub_rec_bankruptcies,home_ownership,purpose,loan_status,issue_d' AS columns
 FROM raw"""
     q["scan_applications"] = with_(RAW, APPS) + "SELECT * FROM apps"
-    q["scan_policies"] = "SELECT item_id, text || chr(10) AS text FROM benchmark"
+    q["scan_policies"] = "SELECT item_id, text, true AS has_path FROM benchmark"
+    type_case = _violations_sql().replace("CASE WHEN fico IS NULL THEN 'fico:missing' END",
+                                          "CASE WHEN fico IS NULL THEN 'fico:missing' WHEN odd THEN 'fico:type' END"
+                                          ).replace("NOT (fico BETWEEN", "NOT odd AND NOT (fico BETWEEN")
+    q["reject_records"] = with_(RAW, APPS, "f AS (SELECT *, app_id % 11 = 0 AS odd FROM apps)") + f"""
+SELECT CASE WHEN app_id % 13 <> 0 THEN app_id END AS app_id,
+       CASE WHEN app_id % 13 = 0 THEN 'record:malformed' ELSE array_to_string({type_case}, ',') END AS violations,
+       true AS has_record
+FROM f"""
     # SQL pipeline
     q["stg_project"] = with_(RAW) + """
 SELECT loan_id, loan_amnt,
@@ -237,7 +299,8 @@ FROM raw WHERE loan_status IN ('Fully Paid', 'Charged Off') GROUP BY 1"""
         f"{n} BETWEEN {lo} AND {hi} AS ok_{n}" for n, (lo, hi) in APPLICATION_BOUNDS.items()
     ) + " FROM apps"
     q["validate_enums"] = with_(RAW, APPS) + "SELECT app_id, " + ", ".join(
-        f"{n} IN ({_in_list(v)}) AS ok_{n}" for n, v in APPLICATION_ENUMS.items()) + " FROM apps"
+        f"{n} IN ({_in_list(v)}) AS ok_{n}" for n, v in (APPLICATION_ENUMS | {"sub_grade": SUB_GRADES}).items()
+    ) + " FROM apps"
     q["split_rejects"] = with_(RAW, APPS, CHECKED) + """
 SELECT app_id, len(violations) = 0 AS is_valid, CAST(len(violations) AS INTEGER) AS n_violations,
        array_to_string(violations, ',') AS violations
@@ -278,16 +341,17 @@ TFIDF = f"""dt AS ({_terms('documents', 'doc_id')}),
 nd AS (SELECT count(*) AS n FROM documents),
 dfq AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
 dw AS (SELECT doc_id, dt.term, tf * ln((n + 1.0) / (df + 1)) AS wd FROM dt JOIN dfq USING (term), nd),
-dn AS (SELECT doc_id, sqrt(sum(wd * wd)) AS dnorm FROM dw GROUP BY doc_id),
+dn AS (SELECT doc_id, sqrt(CAST(sum(CAST(wd * wd AS DECIMAL(38,15))) AS DOUBLE)) AS dnorm FROM dw GROUP BY doc_id),
 qt AS ({_terms('benchmark', 'item_id')}),
 qw AS (SELECT item_id, qt.term, tf * ln((n + 1.0) / (coalesce(df, 0) + 1)) AS wq
        FROM qt LEFT JOIN dfq USING (term), nd),
-qn AS (SELECT item_id, sqrt(sum(wq * wq)) AS qnorm FROM qw GROUP BY item_id),
-dots AS (SELECT item_id, doc_id, sum(wq * wd) AS dot FROM qw JOIN dw USING (term) GROUP BY item_id, doc_id),
-sc AS (SELECT item_id, doc_id, round(dot / (qnorm * dnorm), 6) AS score
+qn AS (SELECT item_id, sqrt(CAST(sum(CAST(wq * wq AS DECIMAL(38,15))) AS DOUBLE)) AS qnorm FROM qw GROUP BY item_id),
+dots AS (SELECT item_id, doc_id, CAST(sum(CAST(wq * wd AS DECIMAL(38,15))) AS DOUBLE) AS dot
+         FROM qw JOIN dw USING (term) GROUP BY item_id, doc_id),
+sc AS (SELECT item_id, doc_id, CASE WHEN qnorm * dnorm > 0 THEN dot / (qnorm * dnorm) ELSE 0 END AS score
        FROM dots JOIN qn USING (item_id) JOIN dn USING (doc_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc),
-hits AS (SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM rk WHERE rank <= 3),
+hits AS (SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM rk WHERE rank <= 3),
 ctx AS (SELECT item_id, string_agg(d.text, chr(10) || chr(10) ORDER BY rank) AS context
         FROM hits JOIN documents d USING (doc_id) GROUP BY item_id)"""
 
@@ -297,22 +361,21 @@ def _text_queries(scored_cte: str) -> dict[str, str]:
     q["nearest_chunks"] = """
 WITH p AS (
   SELECT a.vec_id AS vec_id, b.vec_id AS neighbor_id,
-         round(list_sum(list_transform(list_zip(a.embedding, b.embedding),
-               lambda z: power(z[1]::DOUBLE - z[2]::DOUBLE, 2))), 4) AS d2
+         list_sum(list_transform(list_zip(a.embedding, b.embedding),
+               lambda z: power(z[1]::DOUBLE - z[2]::DOUBLE, 2))) AS d2
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neighbor_id) AS rank FROM p)
-SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, d2 FROM r WHERE rank <= 3"""
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(d2, 4) AS d2 FROM r WHERE rank <= 3"""
     q["retrieve_tfidf"] = with_(TFIDF) + "SELECT * FROM hits"
     q["context_text"] = with_(TFIDF) + "SELECT item_id, context FROM ctx"
-    head, tail = SYSTEM_TEMPLATE.split("{context}")
     q["prompt_messages"] = with_(TFIDF) + f"""
-SELECT item_id, 0 AS position, 'system' AS role, {_q(head)} || context || {_q(tail)} AS content FROM ctx
+SELECT item_id, 0 AS position, 'system' AS role, {_q(SYSTEM_HEAD)} || context || {_q(SYSTEM_TAIL)} AS content FROM ctx
 UNION ALL
 SELECT item_id, 1 AS position, 'human' AS role, b.text AS content FROM ctx JOIN benchmark b USING (item_id)"""
     rules = "\nUNION ALL\n".join(
-        f"SELECT app_id, {_q(rid)} AS rule_id, {_q(pol)} AS policy, {_q(sev)} AS severity, "
+        f"SELECT app_id, {_q(rid)} AS rule_id, {_q(pol)} AS policy, {line} AS line, {_q(sev)} AS severity, "
         f"{_q(text)} AS reason FROM denied WHERE {pred}"
-        for rid, pol, sev, pred, text in POLICY_RULES)
+        for rid, pol, line, sev, pred, text in POLICY_RULES)
     q["policy_reasons"] = with_(RAW, APPS, scored_cte, "denied AS (SELECT * FROM scored WHERE default_risk > 0.5)") + rules
     return q
 
@@ -385,8 +448,8 @@ SELECT threshold, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 4) AS precision
 lg AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (x FOR feature IN ({", ".join(DRIFT_FEATURES)}))),
 b AS (SELECT * FROM (VALUES {bounds}) t(feature, lo, hi)),
 binned AS (SELECT lg.feature, period,
-             CASE WHEN x IS NULL THEN -1
-                  ELSE CAST(least(greatest(floor((x - lo) / (hi - lo) * 10), 0), 9) AS INTEGER) END AS bin
+             CASE WHEN x IS NULL THEN -1 WHEN x < lo THEN -2 WHEN x > hi THEN 10
+                  ELSE CAST(least(floor((x - lo) / (hi - lo) * 10), 9) AS INTEGER) END AS bin
            FROM lg JOIN b USING (feature)),
 cnt AS (SELECT feature, bin, count_if(period = 'base') AS n_base, count_if(period = 'current') AS n_cur
         FROM binned GROUP BY feature, bin),
@@ -422,5 +485,66 @@ FROM s"""
     return q
 
 
+TRAINING = f"""training AS (
+  SELECT loan_id, CAST(loan_amnt AS DOUBLE) AS loan_amnt,
+  CAST(CASE WHEN coalesce(contains(term, '36'), false) THEN 36 ELSE 60 END AS DOUBLE) AS term,
+  CAST(int_rate AS DOUBLE) AS int_rate, CAST(installment AS DOUBLE) AS installment,
+  CAST({GRADE_CASE} AS DOUBLE) AS grade, CAST({SUB_GRADE_CASE} AS DOUBLE) AS sub_grade,
+  CAST(annual_inc AS DOUBLE) AS annual_inc, CAST(dti AS DOUBLE) AS dti,
+  CAST({EMP_MAP_CASE} AS DOUBLE) AS emp_length,
+  CAST(fico_range_low AS DOUBLE) AS fico_range_low, CAST(fico_range_high AS DOUBLE) AS fico_range_high,
+  CAST(open_acc AS DOUBLE) AS open_acc, CAST(coalesce(pub_rec, 0) AS DOUBLE) AS pub_rec,
+  CAST(revol_bal AS DOUBLE) AS revol_bal, CAST(coalesce(revol_util, 0) AS DOUBLE) AS revol_util,
+  CAST(total_acc AS DOUBLE) AS total_acc, CAST(coalesce(mort_acc, 0) AS DOUBLE) AS mort_acc,
+  CAST(coalesce(pub_rec_bankruptcies, 0) AS DOUBLE) AS pub_rec_bankruptcies,
+  {", ".join(f"CAST(CASE WHEN home_ownership = {_q(v)} THEN 1 ELSE 0 END AS DOUBLE) AS home_ownership_{v}" for v in HOME_VALUES)},
+  {", ".join(f"CAST(CASE WHEN purpose = {_q(v)} THEN 1 ELSE 0 END AS DOUBLE) AS purpose_{v}" for v in PURPOSE_VALUES)},
+  CASE WHEN loan_status = 'Charged Off' THEN 1 ELSE 0 END AS target
+  FROM raw WHERE loan_status IN ('Fully Paid', 'Charged Off'))"""
+
+
+def _invariant_queries() -> dict[str, str]:
+    """What must hold of the model's and the text steps' output, for every row's key."""
+    q: dict[str, str] = {}
+    q["assemble_features"] = with_(RAW, TRAINING) + "SELECT * FROM training"
+    sizes = with_(RAW, TRAINING, SPLIT.replace("FROM mart)", "FROM training)")) + """
+, s AS (SELECT count_if(fold = 'train') AS train_size, count_if(fold = 'test') AS test_size FROM split)"""
+    q["train_gbt"] = sizes + """
+SELECT CAST(train_size AS BIGINT) AS train_size, CAST(test_size AS BIGINT) AS test_size, 36 AS n_features,
+       'SUCCESS' AS status FROM s"""
+    q["base_value"] = sizes + "SELECT CAST(train_size AS BIGINT) AS n_rows, true AS is_mean_logit FROM s"
+    valid = with_(RAW, APPS, CHECKED)
+    q["score_batch"] = valid + """
+SELECT app_id, true AS in_range, true AS decision_follows FROM checked WHERE len(violations) = 0"""
+    q["contributions"] = valid + """
+SELECT app_id, 36 AS n_features, true AS additive FROM checked WHERE len(violations) = 0"""
+    q["model_sink"] = q["model_source"] = valid + """
+SELECT app_id, true AS same_score FROM checked WHERE len(violations) = 0"""
+    q["score_result"] = q["score_stream"] = valid + """
+SELECT app_id, CASE WHEN ok THEN 'SCORED' ELSE 'REJECTED' END AS status, array_to_string(violations, ',') AS violations,
+       ok AS has_result, CASE WHEN ok THEN 10 END AS n_top, CASE WHEN ok THEN true END AS top_in_order,
+       CASE WHEN ok THEN true END AS explained_if_denied
+FROM (SELECT *, len(violations) = 0 AS ok FROM checked)"""
+    q["metrics_sink"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST, AUC, ACC) + """
+SELECT auc_roc, accuracy, 0.75::DOUBLE AS auc_threshold, coalesce(auc_roc >= 0.75, false) AS passed,
+       CASE WHEN auc_roc >= 0.75 THEN 'SUCCESS' ELSE 'FAILED' END AS status, 'run' AS run_ts
+FROM auc, acc"""
+    with_text = "FROM documents WHERE regexp_matches(text, '\\S')"
+    q["chunk_documents"] = f"SELECT doc_id, true AS within_size, true AS covered {with_text}"
+    q["embed_chunks"] = f"SELECT doc_id, true AS vectors_ok, true AS has_chunks {with_text}"
+    bad = [(pred, text) for _, _, _, sev, pred, text in POLICY_RULES if sev in ("adverse", "review")]
+    reasons = ", ".join(f"CASE WHEN {pred} THEN {_q(text)} END" for pred, text in bad)
+    q["explain_denials"] = valid + f"""
+, s AS (SELECT *, {SCORE_EXPR.format(grade=GRADE_CASE)} AS default_risk,
+               list_filter([{reasons}], lambda x: x IS NOT NULL) AS reasons
+        FROM checked WHERE len(violations) = 0)
+SELECT app_id, CASE WHEN default_risk > 0.5 THEN 'DENIED' ELSE 'APPROVED' END AS decision,
+  CASE WHEN default_risk > 0.5 THEN CASE WHEN len(reasons) > 0
+    THEN 'The application was denied. Policies that apply: ' || array_to_string(reasons, ' ')
+    ELSE 'The application was denied by the risk model; no specific policy rule applies.' END END AS explanation
+FROM s"""
+    return q
+
+
 def oracle_statements() -> dict[str, str]:
-    return _stmt_queries()
+    return _stmt_queries() | _invariant_queries()

@@ -85,7 +85,7 @@ APPLICATION_BOUNDS = {
     "pub_rec_bankruptcies": (0, 5),
 }
 
-# Application request: accepted values.
+# Application request: accepted values.  The form also offers 35 sub-grades (FORM_ENUMS below).
 APPLICATION_ENUMS = {
     "term": ["36 months", "60 months"],
     "grade": ["A", "B", "C", "D", "E", "F", "G"],
@@ -144,6 +144,10 @@ def sub_grade_codes() -> dict[str, int]:
     return codes
 
 
+# Application form: it also checks the sub-grade against all 35.
+FORM_ENUMS = {"sub_grade": sorted(sub_grade_codes())}
+
+
 # ---------------------------------------------------------------------------
 # Spark schemas
 # ---------------------------------------------------------------------------
@@ -190,18 +194,3 @@ APPLICATION_SCHEMA = T.StructType(
     [T.StructField("app_id", T.LongType())]
     + [T.StructField(n, t) for n, t in APPLICATION_FIELDS]
 )
-
-CONTRIBUTION_TYPE = T.StructType([
-    T.StructField("feature", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("shap", T.DoubleType()),
-])
-
-RESULT_TYPE = T.StructType([
-    T.StructField("decision", T.StringType()),
-    T.StructField("default_risk", T.DoubleType()),
-    T.StructField("base_value", T.DoubleType()),
-    T.StructField("top_features", T.ArrayType(CONTRIBUTION_TYPE)),
-    T.StructField("explanation", T.StringType()),
-    T.StructField("explanation_error", T.StringType()),
-])

@@ -66,16 +66,23 @@ def parallelism(spark: SparkSession) -> int:
         spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` has executors of its own)."""
+    return master == "local" or master.startswith("local[")
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; when unset (tests,
-    local runs) sets one under the system temp folder and registers it as
-    the checkpoint folder too.
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a local session
+    (tests) gets a folder under the system's temp folder, registered as the checkpoint folder too;
+    on a cluster that would be another disk for every executor, so we raise.
     """
     sc = spark_context(spark)
     d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
+        if sc is None or not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="riskloom-")
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -123,7 +130,10 @@ def spread(df, factor: int = 2):
     """Give CPU-heavy per-row work (tokenising, chunking) at least ``factor`` x
     the cluster's cores in tasks.  Only inputs with fewer partitions than that
     (e.g. one large file) are round-robin repartitioned; a scan that already
-    has many splits, the normal case at scale, is left untouched."""
+    has many splits, the normal case at scale, is left untouched, and so is a
+    stream, whose micro-batches have their own splits."""
+    if df.isStreaming:
+        return df
     target = factor * parallelism(df.sparkSession)
     try:
         n = df.rdd.getNumPartitions()

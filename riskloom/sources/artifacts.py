@@ -1,8 +1,7 @@
-"""Artifact sinks and sources: run metrics as JSON, models as Spark ML folders."""
+"""Run metrics as JSON (models: operators/model.py)."""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +20,3 @@ def write_metrics(spark: SparkSession, metrics: dict, metrics_dir: str, run_ts:
 
 def read_metrics(spark: SparkSession, metrics_dir: str) -> DataFrame:
     return spark.read.json(metrics_dir)
-
-
-_MODEL_CACHE: dict[str, PipelineModel] = {}
-
-
-def load_model(model_dir: str) -> PipelineModel:
-    """The 'latest' model, loaded once per process."""
-    if model_dir not in _MODEL_CACHE:
-        _MODEL_CACHE[model_dir] = PipelineModel.load(f"{model_dir}/latest")
-    return _MODEL_CACHE[model_dir]

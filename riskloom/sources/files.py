@@ -64,12 +64,34 @@ def write_applications_json(df: DataFrame, path: str) -> None:
 
 
 def read_applications(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Application records with the request schema; malformed values become null
-    (PERMISSIVE) and are reported by validation as missing."""
+    """Well-formed application records with the request schema.  Lines from outside go through
+    ``read_application_records``, which keeps what cannot be parsed."""
     return spark.read.schema(APPLICATION_SCHEMA).format(fmt).load(path)
 
 
-def read_policies(spark: SparkSession, path: str) -> DataFrame:
-    """Whole policy documents with their source path: (path, text)."""
-    return (spark.read.text(path, wholetext=True)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+def read_application_records(spark: SparkSession, path: str) -> DataFrame:
+    """Application lines as they came: app_id and the fields as strings, ``record`` (the line) and
+    ``_corrupt`` (the line again if it is no JSON object, else null)."""
+    names = [f.name for f in APPLICATION_SCHEMA.fields]
+    schema = ", ".join(f"{n} string" for n in [*names, "_corrupt"])
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    lines = spark.read.text(path).select(F.col("value").alias("record"), parsed.alias("r"))
+    corrupt = F.when(F.col("r").isNull(), F.col("record")).otherwise(F.col("r._corrupt"))
+    return lines.select(*[F.col(f"r.{n}").alias(n) for n in names], "record", corrupt.alias("_corrupt"))
+
+
+#: Separates the documents of a file that holds many (never part of a text: ASCII's record separator).
+RECORD_SEPARATOR = "\x1e"
+
+
+def write_policies(df: DataFrame, path: str, id_col: str, text_col: str) -> None:
+    """Many documents to a file: each one its id, a line end and the text."""
+    doc = F.concat(F.col(id_col).cast("string"), F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))
+    df.select(doc.alias("value")).write.option("lineSep", RECORD_SEPARATOR).text(path)
+
+
+def read_policies(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Whole policy documents with their source path: (path, text).  Files hold one document each,
+    or, with ``separator``, many."""
+    files = spark.read.option("lineSep", separator).text(path) if separator else spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

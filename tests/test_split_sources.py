@@ -49,20 +49,3 @@ def test_metrics_sink_round_trip(spark):
     write_metrics(spark, {"auc_roc": 0.82, "accuracy": 0.71, "test_size": 11}, d, "t2")
     rows = sorted(read_metrics(spark, d).collect(), key=lambda r: r.run_ts)
     assert [r.auc_roc for r in rows] == [0.81, 0.82]
-
-
-def test_wrong_types_are_rejected_with_reasons(spark, tmp_path):
-    from riskloom.operators.applications import coerce_types, split_rejects
-    good = ('{"app_id": 1, "loan_amnt": 10000, "term": "36 months", "int_rate": 13.0, '
-            '"installment": 300, "grade": "C", "sub_grade": "C3", "annual_inc": 60000, "dti": 20.0, '
-            '"emp_length": "3 years", "fico": 700, "home_ownership": "RENT", '
-            '"purpose": "debt_consolidation", "open_acc": 8, "pub_rec": 0, "revol_bal": 15000, '
-            '"revol_util": 50.0, "total_acc": 20, "mort_acc": 0, "pub_rec_bankruptcies": 0}')
-    bad = good.replace('"app_id": 1', '"app_id": 2').replace('"fico": 700', '"fico": "high"') \
-              .replace('"dti": 20.0', '"dti": 75.0').replace('"grade": "C"', '"grade": "Z"')
-    (tmp_path / "a.json").write_text(good + "\n" + bad + "\n")
-    raw = spark.read.option("primitivesAsString", "true").json(str(tmp_path))
-    valid, rejected = split_rejects(coerce_types(raw.withColumn("app_id", raw.app_id.cast("long"))))
-    assert [r.app_id for r in valid.collect()] == [1]
-    reasons = rejected.first().violations
-    assert reasons == ["grade:value", "dti:range", "fico:missing"]
