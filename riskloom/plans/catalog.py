@@ -23,9 +23,12 @@ from ..operators import retrieval as RT
 from ..operators.policy import policy_reasons
 from ..operators import split as T
 from ..operators import staging as S
-from ..schemas import FEATURE_ORDER, HOME_VALUES, MART_FEATURES, NULL_DEFAULT_COLUMNS, PURPOSE_VALUES
+from ..schemas import (
+    FEATURE_ORDER, HOME_VALUES, MART_FEATURES, NULL_DEFAULT_COLUMNS, PURPOSE_VALUES, SYSTEM_TEMPLATE,
+)
 from ..session import scratch_path
 from ..sources import files
+from .denials import denial_messages
 from ..sources.fixture import raw_loans
 from ..sources.tables import read_table
 
@@ -222,6 +225,21 @@ def prompt_messages_q(spark, sf_dir):
     return RT.prompt_messages(q, "item_id")
 
 
+def denial_messages_q(spark, sf_dir):
+    """The messages of every denied valid application; of the system message, whether the template
+    holds it together and whether it has three chunks."""
+    valid, _ = A.split_rejects(_apps(spark, sf_dir))
+    scored = valid.withColumn("default_risk", A.rule_score(E.grade_ordinal("grade"), F.col("dti")))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    m = denial_messages(A.denied_only(A.with_decision(scored)), docs)
+    head, tail = SYSTEM_TEMPLATE.split("{context}")
+    framed = F.startswith("content", F.lit(head)) & F.endswith("content", F.lit(tail))
+    grounded = F.length("content") > len(head) + len(tail)
+    system = F.col("role") == "system"
+    return m.select("app_id", "position", "role", F.when(~system, F.col("content")).alias("question"),
+                    F.when(system, framed & grounded).alias("grounded"))
+
+
 def policy_reasons_q(spark, sf_dir):
     denied = A.denied_only(A.with_decision(scored_apps(spark, sf_dir)))
     return policy_reasons(denied).select("app_id", "rule_id", "policy", "line", "severity", "reason")
@@ -250,6 +268,7 @@ def registry() -> dict[str, QueryFn]:
     q["mart_project"] = _raw(lambda r: S.mart_project(S.loan_features(S.staging(r))))
     q["build_layers"] = build_layers_q
     q["reject_records"] = reject_records_q
+    q["denial_messages"] = denial_messages_q
     q["label_target"] = _encode("loan_status", E.label_target, "target")
     # encoders
     q["term_like"] = _encode("term", E.term_like, "term_months")

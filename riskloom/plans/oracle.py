@@ -190,6 +190,12 @@ def _violations_sql() -> str:
 CHECKED = f"""checked AS (
   SELECT apps.*, {_violations_sql()} AS violations FROM apps)"""
 
+QUESTION = """'A loan application has been DENIED. Applicant details: Loan amount: $' || format('{:,}', loan_amnt)
+  || ', Term: ' || term || ', Credit grade: ' || grade || ' (' || sub_grade || '), FICO: ' || CAST(fico AS VARCHAR)
+  || ', Annual income: $' || format('{:,}', annual_inc) || ', DTI: ' || CAST(dti AS VARCHAR)
+  || '%, Employment: ' || emp_length || ', Purpose: ' || purpose
+  || '. Why was this denied and how can the applicant improve?'"""
+
 # deterministic stand-in for a model score, in [0, 1): exactly 0.5 is reachable
 SCORE_EXPR = "((7 - ({grade})) * 10 + coalesce(dti, 0) + 1) / 122.0"
 
@@ -318,13 +324,8 @@ SELECT app_id, default_risk, printf('%.1f%%', round_even(default_risk * 100, 1))
     q["money_display"] = with_(RAW, APPS) + """
 SELECT app_id, format('{:,}', loan_amnt) AS loan_amnt_text, format('{:,}', annual_inc) AS annual_inc_text
 FROM apps"""
-    q["question_text"] = with_(RAW, APPS, CHECKED) + """
-SELECT app_id,
-  'A loan application has been DENIED. Applicant details: Loan amount: $' || format('{:,}', loan_amnt)
-  || ', Term: ' || term || ', Credit grade: ' || grade || ' (' || sub_grade || '), FICO: ' || CAST(fico AS VARCHAR)
-  || ', Annual income: $' || format('{:,}', annual_inc) || ', DTI: ' || CAST(dti AS VARCHAR)
-  || '%, Employment: ' || emp_length || ', Purpose: ' || purpose
-  || '. Why was this denied and how can the applicant improve?' AS question
+    q["question_text"] = with_(RAW, APPS, CHECKED) + f"""
+SELECT app_id, {QUESTION} AS question
 FROM checked WHERE len(violations) = 0"""
     q.update(_model_side_queries())
     q.update(_text_queries(scored))
@@ -503,6 +504,11 @@ TRAINING = f"""training AS (
   FROM raw WHERE loan_status IN ('Fully Paid', 'Charged Off'))"""
 
 
+def _stmt_question() -> str:
+    """The valid applications with their question, as the CTE ``asked``."""
+    return with_(RAW, APPS, CHECKED) + f", asked AS (SELECT *, {QUESTION} AS question FROM checked WHERE len(violations) = 0)"
+
+
 def _invariant_queries() -> dict[str, str]:
     """What must hold of the model's and the text steps' output, for every row's key."""
     q: dict[str, str] = {}
@@ -520,6 +526,10 @@ SELECT app_id, true AS in_range, true AS decision_follows FROM checked WHERE len
 SELECT app_id, 36 AS n_features, true AS additive FROM checked WHERE len(violations) = 0"""
     q["model_sink"] = q["model_source"] = valid + """
 SELECT app_id, true AS same_score FROM checked WHERE len(violations) = 0"""
+    q["denial_messages"] = _stmt_question() + f"""
+, d AS (SELECT app_id, question FROM asked WHERE {SCORE_EXPR.format(grade=GRADE_CASE)} > 0.5)
+SELECT app_id, 0 AS position, 'system' AS role, CAST(NULL AS VARCHAR) AS question, true AS grounded FROM d
+UNION ALL SELECT app_id, 1, 'human', question, CAST(NULL AS BOOLEAN) FROM d"""
     q["score_result"] = q["score_stream"] = valid + """
 SELECT app_id, CASE WHEN ok THEN 'SCORED' ELSE 'REJECTED' END AS status, array_to_string(violations, ',') AS violations,
        ok AS has_result, CASE WHEN ok THEN 10 END AS n_top, CASE WHEN ok THEN true END AS top_in_order,
