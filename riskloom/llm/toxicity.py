@@ -240,17 +240,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     by_label = chosen.mapInPandas(forms_of_texts, "form string, n long, label int").groupBy("form").agg(
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"),
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    # how many of all texts have a word; a stem counts as often as its words do
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
-    everywhere = (words.select(F.explode(F.array_compact(F.array(F.col("word"), *stems))).alias("form"), "n")
-                  .groupBy("form").agg(F.sum("n").alias("n")))
+    # how many of all texts have a form
+    words = texts.select(F.array_distinct(F.regexp_extract_all(
+        F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("words"))
+
+    def stems(k: int) -> Column:
+        return F.transform(F.filter("words", lambda w: F.length(w) > k),
+                           lambda w: F.concat(F.substring(w, F.lit(1), F.lit(k)), F.lit("*")))
+
+    forms = F.concat(F.col("words"), *[F.array_distinct(stems(k)) for k in STEMS])
+    everywhere = words.select(F.explode(forms).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n"))
     total = chosen.agg(F.count_if(F.col("_toxic") == 0).alias("n0"), F.count_if(F.col("_toxic") == 1).alias("n1")).first()
     if not total["n0"] or not total["n1"]:
         return Model({})
     mass = PRIOR * (total["n0"] + total["n1"])
-    prior = F.least(F.col("n") / F.lit(float(texts.count())), F.lit(1.0)) * F.lit(mass)
+    prior = F.col("n") / F.lit(float(texts.count())) * F.lit(mass)
 
     def log_odds(c: str) -> Column:
         a = F.col(c) + prior
