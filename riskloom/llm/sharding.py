@@ -19,8 +19,7 @@ many rows meet that row again, the join is one Spark splits when it is skewed.
 Slots are counted in ``parts`` for each shard dealt by a hash of the id and
 the row's number, so no task ranks a whole shard.
 
-Defined results: a null text has no bytes and forms a group of its own kind
-(null texts are equal to each other, not to empty texts); repeated rows get
+Defined results: a null text is the empty text (one group); repeated rows get
 slots of their own in the shard of their group.
 """
 
@@ -73,16 +72,15 @@ def _deal(bins: int):
 def assign(df: DataFrame, shards: int, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row."""
     spark = ready(df.sparkSession)
-    body = F.col(f"`{text}`").cast("string")
-    size = F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + ROW_BYTES
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    size = F.octet_length(body).cast("long") + ROW_BYTES
     n = partitions(spark)
     rows = keep(df.select(F.col(f"`{id_column}`").alias("doc_id"), size.alias("size"),
-                          F.crc32(F.coalesce(body, F.lit(""))).alias("text_crc32"),
-                          F.md5(body).alias("digest"),
+                          F.crc32(body).alias("text_crc32"), F.md5(body).alias("digest"),
                           F.pmod(F.xxhash64(F.col(f"`{id_column}`"), F.monotonically_increasing_id()), F.lit(n))
                           .cast("int").alias("part")), "shard-rows")
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    bucket = F.pmod(F.xxhash64(F.coalesce("digest", F.lit(""))), F.lit(n)).cast("int")
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
     dealt = (groups.withColumn("bucket", bucket).repartition(n, "bucket")
              .sortWithinPartitions("bucket", F.desc("bytes"), "digest")
              .mapInPandas(_deal(shards * FINE), "digest string, bytes long, bucket int, bin int"))
@@ -93,8 +91,7 @@ def assign(df: DataFrame, shards: int, text: str = "text", id_column: str = "doc
     loads["shard"] = schedule(loads["bytes"].to_numpy(), shards).astype("int32")
     plan = spark.createDataFrame(loads[["bucket", "bin", "shard"]], "bucket int, bin int, shard int")
     where = dealt.join(plan, ["bucket", "bin"]).select("digest", "shard")
-    placed = rows.join(where.withColumnRenamed("digest", "of"), same(F.col("digest"), F.col("of"))).drop("of")
-    return _with_slots(placed)
+    return _with_slots(rows.join(where, "digest"))
 
 
 def _with_slots(placed: DataFrame) -> DataFrame:
