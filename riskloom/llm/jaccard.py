@@ -14,11 +14,11 @@ How the work is dealt out:
 1. Texts with equal sets fold into one class by a digest of the set.
 2. Linked sets of sizes m and n differ in at most (m + n) / 19 hashes.  The
    hashes are dealt over one more *segment* than that by value, so that two
-   linked sets agree in a whole segment.  Sizes fall into steps of 1 / 0.9, so
-   linked sets are in the same or in neighbouring steps; a set states the
-   content of its segments for its own step and for the one above.  Classes
-   that state the same content form candidate groups: rows of a key and a
-   digest, grouped map-side, whose members are linked to their least one.
+   linked sets agree in a whole segment.  Sizes fall into steps; a set states
+   the content of its segments for its own step, and for the next one if a
+   linked set can be in it.  Classes that state the same content form
+   candidate groups: rows of a key and 64 bits of the digest, grouped
+   map-side, whose members are linked to their least one.
    Texts that merely share passages or phrases do not agree in a whole segment.
    A segment that is empty is stated too: nothing linked is missed.
 3. Connected components of these candidates are joined by tries, each in one
@@ -108,9 +108,10 @@ def digest_of(shingles: np.ndarray) -> bytes:
 
 
 def _step_starts(up_to: int) -> list[int]:
+    """First sizes of the steps; each step is about half as large again as the one before."""
     starts = [1]
     while starts[-1] <= up_to:
-        starts.append(starts[-1] * 100 // PERCENT + 1)
+        starts.append(max(starts[-1] + 1, starts[-1] * 3 // 2))
     return starts
 
 
@@ -120,19 +121,28 @@ class Steps:
     def __init__(self):
         self.starts = np.array(_step_starts(1 << 20))
 
-    def of(self, n: int) -> int:
-        if n >= self.starts[-1]:
-            self.starts = np.array(_step_starts(2 * n))
-        return int(np.searchsorted(self.starts, n, side="right")) - 1
+    def _reach(self, n: int) -> None:
+        if n >= self.starts[-3]:
+            self.starts = np.array(_step_starts(4 * n))
+
+    def of(self, n: int) -> list[int]:
+        """The step of a size, and the next one if a linked set can be in it.  (Steps grow by more
+        than 1 / 0.9 or hold one size, so it cannot be further up.)"""
+        self._reach(n)
+        step = int(np.searchsorted(self.starts, n, side="right")) - 1
+        return [step, step + 1] if n * 100 // PERCENT >= self.starts[step + 1] else [step]
 
     def segments(self, step: int) -> int:
         """One more than the hashes in which linked sets up to this step's largest size can differ."""
-        if step + 1 >= len(self.starts):
-            self.starts = np.array(_step_starts(int(self.starts[-1]) * 4))
         largest = int(self.starts[step + 1]) - 1
         return 2 * largest * (100 - PERCENT) // (100 + PERCENT) + 1
 
 
+def stated_keys(shingles: np.ndarray, steps: Steps) -> np.ndarray:
+    """All segment keys of a set."""
+    return np.concatenate([segment_keys(shingles, k, steps.segments(k)) for k in steps.of(len(shingles))])
+
+
 def segment_keys(shingles: np.ndarray, step: int, count: int) -> np.ndarray:
     """For each of ``count`` segments a hash of its content, the step and its number.
 
@@ -270,9 +280,7 @@ def _read_sets(docs: DataFrame) -> DataFrame:
                 if not len(s):
                     out.append((0, None, None))
                     continue
-                step = steps.of(len(s))
-                keys = [segment_keys(s, k, steps.segments(k)) for k in (step, step + 1)]
-                out.append((len(s), digest_of(s), np.concatenate(keys)))
+                out.append((len(s), digest_of(s), stated_keys(s, steps)))
             yield pd.DataFrame(out, columns=["n", "digest", "keys"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), read("text").alias("set")).select(
@@ -288,11 +296,8 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     full = rows.filter("digest IS NOT NULL")
     classes = keep(full.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"),
                                               F.min(F.struct("doc_id", "text_hash")).alias("at")), "jaccard-classes")
-    # rows of a class have the same keys
-    stated = (full.join(classes.select(F.col("digest").alias("of"), "at"),
-                        (F.col("digest") == F.col("of")) & same(F.col("doc_id"), F.col("at.doc_id"))
-                        & (F.col("text_hash") == F.col("at.text_hash")), "left_semi")
-              .select(_short("digest").alias("node"), F.explode("keys").alias("key")))
+    # the rows of a class state the same keys: they fall together map-side, or in distinct()
+    stated = full.select(_short("digest").alias("node"), F.explode("keys").alias("key"))
     groups = stated.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     candidates = stated.join(groups.select("key", "least"), "key").select("node", "least").distinct()
     grouped = keep(components(candidates, "node", "least"), "jaccard-candidates")
