@@ -32,15 +32,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
-from itertools import groupby
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, same
+from .common import keep, ready, same
 from .urls import host_of
 
 # Element names by their role in a page.
@@ -359,7 +357,10 @@ def templates(classes: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", to: str = "text") -> DataFrame:
     """``pages`` with the main text of every page in ``to``."""
-    found = templates(equivalence_classes(pages.select(url, source), url, source)).withColumnsRenamed(
+    # written: the template reads the classes twice, and pages are only shuffled to their host's
+    # template if all templates together are over the session's broadcast threshold
+    classes = keep(equivalence_classes(pages.select(url, source), url, source), "html-classes")
+    found = keep(templates(classes), "html-templates").withColumnsRenamed(
         {"host": "_host", "slot": "_slot", "constant": "_constant"})
 
     @F.pandas_udf("string")
