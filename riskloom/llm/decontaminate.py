@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import same
+from .common import keep, same
 
 WORDS, THRESHOLD = 5, 0.8
 
@@ -79,7 +79,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     lookup = signed.select("item_key", F.explode("signature").alias("hash"))
     held = F.filter("hashes", lambda h: h <= widest)
     probes = with_hashes(texts, "text", "hashes").select("doc_id", "doc_hash", F.explode(held).alias("hash"))
-    found = probes.join(lookup, "hash").select("doc_id", "doc_hash", "item_key").distinct()
+    # written: texts are only shuffled to their candidates if these are over the session's broadcast threshold
+    found = keep(probes.join(lookup, "hash").select("doc_id", "doc_hash", "item_key").distinct(), "contained-candidates")
 
     exact = with_shingles(tests, "item_text", "item_shingles").select("item_id", "item_key", "item_shingles")
     pairs = found.join(exact, "item_key")
