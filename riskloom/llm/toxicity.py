@@ -9,8 +9,8 @@ Method: maximum-scoring segment search.
 2. A form's log-odds between the labels has an informative Dirichlet prior:
    the form's frequency in all texts, worth ``PRIOR`` texts for each one of the
    labelled sample.  Forms that are frequent everywhere thus need more evidence.
-   Forms whose z value reaches ``Z`` keep their log-odds, all others cost
-   ``DRIFT``; a word scores the best of its forms.
+   Forms whose z value reaches ``Z`` and whose log-odds reach ``LEAST_ODDS``
+   keep them, all others cost ``DRIFT``; a word scores the best of its forms.
 3. A linear-time scan (Ruzzo and Tompa) finds every maximal scoring segment.
 4. Extreme-value calibration (Karlin and Altschul): with ``lam`` solving
    ``E[exp(lam * score)] = 1`` over words of clean texts, a segment of score S
@@ -52,6 +52,8 @@ from .common import ready
 SAMPLE = 20_000
 #: z value that a form's log-odds must reach; cost of any other word; largest chance of a reported segment.
 Z, DRIFT, SIGNIFICANT = 2.5, 0.35, 0.01
+#: Log-odds that a form must reach: words that are merely a little more frequent are no evidence.
+LEAST_ODDS = 2.0
 #: Texts the prior is worth, for each text of the labelled sample.
 PRIOR = 0.1
 #: Letters of the word stems that count as forms.
@@ -263,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     odds = (by_label.filter((F.col("n1") > 0) & (F.col("n0") + F.col("n1") >= 3)).join(everywhere, "form")
             .withColumn("odds", log_odds("n1") - log_odds("n0"))
             .withColumn("sd", F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior)))
-            .filter(F.col("odds") / F.col("sd") >= Z).select("form", "odds"))
+            .filter((F.col("odds") >= LEAST_ODDS) & (F.col("odds") / F.col("sd") >= Z)).select("form", "odds"))
     model = Model({r["form"]: float(r["odds"]) for r in odds.collect()})  # some forms of the sample's texts
     sent = model.to_json()
 
