@@ -160,7 +160,10 @@ def with_next(df: DataFrame, order: str = "doc_id", text: str = "text") -> DataF
     n = 4 * partitions(spark)
     # layout only: the ranges' bounds, one for each bucket
     bounds = rows.agg(F.percentile_approx("order", [k / n for k in range(1, n)], 20 * n)).first()[0] or []
-    bucket = F.when(F.col("order").isNull(), -1).otherwise(_range_of(F.col("order"), sorted(set(bounds))))
+    # rows without an order may be many: they have buckets of their own, by ranges of the text's hash
+    bits = max(1, (n - 1).bit_length())
+    ranked = F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
+    bucket = F.when(F.col("order").isNull(), -1 - ranked).otherwise(_range_of(F.col("order"), sorted(set(bounds))))
     rows = rows.withColumn("bucket", bucket.cast("int"))
     first = rows.groupBy("bucket").agg(F.max("order").alias("order")).collect()  # a row for each bucket
     if not first:
@@ -168,9 +171,10 @@ def with_next(df: DataFrame, order: str = "doc_id", text: str = "text") -> DataF
                            F.col("text").alias("next"))
     turn = sorted((r["bucket"] for r in first), reverse=True)
     before = dict(zip(turn, [turn[-1], *turn[:-1]], strict=True))
-    heads = spark.createDataFrame([(r["order"], before[r["bucket"]]) for r in first], "head long, into int")
-    # at most 4 rows for each shuffle partition
-    found = rows.join(F.broadcast(heads), same(F.col("order"), F.col("head")))
+    heads = spark.createDataFrame([(r["bucket"], r["order"], before[r["bucket"]]) for r in first],
+                                  "of int, head long, into int")
+    # at most 12 rows for each shuffle partition
+    found = rows.join(F.broadcast(heads), (F.col("bucket") == F.col("of")) & same(F.col("order"), F.col("head")))
     sentinels = (found.groupBy("into", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
                  .select("order", "text", F.col("into").alias("bucket"), F.lit(1).alias("sentinel")))
     both = rows.withColumn("sentinel", F.lit(0)).unionByName(sentinels)

@@ -97,6 +97,18 @@ def test_odd_one_and_no_rows(spark, tmp_path):
     assert queries.op9_fingerprints(spark, none).count() == 0
 
 
+def test_rows_without_id_come_last_by_hash(spark):
+    texts = [f"text number {k} of some" for k in range(200)]
+    rows = [(None if k % 3 else k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    hashes = {r.text: r.h for r in df.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    following = {t: order[(k + 1) % 200][1] for k, (_, t) in enumerate(order)}
+    got = fingerprint.with_next(df).filter("sentinel = 0").collect()
+    assert len(got) == 200 and all(r.next == following[r.text] for r in got)
+    assert len({r.bucket for r in got if r.order is None}) > 10
+
+
 def test_native(spark):
     plan = queries.op9_fingerprints(spark, TINY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
