@@ -7,7 +7,6 @@ codegen compiles into a single stage.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
