@@ -56,6 +56,8 @@ WORDS = 3
 PERCENT = 90
 #: Classes and shingles of a block, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 400_000
+#: Bits of the filter that holds back texts without candidates (1 MB).
+SIFT_BITS = 1 << 23
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -340,6 +342,35 @@ def _short(digest: str) -> Column:
     return F.xxhash64(digest)
 
 
+def _sift(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``texts`` without most rows that are no member, so that few texts are shuffled to the members.
+
+    A Bloom filter of ``SIFT_BITS`` bits, whatever the input: it lets every member pass, and the
+    join decides.  With many more members than bits it lets everything pass.
+    """
+    mask = SIFT_BITS - 1
+
+    def bits(key: Column) -> list[Column]:
+        return [key.bitwiseAND(mask), F.shiftrightunsigned(key, 32).bitwiseAND(mask)]
+
+    places = members.select(F.explode(F.array(*bits(F.xxhash64("at.doc_id", "at.text_hash")))).alias("bit"))
+    rows = places.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("held")).toPandas()
+    words = np.zeros(SIFT_BITS // 64, dtype=np.int64)
+    words[rows["word"].to_numpy(dtype=np.int64)] = rows["held"].to_numpy(dtype=np.int64)
+    held = texts.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def passes(first: pd.Series, second: pd.Series) -> pd.Series:
+        ok = np.ones(len(first), dtype=bool)
+        for place in (first, second):
+            at = place.to_numpy(dtype=np.uint64)
+            ok &= (held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
+        return pd.Series(ok)
+
+    return texts.filter(passes(*bits(F.xxhash64("doc_id", "text_hash"))))
+
+
 def _verified(source: DataFrame, classes: DataFrame, grouped: DataFrame) -> DataFrame:
     """Links (a, b) between classes, a spanning forest of each component at least."""
     spark = source.sparkSession
@@ -348,7 +379,7 @@ def _verified(source: DataFrame, classes: DataFrame, grouped: DataFrame) -> Data
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("count") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     members = keep(members.join(sizes.select("root", blocks.alias("blocks")), "root"), "jaccard-members")
-    texts = source.withColumn("text_hash", F.xxhash64("text"))
+    texts = _sift(source.withColumn("text_hash", F.xxhash64("text")), members)
     found = texts.join(members, same(texts["doc_id"], F.col("at.doc_id")) & (texts["text_hash"] == F.col("at.text_hash")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
