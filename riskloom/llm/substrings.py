@@ -11,7 +11,7 @@ needs a few chunks until two texts cut alike again.)  Stretches without a cut
 are cut every ``LONGEST`` bytes.  Chunks are variable: ``RADIUS`` + 1 to
 ``LONGEST`` bytes, about twice ``RADIUS``.
 
-Chunks are deduplicated by a 128-bit digest: the first place by (doc_id, text
+Chunks are deduplicated by a 96-bit digest: the first place by (doc_id, text
 hash, start) keeps a chunk, all other places repeat it.  Digests are counted
 map-side; the places meet the few repeated digests in a join that Spark splits
 where a digest is hot.  Neighbouring repeated chunks of a text form a run; runs
@@ -30,14 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, ready, same
 
 WINDOW, RADIUS, LONGEST = 16, 24, 256
 LEAST_WORDS = 25
+#: Bytes of a digest: 96 bits, so that even 10**13 chunks hold no two that share one by chance.
+DIGEST_BYTES = 12
+#: Texts a worker cuts at a time.
+BATCH = 256
 
 
 def _gear_table() -> np.ndarray:
@@ -93,52 +98,70 @@ def cuts(data: bytes) -> np.ndarray:
     return ends
 
 
-def chunk_rows(text: str) -> dict[str, list]:
-    """Starts, lengths, words and digests of a text's chunks."""
+def chunk_rows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Starts, sizes, words and digests of a text's chunks."""
     data = text.encode("utf-8", "surrogatepass")
     ends = cuts(data)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    raw = np.frombuffer(data, dtype=np.uint8)
-    blank = raw <= 32
-    begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(raw) else raw  # of words
-    words = np.diff(np.searchsorted(begins, np.append(starts, len(data)))) if len(ends) else ends
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    blank = np.frombuffer(data, dtype=np.uint8) <= 32
+    begins = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))  # of words
+    words = np.diff(np.searchsorted(begins, np.append(starts, len(data))))
     digest = xxhash.xxh3_128_digest
-    return {"start": starts.astype(np.int32), "size": (ends - starts).astype(np.int32), "words": words.astype(np.int32),
-            "digest": [digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]}
+    return starts, ends - starts, words, [digest(data[a:b])[:DIGEST_BYTES] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text_hash, text -> a row for each chunk, some hundred texts at a time."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(first, BATCH)
+            at, parts = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                if text:
+                    parts.append(chunk_rows(text))
+                    at.append(np.full(len(parts[-1][0]), k))
+            if not parts:
+                continue
+            rows = pa.array(np.concatenate(at))
+            starts, sizes, words = (pa.array(np.concatenate([p[k] for p in parts]).astype(np.int32)) for k in range(3))
+            digests = pa.array([d for p in parts for d in p[3]], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), starts, sizes, words, digests],
+                names=["doc_id", "text_hash", "start", "size", "words", "digest"])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, no, start, size, words, digest: all chunks of all texts."""
+    """doc_id, text_hash, start, size, words, digest: all chunks of all texts."""
     ready(docs.sparkSession)
+    text = docs["text"].cast("string")
+    source = docs.select("doc_id", text_hash(text).alias("text_hash"), text.alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(_cut, f"doc_id {kind}, text_hash int, start int, size int, words int, digest binary")
 
-    @F.pandas_udf("array<struct<start:int,size:int,words:int,digest:binary>>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: [dict(zip(("start", "size", "words", "digest"), r, strict=True))
-                                   for r in zip(*chunk_rows(t).values(), strict=True)] if t else [], na_action=None)
 
-    text = docs["text"].cast("string")
-    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.posexplode(cut(text)).alias("no", "c")).select(
-        "doc_id", "text_hash", "no", "c.*")
+def text_hash(text: Column) -> Column:
+    """Tells apart texts of one id (32 bits are enough for that)."""
+    return F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")
 
 
 def repeated_chunks(found: DataFrame) -> DataFrame:
     """The chunks whose digest occurs earlier, with the document that keeps it (first_doc_id)."""
-    place = F.struct("doc_id", "text_hash", "start")
-    firsts = (found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-              .filter("first <> last").select(F.col("digest").alias("of"), "first"))
+    firsts = (found.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"),
+                                          F.count(F.lit(1)).alias("times"))
+              .filter("times > 1").select(F.col("digest").alias("of"), "first"))
     met = found.join(firsts, F.col("digest") == F.col("of"))
     kept = (same(F.col("doc_id"), F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
             & (F.col("start") == F.col("first.start")))
-    return met.filter(~kept).select("doc_id", "text_hash", "no", "start", "size", "words",
+    return met.filter(~kept).select("doc_id", "text_hash", "start", "size", "words",
                                     F.col("first.doc_id").alias("first_doc_id"))
 
 
 def passages(repeated: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_hash, start, end (bytes), n_chunks, n_words, first_doc_ids: runs of repeated chunks."""
-    rows = repeated.dropDuplicates(["doc_id", "text_hash", "no"])
-    text = Window.partitionBy("doc_id", "text_hash").orderBy("no")
-    runs = rows.withColumn("run", F.col("no") - F.row_number().over(text))
+    rows = repeated.dropDuplicates(["doc_id", "text_hash", "start"])
+    text = Window.partitionBy("doc_id", "text_hash").orderBy("start")
+    begins = F.coalesce((F.lag("start").over(text) + F.lag("size").over(text) != F.col("start")).cast("int"), F.lit(1))
+    runs = rows.withColumn("begins", begins).withColumn("run", F.sum("begins").over(text))
     grouped = runs.groupBy("doc_id", "text_hash", "run").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"),
         F.count(F.lit(1)).alias("n_chunks"), F.sum("words").alias("n_words"),
@@ -154,7 +177,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the passages cut out of their texts."""
     ready(docs.sparkSession)
-    spans = found.groupBy(F.col("doc_id").alias("_id"), "text_hash").agg(
+    spans = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
 
     @F.pandas_udf("string")
@@ -170,6 +193,6 @@ def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
             return "".join(p.decode("utf-8", "ignore") for p in parts)
         return pd.Series([one(t, c) for t, c in zip(texts, spans, strict=True)], dtype=object)
 
-    at = same(docs["doc_id"], F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("text_hash"))
+    at = same(docs["doc_id"], F.col("_id")) & (text_hash(docs["text"].cast("string")) == F.col("_hash"))
     return (docs.join(spans, at, "left").withColumn("text", cut_out(docs["text"].cast("string"), "_spans"))
             .select(*docs.columns))
