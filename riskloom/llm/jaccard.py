@@ -1,7 +1,8 @@
 """N-gram Jaccard join of whole texts (operator 8).
 
-A text is the set of its distinct three-word shingles (64-bit hashes); two
-texts link when ``100 * |a & b| >= 90 * |a | b|``.
+A text is the set of its distinct shingles of ``words`` words (64-bit hashes);
+two texts link when ``100 * |a & b| >= percent * |a | b|``.  The query's rule is
+three words and 90; steps, segments and bounds below follow from the two.
 
 Method: prefix-tree join.  Sets, as ascending hashes (one order for all), are
 stored in a trie whose chains are joined to one node; for each set the trie is
@@ -12,7 +13,8 @@ lengths below it allow.
 How the work is dealt out:
 
 1. Texts with equal sets fold into one class by a digest of the set.
-2. Linked sets of sizes m and n differ in at most (m + n) / 19 hashes.  The
+2. Linked sets of sizes m and n differ in at most (m + n) / 19 hashes (at 90
+   percent; (m + n) / 9 at 80).  The
    hashes are dealt over one more *segment* than that by value, so that two
    linked sets agree in a whole segment.  Sizes fall into steps; a set states
    the content of its segments for its own step, and for the next one if a
@@ -28,7 +30,7 @@ How the work is dealt out:
 4. The components of the links are the result.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased.  Defined
-results: a text of one or two words has its whole sequence as one shingle;
+results: a text of fewer than ``words`` words has its whole sequence as one shingle;
 null, empty and blank texts have an empty set, link with nothing and are their
 own component; a null id is its own component unless its text is linked to one
 with an id; repeated rows are linked copies; a component without any id has a
@@ -40,6 +42,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 from itertools import groupby
 
 import numpy as np
@@ -51,9 +54,8 @@ from pyspark.sql import functions as F
 from .common import keep, partitions, ready, same
 from .components import components
 
-WORDS = 3
-#: Links need 100 * overlap >= PERCENT * union.
-PERCENT = 90
+#: The query's rule: words of a shingle; links need 100 * overlap >= PERCENT * union.
+WORDS, PERCENT = 3, 90
 #: Classes and shingles of a block, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 400_000
 #: Bits of the filter that holds back texts without candidates (1 MB).
@@ -76,9 +78,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Word hashes, remembered up to a bound."""
 
-    def __init__(self, memory: int = 400_000):
+    def __init__(self, memory: int = 400_000, size: int = WORDS):
         self.known: dict[str, int] = {}
-        self.memory = memory
+        self.memory, self.size = memory, size
 
     def words(self, words: list[str]) -> np.ndarray:
         known = self.known
@@ -98,7 +100,7 @@ class Hasher:
         if not w:
             return np.empty(0, dtype=np.uint64)
         h = self.words(w)
-        k = min(WORDS, len(h))
+        k = min(self.size, len(h))
         acc = np.full(len(h) - k + 1, k, dtype=np.uint64)
         for i in range(k):
             acc = _mix(acc * _M2 + h[i:len(h) - k + 1 + i])
@@ -109,43 +111,45 @@ def digest_of(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _step_starts(up_to: int) -> list[int]:
-    """First sizes of the steps; each step is about half as large again as the one before."""
+def _step_starts(up_to: int, percent: int = PERCENT) -> list[int]:
+    """First sizes of the steps; each step is about half as large again as the one before, or more if
+    linked sets may differ by more than that."""
     starts = [1]
     while starts[-1] <= up_to:
-        starts.append(max(starts[-1] + 1, starts[-1] * 3 // 2))
+        starts.append(max(starts[-1] + 1, starts[-1] * 3 // 2, -(-starts[-1] * 100 // percent)))
     return starts
 
 
 class Steps:
     """Size steps, extended as sizes need them."""
 
-    def __init__(self):
-        self.starts = np.array(_step_starts(1 << 20))
+    def __init__(self, percent: int = PERCENT):
+        self.percent = percent
+        self.starts = np.array(_step_starts(1 << 20, percent))
 
     def _reach(self, n: int) -> None:
         if n >= self.starts[-3]:
-            self.starts = np.array(_step_starts(4 * n))
+            self.starts = np.array(_step_starts(4 * n, self.percent))
 
     def of(self, n: int) -> list[int]:
         """The step of a size, and the next one if a linked set can be in it.  (Steps grow by more
-        than 1 / 0.9 or hold one size, so it cannot be further up.)"""
+        than 100 / percent or hold one size, so it cannot be further up.)"""
         self._reach(n)
         step = int(np.searchsorted(self.starts, n, side="right")) - 1
-        return [step, step + 1] if n * 100 // PERCENT >= self.starts[step + 1] else [step]
+        return [step, step + 1] if n * 100 // self.percent >= self.starts[step + 1] else [step]
 
     def segments(self, step: int) -> int:
         """One more than the hashes in which linked sets up to this step's largest size can differ."""
         largest = int(self.starts[step + 1]) - 1
-        return 2 * largest * (100 - PERCENT) // (100 + PERCENT) + 1
+        return 2 * largest * (100 - self.percent) // (100 + self.percent) + 1
 
 
 def stated_keys(shingles: np.ndarray, steps: Steps) -> np.ndarray:
     """All segment keys of a set."""
-    return np.concatenate([segment_keys(shingles, k, steps.segments(k)) for k in steps.of(len(shingles))])
+    return np.concatenate([segment_keys(shingles, k, steps.segments(k), steps.percent) for k in steps.of(len(shingles))])
 
 
-def segment_keys(shingles: np.ndarray, step: int, count: int) -> np.ndarray:
+def segment_keys(shingles: np.ndarray, step: int, count: int, percent: int = PERCENT) -> np.ndarray:
     """For each of ``count`` segments a hash of its content, the step and its number.
 
     The key of an empty segment would group strangers.  It is needed only if two linked sets may
@@ -161,7 +165,7 @@ def segment_keys(shingles: np.ndarray, step: int, count: int) -> np.ndarray:
     place = np.arange(count, dtype=np.uint64) + np.uint64(step) * np.uint64(1 << 40)
     keys = _mix(_mix(sums + place) + other).view(np.int64)
     filled = np.bincount(at, minlength=count) > 0
-    differ = (n + n * 100 // PERCENT) * (100 - PERCENT) // (100 + PERCENT)
+    differ = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
     return keys if filled.sum() <= differ else keys[filled]
 
 
@@ -209,13 +213,13 @@ def build(sets: list[list[int]], which: list[int]) -> Node:
     return root
 
 
-def linked(overlap: int, m: int, n: int) -> bool:
-    return 100 * overlap >= PERCENT * (m + n - overlap)
+def linked(overlap: int, m: int, n: int, percent: int = PERCENT) -> bool:
+    return 100 * overlap >= percent * (m + n - overlap)
 
 
-def search(trie: Node, x: frozenset, ascending: list[int], skip) -> Iterator[int]:
+def search(trie: Node, x: frozenset, ascending: list[int], skip, percent: int = PERCENT) -> Iterator[int]:
     """Sets of the trie that link with x; those for which ``skip`` is true are not looked at."""
-    n, both = len(x), 100 + PERCENT
+    n, both = len(x), 100 + percent
     todo = [(trie, 0, 0)]  # node, overlap, hashes above it that x lacks
     while todo:
         node, overlap, lacking = todo.pop()
@@ -223,14 +227,14 @@ def search(trie: Node, x: frozenset, ascending: list[int], skip) -> Iterator[int
             shared = len(node.hashes & x)
             overlap += shared
             lacking += len(node.hashes) - shared
-        # a set of m hashes needs an overlap of at least PERCENT * (m + n) / both
-        if lacking * both > 100 * node.most - PERCENT * n:
+        # a set of m hashes needs an overlap of at least percent * (m + n) / both
+        if lacking * both > 100 * node.most - percent * n:
             continue
         passed = bisect_right(ascending, node.last) if node.hashes else 0
-        if (passed - overlap) * both > 100 * n - PERCENT * node.least:
+        if (passed - overlap) * both > 100 * n - percent * node.least:
             continue  # x has too many hashes that no set below has
         for m in node.ends:
-            if not skip(m) and linked(overlap, overlap + lacking, n):
+            if not skip(m) and linked(overlap, overlap + lacking, n, percent):
                 yield m
         for child in node.children:
             if not (not child.children and len(child.ends) == 1 and skip(child.ends[0])):
@@ -255,14 +259,14 @@ class Forest:
         return x != y
 
 
-def join_cell(sets: list[np.ndarray], left: list[int], right: list[int]) -> list[tuple[int, int]]:
+def join_cell(sets: list[np.ndarray], left: list[int], right: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets in ``left`` and those in ``right`` (which may
     be the same list: links within it)."""
     lists = [s.tolist() for s in sets]
     trie, forest, out = build(lists, right), Forest(len(sets)), []
     for x in left:
         xs = frozenset(lists[x])
-        for y in search(trie, xs, lists[x], lambda m, x=x: m == x or forest.find(m) == forest.find(x)):
+        for y in search(trie, xs, lists[x], lambda m, x=x: m == x or forest.find(m) == forest.find(x), percent):
             if forest.join(x, y):
                 out.append((x, y))
     return out
@@ -270,11 +274,11 @@ def join_cell(sets: list[np.ndarray], left: list[int], right: list[int]) -> list
 
 # ---- Spark ----
 
-def _read_sets(docs: DataFrame) -> DataFrame:
+def _read_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, digest (null: an empty set) and segment keys of every row."""
     @F.pandas_udf("struct<n:bigint,digest:binary,keys:array<bigint>>")
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hasher, steps = Hasher(), Steps()
+        hasher, steps = Hasher(size=size), Steps(percent)
         for batch in texts:
             out = []
             for t in batch:
@@ -289,11 +293,14 @@ def _read_sets(docs: DataFrame) -> DataFrame:
         "doc_id", "text_hash", F.col("set.n").alias("n_shingles"), "set.digest", "set.keys")
 
 
-def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS,
+                percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and class (null: an empty set) of every row."""
-    spark = ready(docs.sparkSession)
+    if words < 1 or not 1 <= percent <= 100:
+        raise ValueError(f"words {words} and percent {percent}: at least one word, 1 to 100 percent")
+    ready(docs.sparkSession)
     source = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    rows = keep(_read_sets(source), "jaccard-sets")
+    rows = keep(_read_sets(source, words, percent), "jaccard-sets")
     # a class for each set, and one of its rows, from which the set can be read again
     full = rows.filter("digest IS NOT NULL")
     classes = keep(full.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"),
@@ -303,7 +310,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     groups = stated.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     candidates = stated.join(groups.select("key", "least"), "key").select("node", "least").distinct()
     grouped = keep(components(candidates, "node", "least"), "jaccard-candidates")
-    links = _verified(source, classes, grouped)
+    links = _verified(source, classes, grouped, words, percent)
     linked_classes = components(links, "a", "b")
     # the least id of each component; classes without links are components of their own
     placed = classes.join(linked_classes.withColumnRenamed("node", "of"), F.col("digest") == F.col("of"), "left")
@@ -315,13 +322,13 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
                     .otherwise(F.col("component_id")).alias("component_id"), "root", "class"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any other columns) without near copies.
 
     Of each component the row of the least id stays (null last; of one id, the least text hash).
     Rows with an empty set are in no group and stay.  Of rows that repeat id and text one stays.
     """
-    found = near_copies(docs).filter("root IS NOT NULL")
+    found = near_copies(docs, words=words, percent=percent).filter("root IS NOT NULL")
     rows = keep(found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")), "jaccard-rows")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
@@ -371,7 +378,7 @@ def _sift(texts: DataFrame, members: DataFrame) -> DataFrame:
     return texts.filter(passes(*bits(F.xxhash64("doc_id", "text_hash"))))
 
 
-def _verified(source: DataFrame, classes: DataFrame, grouped: DataFrame) -> DataFrame:
+def _verified(source: DataFrame, classes: DataFrame, grouped: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes, a spanning forest of each component at least."""
     spark = source.sparkSession
     n = partitions(spark)
@@ -383,7 +390,7 @@ def _verified(source: DataFrame, classes: DataFrame, grouped: DataFrame) -> Data
     found = texts.join(members, same(texts["doc_id"], F.col("at.doc_id")) & (texts["text_hash"] == F.col("at.text_hash")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
+        hasher = Hasher(size=size)
         for df in batches:
             packed = [hasher.shingles(t) for t in df["text"]]
             good = [digest_of(s) == bytes(d) for s, d in zip(packed, df["digest"], strict=True)]
@@ -399,10 +406,10 @@ def _verified(source: DataFrame, classes: DataFrame, grouped: DataFrame) -> Data
     cells = (packed.withColumn("block", block).select("root", "digest", "packed", "block", F.explode(pair).alias("cell"))
              .select("root", "cell.i", "cell.j", "block", "digest", "packed")
              .repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j", "digest"))
-    return keep(cells.mapInPandas(_join_cells, "a binary, b binary"), "jaccard-links")
+    return keep(cells.mapInPandas(partial(_join_cells, percent=percent), "a binary, b binary"), "jaccard-links")
 
 
-def _join_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _join_cells(batches: Iterator[pd.DataFrame], percent: int = PERCENT) -> Iterator[pd.DataFrame]:
     """Rows sorted by cell: the links of each cell, one cell in memory at a time."""
     def rows():
         for df in batches:
@@ -420,7 +427,7 @@ def _join_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 right.append(len(sets))
             digests.append(bytes(digest))
             sets.append(np.frombuffer(bytes(packed), dtype=np.uint64))
-        out += [(digests[a], digests[b]) for a, b in join_cell(sets, left, right)]
+        out += [(digests[a], digests[b]) for a, b in join_cell(sets, left, right, percent)]
         if len(out) > 50_000:
             yield pd.DataFrame(out, columns=["a", "b"])
             out = []

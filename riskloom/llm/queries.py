@@ -76,8 +76,8 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near copies of every text of ``documents``."""
-    return jaccard.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_shingles", "component_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_copies(docs, words=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
