@@ -7,8 +7,13 @@ below all others within ``RADIUS`` bytes on either side.  This rule looks at
 nothing but the bytes around a place, so an insertion moves no cut beyond its
 neighbourhood, and equal passages are cut alike wherever they stand.  (The
 usual masked rule with a least chunk size depends on the cut before, and
-needs a few chunks until two texts cut alike again.)  Stretches without a cut
-are cut every ``LONGEST`` bytes.  Chunks are variable: ``RADIUS`` + 1 to
+needs a few chunks until two texts cut alike again.)  Periodic text has no such
+place, its least hash comes back with every period.  There the least places are
+the same in every period, and a chunk ends at each of them that is ``TIED``
+bytes or a little more after the last: it is a whole number of periods from a
+phase that depends on the period's bytes alone, so all chunks of a run are
+equal, also to those of the run elsewhere.  A stretch without any least place
+is cut every ``LONGEST`` bytes.  Chunks are variable: ``RADIUS`` + 1 to
 ``LONGEST`` bytes, about twice ``RADIUS``.
 
 Chunks are deduplicated by a 96-bit digest: the first place by (doc_id, text
@@ -38,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import keep, ready, same
 
 WINDOW, RADIUS, LONGEST = 16, 24, 256
+#: Bytes of a chunk of periodic text, rounded up to whole periods.
+TIED = 64
 LEAST_WORDS = 25
 #: Bytes of a digest: 96 bits, so that even 10**13 chunks hold no two that share one by chance.
 DIGEST_BYTES = 12
@@ -78,6 +85,16 @@ def _least_within(h: np.ndarray, radius: int) -> np.ndarray:
     return np.minimum(low[:n], low[radius - span:radius - span + n])
 
 
+def _thinned(tied: np.ndarray) -> np.ndarray:
+    """Of places that are least together with others near them: the first of each run and those whole
+    periods of ``TIED`` bytes or more after it."""
+    gaps = np.diff(tied)
+    first = np.flatnonzero(np.concatenate([[True], gaps > RADIUS]))
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tied))))
+    period = np.append(gaps, LONGEST)[first]  # a run of one place has no second one
+    return tied[(np.arange(len(tied)) - first[run]) % -(-TIED // period)[run] == 0]
+
+
 def cuts(data: bytes) -> np.ndarray:
     """Ends of the chunks of a text, the last one its length."""
     n = len(data)
@@ -86,7 +103,12 @@ def cuts(data: bytes) -> np.ndarray:
     h = gear_hash(np.frombuffer(data, dtype=np.uint8))
     before = _least_within(h, RADIUS)
     after = _least_within(h[::-1].copy(), RADIUS)[::-1]
-    found = np.flatnonzero((h < before) & (h < after)) + 1
+    least = (h <= before) & (h <= after)
+    alone = (h < before) & (h < after)
+    found = np.flatnonzero(alone) + 1
+    tied = np.flatnonzero(least & ~alone) + 1
+    if len(tied):
+        found = np.union1d(found, _thinned(tied))
     # the first and last places are cut by the text's ends, not by its content
     found = found[(found > RADIUS) & (found < n - RADIUS)]
     ends = np.append(found, n)

@@ -103,3 +103,22 @@ def test_odd_and_empty(spark, tmp_path):
     assert out.columns == odd.columns and out.count() == odd.count()
     assert out.filter(F.col("doc_id") == 10).first().text == odd.filter("doc_id = 10").first().text
     assert substrings.repeated_passages(empty_documents(spark)).count() == 0
+
+
+def test_periodic_runs_are_cut_alike_in_any_context():
+    rng = random.Random(31)
+    for period, size in (("thatin ", 400), ("thatin ", 1000), ("rewh ", 300), ("spam eggs ", 5000), ("x ", 200)):
+        body = (period * (size // len(period) + 1))[:size]
+        for _ in range(20):
+            held = set(substrings.chunk_rows(f"{prose(rng, 90)} {body}{prose(rng, 90)}")[3])
+            _, _, words, digests = substrings.chunk_rows(f"{prose(rng, 70)}. {body}{prose(rng, 70)}")
+            run, most = 0, 0
+            for w, d in zip(words.tolist(), digests, strict=True):
+                run = run + w if d in held else 0
+                most = max(most, run)
+            assert most >= substrings.LEAST_WORDS
+
+
+def test_long_periodic_texts_keep_few_chunks():
+    for text in (b"x" * 50_000, b"word " * 30_000, b"ab" * 40_000):
+        assert len(substrings.cuts(text)) < len(text) / 60
