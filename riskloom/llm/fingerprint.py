@@ -11,8 +11,9 @@ A paragraph's vector has two parts:
 * 8 lanes modulo 2**62 hashed from the whole paragraph with 8 seeds: equality
   of multisets of paragraphs;
 * 126 lanes modulo 2**20 that count, for each of 126 hash bits, the pieces of
-  the paragraph (runs of three words) whose bit is set, and one lane that
-  counts the pieces.  ``2 * count - pieces`` is a sum of random signs, so the
+  the paragraph (all its runs of three words, each word but the last two
+  begins one; a paragraph of one or two words is one piece) whose bit is set,
+  and one lane that counts the pieces.  ``2 * count - pieces`` is a sum of random signs, so the
   cosine of two such vectors estimates the share of pieces two texts have in
   common, at any length.
 
@@ -35,7 +36,10 @@ PACKED = LANES // FIELDS
 FIELD_BITS, LANE_BITS, IDENTITY_BITS = 21, 20, 62
 #: Pieces summed at most before lanes are reduced (a 21-bit field holds more).
 BLOCK = 1 << 19
-PIECE = r"\S+(?:[^\S\n]+\S+){0,2}"
+#: Group 1: the three words from the start of a word on, or a paragraph of fewer (without white space before it).
+PIECE = (r"(?<!\S)(?=(\S++[^\S\n]++\S++[^\S\n]++\S++"
+         r"|(?<![^\n])\S++(?:[^\S\n]++\S++)?+(?=[^\S\n]*+(?:\n|\z))))")
+INDENT = r"(?<![^\n])[^\S\n]++"
 
 
 def _identity(text: Column) -> list[Column]:
@@ -108,7 +112,7 @@ def fingerprints(df: DataFrame, keys: list[str], texts: dict[str, Column], numbe
     rows = df.select(*keys, *numbers, F.posexplode(F.array(*[texts[n] for n in names])).alias("_which", "_text"))
     rows = rows.select(*keys, *numbers, "_which",
                        *[c.alias(f"_i{k}") for k, c in enumerate(_identity(F.col("_text")))],
-                       F.regexp_extract_all("_text", F.lit(PIECE), F.lit(0)).alias("_pieces"))
+                       F.regexp_extract_all(F.regexp_replace("_text", INDENT, ""), F.lit(PIECE), F.lit(1)).alias("_pieces"))
     rows = rows.select(*keys, *numbers, "_which", *[f"_i{k}" for k in range(IDENTITY_LANES)],
                        F.posexplode_outer("_pieces").alias("_pos", "_piece"))
     rows = rows.withColumn("_h0", F.xxhash64("_piece")).withColumn("_h1", F.xxhash64(F.lit(1), "_piece"))

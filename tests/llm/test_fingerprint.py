@@ -112,3 +112,17 @@ def test_rows_without_id_come_last_by_hash(spark):
 def test_native(spark):
     plan = queries.op9_fingerprints(spark, TINY)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_run_of_three_words_is_a_piece(spark):
+    texts = ["a b c d e", "a b", "  a\tb \n\n c d e f ", "", " \n ", "one\ntwo words\nthree words here", "x" * 50_000]
+    want = [3, 1, 3, 0, 0, 3, 1]
+    assert [p["pieces"] for p in prints(spark, texts)] == want
+
+
+def test_an_insertion_changes_few_pieces(spark):
+    line = " ".join(f"w{k}" for k in range(300))
+    a, b = prints(spark, [line, "new " + line])
+    kind = "struct<identity:array<bigint>,lanes:array<bigint>,pieces:bigint>"
+    df = spark.createDataFrame([(a, b)], ["a", "b"]).select(*[F.col(c).cast(kind).alias(c) for c in "ab"])
+    assert df.select(fingerprint.likeness(F.col("a"), F.col("b"))).first()[0] > 0.95
