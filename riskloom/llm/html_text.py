@@ -15,7 +15,10 @@ text masses that were summed with the vectors; the same aggregate thus gives,
 for each host, one row: the main slot and the template's texts.  Each page is
 then cut down to its main slot, without elements that are boilerplate by their
 tag, role, class or id (menus, notices, adverts, forms, comments ...), without
-lists of nothing but links, and without template texts.
+lists of nothing but links, and without template texts.  A word in a class or
+id is weak evidence: an element stays if it holds the page's main element or
+h1, or ``MAIN_MASS`` of its text while no main element beside it has a fair
+share; and if nothing else is left of a page, such words drop nothing.
 
 Text rules: character references are decoded, white space inside a block
 becomes one space, blocks are joined by one newline in page order; nothing
@@ -80,22 +83,45 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
+class Suspect:
+    """An element that is boilerplate by a word of its class or id, unless it holds what is main."""
+
+    __slots__ = ("above", "holds_main", "mass", "main_mass", "dropped")
+
+    def __init__(self, above: Suspect | None):
+        self.above, self.holds_main = above, False
+        self.mass = self.main_mass = 0
+        self.dropped = False
+
+    def chain(self) -> list[Suspect]:
+        out, s = [], self
+        while s:
+            out.append(s)
+            s = s.above
+        return out
+
+
 class Element:
-    __slots__ = ("name", "path", "block", "dropped", "main", "in_main")
+    __slots__ = ("name", "path", "block", "dropped", "main", "in_main", "suspect", "top", "inline")
 
-    def __init__(self, name: str, path: str, block: bool, dropped: bool, main: bool, in_main: bool):
+    def __init__(self, name: str, path: str, block: bool, dropped: bool, main: bool, in_main: bool,
+                 suspect: Suspect | None = None, top: int = 0, inline: bool = False):
         self.name, self.path, self.block = name, path, block
         self.dropped, self.main, self.in_main = dropped, main, in_main
+        self.suspect, self.top = suspect, top  # top: number of the outermost main element around
+        self.inline = inline  # dropped by a word of an inline element's class or id
 
 
 class Block:
     """A text between two block boundaries, its innermost block, and how much of it is link text."""
 
-    __slots__ = ("path", "text", "linked", "list_path", "dropped", "number")
+    __slots__ = ("path", "text", "linked", "list_path", "dropped", "number", "suspect", "top")
 
-    def __init__(self, path: str, text: str, linked: bool, list_path: int, dropped: bool, number: int):
+    def __init__(self, path: str, text: str, linked: bool, list_path: int, dropped: bool, number: int,
+                 suspect: Suspect | None = None, top: int = 0):
         self.path, self.text, self.linked = path, text, linked
         self.list_path, self.dropped, self.number = list_path, dropped, number
+        self.suspect, self.top = suspect, top
 
 
 def _words(value: str) -> set[str]:
@@ -124,8 +150,11 @@ def _boilerplate(name: str, attributes: dict[str, str], in_main: bool) -> bool:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if attributes.get("role", "").lower() in BOILERPLATE_ROLES:
-        return True
+    return attributes.get("role", "").lower() in BOILERPLATE_ROLES
+
+
+def _suspect(name: str, attributes: dict[str, str]) -> bool:
+    """A word of the class or id says boilerplate."""
     if name in ("html", "body", "article", "main", "h1", "header"):
         return False
     named = attributes.get("class", "") + " " + attributes.get("id", "")
@@ -144,14 +173,59 @@ def _element_name(name: str, attributes: dict[str, str]) -> str:
 class Page:
     """A page taken apart: its blocks, and for each element path how often it occurs."""
 
-    def __init__(self, source: str | None):
+    def __init__(self, source: str | None, inline_words: bool = True):
+        self._inline_words, self._inline_mass = inline_words, 0
         self.blocks: list[Block] = []
         self.paths: dict[str, list] = {"": [1, False]}  # path -> [count, is a main element]
         self._stack = [Element("", "", True, False, False, False)]
         self._text: list[tuple[str, bool]] = []
         self._lists, self._list_number = [], 0
+        self._suspects: list[Suspect] = []
+        self._opened: list[tuple[str, bool, Suspect | None]] = []
+        self._tops = 0
         self._parse(source or "")
         self._flush()
+        if self._inline_mass and self._inline_mass >= MAIN_MASS * (self._inline_mass + sum(
+                len(b.text) for b in self.blocks if not b.dropped)):
+            self.__init__(source, False)  # inline elements that hold the main share: again without that evidence
+            return
+        self._judge()
+        for path, main, suspect in self._opened:
+            if not self._gone(suspect):
+                self.paths.setdefault(path, [0, main])[0] += 1
+
+    def _judge(self) -> None:
+        """Which of the suspects are dropped."""
+        if not self._suspects:
+            return
+        total, tops = 0, {}
+        for b in self.blocks:
+            if b.dropped or b.linked:
+                continue
+            total += len(b.text)
+            if b.top:
+                tops[b.top] = tops.get(b.top, 0) + len(b.text)
+            for s in b.suspect.chain() if b.suspect else ():
+                s.mass += len(b.text)
+        fair = {k for k, mass in tops.items() if mass >= SEMANTIC_MASS * total}
+        around = sum(len(b.text) for b in self.blocks if not b.dropped and not b.linked and b.top in fair)
+        for b in self.blocks:
+            if not b.dropped and not b.linked and b.top in fair:
+                for s in b.suspect.chain() if b.suspect else ():
+                    s.main_mass += len(b.text)
+        for s in self._suspects:
+            # text of main elements that this one neither holds nor lies in is elsewhere
+            beside = around - s.main_mass >= SEMANTIC_MASS * total
+            s.dropped = not (s.holds_main or (s.mass and s.mass >= MAIN_MASS * total and not beside))
+        if all(b.dropped or any(s.dropped for s in (b.suspect.chain() if b.suspect else ())) for b in self.blocks):
+            for s in self._suspects:
+                s.dropped = False
+        for b in self.blocks:
+            b.dropped = b.dropped or self._gone(b.suspect)
+
+    @staticmethod
+    def _gone(suspect: Suspect | None) -> bool:
+        return suspect is not None and any(s.dropped for s in suspect.chain())
 
     def _flush(self) -> None:
         if not self._text:
@@ -159,8 +233,10 @@ class Page:
         text = " ".join("".join(t for t, _ in self._text).split())
         if text:
             plain = any(not link and t.strip() for t, link in self._text)
+            top = self._stack[-1]
             self.blocks.append(Block(next(e.path for e in reversed(self._stack) if e.block), text, not plain,
-                                     self._lists[-1] if self._lists else 0, self._stack[-1].dropped, len(self.blocks)))
+                                     self._lists[-1] if self._lists else 0, top.dropped, len(self.blocks),
+                                     top.suspect, top.top))
         self._text = []
 
     def _pop(self, at: int) -> None:
@@ -200,15 +276,28 @@ class Page:
         main = name in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or (
             name in ("div", "section", "td") and bool(_words(attributes.get("class", "") + " " + attributes.get("id", ""))
                                                       & MAIN_WORDS))
+        suspect, inline = top.suspect, top.inline
+        if not dropped and (block or self._inline_words) and _suspect(name, attributes):
+            if block:
+                suspect = Suspect(suspect)
+                self._suspects.append(suspect)
+            else:
+                dropped = inline = True
+        if not dropped and suspect and (name in ("main", "h1") or attributes.get("role", "").lower() == "main"):
+            for s in suspect.chain():
+                s.holds_main = True
+        if main and not dropped and not top.top:
+            self._tops += 1
         path = top.path
         if block:
             path = f"{top.path}/{_element_name(name, attributes)}" if top.path else _element_name(name, attributes)
             if not dropped:
-                self.paths.setdefault(path, [0, main])[0] += 1
+                self._opened.append((path, main, suspect))
         if name in ("ul", "ol", "menu"):
             self._list_number += 1
             self._lists.append(self._list_number)
-        self._stack.append(Element(name, path, block, dropped, main, top.in_main or main))
+        self._stack.append(Element(name, path, block, dropped, main, top.in_main or main, suspect,
+                                   top.top or (self._tops if main and not dropped else 0), inline))
 
     def _close(self, name: str) -> None:
         block = name in BLOCKS
@@ -227,6 +316,8 @@ class Page:
                 if not self._stack[-1].dropped:
                     linked = any(e.name == "a" for e in self._stack[-3:])
                     self._text.append((html.unescape(token) if "&" in token else token, linked))
+                elif self._stack[-1].inline:
+                    self._inline_mass += len(" ".join(token.split()))
                 continue
             tag = _TAG.match(token)
             if not tag:

@@ -93,3 +93,26 @@ def test_classes_share_occurrence_vectors(spark):
     skeleton = {r.token for r in classes.collect() if (r.low, r.high) == (root.low, root.high)}
     assert {"html/body", "html/body/div#wrap/div#text"} <= skeleton
     assert "html/body/div#wrap/div#text/p" not in skeleton  # four times on each page: another class
+
+
+STORY = "<h1>Head</h1><p>{0}</p><p>{1}</p>".format("A long paragraph of the story. " * 4, "And another one of it. " * 4)
+TOLD = "\n".join(["Head", " ".join(["A long paragraph of the story."] * 4), " ".join(["And another one of it."] * 4)])
+
+
+@pytest.mark.parametrize("open_, close", [
+    ("<div class='content with-sidebar'>", "</div>"), ("<div class=no-comments>", "</div>"),
+    ("<section class='search-result'>", "</section>"), ("<div id=legal-text>", "</div>"), ("<span class=popular>", "</span>")])
+def test_wrapper_with_a_boilerplate_word_keeps_its_text(spark, open_, close):
+    page = f"<html><body>{open_}{STORY}{close}<div class=sidebar><p>Side</p></div></body></html>"
+    assert run(spark, [(1, "http://a.b/1", page)])[1] == TOLD
+
+
+def test_words_drop_nothing_when_nothing_else_is_left(spark):
+    page = "<html><body><div class=notice><p>One text.</p></div><div class=alert><p>Two text.</p></div></body></html>"
+    assert run(spark, [(1, "http://a.b/1", page)])[1] == "One text.\nTwo text."
+
+
+def test_long_comments_beside_the_article_are_dropped(spark):
+    page = ("<html><body><article><h1>Head</h1><p>" + "Story text. " * 20 + "</p></article><div class=comments><p>"
+            + "Some reader says. " * 30 + "</p></div></body></html>")
+    assert "reader" not in run(spark, [(1, "http://a.b/1", page)])[1]
