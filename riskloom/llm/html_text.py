@@ -351,9 +351,12 @@ def inside(path: str, slot: str) -> bool:
 
 
 def tokens_of(source: str | None) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(token, count, mass of text, is a container, is a main element, holds the title) of a page."""
+    """(token, count, mass of text, is a container, is a main element, holds the title) of a page; none of
+    a page without text, which tells nothing of its host's template."""
     page = Page(source)
     blocks = page.kept()
+    if not blocks:
+        return []
     mass: dict[str, int] = {}
     titles: set[str] = set()
     texts: dict[str, int] = {}

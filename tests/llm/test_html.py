@@ -116,3 +116,13 @@ def test_long_comments_beside_the_article_are_dropped(spark):
     page = ("<html><body><article><h1>Head</h1><p>" + "Story text. " * 20 + "</p></article><div class=comments><p>"
             + "Some reader says. " * 30 + "</p></div></body></html>")
     assert "reader" not in run(spark, [(1, "http://a.b/1", page)])[1]
+
+
+def test_pages_without_text_leave_the_template_as_it_is(spark):
+    rows = [(k, f"http://h.net/{k}", layout(k)) for k in range(6)]
+    empty = [(10, "http://h.net/n", None), (11, "http://h.net/e", ""), (12, "http://h.net/s", "<html><body></body></html>")]
+    got = run(spark, rows + empty)
+    assert got == run(spark, rows) | {10: "", 11: "", 12: ""}
+    # texts of the main slot that are on every page with text are template still
+    same = [(k, f"http://h.net/{k}", f"<article><p>Share this now</p><p>Story {k} at length.</p></article>") for k in range(5)]
+    assert run(spark, same + empty) == {k: f"Story {k} at length." for k in range(5)} | {10: "", 11: "", 12: ""}
