@@ -14,15 +14,20 @@ How the work is dealt out:
 
 1. Texts with equal sets fold into one class by a digest of the set.
 2. Linked sets of sizes m and n differ in at most (m + n) / 19 hashes (at 90
-   percent; (m + n) / 9 at 80).  The
-   hashes are dealt over one more *segment* than that by value, so that two
-   linked sets agree in a whole segment.  Sizes fall into steps; a set states
-   the content of its segments for its own step, and for the next one if a
-   linked set can be in it.  Classes that state the same content form
-   candidate groups: rows of a key and 64 bits of the digest, grouped
-   map-side, whose members are linked to their least one.
-   Texts that merely share passages or phrases do not agree in a whole segment.
-   A segment that is empty is stated too: nothing linked is missed.
+   percent; (m + n) / 9 at 80).  The hashes are dealt over more *segments* than
+   that by value, ``SURPLUS`` times as many more, so two linked sets agree in
+   as many whole segments as there are to spare.  Sizes fall into steps; a set
+   states the content of its segments for its own step, and for the next one
+   if a linked set can be in it: rows of a key and 64 bits of the digest.
+   Keys are ordered by how many sets state them.  Each set leaves out as many
+   of its most frequent keys as it has segments to spare; the rarest key that
+   two linked sets share is then left in both.  Sets that share a left key are
+   candidates, linked to the least one.  Texts that have passages in common
+   share the same few keys with many others, and these are the ones left out,
+   so strangers do not chain into large groups.  A copy's keys are stated once
+   for each task that reads copies of it.  A key has a row of a set at most,
+   and a set has as many keys as segments, so no key holds a large share.
+   A segment that is empty counts as one of the most frequent keys.
 3. Connected components of these candidates are joined by tries, each in one
    task if it is small.  A larger one is split by digest into blocks, one task
    for each pair of blocks, so a group of any size is spread out; a task
@@ -48,7 +53,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, partitions, ready, same
@@ -58,6 +63,10 @@ from .components import components
 WORDS, PERCENT = 3, 90
 #: Classes and shingles of a block, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 400_000
+#: Segments to spare, as a share of the hashes in which linked sets can differ.
+SURPLUS = 0.3
+#: Digests that a reading task remembers, to state the keys of copies once; emptied when full.
+MEMORY = 200_000
 #: Bits of the filter that holds back texts without candidates (1 MB).
 SIFT_BITS = 1 << 23
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -138,35 +147,48 @@ class Steps:
         step = int(np.searchsorted(self.starts, n, side="right")) - 1
         return [step, step + 1] if n * 100 // self.percent >= self.starts[step + 1] else [step]
 
+    def differ(self, n: int) -> int:
+        """Hashes in which a set of n and a linked one can differ, at most."""
+        return (n + n * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+
     def segments(self, step: int) -> int:
-        """One more than the hashes in which linked sets up to this step's largest size can differ."""
-        largest = int(self.starts[step + 1]) - 1
-        return 2 * largest * (100 - self.percent) // (100 + self.percent) + 1
+        """One more than linked sets up to this step's largest size can differ in, and those to spare."""
+        most = 2 * (int(self.starts[step + 1]) - 1) * (100 - self.percent) // (100 + self.percent)
+        return most + 1 + int(most * SURPLUS)
+
+
+def stated(shingles: np.ndarray, steps: Steps) -> tuple[np.ndarray, list[int]]:
+    """All segment keys of a set, whose last bit is that of the step, and for each last bit how many of the
+    most frequent ones it can leave out."""
+    keys, spare = [], [0, 0]
+    for step in steps.of(len(shingles)):
+        found, spare[step & 1] = segment_keys(shingles, step, steps.segments(step), steps.differ(len(shingles)))
+        keys.append(found)
+    return np.concatenate(keys), spare
 
 
 def stated_keys(shingles: np.ndarray, steps: Steps) -> np.ndarray:
-    """All segment keys of a set."""
-    return np.concatenate([segment_keys(shingles, k, steps.segments(k), steps.percent) for k in steps.of(len(shingles))])
+    return stated(shingles, steps)[0]
 
 
-def segment_keys(shingles: np.ndarray, step: int, count: int, percent: int = PERCENT) -> np.ndarray:
-    """For each of ``count`` segments a hash of its content, the step and its number.
+def segment_keys(shingles: np.ndarray, step: int, count: int, differ: int) -> tuple[np.ndarray, int]:
+    """For each of ``count`` segments a hash of its content, the step and its number; and how many of
+    them the set can leave out.
 
-    The key of an empty segment would group strangers.  It is needed only if two linked sets may
-    agree in empty segments alone, that is, if they can differ in as many hashes as there are
-    segments with any: then it is stated, else left out.
+    A linked set agrees in all but ``differ`` segments, so of any order of the keys the first
+    ``differ + 1`` have one in common.  Empty segments are the last in that order.  They would group
+    strangers: they are stated only where the segments with any are not more than ``differ``.
     """
-    n = len(shingles)
     at = (_mix(shingles) % np.uint64(count)).astype(np.int64)
     sums = np.zeros(count, dtype=np.uint64)
     other = np.zeros(count, dtype=np.uint64)
     np.add.at(sums, at, _mix(shingles + _M1))
     np.add.at(other, at, _mix(shingles ^ _M2))
     place = np.arange(count, dtype=np.uint64) + np.uint64(step) * np.uint64(1 << 40)
-    keys = _mix(_mix(sums + place) + other).view(np.int64)
+    keys = (_mix(_mix(sums + place) + other) & ~np.uint64(1) | np.uint64(step & 1)).view(np.int64)
     filled = np.bincount(at, minlength=count) > 0
-    differ = (n + n * 100 // percent) * (100 - percent) // (100 + percent)
-    return keys if filled.sum() <= differ else keys[filled]
+    spare = int(filled.sum()) - differ - 1
+    return (keys[filled], spare) if spare >= 0 else (keys, 0)
 
 
 # ---- the trie ----
@@ -275,22 +297,53 @@ def join_cell(sets: list[np.ndarray], left: list[int], right: list[int], percent
 # ---- Spark ----
 
 def _read_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, digest (null: an empty set) and segment keys of every row."""
-    @F.pandas_udf("struct<n:bigint,digest:binary,keys:array<bigint>>")
+    """doc_id, text_hash, n_shingles, digest (null: an empty set), segment keys (null: a task's repeat)
+    and how many of them to spare, of every row."""
+    @F.pandas_udf("struct<n:bigint,digest:binary,keys:array<bigint>,spare:array<int>>")
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hasher, steps = Hasher(size=size), Steps(percent)
+        hasher, steps, seen = Hasher(size=size), Steps(percent), set()
         for batch in texts:
             out = []
             for t in batch:
                 s = hasher.shingles(t)
                 if not len(s):
-                    out.append((0, None, None))
+                    out.append((0, None, None, None))
                     continue
-                out.append((len(s), digest_of(s), stated_keys(s, steps)))
-            yield pd.DataFrame(out, columns=["n", "digest", "keys"])
+                digest = digest_of(s)
+                keys, spare = (None, None) if digest in seen else stated(s, steps)
+                out.append((len(s), digest, keys, spare))
+                if len(seen) > MEMORY:
+                    seen.clear()
+                seen.add(digest)
+            yield pd.DataFrame(out, columns=["n", "digest", "keys", "spare"])
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), read("text").alias("set")).select(
-        "doc_id", "text_hash", F.col("set.n").alias("n_shingles"), "set.digest", "set.keys")
+        "doc_id", "text_hash", F.col("set.n").alias("n_shingles"), "set.digest", "set.keys", "set.spare")
+
+
+def _classes(full: DataFrame) -> DataFrame:
+    """A row for each set, with one of its rows, from which it can be read again."""
+    return full.groupBy("digest").agg(
+        F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"),
+        F.first("spare", ignorenulls=True).alias("spare"), F.min(F.struct("doc_id", "text_hash")).alias("at"))
+
+
+def _candidates(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, least): classes and the least one with which they share a key that both have left.
+
+    The keys are dealt out once; how many sets state a key, and whether more than one does, is seen
+    where its rows meet.
+    """
+    by_key = Window.partitionBy("key")
+    rows = full.select(_short("digest").alias("node"), F.explode("keys").alias("key"))
+    met = rows.select("node", "key", F.count(F.lit(1)).over(by_key).alias("times"), F.min("node").over(by_key).alias("least"),
+                      F.max("node").over(by_key).alias("most")).filter("least < most").select("node", "key", "times")
+    to_spare = classes.select(_short("digest").alias("of"), "spare")
+    order = Window.partitionBy("node", "step").orderBy(F.desc("times"), F.desc("key"))
+    ranked = met.join(to_spare, F.col("node") == F.col("of")).withColumn("step", F.col("key").bitwiseAND(1).cast("int"))
+    left = ranked.select("node", "key", F.col("spare")[F.col("step")].alias("spare"),
+                         F.dense_rank().over(order).alias("rank")).filter("rank > spare")
+    return left.select("node", F.min("node").over(by_key).alias("least")).filter("least < node").distinct()
 
 
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -301,14 +354,9 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     ready(docs.sparkSession)
     source = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = keep(_read_sets(source, words, percent), "jaccard-sets")
-    # a class for each set, and one of its rows, from which the set can be read again
     full = rows.filter("digest IS NOT NULL")
-    classes = keep(full.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"),
-                                              F.min(F.struct("doc_id", "text_hash")).alias("at")), "jaccard-classes")
-    # the rows of a class state the same keys: they fall together map-side, or in distinct()
-    stated = full.select(_short("digest").alias("node"), F.explode("keys").alias("key"))
-    groups = stated.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    candidates = stated.join(groups.select("key", "least"), "key").select("node", "least").distinct()
+    classes = keep(_classes(full), "jaccard-classes")
+    candidates = _candidates(full.filter("keys IS NOT NULL"), classes)
     grouped = keep(components(candidates, "node", "least"), "jaccard-candidates")
     links = _verified(source, classes, grouped, words, percent)
     linked_classes = components(links, "a", "b")
@@ -317,7 +365,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     placed = keep(placed.select("digest", "least_id", F.coalesce("root", "digest").alias("root")), "jaccard-placed")
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     result = placed.join(named, "root").select(F.col("digest").alias("class"), "component_id", "root")
-    return (rows.drop("keys").join(result, F.col("digest") == F.col("class"), "left")
+    return (rows.drop("keys", "spare").join(result, F.col("digest") == F.col("class"), "left")
             .select("doc_id", "text_hash", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id"))
                     .otherwise(F.col("component_id")).alias("component_id"), "root", "class"))
 

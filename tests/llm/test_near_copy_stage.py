@@ -7,7 +7,7 @@ import pytest
 from llm.helpers import SF
 from llm.test_jaccard import chains
 
-from riskloom.llm import jaccard, stages
+from riskloom.llm import components, jaccard, stages
 
 
 def kept_ids(docs, words=5, percent=80):
@@ -71,3 +71,41 @@ def test_linked_sets_state_a_common_key(percent):
         inter = len(np.intersect1d(a, b))
         if inter and jaccard.linked(inter, len(a), len(b), percent):
             assert set(jaccard.stated_keys(a, steps).tolist()) & set(jaccard.stated_keys(b, steps).tolist())
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_keys_left_of_linked_sets_meet(percent):
+    """In any order of the keys, two linked sets share one after each left out what it can spare."""
+    rng, steps = np.random.default_rng(17), jaccard.Steps(percent)
+    for _ in range(1000):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        gone, more = rng.integers(0, n * (100 - percent) // 100 + 1, 2)
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**63, more).astype(np.uint64)]))
+        inter = len(np.intersect1d(a, b))
+        if not inter or not jaccard.linked(inter, len(a), len(b), percent):
+            continue
+        (x, spare_x), (y, spare_y) = (jaccard.stated(s, steps) for s in (a, b))
+        shared = set(x.tolist()) & set(y.tolist())
+
+        def left(keys, spare):  # the shared keys are the most frequent ones: the worst case
+            out = set()
+            for bit in (0, 1):
+                own = sorted((k for k in keys.tolist() if k & 1 == bit), key=lambda k: (k in shared, k), reverse=True)
+                out |= set(own[spare[bit]:])
+            return out
+
+        assert left(x, spare_x) & left(y, spare_y)
+
+
+def test_strangers_do_not_chain(spark):
+    """Candidate groups stay of the size of linked groups, however many texts there are."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    jaccard.ready(spark)
+    rows = jaccard._read_sets(df, 5, 80).filter("digest IS NOT NULL")
+    classes = jaccard.keep(jaccard._classes(rows), "t")
+    pairs = jaccard.keep(jaccard._candidates(jaccard.keep(rows.filter("keys IS NOT NULL"), "t"), classes), "t")
+    groups = components.components(pairs, "node", "least").groupBy("root").count()
+    linked = jaccard.near_copies(df, words=5, percent=80).filter("root IS NOT NULL")
+    largest = linked.groupBy("root").agg({"class": "approx_count_distinct"}).agg({"approx_count_distinct(class)": "max"}).first()[0]
+    assert groups.agg({"count": "max"}).first()[0] <= 2 * largest
