@@ -1,228 +1,33 @@
 """Retrieval: exact nearest vectors, TF-IDF top-k, context and prompts.
 
-Nearest vectors (exact, squared L2)
-    Queries and corpus are each hashed into blocks; query rows are
-    replicated once per corpus block and corpus rows once per query block,
-    so every (query block, corpus block) pair meets in one cogroup of a
-    bounded number of bytes.  There a matrix product bounds all distances;
-    only vectors that can be among the k best are then measured exactly, so
-    ranks follow exact distances (ties: the smaller id).  A final
-    ``row_number() <= k`` per query sees at most k x corpus_blocks
-    candidates.  No pair is ever materialised as a row and there is no cross
-    join.  The work itself is queries x corpus distance evaluations, as in
-    any exact flat search.  Null vectors are in no result.
-
-TF-IDF cosine top-k
-    Texts are turned into (document, term, count) rows where they are read;
-    that narrow table is written once, and document frequencies, weights and
-    norms are grouped aggregates and joins on it, which Spark plans by size
-    (and splits where a term is hot).  Only terms that some query has go on:
-    one row per document with its weights.  Blocks of documents meet blocks of
-    queries in a cogroup, where a kernel scores them and keeps k per query, so
-    k rows per query and block leave a task and no pair becomes a row.
-    Sums are decimals or run in term order, so equal texts score equally
-    however the data is partitioned; ranks follow the unrounded score.
+The searches are in ``nearest`` (metric pruning) and ``postings`` (term upper
+bounds); here their hits become context texts and chat messages.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..schemas import RETRIEVAL_K, SYSTEM_TEMPLATE
-from ..session import scratch_path, ship_package
-
-# --- exact k nearest vectors --------------------------------------------------
-
-# bytes of float64 vectors per cogroup when block sizes are not given, and of
-# one product of queries and corpus
-CORPUS_BLOCK_BYTES = 64 * 1024 * 1024
-QUERY_BLOCK_BYTES = 4 * 1024 * 1024
-PRODUCT_BYTES = 64 * 1024 * 1024
-
-
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int,
-                  exclude_self: bool) -> list[tuple[int, int, float]]:
-    """(query id, corpus id, exact squared distance) of the k nearest of one block, for each query."""
-    c_norm, out = (c * c).sum(axis=1), []
-    step = max(1, PRODUCT_BYTES // (8 * len(c)))
-    for start in range(0, len(q), step):
-        part = q[start:start + step]
-        q_norm = (part * part).sum(axis=1)
-        bound = q_norm[:, None] + c_norm[None, :] - 2.0 * (part @ c.T)
-        # rounding of the product: far above its error, far below any distance that matters
-        slack = 1e-9 * (q_norm + c_norm.max())
-        for i, (q_id, row) in enumerate(zip(q_ids[start:start + step].tolist(), bound)):
-            if exclude_self:
-                row[c_ids == q_id] = np.inf
-            kth = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            near = np.flatnonzero((row <= kth + 2 * slack[i]) & (row < np.inf))
-            d2 = ((c[near] - part[i]) ** 2).sum(axis=1)
-            ids = c_ids[near]
-            for j in np.lexsort((ids, d2))[:k]:
-                out.append((q_id, int(ids[j]), float(d2[j])))
-    return out
-
-
-def nearest_neighbors(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: str,
-                      vec: str = "embedding", k: int = RETRIEVAL_K, query_block: int | None = None,
-                      corpus_block: int | None = None, exclude_self: bool = False,
-                      decimals: int = 4) -> DataFrame:
-    """(q_id, rank, neighbor_id, d2): the k corpus vectors nearest each query by exact squared L2,
-    ties broken by neighbor id; only the reported ``d2`` is rounded to ``decimals``.
-
-    Each vector is copied once per block of the other side, so blocks are as large as a memory
-    budget allows: by default their sizes follow from the vector dimension (about 64 MB of corpus
-    and 4 MB of queries per group, one vector at least).
-    """
-    ship_package(queries.sparkSession)
-    queries, corpus = (d.filter(F.col(vec).isNotNull()) for d in (queries, corpus))
-    if query_block is None or corpus_block is None:
-        first = corpus.select(F.size(F.col(vec))).first()  # one row: the dimension
-        row_bytes = 8 * max(int(first[0]) if first else 1, 1)
-        corpus_block = corpus_block or max(1, CORPUS_BLOCK_BYTES // row_bytes)
-        query_block = query_block or max(1, QUERY_BLOCK_BYTES // row_bytes)
-    n_q, n_c = queries.count(), corpus.count()
-    nqb = max(1, math.ceil(n_q / query_block))
-    ncb = max(1, math.ceil(n_c / corpus_block))
-    qrep = (queries.select(F.col(q_id).cast("long").alias("qid"), F.col(vec).alias("qv"))
-            .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nqb)).cast("int"))
-            .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(ncb - 1)))))
-    crep = (corpus.select(F.col(c_id).cast("long").alias("cid"), F.col(vec).alias("cv"))
-            .withColumn("cb", F.pmod(F.xxhash64("cid"), F.lit(ncb)).cast("int"))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
-    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("cid", T.LongType()),
-                           T.StructField("d2", T.DoubleType())])
-
-    def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(qpdf) and len(cpdf):
-            q, c = (np.stack([np.asarray(v, dtype=np.float64) for v in col]) for col in (qpdf["qv"], cpdf["cv"]))
-            rows = best_of_block(qpdf["qid"].to_numpy(dtype=np.int64), q, cpdf["cid"].to_numpy(dtype=np.int64), c,
-                                 k, exclude_self)
-        return pd.DataFrame(rows, columns=["qid", "cid", "d2"]).astype(
-            {"qid": "int64", "cid": "int64", "d2": "float64"})
-
-    cand = (qrep.groupBy("qb", "cb").cogroup(crep.groupBy("qb", "cb"))
-            .applyInPandas(lambda q, c: kernel(q, c), schema))
-    w = Window.partitionBy("qid").orderBy("d2", "cid")
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(F.col("qid").alias(q_id), "rank", F.col("cid").alias("neighbor_id"),
-                    F.round("d2", decimals).alias("d2")))
-
-
-# --- TF-IDF retrieval ---------------------------------------------------------
-
-DOC_BLOCK, QUERY_BLOCK, CHUNK_DOCS = 20_000, 2_000, 256
-EXACT = "decimal(38,15)"  # sums that do not depend on the order of rows
-
-
-def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf): lower-case alphabetic runs, counted per document."""
-    t = df.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), "[^a-z]+")).alias("term"))
-    return t.filter(F.col("term") != "").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def best_scores(q_ids: np.ndarray, postings: dict[str, tuple[np.ndarray, np.ndarray]], q_norm: np.ndarray,
-                d_ids: np.ndarray, d_terms: list, d_norm: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query id, document id, cosine) of the k best documents of a block, for each query that shares
-    a term with any; a cosine with a zero norm is 0."""
-    best: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-    for start in range(0, len(d_ids), CHUNK_DOCS):
-        ids = d_ids[start:start + CHUNK_DOCS]
-        dot = np.zeros((len(ids), len(q_ids)))
-        shares = np.zeros(dot.shape, dtype=bool)
-        for i, entries in enumerate(d_terms[start:start + CHUNK_DOCS]):
-            for term, weight in entries:  # in term order
-                if term in postings:
-                    at, w = postings[term]
-                    dot[i, at] += w * weight
-                    shares[i, at] = True
-        norm = d_norm[start:start + CHUNK_DOCS, None] * q_norm[None, :]
-        score = np.where(norm > 0, dot / np.where(norm > 0, norm, 1.0), 0.0)
-        score[~shares] = -np.inf
-        kth = -np.partition(-score, k - 1, axis=0)[k - 1] if len(ids) > k else np.full(len(q_ids), -np.inf)
-        for i, j in zip(*np.nonzero((score >= kth[None, :]) & shares)):
-            best[j].append((-score[i, j], int(ids[i])))
-        best = [sorted(b)[:k] for b in best]
-    return [(int(q), d, -s) for q, b in zip(q_ids.tolist(), best) for s, d in b]
-
-
-def tfidf_topk(queries: DataFrame, docs: DataFrame, q_id: str = "item_id", d_id: str = "doc_id",
-               text_col: str = "text", k: int = RETRIEVAL_K) -> DataFrame:
-    """(q_id, rank, doc_id, score): top-k documents by cosine of tf * ln((N+1)/(df+1)), of those that
-    share a term with the query; ties broken by id; only the reported score is rounded.
-
-    The (document, term, count) table is written to the shared work folder and read for the
-    frequencies, the norms and the weights.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
-    path = scratch_path(spark, "terms")
-    terms(docs, d_id, text_col).write.parquet(path)
-    dterms = spark.read.parquet(path)
-    n_docs, n_queries = docs.count(), queries.count()
-    dfreq = dterms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(float(n_docs + 1)) / (F.coalesce(F.col("df"), F.lit(0)) + 1))
-
-    def norm(weighted: DataFrame, key: str) -> DataFrame:
-        return weighted.groupBy(F.col(key).alias("_key")).agg(
-            F.sqrt(F.sum((F.col("w") * F.col("w")).cast(EXACT)).cast("double")).alias("norm"))
-
-    def vectors(weighted: DataFrame, key: str, norms: DataFrame) -> DataFrame:
-        rows = weighted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("terms"))
-        return rows.join(norms, F.col(key) == F.col("_key")).drop("_key")
-
-    dw = dterms.join(dfreq, "term").select(d_id, "term", (F.col("tf") * idf).alias("w"))
-    qw = terms(queries, q_id, text_col).join(dfreq, "term", "left").select(q_id, "term", (F.col("tf") * idf).alias("w"))
-    asked = qw.select("term").distinct()
-    dvec = vectors(dw.join(asked, "term", "left_semi"), d_id, norm(dw, d_id))
-    qvec = vectors(qw, q_id, norm(qw, q_id))
-    ndb, nqb = max(1, math.ceil(n_docs / DOC_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
-    drep = (dvec.select(F.col(d_id).alias("did"), "terms", "norm")
-            .withColumn("db", F.pmod(F.xxhash64("did"), F.lit(ndb)).cast("int"))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
-    qrep = (qvec.select(F.col(q_id).alias("qid"), "terms", "norm")
-            .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nqb)).cast("int"))
-            .withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(ndb - 1)))))
-
-    def kernel(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(qpdf) and len(dpdf):
-            lists: dict[str, list[tuple[int, float]]] = {}
-            for j, entries in enumerate(qpdf["terms"]):
-                for e in entries:
-                    lists.setdefault(e["term"], []).append((j, e["w"]))
-            postings = {t: (np.array([j for j, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()}
-            rows = best_scores(qpdf["qid"].to_numpy(dtype=np.int64), postings, qpdf["norm"].to_numpy(dtype=np.float64),
-                               dpdf["did"].to_numpy(dtype=np.int64),
-                               [[(e["term"], e["w"]) for e in entries] for entries in dpdf["terms"]],
-                               dpdf["norm"].to_numpy(dtype=np.float64), k)
-        return pd.DataFrame(rows, columns=["qid", "did", "score"]).astype(
-            {"qid": "int64", "did": "int64", "score": "float64"})
 
-    cand = (qrep.groupBy("qb", "db").cogroup(drep.groupBy("qb", "db"))
-            .applyInPandas(lambda q, d: kernel(q, d), "qid long, did long, score double"))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("did"))
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(F.col("qid").alias(q_id), "rank", F.col("did").alias(d_id), F.round("score", 6).alias("score")))
+from ..schemas import SYSTEM_TEMPLATE
+from .nearest import nearest_neighbors
+from .postings import terms, tfidf_topk
 
+__all__ = ["context_text", "nearest_neighbors", "prompt_messages", "system_message", "terms", "tfidf_topk"]
 
-# --- context and prompts ------------------------------------------------------
 
 def context_text(hits: DataFrame, texts: DataFrame, q_id: str, d_id: str,
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", queries: DataFrame | None = None) -> DataFrame:
     """(q_id, context): retrieved texts joined by a blank line, in rank order.
     Each group holds at most k rows.  The hits are few, so Spark broadcasts
-    them where they are under its size threshold."""
+    them where they are under its size threshold.  With ``queries`` there is a row for every one of
+    them, and one without a hit has the empty context."""
     j = texts.select(d_id, text_col).join(hits, d_id)
     g = j.groupBy(q_id).agg(F.array_sort(F.collect_list(F.struct("rank", text_col))).alias("_r"))
-    return g.select(q_id, F.array_join(F.transform("_r", lambda x: x[text_col]), "\n\n").alias("context"))
+    found = g.select(q_id, F.array_join(F.transform("_r", lambda x: x[text_col]), "\n\n").alias("context"))
+    if queries is None:
+        return found
+    return queries.select(q_id).join(found, q_id, "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def system_message(context: F.Column) -> F.Column:

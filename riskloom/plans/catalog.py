@@ -220,7 +220,7 @@ def context_text_q(spark, sf_dir):
 
 def prompt_messages_q(spark, sf_dir):
     hits, docs, bench = _tfidf_hits(spark, sf_dir)
-    ctx = RT.context_text(hits, docs, "item_id", "doc_id")
+    ctx = RT.context_text(hits, docs, "item_id", "doc_id", queries=bench)  # no hit: an empty context
     q = ctx.join(bench.withColumnRenamed("text", "question"), "item_id")
     return RT.prompt_messages(q, "item_id")
 
