@@ -21,6 +21,7 @@ from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import retrieval as RT
 from ..operators.policy import policy_reasons
+from ..operators.text_index import TextIndex
 from ..operators import split as T
 from ..operators import staging as S
 from ..schemas import (
@@ -225,6 +226,22 @@ def prompt_messages_q(spark, sf_dir):
     return RT.prompt_messages(q, "item_id")
 
 
+def index_deltas_q(spark, sf_dir):
+    """Hits in an index that was built from all documents and then changed: repeats of a text removed, a base
+    written, texts of odd length replaced, the benchmark's items added; the same as in a new index."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    bench = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    index = TextIndex.create(docs, scratch_path(spark, "text-index"))
+    first = docs.groupBy(F.xxhash64("text").alias("hash"), "text").agg(F.min("doc_id").alias("first"))
+    repeats = docs.withColumn("hash", F.xxhash64("text")).join(first, ["hash", "text"]).filter("doc_id > first")
+    index.remove(repeats)
+    index.compact()
+    longer = docs.filter("n_chars % 2 = 1").join(repeats.select("doc_id"), "doc_id", "left_anti")
+    index.add(longer.withColumn("text", F.concat_ws(" ", "text", "lang")))
+    index.add(bench.withColumn("item_id", -1 - F.col("item_id")), "item_id")
+    return index.search(bench, "item_id").withColumnRenamed("doc", "doc_id")
+
+
 def denial_messages_q(spark, sf_dir):
     """The messages of every denied valid application; of the system message, whether the template
     holds it together and whether it has three chunks."""
@@ -322,6 +339,7 @@ def registry() -> dict[str, QueryFn]:
     # retrieval and policy grounding
     q["nearest_chunks"] = nearest_chunks_q
     q["retrieve_tfidf"] = retrieve_tfidf_q
+    q["index_deltas"] = index_deltas_q
     q["context_text"] = context_text_q
     q["prompt_messages"] = prompt_messages_q
     q["policy_reasons"] = policy_reasons_q

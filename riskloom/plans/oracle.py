@@ -368,11 +368,17 @@ WITH p AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neighbor_id) AS rank FROM p)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(d2, 4) AS d2 FROM r WHERE rank <= 3"""
     q["retrieve_tfidf"] = with_(TFIDF) + "SELECT * FROM hits"
+    changed = """changed AS (
+  SELECT doc_id, CASE WHEN n_chars % 2 = 1 THEN concat_ws(' ', text, lang) ELSE text END AS text
+  FROM documents d WHERE doc_id = (SELECT min(e.doc_id) FROM documents e WHERE e.text = d.text)
+  UNION ALL SELECT -1 - item_id, text FROM benchmark)"""
+    q["index_deltas"] = with_(changed, TFIDF.replace("documents", "changed")) + "SELECT * FROM hits"
     q["context_text"] = with_(TFIDF) + "SELECT item_id, context FROM ctx"
     q["prompt_messages"] = with_(TFIDF) + f"""
-SELECT item_id, 0 AS position, 'system' AS role, {_q(SYSTEM_HEAD)} || context || {_q(SYSTEM_TAIL)} AS content FROM ctx
+SELECT item_id, 0 AS position, 'system' AS role, {_q(SYSTEM_HEAD)} || coalesce(context, '') || {_q(SYSTEM_TAIL)} AS content
+FROM benchmark LEFT JOIN ctx USING (item_id)
 UNION ALL
-SELECT item_id, 1 AS position, 'human' AS role, b.text AS content FROM ctx JOIN benchmark b USING (item_id)"""
+SELECT item_id, 1 AS position, 'human' AS role, text AS content FROM benchmark"""
     rules = "\nUNION ALL\n".join(
         f"SELECT app_id, {_q(rid)} AS rule_id, {_q(pol)} AS policy, {line} AS line, {_q(sev)} AS severity, "
         f"{_q(text)} AS reason FROM denied WHERE {pred}"
