@@ -82,6 +82,14 @@ def mod_97(match: Column) -> Column:
         F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), add) == 1)
 
 
+def iban_in(match: Column) -> Column:
+    """The longest run of a match's first groups that passes mod-97 (null if none does): capitals or
+    digits that follow an IBAN are no part of it."""
+    groups = F.split(match, " ")
+    runs = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    return F.try_element_at(F.filter(runs, mod_97), F.lit(1))
+
+
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -94,8 +102,6 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.when(F.length(d).between(12, 19), luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
-    if kind == "iban":
-        return mod_97(match)
     return F.lit(True)
 
 
@@ -127,7 +133,16 @@ def _spans_of_kind(text: Column, kind: str) -> Column:
         return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"),
                         (F.lit(START_SCORE[kind]) + bonus).alias("score"))
 
-    found = F.transform(F.filter(_matches(text, kind), lambda x: confirmed(kind, x["match"])), scored)
+    def cut(x: Column) -> Column:
+        inner = iban_in(x["match"])
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(inner)).alias("end"), inner.alias("match"))
+
+    proposed = _matches(text, kind)
+    if kind == "iban":
+        proposed = F.filter(F.transform(proposed, cut), lambda x: x["match"].isNotNull())
+    else:
+        proposed = F.filter(proposed, lambda x: confirmed(kind, x["match"]))
+    found = F.transform(proposed, scored)
     return found if kind in BASE else F.filter(found, lambda x: x["score"] >= KEEP_FROM)
 
 
@@ -149,6 +164,11 @@ def joined(spans: Column) -> Column:
         ":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def joined_scores(spans: Column) -> Column:
+    """Scores of spans, with two decimals, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.format_number(x["score"], 2)), ",")
+
+
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span of its text replaced by its kind, like ``[EMAIL]``.
 

@@ -60,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}")
               for k, kind in enumerate(pii.BASE)]
     return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
-                        pii.joined(F.col("pii")).alias("spans"))
+                        pii.joined(F.col("pii")).alias("spans"), pii.joined_scores(F.col("pii")).alias("scores"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

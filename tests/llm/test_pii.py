@@ -4,7 +4,7 @@ import hashlib
 import re
 
 import pytest
-from llm.helpers import ODD, SF, empty_documents, odd_documents
+from llm.helpers import ODD, SF, empty_documents, odd_documents, write_tables
 from pyspark.sql import functions as F
 
 from riskloom.llm import pii, queries
@@ -106,3 +106,20 @@ def test_odd_and_empty(spark):
 @pytest.mark.parametrize("digits, valid", [("4111111111111111", True), ("4111111111111112", False), ("0", True)])
 def test_luhn(spark, digits, valid):
     assert spark.range(1).select(pii.luhn(F.lit(digits)).alias("v")).first().v is valid
+
+
+def test_iban_before_capitals_and_digits(spark):
+    iban = "AT61 1904 3002 3457 3201"
+    texts = [f"{iban} BANK details", f"{iban} 2024 5678", f"{iban} please", f"see {iban}", f"{iban} 99 XY", "AT61 1904 3002 3457 3202 BANK"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    for i, t in enumerate(texts):
+        spans = [t[s.start:s.end] for s in got[i].pii if pii.KINDS[s.kind] == "iban"]
+        assert spans == ([iban] if i < 5 else [])
+
+
+def test_scores_are_given(spark, tmp_path):
+    d = write_tables(spark, tmp_path, documents=spark.createDataFrame(
+        [(1, "write mail a@b.co and 10.0.0.1"), (2, None)], "doc_id long, text string"))
+    rows = {r.doc_id: r for r in queries.op10_pii(spark, d).collect()}
+    assert rows[1].scores.split(",")[0] == "1.00" and len(rows[1].scores.split(",")) == 2 and rows[2].scores == ""
