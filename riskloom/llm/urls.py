@@ -21,7 +21,7 @@ URLs and those without ``://`` have an empty host and path, which no rule
 fits; without a fitting rule the verdict is allow; of equally long rules the
 one with the longer host wins, then block, then the smaller text; repeated
 rows are judged each on their own; rules repeated or of an empty host count
-once or not at all.  A rule's host has at most 255 characters, as DNS names.
+once or not at all; hosts of rules may have any length.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import keep, partitions, ready
 
 ALLOW, BLOCK = "allow", "block"
-MAX_HOST = 255
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -103,7 +102,7 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", carry: tuple[str, .
     host = F.translate(F.regexp_extract("rule", r"(?s)^([^/]*)", 1), _UPPER, _LOWER)
     entries = (rules.select("rule", F.lower("verdict").alias("verdict"), host_key(host).alias("key"),
                             F.regexp_extract("rule", r"(?s)^[^/]*(.*)$", 1).alias("path"), host.alias("h"))
-               .filter((F.col("h") != "") & (F.length("h") <= MAX_HOST) & F.col("verdict").isin(ALLOW, BLOCK))
+               .filter((F.col("h") != "") & F.col("verdict").isin(ALLOW, BLOCK))
                .select("key", "path", "rule", "verdict").distinct())
 
     def as_rows(found: DataFrame, kind: int) -> DataFrame:
@@ -114,7 +113,8 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", carry: tuple[str, .
     ranged = (urls.unionByName(as_rows(entries, 0), allowMissingColumns=True).withColumn("tie", tie)
               .repartitionByRange(n, "key", "kind", "tie").withColumn("part", F.spark_partition_id()))
     kept = keep(ranged.drop("tie"), "url-ranges")
-    first = kept.groupBy("part").agg(F.min(F.substring("key", 1, 2 * MAX_HOST)).alias("key"))
+    longest = entries.agg(F.max(F.length("key"))).first()[0] or 1  # no rule is open on more of a key
+    first = kept.groupBy("part").agg(F.min(F.substring("key", 1, longest)).alias("key"))
     labels = F.split("key", r"\.", -1)
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.concat(
         F.array_join(F.slice(labels, F.lit(1), k), "."), F.lit(".")))

@@ -70,3 +70,11 @@ def test_null_ids_and_empty_tables(spark):
         (None, "a.net", "/", "net/", "block"), (2**60 + 1, "", "", None, "allow")}
     assert urls.judge(df.limit(0), rules).count() == 0
     assert urls.judge(df, rules.limit(0)).filter("verdict = 'allow'").count() == 2
+
+
+def test_rule_hosts_of_any_length(spark):
+    host = ".".join(["label" * 4] * 60) + ".example"
+    rules = urls.rules_frame(spark, [("block", host + "/"), ("block", "short.example/")])
+    df = spark.createDataFrame([(1, f"http://a.{host}/x"), (2, f"http://{host}/"), (3, "http://other.example/")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(df, rules, carry=("page_id",)).collect()}
+    assert len(host) > 1000 and got == {1: "block", 2: "block", 3: "allow"}
