@@ -10,12 +10,13 @@ A paragraph's vector has two parts:
 
 * 8 lanes modulo 2**62 hashed from the whole paragraph with 8 seeds: equality
   of multisets of paragraphs;
-* 126 lanes modulo 2**20 that count, for each of 126 hash bits, the pieces of
+* 126 lanes modulo 2**32 that count, for each of 126 hash bits, the pieces of
   the paragraph (all its runs of three words, each word but the last two
   begins one; a paragraph of one or two words is one piece) whose bit is set,
   and one lane that counts the pieces.  ``2 * count - pieces`` is a sum of random signs, so the
   cosine of two such vectors estimates the share of pieces two texts have in
-  common, at any length.
+  common.  A text of Spark has less than 2**31 characters, so no lane of a
+  text wraps; of texts taken together by ``combine`` the lanes do beyond 2**31 pieces.
 
 Three 21-bit fields of a long hold three lanes, so one sum over the exploded
 pieces adds three lanes in generated code.
@@ -33,7 +34,7 @@ from .common import partitions, same
 
 IDENTITY_LANES, LANES, FIELDS = 8, 126, 3
 PACKED = LANES // FIELDS
-FIELD_BITS, LANE_BITS, IDENTITY_BITS = 21, 20, 62
+FIELD_BITS, LANE_BITS, IDENTITY_BITS = 21, 32, 62
 #: Pieces summed at most before lanes are reduced (a 21-bit field holds more).
 BLOCK = 1 << 19
 #: Group 1: the three words from the start of a word on, or a paragraph of fewer (without white space before it).
@@ -63,7 +64,7 @@ def _packed_sums(piece: Column) -> list[Column]:
 
 def _lanes(packed: Column) -> Column:
     """The 126 lanes of 42 packed longs."""
-    mask = (1 << LANE_BITS) - 1
+    mask = (1 << FIELD_BITS) - 1
 
     def field(f: int) -> Column:
         return F.transform(packed, lambda x: F.shiftrightunsigned(x, FIELD_BITS * f).bitwiseAND(mask))
@@ -85,7 +86,8 @@ def to_string(fp: Column) -> Column:
     def lane_hex(x: Column, width: int) -> Column:
         return F.lpad(F.lower(F.hex(x)), width, "0")
     return F.concat(F.array_join(F.transform(fp["identity"], lambda x: lane_hex(x, 16)), ""),
-                    F.array_join(F.transform(fp["lanes"], lambda x: lane_hex(x, 5)), ""), lane_hex(fp["pieces"], 5))
+                    F.array_join(F.transform(fp["lanes"], lambda x: lane_hex(x, LANE_BITS // 4)), ""),
+                    lane_hex(fp["pieces"], LANE_BITS // 4))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -126,3 +126,11 @@ def test_an_insertion_changes_few_pieces(spark):
     kind = "struct<identity:array<bigint>,lanes:array<bigint>,pieces:bigint>"
     df = spark.createDataFrame([(a, b)], ["a", "b"]).select(*[F.col(c).cast(kind).alias(c) for c in "ab"])
     assert df.select(fingerprint.likeness(F.col("a"), F.col("b"))).first()[0] > 0.95
+
+
+def test_strangers_and_copies_beyond_a_million_words(spark):
+    docs = spark.sql("""SELECT id AS doc_id, array_join(transform(sequence(1, 1200000), k -> concat(
+        if(id = 3, 'x', if(id = 1, 'a', 'b')), cast(if(id = 3, 1, k) AS string))), ' ') AS text FROM range(1, 4)""")
+    got = {r.doc_id: r for r in fingerprint.fingerprint_pairs(docs).collect()}
+    assert got[2].near_next < 0.1 and got[3].near_next < 0.1  # no word in common; the last one repeats one word
+    assert 0.3 < got[2].near_edited < 0.7
