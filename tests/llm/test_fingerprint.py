@@ -133,4 +133,4 @@ def test_strangers_and_copies_beyond_a_million_words(spark):
         if(id = 3, 'x', if(id = 1, 'a', 'b')), cast(if(id = 3, 1, k) AS string))), ' ') AS text FROM range(1, 4)""")
     got = {r.doc_id: r for r in fingerprint.fingerprint_pairs(docs).collect()}
     assert got[2].near_next < 0.1 and got[3].near_next < 0.1  # no word in common; the last one repeats one word
-    assert 0.3 < got[2].near_edited < 0.7
+    assert 0.2 < got[2].near_edited < 0.8  # half of the text stays
