@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import display as D
 from ..functions import encoders as E
 from ..operators import applications as A
+from ..operators import curves as C
 from ..operators import drift as X
 from ..operators import dynamic as P
 from ..operators import metrics as M
@@ -33,6 +34,9 @@ from .denials import denial_messages
 from ..sources.fixture import raw_loans
 from ..sources.tables import read_table
 
+#: Share of defaults that a threshold should find, the published recall on denials.
+TARGET_RECALL = 0.82
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -159,6 +163,17 @@ def metrics_row(spark, sf_dir) -> DataFrame:
     return out
 
 
+def threshold_choice_q(spark, sf_dir):
+    """Thresholds by a recall to reach on denials, and by what a missed default costs against a refused good loan."""
+    curve = C.threshold_curve(scored_test_fold(spark, sf_dir))
+    rules = [C.threshold_for_recall(curve, r) for r in (0.5, TARGET_RECALL, 0.95)]
+    rules += [C.threshold_for_cost(curve, cost, 1.0) for cost in (1.0, 5.0)]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def drift_frame(raw: DataFrame) -> DataFrame:
     period = F.when(F.col("issue_d") < F.lit("1995-06-01").cast("date"), F.lit("base")).otherwise(
         F.lit("current"))
@@ -329,6 +344,8 @@ def registry() -> dict[str, QueryFn]:
     q["confusion"] = lambda spark, d: M.confusion(scored_test_fold(spark, d))
     q["evaluation_gate"] = metrics_row
     q["threshold_sweep"] = lambda spark, d: M.threshold_sweep(scored_test_fold(spark, d))
+    q["threshold_curve"] = lambda spark, d: C.threshold_curve(scored_test_fold(spark, d))
+    q["threshold_choice"] = threshold_choice_q
     q["feature_drift"] = _raw(lambda r: X.feature_drift(drift_frame(r), "period", "base", "current"))
     # training flow's dynamic encoding
     q["one_hot_dynamic"] = _raw(_dynamic_flags)

@@ -437,6 +437,19 @@ FROM (SELECT CAST(count_if(score > 0.5 AND target = 1) AS BIGINT) AS tp,
 SELECT auc_roc, accuracy, 0.75::DOUBLE AS auc_threshold, coalesce(auc_roc >= 0.75, false) AS passed,
        CASE WHEN auc_roc >= 0.75 THEN 'SUCCESS' ELSE 'FAILED' END AS status
 FROM auc, acc"""
+    curve = """, counted AS (SELECT score AS threshold, count_if(target = 1) AS pos, count_if(target <> 1) AS neg FROM test GROUP BY score),
+summed AS (SELECT threshold, coalesce(sum(pos) OVER w, 0)::BIGINT AS tp, coalesce(sum(neg) OVER w, 0)::BIGINT AS fp,
+                  (sum(pos) OVER ())::BIGINT AS p, (sum(neg) OVER ())::BIGINT AS n
+           FROM counted WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+curve AS (SELECT threshold, tp, fp, n - fp AS tn, p - tp AS fn, round(tp / nullif(tp + fp, 0), 6) AS precision,
+                 round(tp / nullif(p, 0), 6) AS recall, round(fp / nullif(n, 0), 6) AS false_positive_rate FROM summed)
+"""
+    q["threshold_curve"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST) + curve + "SELECT * FROM curve"
+    chosen = [f"(SELECT 'recall' AS rule, {r}::DOUBLE AS value, * FROM curve WHERE tp >= {r}::DOUBLE * (tp + fn) "
+              "ORDER BY threshold DESC LIMIT 1)" for r in (0.5, 0.82, 0.95)]
+    chosen += [f"(SELECT 'cost' AS rule, {c}::DOUBLE AS value, * FROM curve ORDER BY {c}::DOUBLE * fn + fp, threshold DESC LIMIT 1)"
+               for c in (1, 5)]
+    q["threshold_choice"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST) + curve + " UNION ALL ".join(chosen)
     q["threshold_sweep"] = with_(RAW, STG, FEAT, MART, SPLIT, TEST) + """
 , th AS (SELECT CAST(i * 0.05 AS DOUBLE) AS threshold FROM range(0, 21) t(i)),
 cnt AS (SELECT threshold,
