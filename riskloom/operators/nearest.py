@@ -58,10 +58,11 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2.0 * (x @ y.T), 0.0)
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int,
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, exclude_self: bool,
                   own: np.ndarray | None = None, most: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """(query row, corpus id, exact squared distance) of the k nearest of one block, for each query; ``own``
-    ids are left out, and distances above ``most`` need not be given."""
+    """(query, corpus id, exact squared distance) of the k nearest of one block, for each query; with
+    ``exclude_self`` its ``own`` id (else its name) is left out, and distances above ``most`` need not be given."""
+    own = q_ids if own is None else own
     c_norm, out = (c * c).sum(axis=1), []
     step = max(1, PRODUCT_BYTES // (8 * len(c)))
     for start in range(0, len(q), step):
@@ -71,7 +72,7 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.nda
         slack = 1e-9 * ((part * part).sum(axis=1) + c_norm.max())
         for i, row in enumerate(bound):
             at = start + i
-            if own is not None:
+            if exclude_self:
                 row[c_ids == own[at]] = np.inf
             kth = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
             if most is not None:
@@ -238,9 +239,9 @@ def _met(asks: DataFrame, celled: DataFrame, found: dict[int, int], blocks: dict
     def kernel(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(qs) and len(cs):
-            own = qs["qid"].to_numpy() if exclude_self else None  # NaN, a query without an id, equals no id
+            own = qs["qid"].to_numpy()  # NaN, a query without an id, equals no id
             rows = best_of_block(qs["row"].to_numpy(dtype=np.int64), matrix(qs["qv"]), cs["cid"].to_numpy(dtype=np.int64),
-                                 matrix(cs["cv"]), k, own, qs["most"].to_numpy(dtype=np.float64))
+                                 matrix(cs["cv"]), k, exclude_self, own, qs["most"].to_numpy(dtype=np.float64))
         return pd.DataFrame(rows, columns=["row", "cid", "d2"]).astype({"row": "int64", "cid": "int64", "d2": "float64"})
 
     keys = ["cell", "block", "grp"]

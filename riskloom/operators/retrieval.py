@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SYSTEM_TEMPLATE
-from .nearest import nearest_neighbors
+from .nearest import best_of_block, nearest_neighbors
 from .postings import terms, tfidf_topk
 
-__all__ = ["context_text", "nearest_neighbors", "prompt_messages", "system_message", "terms", "tfidf_topk"]
+__all__ = ["best_of_block", "context_text", "nearest_neighbors", "prompt_messages", "system_message", "terms", "tfidf_topk"]
 
 
 def context_text(hits: DataFrame, texts: DataFrame, q_id: str, d_id: str,

@@ -23,6 +23,7 @@ from ..operators import ranking as R
 from ..operators import retrieval as RT
 from ..operators.policy import policy_reasons
 from ..operators.text_index import TextIndex
+from ..operators import sketch_drift as K
 from ..operators import split as T
 from ..operators import staging as S
 from ..schemas import (
@@ -33,10 +34,14 @@ from ..sources import files
 from .denials import denial_messages
 from ..sources.fixture import raw_loans
 from ..sources.tables import read_table
+from ..streaming.drift_stream import start_drift_stream
 
 #: Share of defaults that a threshold should find, the published recall on denials.
 TARGET_RECALL = 0.82
 
+#: Features that the drift stream counts.
+DRIFT_STREAM_FEATURES = ["loan_amnt", "int_rate", "annual_inc", "dti", "revol_util"]
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -174,15 +179,47 @@ def threshold_choice_q(spark, sf_dir):
     return out
 
 
-def drift_frame(raw: DataFrame) -> DataFrame:
+def drift_frame(raw: DataFrame, *more: str) -> DataFrame:
     period = F.when(F.col("issue_d") < F.lit("1995-06-01").cast("date"), F.lit("base")).otherwise(
         F.lit("current"))
     return raw.select(
-        period.alias("period"), "loan_amnt", "int_rate", "installment", "annual_inc", "dti",
+        period.alias("period"), *more, "loan_amnt", "int_rate", "installment", "annual_inc", "dti",
         F.col("fico_range_low").alias("fico"), "open_acc", "pub_rec", "revol_bal", "revol_util",
         "total_acc", "mort_acc", "pub_rec_bankruptcies")
 
 
+def drift_sketches_q(spark, sf_dir):
+    """Drift by merged monthly sketches; of each feature whether the edges keep the sketch's rank bound and
+    the shares of both periods add up.  (Three times the bound, which a single rank keeps with 99 %.)"""
+    frame = drift_frame(raw_loans(spark, sf_dir).withColumn("month", F.date_format("issue_d", "yyyy-MM")), "month")
+    feats = [c for c in frame.columns if c not in ("period", "month")]
+    path = scratch_path(spark, "sketches")
+    K.feature_sketches(frame, F.concat_ws(" ", "period", "month"), feats).write.parquet(path)
+    periods = K.merged(spark.read.parquet(path), F.split("period", " ")[0])
+    drift = K.drift_between(periods, "base", "current")
+    base = frame.filter("period = 'base'").select(*[F.col(f).cast("double").alias(f) for f in feats]).unpivot([], feats, "feature", "x")
+    ranks = F.array(*[F.lit(j / K.BINS) for j in range(1, K.BINS)])
+    edges = periods.filter("period = 'base'").select(
+        "feature", F.kll_sketch_get_quantile_double("sketch", ranks).alias("edges"), ranks.alias("quantiles"))
+
+    def whole(c):
+        return F.abs(F.aggregate(c, F.lit(0.0), lambda a, v: a + v) - 1) < 1e-9
+
+    return drift.join(K.rank_errors(base, edges), "feature").select(
+        "feature", (F.col("error") <= 3 * K.RANK_ERROR).alias("edges_in_bound"),
+        (whole("base_shares") & whole("current_shares")).alias("shares_whole"), (F.col("psi") >= 0).alias("psi_not_negative"))
+
+
+def drift_stream_q(spark, sf_dir):
+    """The windows of the loans' stream that its watermark has closed, with their counts."""
+    loans = raw_loans(spark, sf_dir).select("loan_id", "issue_d", *DRIFT_STREAM_FEATURES)
+    src, out, chk = (scratch_path(spark, n) for n in ("drift-in", "drift-out", "drift-chk"))
+    loans.write.parquet(src)
+    start_drift_stream(spark, loans.schema, src, out, chk, DRIFT_STREAM_FEATURES).awaitTermination()
+    schema = "window_start timestamp, feature string, bin int, n long"
+    return spark.read.schema(schema).parquet(out).withColumn("window_start", F.col("window_start").cast("date"))
+
+
 # --- synthetic contributions for the ranking operators ---------------------------
 
 SYNTHETIC_BASE = -0.5
@@ -277,6 +314,13 @@ def policy_reasons_q(spark, sf_dir):
     return policy_reasons(denied).select("app_id", "rule_id", "policy", "line", "severity", "reason")
 
 
+def one_hot_sparse_q(spark, sf_dir):
+    """The numbers of each completed loan's flags by the written dictionary of three columns, the dates being of many values."""
+    loans = S.completed_loans(raw_loans(spark, sf_dir)).select("loan_id", "home_ownership", "purpose", "issue_d")
+    return P.one_hot_sparse(loans, ["home_ownership", "purpose", "issue_d"]).select(
+        "loan_id", F.array_join(F.transform("flags", lambda x: x.cast("string")), ",").alias("flags"))
+
+
 def _dynamic_flags(raw: DataFrame) -> DataFrame:
     df = P.training_frame(raw)
     return df.select("loan_id", *[c for c in df.columns
@@ -344,11 +388,14 @@ def registry() -> dict[str, QueryFn]:
     q["confusion"] = lambda spark, d: M.confusion(scored_test_fold(spark, d))
     q["evaluation_gate"] = metrics_row
     q["threshold_sweep"] = lambda spark, d: M.threshold_sweep(scored_test_fold(spark, d))
+    q["drift_sketches"] = drift_sketches_q
+    q["drift_stream"] = drift_stream_q
     q["threshold_curve"] = lambda spark, d: C.threshold_curve(scored_test_fold(spark, d))
     q["threshold_choice"] = threshold_choice_q
     q["feature_drift"] = _raw(lambda r: X.feature_drift(drift_frame(r), "period", "base", "current"))
     # training flow's dynamic encoding
     q["one_hot_dynamic"] = _raw(_dynamic_flags)
+    q["one_hot_sparse"] = one_hot_sparse_q
     q["numeric_columns"] = _raw(P.training_matrix)
     # ranking of contributions
     q["top_features"] = top_features_q

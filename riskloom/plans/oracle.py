@@ -463,6 +463,18 @@ SELECT threshold, tp, fp, tn, fn, round(tp / nullif(tp + fp, 0), 4) AS precision
     bounds = ", ".join(f"({_q(f)}, {float(APPLICATION_BOUNDS[f][0])}::DOUBLE, {float(APPLICATION_BOUNDS[f][1])}::DOUBLE)"
                        for f in DRIFT_FEATURES)
     feats = ", ".join(f"CAST({'fico_range_low' if f == 'fico' else f} AS DOUBLE) AS {f}" for f in DRIFT_FEATURES)
+    q["drift_sketches"] = "SELECT * FROM (VALUES " + ", ".join(
+        f"({_q(f)}, true, true, true)" for f in DRIFT_FEATURES) + ") t(feature, edges_in_bound, shares_whole, psi_not_negative)"
+    streamed = ["loan_amnt", "int_rate", "annual_inc", "dti", "revol_util"]
+    q["drift_stream"] = with_(RAW) + f"""
+, d AS (SELECT DATE '1970-01-01' + CAST((issue_d - DATE '1970-01-01') // 28 * 28 AS INTEGER) AS window_start, issue_d,
+               {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in streamed)} FROM raw WHERE issue_d IS NOT NULL),
+closed AS (SELECT * EXCLUDE (issue_d) FROM d WHERE window_start + 28 <= (SELECT max(issue_d) - 14 FROM d)),
+lg AS (SELECT * FROM closed UNPIVOT INCLUDE NULLS (x FOR feature IN ({", ".join(streamed)}))),
+b AS (SELECT * FROM (VALUES {bounds}) t(feature, lo, hi))
+SELECT window_start, lg.feature, CASE WHEN x IS NULL THEN -1 WHEN x < lo THEN -2 WHEN x > hi THEN 10
+         ELSE CAST(least(floor((x - lo) / (hi - lo) * 10), 9) AS INTEGER) END AS bin, count(*) AS n
+FROM lg JOIN b USING (feature) GROUP BY ALL"""
     q["feature_drift"] = with_(RAW) + f"""
 , d AS (SELECT CASE WHEN issue_d < DATE '1995-06-01' THEN 'base' ELSE 'current' END AS period, {feats} FROM raw),
 lg AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (x FOR feature IN ({", ".join(DRIFT_FEATURES)}))),
@@ -484,6 +496,13 @@ SELECT feature, round(sum((q - p) * ln(q / p)), 6) AS psi, count(*) AS n_bins FR
                       + [f"coalesce(purpose = {_q(v)}, false) AS purpose_{v}" for v in purposes])
     q["one_hot_dynamic"] = with_(RAW) + f"""
 SELECT loan_id, {flags} FROM raw WHERE loan_status IN ('Fully Paid', 'Charged Off')"""
+    q["one_hot_sparse"] = with_(RAW) + """
+, c AS (SELECT loan_id, home_ownership, purpose, CAST(issue_d AS VARCHAR) AS issue_d FROM raw WHERE loan_status IN ('Fully Paid', 'Charged Off')),
+v AS (SELECT 0 AS k, home_ownership AS v FROM c UNION SELECT 1, purpose FROM c UNION SELECT 2, issue_d FROM c),
+d AS (SELECT k, v, row_number() OVER (ORDER BY k, v) - 1 AS n FROM v WHERE v IS NOT NULL)
+SELECT loan_id, array_to_string(list_sort(list_filter([h.n, p.n, i.n], lambda x: x IS NOT NULL)), ',') AS flags
+FROM c LEFT JOIN d h ON h.k = 0 AND h.v = home_ownership LEFT JOIN d p ON p.k = 1 AND p.v = purpose
+LEFT JOIN d i ON i.k = 2 AND i.v = issue_d"""
     q["numeric_columns"] = with_(RAW) + f"""
 SELECT loan_id, loan_amnt,
   CASE WHEN coalesce(contains(term, '36'), false) THEN 36 ELSE 60 END AS term,
