@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display as D
 from ..functions import encoders as E
+from ..functions.display import question_text
 from ..operators import applications as A
 from ..operators import curves as C
 from ..operators import drift as X
@@ -21,6 +22,7 @@ from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import ranking as R
 from ..operators import retrieval as RT
+from ..operators.explain import explain_denials, with_prompt
 from ..operators.policy import policy_reasons
 from ..operators.text_index import TextIndex
 from ..operators import sketch_drift as K
@@ -31,7 +33,7 @@ from ..schemas import (
 )
 from ..session import scratch_path
 from ..sources import files
-from .denials import denial_messages
+from .denials import denial_context, embedded_context
 from ..sources.fixture import raw_loans
 from ..sources.tables import read_table
 from ..streaming.drift_stream import start_drift_stream
@@ -294,19 +296,56 @@ def index_deltas_q(spark, sf_dir):
     return index.search(bench, "item_id").withColumnRenamed("doc", "doc_id")
 
 
-def denial_messages_q(spark, sf_dir):
-    """The messages of every denied valid application; of the system message, whether the template
-    holds it together and whether it has three chunks."""
+def _denied(spark, sf_dir) -> DataFrame:
     valid, _ = A.split_rejects(_apps(spark, sf_dir))
     scored = valid.withColumn("default_risk", A.rule_score(E.grade_ordinal("grade"), F.col("dti")))
+    return A.denied_only(A.with_decision(scored))
+
+
+def denial_messages_q(spark, sf_dir):
+    """The messages of every denied valid application; of the system message, whether the template
+    holds its context together, and of how many different chunks the context is."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    m = denial_messages(A.denied_only(A.with_decision(scored)), docs)
+    found = denial_context(_denied(spark, sf_dir), docs)
+    facts = found.select("app_id", F.length("context").alias("n"), F.size(F.array_distinct("chunks")).alias("n_chunks"))
+    m = RT.prompt_messages(found, "app_id").join(facts, "app_id")
     head, tail = SYSTEM_TEMPLATE.split("{context}")
     framed = F.startswith("content", F.lit(head)) & F.endswith("content", F.lit(tail))
-    grounded = F.length("content") > len(head) + len(tail)
+    whole = F.length("content") == F.col("n") + len(head) + len(tail)
     system = F.col("role") == "system"
     return m.select("app_id", "position", "role", F.when(~system, F.col("content")).alias("question"),
-                    F.when(system, framed & grounded).alias("grounded"))
+                    F.when(system, framed & whole).alias("grounded"), F.when(system, F.col("n_chunks")).alias("n_chunks"))
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A caller's embedding function: how often each letter a to z occurs."""
+    return [[float(t.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts]
+
+
+def embedded_context_q(spark, sf_dir):
+    """The documents nearest each benchmark item by a caller's vectors, and the context that they make."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    bench = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = embedded_context(bench, docs, letter_counts, "item_id", "doc_id")
+    return found.select("item_id", F.sha2("context", 256).alias("context_sha256"),
+                        F.array_join(F.transform("nearest", lambda x: x.cast("string")), ",").alias("nearest"))
+
+
+def answers(prompts: list[list[dict]]) -> list[str]:
+    """A completion function that fails for one purpose."""
+    if any("Purpose: wedding" in p[1]["content"] for p in prompts):
+        raise ValueError("no answer for this purpose")
+    return [f"{p[0]['role']}: {len(p[0]['content'])} characters; {p[1]['content']}" for p in prompts]
+
+
+def explain_calls_q(spark, sf_dir):
+    """Every valid application's explanation by a caller's function that fails for some: the others of a
+    batch are answered, and applications that were not denied are not asked about."""
+    valid, _ = A.split_rejects(_apps(spark, sf_dir))
+    scored = A.with_decision(valid.withColumn("default_risk", A.rule_score(E.grade_ordinal("grade"), F.col("dti"))))
+    asked = with_prompt(scored.select("app_id", "decision", question_text().alias("question"), F.lit("rules").alias("context")))
+    out = explain_denials(asked.withColumn("denied", F.col("decision") == "DENIED"), answers, only_when="denied")
+    return out.select("app_id", "decision", "explanation", "explanation_error")
 
 
 def policy_reasons_q(spark, sf_dir):
@@ -404,6 +443,8 @@ def registry() -> dict[str, QueryFn]:
     q["nearest_chunks"] = nearest_chunks_q
     q["retrieve_tfidf"] = retrieve_tfidf_q
     q["index_deltas"] = index_deltas_q
+    q["embedded_context"] = embedded_context_q
+    q["explain_calls"] = explain_calls_q
     q["context_text"] = context_text_q
     q["prompt_messages"] = prompt_messages_q
     q["policy_reasons"] = policy_reasons_q

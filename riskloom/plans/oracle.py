@@ -373,6 +373,14 @@ SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(d2, 4) AS d2 FR
   FROM documents d WHERE doc_id = (SELECT min(e.doc_id) FROM documents e WHERE e.text = d.text)
   UNION ALL SELECT -1 - item_id, text FROM benchmark)"""
     q["index_deltas"] = with_(changed, TFIDF.replace("documents", "changed")) + "SELECT * FROM hits"
+    letters = ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz")
+    q["embedded_context"] = f"""
+WITH d AS (SELECT doc_id, text, [{letters}] AS v FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+b AS (SELECT item_id, [{letters}] AS v FROM (SELECT item_id, coalesce(text, '') AS text FROM benchmark)),
+p AS (SELECT item_id, doc_id, text, list_sum(list_transform(list_zip(b.v, d.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM b, d),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY d2, doc_id) AS rank FROM p QUALIFY rank <= 3)
+SELECT item_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS context_sha256,
+       string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS nearest FROM r GROUP BY item_id"""
     q["context_text"] = with_(TFIDF) + "SELECT item_id, context FROM ctx"
     q["prompt_messages"] = with_(TFIDF) + f"""
 SELECT item_id, 0 AS position, 'system' AS role, {_q(SYSTEM_HEAD)} || coalesce(context, '') || {_q(SYSTEM_TAIL)} AS content
@@ -566,8 +574,14 @@ SELECT app_id, 36 AS n_features, true AS additive FROM checked WHERE len(violati
 SELECT app_id, true AS same_score FROM checked WHERE len(violations) = 0"""
     q["denial_messages"] = _stmt_question() + f"""
 , d AS (SELECT app_id, question FROM asked WHERE {SCORE_EXPR.format(grade=GRADE_CASE)} > 0.5)
-SELECT app_id, 0 AS position, 'system' AS role, CAST(NULL AS VARCHAR) AS question, true AS grounded FROM d
-UNION ALL SELECT app_id, 1, 'human', question, CAST(NULL AS BOOLEAN) FROM d"""
+SELECT app_id, 0 AS position, 'system' AS role, CAST(NULL AS VARCHAR) AS question, true AS grounded,
+       3 AS n_chunks FROM d
+UNION ALL SELECT app_id, 1, 'human', question, CAST(NULL AS BOOLEAN), CAST(NULL AS INTEGER) FROM d"""
+    q["explain_calls"] = _stmt_question() + f"""
+, d AS (SELECT app_id, question, {SCORE_EXPR.format(grade=GRADE_CASE)} > 0.5 AS denied, contains(question, 'Purpose: wedding') AS fails FROM asked)
+SELECT app_id, CASE WHEN denied THEN 'DENIED' ELSE 'APPROVED' END AS decision,
+       CASE WHEN denied AND NOT fails THEN 'system: ' || (length({_q(SYSTEM_HEAD)}) + length({_q(SYSTEM_TAIL)}) + 5) || ' characters; ' || question END AS explanation,
+       CASE WHEN denied AND fails THEN 'no answer for this purpose' END AS explanation_error FROM d"""
     q["score_result"] = q["score_stream"] = valid + """
 SELECT app_id, CASE WHEN ok THEN 'SCORED' ELSE 'REJECTED' END AS status, array_to_string(violations, ',') AS violations,
        ok AS has_result, CASE WHEN ok THEN 10 END AS n_top, CASE WHEN ok THEN true END AS top_in_order,
