@@ -7,18 +7,20 @@ over the host's pages form a class.  A vector is never built: the sum over
 pages of a hash of (page, count) is equal for equal vectors, so classes come
 from one grouped aggregate, however many pages a host has.
 
-The class of the root (once on every page) is the template's skeleton.  It is
-valid and nested by construction, its tokens being paths: one element lies in
-another or beside it.  Its texts are constant template text; its containers
-bound the slots.  The slot that holds the host's main text is chosen from the
-text masses that were summed with the vectors; the same aggregate thus gives,
-for each host, one row: the main slot and the template's texts.  Each page is
-then cut down to its main slot, without elements that are boilerplate by their
-tag, role, class or id (menus, notices, adverts, forms, comments ...), without
-lists of nothing but links, and without template texts.  A word in a class or
-id is weak evidence: an element stays if it holds the page's main element or
+A class is kept if its tokens are equally often on each page that has them and
+on ``TEXT_SUPPORT`` of the host's pages.  The class of the root (once on every page) is the
+template's skeleton; the others nest: a token lies in the nearest path above it
+that is a kept token, and a class whose tokens lie in paths of one class is valid and nests in
+it, one whose tokens lie in several is none.  So a frame that is on most pages, or a note that
+stands twice on each, is template too, and odd pages switch nothing off.  Texts of valid
+classes are template text; containers bound the slots.  The slot that holds the host's main
+text is chosen from the text masses that were summed with the vectors.  Each page is then
+cut down to its main slot, without elements that are boilerplate by their tag (menus, notices,
+adverts ...), without lists of nothing but links, and without template texts; headings
+inside the main slot stay.  Forms, hidden elements, roles and words in a class or id are weak
+evidence: an element stays if it holds the page's main element or
 h1, or ``MAIN_MASS`` of its text while no main element beside it has a fair
-share; and if nothing else is left of a page, such words drop nothing.
+share; and if nothing else is left of a page, such evidence drops nothing.
 
 Text rules: character references are decoded, white space inside a block
 becomes one space, blocks are joined by one newline in page order; nothing
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 import xxhash
@@ -46,7 +49,7 @@ from .urls import host_of
 
 # Element names by their role in a page.
 SKIPPED = frozenset("script style noscript template iframe svg math canvas object embed audio video select textarea "
-                    "button datalist dialog nav footer aside form menu head title map applet input".split())
+                    "button datalist dialog nav footer aside menu head title map applet input".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
                    "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
                    "optgroup option p pre search section summary table caption tbody td tfoot th thead tr ul "
@@ -71,20 +74,26 @@ BOILERPLATE_WORDS = frozenset(
     "discussions disqus feedback reactions skip hidden sponsorship outbrain taboola".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu "
                               "menubar toolbar note".split())
+#: Elements of a path; deeper ones share the path of the last.
+DEPTH = 64
 #: Pages of a host from which on a text that is once on every page counts as template.
 CONSTANT_PAGES = 4
+#: Share of a host's pages that a class of the template is on.
+TEXT_SUPPORT = 0.6
 #: Share of a host's pages that have a slot; share of its text mass that a slot holds.
 SUPPORT, MAIN_MASS, SEMANTIC_MASS = 0.5, 0.6, 0.3
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[a-zA-Z/!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[a-zA-Z/!?][^>]*+>|[^<]++|<",
                     re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_READ = frozenset("class id role hidden aria-hidden".split())
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Suspect:
-    """An element that is boilerplate by a word of its class or id, unless it holds what is main."""
+    """A form, a hidden element, or one that is boilerplate by its role or a word of its class or id, unless
+    it holds what is main."""
 
     __slots__ = ("above", "holds_main", "mass", "main_mass", "dropped")
 
@@ -136,25 +145,23 @@ def _attributes(tag: str) -> dict[str, str]:
     if "=" not in tag and " hidden" not in tag.lower():
         return {}
     found: dict[str, str] = {}
-    # values first, so that a word inside another attribute's value is not taken for an attribute
-    bare = re.sub(r"""(?i)\b(?!class\b|id\b|role\b|aria-hidden\b)[\w:-]+\s*=\s*("[^"]*"|'[^']*')""", " ", tag)
-    for m in _ATTRIBUTE.finditer(bare):
-        found.setdefault(m.group(1).lower(), (m.group(2) or "").strip("\"'"))
+    for m in _ATTRIBUTE.finditer(tag, 1):  # one by one, so that a word in a value is no attribute
+        name = m.group(1).lower()
+        if name in _READ:
+            found.setdefault(name, (m.group(2) or "").strip("\"'"))
     return found
 
 
 def _boilerplate(name: str, attributes: dict[str, str], in_main: bool) -> bool:
-    if name in SKIPPED:
-        return True
-    if name == "header" and not in_main:
-        return True
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    return attributes.get("role", "").lower() in BOILERPLATE_ROLES
+    return name in SKIPPED or (name == "header" and not in_main)
 
 
 def _suspect(name: str, attributes: dict[str, str]) -> bool:
-    """A word of the class or id says boilerplate."""
+    """A form, a hidden element, or one whose role, class or id says boilerplate."""
+    if name == "form" or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return True
+    if attributes.get("role", "").lower() in BOILERPLATE_ROLES:
+        return True
     if name in ("html", "body", "article", "main", "h1", "header"):
         return False
     named = attributes.get("class", "") + " " + attributes.get("id", "")
@@ -178,6 +185,7 @@ class Page:
         self.blocks: list[Block] = []
         self.paths: dict[str, list] = {"": [1, False]}  # path -> [count, is a main element]
         self._stack = [Element("", "", True, False, False, False)]
+        self._open_names: Counter[str] = Counter()
         self._text: list[tuple[str, bool]] = []
         self._lists, self._list_number = [], 0
         self._suspects: list[Suspect] = []
@@ -241,12 +249,15 @@ class Page:
 
     def _pop(self, at: int) -> None:
         for e in self._stack[at:]:
+            self._open_names[e.name] -= 1
             if e.name in ("ul", "ol", "menu") and self._lists:
                 self._lists.pop()
         del self._stack[at:]
 
     def _find(self, names: set[str], stop: set[str] = frozenset()) -> int:
         """Place of the innermost open element of one of the names, 0 if none is before ``stop``."""
+        if not any(self._open_names[n] for n in names):
+            return 0
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k].name in names:
                 return k
@@ -290,12 +301,14 @@ class Page:
             self._tops += 1
         path = top.path
         if block:
-            path = f"{top.path}/{_element_name(name, attributes)}" if top.path else _element_name(name, attributes)
+            if path.count("/") < DEPTH - 1:
+                path = f"{path}/{_element_name(name, attributes)}" if path else _element_name(name, attributes)
             if not dropped:
                 self._opened.append((path, main, suspect))
         if name in ("ul", "ol", "menu"):
             self._list_number += 1
             self._lists.append(self._list_number)
+        self._open_names[name] += 1
         self._stack.append(Element(name, path, block, dropped, main, top.in_main or main, suspect,
                                    top.top or (self._tops if main and not dropped else 0), inline))
 
@@ -342,6 +355,9 @@ class Page:
         return [b for b in alive if b.list_path not in menus]
 
 
+_HEADING = re.compile(r"h[1-6](?![a-z0-9])")
+
+
 def text_token(b: Block) -> str:
     return f"{b.path}\n{xxhash.xxh3_64_hexdigest(b.text.encode('utf-8', 'surrogatepass'))}"
 
@@ -385,7 +401,8 @@ def extract(source: str | None, slot: str | None, constant: list[str] | None) ->
     held = [b for b in blocks if inside(b.path, slot)] or blocks
     if constant:
         known = set(constant)
-        held = [b for b in held if text_token(b) not in known] or held
+        # a heading inside the main slot belongs to its text, also if other pages have it too
+        held = [b for b in held if (slot and _HEADING.match(b.path.rpartition("/")[2])) or text_token(b) not in known] or held
     return "\n".join(b.text for b in held)
 
 
@@ -420,12 +437,48 @@ def equivalence_classes(pages: DataFrame, url: str = "url", source: str = "html"
 
     return rows.groupBy("host", "token").agg(
         part(0).alias("low"), part(31).alias("high"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"),
+        (F.min("n") == F.max("n")).alias("steady"),
         F.sum("mass").alias("mass"), F.max("container").alias("container"), F.max("main").alias("main"),
         F.max("title").alias("title"))
 
 
+def nested(classes: DataFrame) -> DataFrame:
+    """host, low, high, tokens and the parent class of each valid class.
+
+    Tokens that are equally often on each of the pages that have them, and on ``TEXT_SUPPORT`` of the host's
+    pages at least, are grouped by their vector.  A token lies in the nearest path above it that is such a
+    token too; a class nests in the class of that path, and is valid if there is no other one.
+    """
+    pages = classes.filter("token = ''").select(F.col("host").alias("h"), F.col("pages").alias("all_pages"))
+    kept = (classes.join(pages, same(F.col("host"), F.col("h"))).drop("h")
+            .filter(F.col("steady") & (F.col("pages") >= TEXT_SUPPORT * F.col("all_pages"))
+                    & ((F.col("token") == "") | (F.col("all_pages") >= CONSTANT_PAGES)))
+            .select("host", "token", "low", "high"))
+    path = F.element_at(F.split("token", "\n"), 1)
+    parts = F.split(path, "/")
+    is_text = F.contains("token", F.lit("\n"))
+    # paths above a token, the root first; a text lies in its own path
+    above = F.concat(F.array(F.lit("")), F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
+    above = F.when(path == "", F.array(F.lit(""))).otherwise(above)
+    above = F.when(is_text, above).otherwise(F.slice(above, F.lit(1), F.size(above) - 1))
+    each = kept.filter("token <> ''").select("host", "token", "low", "high", F.posexplode(above).alias("depth", "up"))
+    ups = kept.select(F.col("host").alias("h"), F.col("token").alias("up_token"), F.col("low").alias("up_low"), F.col("high").alias("up_high"))
+    found = each.join(ups, same(F.col("host"), F.col("h")) & (F.col("up") == F.col("up_token")))
+    # the nearest path that is not of the token's own class: where the class as a whole lies
+    outer = found.filter((F.col("low") != F.col("up_low")) | (F.col("high") != F.col("up_high")))
+    near = outer.groupBy("host", "low", "high", "token").agg(
+        F.max_by(F.struct(F.col("up_low").alias("low"), F.col("up_high").alias("high")), "depth").alias("parent"))
+    parents = near.groupBy("host", "low", "high").agg(F.min("parent").alias("parent"), F.max("parent").alias("other"))
+    sizes = kept.groupBy("host", "low", "high").agg(F.collect_list("token").alias("tokens"))
+    on = same(F.col("host"), F.col("h")) & (F.col("low") == F.col("l")) & (F.col("high") == F.col("g"))
+    parents = parents.select(F.col("host").alias("h"), F.col("low").alias("l"), F.col("high").alias("g"), "parent", "other")
+    both = sizes.join(parents, on, "left")
+    return both.filter(F.col("parent").isNull() | (F.col("parent") == F.col("other"))).select("host", "low", "high", "tokens", "parent")
+
+
 def templates(classes: DataFrame) -> DataFrame:
-    """host, slot (path of the main slot), constant (texts once on every page) of each host."""
+    """host, slot (path of the main slot), constant (the template's texts) of each host."""
     root = classes.filter("token = ''").select(F.col("host").alias("h"), F.col("pages").alias("all_pages"),
                                                F.col("low").alias("root_low"), F.col("high").alias("root_high"),
                                                F.col("mass").alias("all_mass"), F.col("title").alias("has_title"))
@@ -444,9 +497,11 @@ def templates(classes: DataFrame) -> DataFrame:
                            share.alias("share"), F.col("token")))
             .when(F.col("token") == "", F.struct(F.lit(1).alias("kind"), F.lit(1).alias("sure"), F.lit(0).alias("depth"),
                                                  share.alias("share"), F.col("token"))))
-    constant = F.when(skeleton & F.contains("token", F.lit("\n")) & (F.col("all_pages") >= CONSTANT_PAGES), F.col("token"))
-    return t.groupBy("host").agg(F.max(rank).alias("best"), F.collect_list(constant).alias("constant")).select(
-        "host", F.coalesce("best.token", F.lit("")).alias("slot"), "constant")
+    slots = t.groupBy("host").agg(F.max(rank).alias("best")).select("host", F.coalesce("best.token", F.lit("")).alias("slot"))
+    texts = F.filter("tokens", lambda x: F.contains(x, F.lit("\n")))
+    constant = nested(classes).select(F.col("host").alias("h"), F.explode(texts).alias("text")).groupBy("h").agg(
+        F.collect_list("text").alias("constant"))
+    return slots.join(constant, same(F.col("host"), F.col("h")), "left").select("host", "slot", "constant")
 
 
 def main_text(pages: DataFrame, url: str = "url", source: str = "html", to: str = "text") -> DataFrame:

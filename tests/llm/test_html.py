@@ -126,3 +126,58 @@ def test_pages_without_text_leave_the_template_as_it_is(spark):
     # texts of the main slot that are on every page with text are template still
     same = [(k, f"http://h.net/{k}", f"<article><p>Share this now</p><p>Story {k} at length.</p></article>") for k in range(5)]
     assert run(spark, same + empty) == {k: f"Story {k} at length." for k in range(5)} | {10: "", 11: "", 12: ""}
+
+
+@pytest.mark.parametrize("open_, close", [
+    ("<form id=aspnetForm>", "</form>"), ("<div role=note>", "</div>"), ("<div aria-hidden=true>", "</div>"), ("<div hidden>", "</div>")])
+def test_wrapper_that_is_only_evidence_keeps_its_text(spark, open_, close):
+    page = f"<html><body>{open_}{STORY}<form><label>Find</label></form>{close}<div role=note><p>By the way</p></div></body></html>"
+    assert run(spark, [(1, "http://a.b/1", page)])[1] == TOLD
+
+
+def test_words_in_attribute_values_are_no_attributes(spark):
+    page = f"<html><body style=overflow:hidden data-x='class=ad hidden'><div title=\"role=form\">{STORY}</div></body></html>"
+    assert run(spark, [(1, "http://a.b/1", page)])[1] == TOLD
+
+
+def test_headings_of_the_article_stay(spark):
+    rows = [(k, f"http://h.net/{k}", f"<article><h1>T {k}</h1><h2>Summary</h2><p>Story {k} is told.</p></article>") for k in range(6)]
+    assert run(spark, rows) == {k: f"T {k}\nSummary\nStory {k} is told." for k in range(6)}
+
+
+@pytest.mark.parametrize("on, times", [(10, 1), (9, 1), (7, 1), (10, 2), (8, 2)])
+def test_lines_of_most_pages_are_template(spark, on, times):
+    """Also if an odd page lacks them, or if they stand twice on each page."""
+    line = "<div class=x><span>Read this with our app</span></div>" * times
+    rows = [(k, f"http://h.net/{k}", f"<article><h1>T {k}</h1>{line if k < on else ''}"
+             f"<p>Story {k} is told at some length here.</p></article>") for k in range(10)]
+    assert run(spark, rows) == {k: f"T {k}\nStory {k} is told at some length here." for k in range(10)}
+
+
+def test_classes_nest(spark):
+    """A note on most pages is a class of its own inside the skeleton; what repeats unevenly is none."""
+    note = "<div id=note><b>Note</b><p>Our shop is open</p></div>"
+    rows = [(k, f"http://h.net/{k}", f"<html><body>{note if k % 4 else ''}<div id=t>" + "<p>line</p>" * (k % 3 + 1)
+             + f"<h2>Story {k}</h2></div></body></html>") for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    classes = html_text.equivalence_classes(df)
+    found = {frozenset(t.split("\n")[0] for t in r.tokens): r for r in html_text.nested(classes).collect()}
+    root = next(r for k, r in found.items() if "" in k)
+    inner = next(r for k, r in found.items() if "html/body/div#note" in k)
+    assert root.parent is None and (inner.parent.low, inner.parent.high) == (root.low, root.high)
+    assert not any("html/body/div#t/p" in k for k in found)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    import tracemalloc
+
+    source = "<div class=some-name>" * 10_000 + "text" + "</div>" * 10_000
+    start = time.process_time()
+    assert html_text.extract(source, "", None) == "text"
+    assert html_text.tokens_of(source)
+    assert time.process_time() - start < 3
+    tracemalloc.start()
+    html_text.tokens_of(source)
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
