@@ -9,10 +9,13 @@ from there on.  The chunks are stitched at that point and the pieces encoded
 by rank-ordered byte-pair merges.  Decoding concatenates the raw bytes of the
 ids.
 
-An overlap always ends behind a letter, a single space and a letter.  Every
-pre-tokenisation of a text has a boundary in front of such a space, so the
-two sides meet there at the latest: stitching never fails and no word is too
-long for it (an overlap grows until it holds such a place or the text ends).
+An overlap always ends behind a letter, a single space and a letter, or behind
+a letter or digit and a punctuation mark or symbol other than an apostrophe.  Every
+pre-tokenisation of a text has a boundary in front of such a space, and between the letter
+or digit and such a mark, so the two sides meet there at the latest: stitching never fails
+and no word is too long for it (an overlap grows until it holds such a place or
+the text ends).  Scripts without spaces and code meet at their marks; what has
+neither, like a run of one letter, is one pre-token and cannot be divided.
 
 Defined results: a null text is the empty text; the empty text has no ids
 and decodes to no bytes; repeated rows are encoded each on their own; extra
@@ -39,8 +42,8 @@ from .common import fresh, partitions, ready
 CHUNK, OVERLAP = 32_768, 256
 #: Pieces a worker remembers; the memory is emptied when full, results do not depend on it.
 MEMORY = 400_000
-#: A boundary lies in front of the space in any pre-tokenisation.
-_MEETING = regex.compile(r"\p{L} \p{L}")
+#: A boundary lies in front of the space, or of the mark, in any pre-tokenisation.
+_MEETING = regex.compile(r"\p{L} \p{L}|[\p{L}\p{N}][[\p{P}\p{S}]--['\u2019]]", regex.V1)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -50,6 +50,19 @@ def test_text_without_meeting_place_is_one_chunk():
     assert bpe.chunk_spans("x" * 1000, 40, 16) == [(0, 1000)]
 
 
+def test_scripts_without_spaces_and_code_are_divided(spark, library):
+    rng = random.Random(9)
+    script = "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃") * rng.randint(1, 4) + rng.choice(["", "", "，", "。", "「"]) for _ in range(400_000))
+    code = "".join(rng.choice(["f(x)", "a=b;", "'s", "don't", "9+1", "[k]", "\n", "if(y){", "}", "0x1f", "’s"]) for _ in range(60_000))
+    assert len(script) > 10**6
+    for text in (script, code):
+        spans = bpe.chunk_spans(text)
+        assert len(spans) > len(text) // 50_000 and max(b - a for a, b in spans) < 2 * bpe.CHUNK
+    df = spark.createDataFrame([(1, script), (2, code)], "doc_id long, text string")
+    for r in bpe.encode(df, PATH, PATTERN).collect():
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == expected(library, script if r.doc_id == 1 else code)
+
+
 def test_round_trip_and_odd_rows(spark, library, ranks):
     out = bpe.encode(odd_documents(spark), PATH, PATTERN, chunk=1000, overlap=64)
     rows = out.collect()
