@@ -11,8 +11,9 @@ in a document that has at least ``THRESHOLD`` of them.
   is missed.
 * A document's signature for a size partition are its hashes up to the
   largest one in any signature of that partition (its cut).  Signatures of a
-  document are nested, so it is enough to look up the widest, about a quarter
-  of its shingles.
+  document are nested, so it is enough to look up the widest.  Its share of a
+  document's shingles follows from the smallest items: about half with the given
+  benchmark, all of them with an item of five words.
 * Documents and items that share a signature hash are candidates, verified by
   exact containment of the shingles as texts.
 
