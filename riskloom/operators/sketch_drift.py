@@ -88,8 +88,9 @@ def rank_errors(df: DataFrame, edges: DataFrame) -> DataFrame:
     ``df`` (feature, x), ``edges`` (feature, edges, quantiles): a few numbers for each feature.
     """
     inside = df.filter(F.col("x").isNotNull() & ~F.isnan("x")).join(F.broadcast(edges), "feature")
-    each = inside.select("feature", "x", F.explode(F.arrays_zip("edges", "quantiles")).alias("e"))
-    counts = each.groupBy("feature", F.col("e.edges").alias("edge"), F.col("e.quantiles").alias("quantile")).agg(
+    each = inside.select("feature", "x", F.explode(F.arrays_zip("edges", "quantiles")).alias("e")).select(
+        "feature", "x", F.col("e.edges").alias("edge"), F.col("e.quantiles").alias("quantile"))
+    counts = each.groupBy("feature", "edge", "quantile").agg(
         (F.count_if(F.col("x") < F.col("edge")) / F.count(F.lit(1))).alias("below"),
         (F.count_if(F.col("x") <= F.col("edge")) / F.count(F.lit(1))).alias("upto"))
     off = F.greatest(F.col("below") - F.col("quantile"), F.col("quantile") - F.col("upto"), F.lit(0.0))

@@ -55,8 +55,8 @@ def summarize(plan: str) -> dict:
         "shuffles": len(shuffles),
         "shuffle_kinds": ",".join(sorted(set(kinds))),
         "broadcasts": sum("BroadcastExchange" in l for l in lines),
-        "python": sum(any(k in l for k in ("MapInPandas", "FlatMapCoGroupsInPandas",
-                                            "ArrowEvalPython", "FlatMapGroupsInPandas"))
+        "python": sum(any(k in l for k in ("MapInPandas", "MapInArrow", "FlatMapCoGroupsIn", "ArrowEvalPython",
+                                            "FlatMapGroupsIn"))
                       for l in lines),
         "windows": sum(l.strip().startswith(("Window ", "+- Window ", ":- Window "))
                        or " Window [" in l for l in lines),
@@ -71,7 +71,7 @@ def main() -> None:
     import __spark_entry__ as entry
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session("local[8]", 16, app_name="riskloom-plans", driver_memory="8g")
+    spark = build_session("local[4]", 16, app_name="riskloom-plans", driver_memory="8g")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-plans-"))
     oracles = entry.oracle_sql()
