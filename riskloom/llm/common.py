@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.session import parallelism, scratch_path, ship_package
 
-__all__ = ["fresh", "keep", "parallelism", "partitions", "ready", "same", "table", "text_column"]
+__all__ = ["drop_kept", "fresh", "keep", "kept_so_far", "parallelism", "partitions", "ready", "same", "table", "text_column"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,24 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Folders that ``keep`` has written, in order.
+_KEPT: list[str] = []
+
+
+def kept_so_far() -> int:
+    return len(_KEPT)
+
+
+def drop_kept(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that ``keep`` wrote after ``since`` of them, but for the last one: that one
+    holds what was made of the others."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _KEPT[since:-1]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    _KEPT[since:-1] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back.
 
@@ -31,6 +49,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """The pipeline: stages in order, each on what the one before kept."""
 
 import hashlib
+import os
 import struct
 
 import corpus_pipeline
@@ -13,6 +14,7 @@ from llm.test_pii import base_spans
 
 from riskloom.llm import bpe
 from riskloom.llm.common import keep, table
+from riskloom.session import work_dir
 
 
 def test_each_stage_against_brute_force(spark):
@@ -53,7 +55,10 @@ def test_each_stage_against_brute_force(spark):
                 assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids)
                 assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
         docs = out
+    before = set(os.listdir(work_dir(spark)))
     assert docs.count() == corpus_pipeline.run(spark, SF).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(work_dir(spark))) - before}
+    assert left == {"pipeline-3-pii"}  # what the last stage reads
 
 
 def test_odd_rows(spark, tmp_path):
