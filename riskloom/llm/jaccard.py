@@ -356,7 +356,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     rows = keep(_read_sets(source, words, percent), "jaccard-sets")
     full = rows.filter("digest IS NOT NULL")
     classes = keep(_classes(full), "jaccard-classes")
-    candidates = _candidates(full.filter("keys IS NOT NULL"), classes)
+    candidates = keep(_candidates(full.filter("keys IS NOT NULL"), classes), "jaccard-pairs")
     grouped = keep(components(candidates, "node", "least"), "jaccard-candidates")
     links = _verified(source, classes, grouped, words, percent)
     linked_classes = components(links, "a", "b")
