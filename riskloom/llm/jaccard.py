@@ -52,6 +52,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Word hashes, remembered up to a bound."""
 
-    def __init__(self, memory: int = 400_000, size: int = WORDS):
+    def __init__(self, memory: int = 60_000, size: int = WORDS):
         self.known: dict[str, int] = {}
         self.memory, self.size = memory, size
 
@@ -299,26 +300,35 @@ def join_cell(sets: list[np.ndarray], left: list[int], right: list[int], percent
 def _read_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n_shingles, digest (null: an empty set), segment keys (null: a task's repeat)
     and how many of them to spare, of every row."""
-    @F.pandas_udf("struct<n:bigint,digest:binary,keys:array<bigint>,spare:array<int>>")
-    def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, steps, seen = Hasher(size=size), Steps(percent), set()
-        for batch in texts:
+        for part in _slices(batches):
             out = []
-            for t in batch:
+            for t in part.column("text").to_pylist():
                 s = hasher.shingles(t)
                 if not len(s):
                     out.append((0, None, None, None))
                     continue
                 digest = digest_of(s)
-                keys, spare = (None, None) if digest in seen else stated(s, steps)
-                out.append((len(s), digest, keys, spare))
+                out.append((len(s), digest, *((None, None) if digest in seen else stated(s, steps))))
                 if len(seen) > MEMORY:
                     seen.clear()
                 seen.add(digest)
-            yield pd.DataFrame(out, columns=["n", "digest", "keys", "spare"])
+            n, digests, keys, spare = zip(*out, strict=True)
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"),
+                                   "n_shingles": pa.array(n, pa.int64()), "digest": pa.array(digests, pa.binary()),
+                                   "keys": pa.array(keys, pa.list_(pa.int64())), "spare": pa.array(spare, pa.list_(pa.int32()))})
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), read("text").alias("set")).select(
-        "doc_id", "text_hash", F.col("set.n").alias("n_shingles"), "set.digest", "set.keys", "set.spare")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        read, f"doc_id {kind}, text_hash long, n_shingles long, digest binary, keys array<long>, spare array<int>")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _classes(full: DataFrame) -> DataFrame:
@@ -437,16 +447,17 @@ def _verified(source: DataFrame, classes: DataFrame, grouped: DataFrame, size: i
     texts = _sift(source.withColumn("text_hash", F.xxhash64("text")), members)
     found = texts.join(members, same(texts["doc_id"], F.col("at.doc_id")) & (texts["text_hash"] == F.col("at.text_hash")))
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(size=size)
-        for df in batches:
-            packed = [hasher.shingles(t) for t in df["text"]]
-            good = [digest_of(s) == bytes(d) for s, d in zip(packed, df["digest"], strict=True)]
-            out = df[["root", "digest", "blocks"]].assign(packed=[s.tobytes() for s in packed])
-            yield out[good]
+        for part in _slices(batches):
+            found = [hasher.shingles(t) for t in part.column("text").to_pylist()]
+            good = [digest_of(s) == d for s, d in zip(found, part.column("digest").to_pylist(), strict=True)]
+            out = pa.record_batch({"root": part.column("root"), "digest": part.column("digest"), "blocks": part.column("blocks"),
+                                   "packed": pa.array([s.tobytes() for s in found], pa.binary())})
+            yield out.filter(pa.array(good))
 
     packed = (found.select("root", "digest", "blocks", "text")
-              .mapInPandas(sets, "root long, digest binary, blocks int, packed binary"))
+              .mapInArrow(sets, "root long, digest binary, blocks int, packed binary"))
     block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     # a block's sets go to every pair of blocks it is part of; a whole group is the pair (0, 0)
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(

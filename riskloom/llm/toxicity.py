@@ -43,6 +43,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ PRIOR = 0.1
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 #: Words a worker remembers; emptied when full.
-MEMORY = 500_000
+MEMORY = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -308,11 +309,11 @@ def score_column(model: Model, text: str | Column) -> Column:
     """The score of a text as a column (Arrow batches; the model is a broadcast of bounded size)."""
     sent = model.to_json()
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model.from_json(sent)
-        for s in texts:
-            yield s.map(m.score, na_action=None).astype("float64")
+        for a in texts:  # few texts are Python objects at a time
+            yield pa.array([m.score(t) for at in range(0, len(a), 256) for t in a.slice(at, 256).to_pylist()], pa.float64())
 
     return score(text)
 
