@@ -100,6 +100,22 @@ def reject_records_q(spark, sf_dir):
                           (F.length("record") > 0).alias("has_record"))
 
 
+def reject_loans_q(spark, sf_dir):
+    """Loan lines, some cut off and some with cells of a wrong type, with the problems of each."""
+    path = scratch_path(spark, "loan-lines")
+    raw = raw_loans(spark, sf_dir)
+    cells = [F.col(c).cast("string") for c in raw.columns]
+    cells = [F.when(F.col("loan_id") % 13 == 0, F.lit("n/a")).otherwise(x) if c == "annual_inc" else
+             F.when(F.col("loan_id") % 17 == 0, F.lit("soon")).otherwise(x) if c == "issue_d" else x
+             for c, x in zip(raw.columns, cells)]
+    line = F.to_csv(F.struct(*[x.alias(c) for c, x in zip(raw.columns, cells)]))
+    cut = F.when(F.col("loan_id") % 19 == 0, F.substring_index(line, ",", 3)).otherwise(line)
+    raw.select(cut.alias("value")).write.text(path)
+    found = files.read_loan_records(spark, path, header=False)
+    return found.select("loan_id", F.array_join("problems", ",").alias("problems"), F.col("record").isNotNull().alias("has_record"),
+                        F.when(F.size("problems") == 0, F.col("annual_inc")).alias("annual_inc"))
+
+
 def scan_applications(spark, sf_dir):
     path = scratch_path(spark, "applications-json")
     files.write_applications_json(_apps(spark, sf_dir), path)
@@ -382,6 +398,7 @@ def registry() -> dict[str, QueryFn]:
     q["mart_filter"] = _raw(lambda r: S.mart_filter(S.loan_features(S.staging(r))))
     q["mart_project"] = _raw(lambda r: S.mart_project(S.loan_features(S.staging(r))))
     q["build_layers"] = build_layers_q
+    q["reject_loans"] = reject_loans_q
     q["reject_records"] = reject_records_q
     q["denial_messages"] = denial_messages_q
     q["label_target"] = _encode("loan_status", E.label_target, "target")

@@ -225,6 +225,12 @@ SELECT CASE WHEN app_id % 13 <> 0 THEN app_id END AS app_id,
        CASE WHEN app_id % 13 = 0 THEN 'record:malformed' ELSE array_to_string({type_case}, ',') END AS violations,
        true AS has_record
 FROM f"""
+    q["reject_loans"] = with_(RAW) + """
+, p AS (SELECT loan_id, annual_inc, loan_id % 19 = 0 AS short,
+               list_filter([CASE WHEN loan_id % 13 = 0 THEN 'annual_inc:type' END, CASE WHEN loan_id % 17 = 0 THEN 'issue_d:type' END],
+                           lambda x: x IS NOT NULL) AS found FROM raw)
+SELECT loan_id, CASE WHEN short THEN 'record:malformed' ELSE array_to_string(found, ',') END AS problems, short AS has_record,
+       CASE WHEN NOT short AND len(found) = 0 THEN annual_inc END AS annual_inc FROM p"""
     # SQL pipeline
     q["stg_project"] = with_(RAW) + """
 SELECT loan_id, loan_amnt,

@@ -30,6 +30,20 @@ def read_loans_csv(spark: SparkSession, path: str) -> DataFrame:
             .option("mode", "PERMISSIVE").csv(path))
 
 
+def read_loan_records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Loans CSV as it came: the columns typed by ``LOAN_SCHEMA``, ``problems`` (for each cell that has
+    another type its column, ``record:malformed`` for a line of another number of cells) and ``record``
+    (such a line, else null).  A cell without a value is null and no problem."""
+    names = [f.name for f in LOAN_SCHEMA.fields]
+    schema = ", ".join(f"{n} string" for n in [*names, "_corrupt"])
+    rows = (spark.read.schema(schema).options(**_CSV_OPTS).option("header", str(header).lower())
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path))
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in LOAN_SCHEMA.fields}
+    odd = [F.when(F.col(n).isNotNull() & typed[n].isNull(), F.lit(f"{n}:type")) for n in names]
+    problems = F.when(F.col("_corrupt").isNotNull(), F.array(F.lit("record:malformed"))).otherwise(F.array_compact(F.array(*odd)))
+    return rows.select(*[typed[n].alias(n) for n in names], problems.alias("problems"), F.col("_corrupt").alias("record"))
+
+
 def load_validation(df: DataFrame) -> DataFrame:
     """Fail flags of the load step: rows present and ``loan_amnt`` present."""
     has_col = "loan_amnt" in df.columns
