@@ -31,7 +31,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import RETRIEVAL_K
@@ -179,21 +179,20 @@ def nearest_neighbors(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: st
         corpus_block = corpus_block or max(1, CORPUS_BLOCK_BYTES // row_bytes)
         query_block = query_block or max(1, QUERY_BLOCK_BYTES // row_bytes)
     n = source.count()
-    one = n <= corpus_block and pivots is None  # one block: nothing to prune
-    if n and not one:
-        celled, cells, blocks = build_cells(source, n, corpus_block, pivots)
-    else:
-        celled, cells, blocks = source.withColumn("cell", F.lit(0)), None, {0: 1}
+    asked = asked.withColumn("row", F.monotonically_increasing_id())
+    if not n or (n <= corpus_block and pivots is None):  # one block: nothing to prune
+        asks = asked.withColumns({"cell": F.lit(0), "most": F.lit(float("inf"))})
+        got = _met(asks, source.withColumn("cell", F.lit(0)), {0: asked.count()}, {0: 1}, query_block, k, exclude_self)
+        first = Window.partitionBy("row").orderBy("d2", "cid")
+        ranked = got.withColumn("at", F.row_number().over(first) - 1).filter(F.col("at") < k).select(
+            "qid", F.lit(1).alias("blocks"), "at", F.struct("d2", "cid").alias("b"))
+        return _result(ranked, q_id, decimals, with_visits)
+    celled, cells, blocks = build_cells(source, n, corpus_block, pivots)
     best = "array<struct<d2:double,cid:bigint>>"
-    state = _written(asked.withColumns({"row": F.monotonically_increasing_id(), "met": F.lit(0), "blocks": F.lit(0),
-                                        "best": F.array().cast(best)}), "nearest-queries")
+    state = _written(asked.withColumns({"met": F.lit(0), "blocks": F.lit(0), "best": F.array().cast(best)}), "nearest-queries")
     done, step = 0, 1
-    while n and done < len(blocks):
-        wanted = _wanted(state, cells, done, step, k)
-        if wanted is None:
-            asks = state.select("row", "qid", "qv", F.lit(0).alias("cell"), F.lit(float("inf")).alias("most"))
-        else:
-            asks = _written(wanted, "nearest-asks")
+    while done < len(blocks):
+        asks = _written(_wanted(state, cells, done, step, k), "nearest-asks")
         found = {r["cell"]: r["count"] for r in asks.groupBy("cell").count().collect()}  # a row for each cell
         if not found:
             break
@@ -205,17 +204,17 @@ def nearest_neighbors(queries: DataFrame, corpus: DataFrame, q_id: str, c_id: st
             "row", "qid", "qv", (F.col("met") + step).alias("met"),
             (F.col("blocks") + F.coalesce("more", F.lit(0))).alias("blocks"), both.alias("best")), "nearest-queries")
         done, step = done + step, step * GROWTH
-    ranked = state.select("qid", "blocks", F.posexplode("best").alias("at", "b"))
+    return _result(state.select("qid", "blocks", F.posexplode("best").alias("at", "b")), q_id, decimals, with_visits)
+
+
+def _result(ranked: DataFrame, q_id: str, decimals: int, with_visits: bool) -> DataFrame:
     columns = [F.col("qid").alias(q_id), (F.col("at") + 1).alias("rank"), F.col("b.cid").alias("neighbor_id"),
                F.round("b.d2", decimals).alias("d2")]
     return ranked.select(*columns, *([F.col("blocks").alias("blocks_met")] if with_visits else []))
 
 
-def _wanted(state: DataFrame, cells: Cells | None, done: int, step: int, k: int) -> DataFrame | None:
-    """(row, qid, qv, cell, most): the cells that queries ask for next; None if there is but one."""
-    if cells is None:
-        return None
-
+def _wanted(state: DataFrame, cells: Cells, done: int, step: int, k: int) -> DataFrame:
+    """(row, qid, qv, cell, most): the cells that queries ask for next."""
     @F.pandas_udf("array<int>")
     def ask(qv: pd.Series, kth: pd.Series) -> pd.Series:
         bound = np.sqrt(kth.to_numpy(dtype=np.float64)) * (1 + SLACK)
@@ -227,7 +226,7 @@ def _wanted(state: DataFrame, cells: Cells | None, done: int, step: int, k: int)
 
 def _met(asks: DataFrame, celled: DataFrame, found: dict[int, int], blocks: dict[int, int], query_block: int, k: int,
          exclude_self: bool) -> DataFrame:
-    """(row, cid, d2) of the k nearest in each block that a query asked for."""
+    """(row, qid, cid, d2) of the k nearest in each block that a query asked for."""
     groups = {c: math.ceil(m / query_block) for c, m in found.items()}
     n_blocks, n_groups = _lookup(blocks, F.col("cell")), _lookup(groups, F.col("cell"))
     q = asks.withColumns({"grp": F.pmod(F.xxhash64("row"), n_groups).cast("int"),
@@ -240,9 +239,12 @@ def _met(asks: DataFrame, celled: DataFrame, found: dict[int, int], blocks: dict
         rows = []
         if len(qs) and len(cs):
             own = qs["qid"].to_numpy()  # NaN, a query without an id, equals no id
-            rows = best_of_block(qs["row"].to_numpy(dtype=np.int64), matrix(qs["qv"]), cs["cid"].to_numpy(dtype=np.int64),
+            found_rows = best_of_block(qs["row"].to_numpy(dtype=np.int64), matrix(qs["qv"]), cs["cid"].to_numpy(dtype=np.int64),
                                  matrix(cs["cv"]), k, exclude_self, own, qs["most"].to_numpy(dtype=np.float64))
-        return pd.DataFrame(rows, columns=["row", "cid", "d2"]).astype({"row": "int64", "cid": "int64", "d2": "float64"})
+            names = dict(zip(qs["row"], qs["qid"].astype("Int64"), strict=True))
+            rows = [(r, names[r], c, d) for r, c, d in found_rows]
+        return pd.DataFrame(rows, columns=["row", "qid", "cid", "d2"]).astype(
+            {"row": "int64", "qid": "Int64", "cid": "int64", "d2": "float64"})
 
     keys = ["cell", "block", "grp"]
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(lambda a, b: kernel(a, b), "row long, cid long, d2 double")
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(lambda a, b: kernel(a, b), "row long, qid long, cid long, d2 double")
