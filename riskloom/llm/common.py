@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.session import parallelism, scratch_path, ship_package
+from riskloom.session import parallelism, scratch_path, ship_package, spark_context
 
 __all__ = ["drop_kept", "fresh", "keep", "kept_so_far", "parallelism", "partitions", "ready", "same", "table", "text_column"]
 
@@ -33,8 +33,11 @@ def kept_so_far() -> int:
 
 def drop_kept(spark: SparkSession, since: int) -> None:
     """Deletes the tables that ``keep`` wrote after ``since`` of them, but for the last one: that one
-    holds what was made of the others."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    holds what was made of the others.  A session without a SparkContext leaves them."""
+    context = spark_context(spark)
+    if context is None:
+        return
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
     for path in _KEPT[since:-1]:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
