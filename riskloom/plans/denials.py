@@ -9,7 +9,9 @@ keeps this order; they are read for the vectors and the context.
 With a caller's embedding function the same steps run over its vectors:
 texts -> vectors -> exact nearest -> context.
 
-A question without any hit has the empty context and its messages.
+Questions are made from a template, so many have the same words: each group of those is searched once, and
+its context is joined to the questions of the group.  A question without any hit has the empty context and
+its messages.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from ..functions.display import question_text
 from ..operators.chunking import chunk_documents
 from ..operators.embedding import embed_with
-from ..operators.retrieval import context_text, nearest_neighbors, prompt_messages, tfidf_topk
+from ..operators.postings import indexed, query_groups, search_groups
+from ..operators.retrieval import context_text, nearest_neighbors, prompt_messages
 from ..schemas import RETRIEVAL_K
 from ..session import scratch_path
 
@@ -41,11 +44,15 @@ def denial_context(denied: DataFrame, docs: DataFrame, k: int = RETRIEVAL_K) ->
     number of each chunk of the context, in rank order."""
     chunks = keyed_chunks(docs)
     asked = denied.select("app_id", question_text().alias("text"))
-    hits = tfidf_topk(asked, chunks, "app_id", "chunk_key", k=k)
+    members, groups = query_groups(asked, "app_id", "text")
+    hits = search_groups(groups, *indexed(chunks, "chunk_key", "text"), chunks.count(), "chunk_key", k)
     each = F.struct("rank", "doc_id", "chunk_id", "text")
-    found = hits.join(chunks, "chunk_key").groupBy("app_id").agg(F.array_sort(F.collect_list(each)).alias("each"))
+    found = hits.join(chunks, "chunk_key").groupBy("qid").agg(F.array_sort(F.collect_list(each)).alias("each"))
+    path = scratch_path(docs.sparkSession, "contexts")
+    found.join(groups, "qid").select("bag", "each").write.parquet(path)
+    found = docs.sparkSession.read.parquet(path)
     none = F.array().cast("array<struct<doc_id:bigint,chunk_id:int>>")
-    return asked.withColumnRenamed("text", "question").join(found, "app_id", "left").select(
+    return asked.withColumnRenamed("text", "question").join(members, "app_id", "left").join(found, "bag", "left").select(
         "app_id", "question", F.coalesce(F.array_join(F.col("each.text"), "\n\n"), F.lit("")).alias("context"),
         F.coalesce(F.transform("each", lambda x: F.struct(x["doc_id"].cast("long").alias("doc_id"), x["chunk_id"].alias("chunk_id"))),
                    none).alias("chunks"))

@@ -132,3 +132,33 @@ def test_sums_do_not_depend_on_order(spark):
         df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3 + seed)
         sums.add(df.agg(exact_sum(F.col("x")).alias("s")).first()[0])
     assert len(sums) == 1 and abs(sums.pop() - math.fsum(values)) < 1e-6
+
+
+def test_queries_of_the_same_words_are_searched_once(spark):
+    """Texts that differ in numbers, case and order only are one group; rows of one id count together."""
+    rows = [(k, f"Why was loan {k} DENIED? {k * 7}") for k in range(50)] + [(90, "denied loan"), (90, "was why"), (91, "12"), (None, "why"), (92, "why why")]
+    q = spark.createDataFrame(rows, "item_id long, text string")
+    members, groups = postings.query_groups(q, "item_id", "text")
+    assert {(r.qid, r.bag) for r in groups.collect()} == {(0, "denied loan was why"), (92, "why why")}
+    assert sorted(r.item_id for r in members.collect()) == [*range(50), 90, 92]
+    d = spark.createDataFrame([(1, "why loan"), (2, "why"), (3, "other")], "doc_id long, text string")
+    hits = tfidf_topk(q, d, k=1)
+    assert {(r.item_id, r.doc_id) for r in hits.collect()} == {*((k, 1) for k in [*range(50), 90]), (92, 2)}
+
+
+def test_terms_are_counted_where_they_are_made(spark):
+    d = spark.createDataFrame([(1, "a b a"), (1, "b"), (None, "c")], "doc_id long, text string")
+    t = postings.terms(d, "doc_id", "text")
+    assert sorted((r.doc_id or 0, r.term, r.tf) for r in t.collect()) == [(0, "c", 1), (1, "a", 2), (1, "b", 2)]
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange") == 1  # of the texts
+
+
+def test_rare_terms_are_joined_and_frequent_ones_broadcast(spark, monkeypatch):
+    """Whatever the share of terms that is broadcast, the results are those of all scores."""
+    docs, queries = corpus(5, 200)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame(queries, "item_id long, text string")
+    for n in (1, 40):
+        monkeypatch.setattr(postings, "BROADCAST_TERMS", n)
+        assert sorted((r.item_id, r.rank, r.doc_id, r.score) for r in tfidf_topk(q, d, k=3).collect()) == brute(queries, docs, 3)
