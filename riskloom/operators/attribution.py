@@ -5,13 +5,15 @@ feature subset S is the tree's expectation when features in S follow the
 row and the others are averaged by training cover.  For one leaf whose
 path tests the distinct features D (|D| <= depth), only whether the row
 satisfies each feature's path conditions matters, so the leaf's
-contribution to every feature depends on one of 2^|D| bit patterns.  We
-precompute that table per leaf once on the driver (the model is small and
-bounded by trees x leaves), broadcast it, and on executors look up rows by
+contribution to every feature depends on one of 2^|D| bit patterns.  The
+leaves of a subtree depend on the decisions at its nodes and on the way to it
+alone, so the tables of leaves are added up to one table per subtree
+with few such decisions.  We precompute these once on the driver (the model is small and
+bounded by trees x leaves), broadcast them, and on executors look up rows by
 pattern in vectorised numpy over Arrow batches (``mapInPandas``).
 
 Scale: the tables grow with the model, not the data; the per-row work is a
-fixed number of vector operations per leaf.  A scan with a split for each
+fixed number of vector operations per subtree.  A scan with a split for each
 core is used as it is; only smaller inputs (one file) are spread first.
 
 Attributions are on the log-odds scale: ``base_value + sum(shap)`` equals
@@ -37,6 +39,8 @@ from ..session import scratch_path, ship_package, spark_context, spread
 from .model import MODEL_INPUTS, gbt_stage
 
 LOGIT_SCALE = 2.0  # Spark GBT: p = 1 / (1 + exp(-2 * margin))
+#: Decisions that a subtree's table covers at most (its patterns: two to that power).
+SUBTREE_BITS = 9
 
 
 @dataclass
@@ -47,10 +51,19 @@ class LeafTable:
     table_t: np.ndarray   # (m, 2**m) contribution per feature and pattern
 
 
+@dataclass
+class SubtreeTable:
+    tree: int
+    nodes: list           # node indexes in pattern-bit order: the way to the subtree, then its own
+    features: list
+    table: np.ndarray     # (features, 2**nodes) summed contribution of its leaves per pattern
+
+
 @dataclass
 class TreeTables:
     nodes: list = field(default_factory=list)      # per tree: (feature_idx array, threshold array)
-    leaves: list = field(default_factory=list)     # LeafTable list
+    subtrees: list = field(default_factory=list)   # SubtreeTable list
+    leaves: list = field(default_factory=list)     # LeafTable list of the leaves too deep for a subtree
     base_value: float = 0.0
     n_features: int = 0
 
@@ -125,6 +138,7 @@ def _build_tables(spark: SparkSession, gbt) -> TreeTables:
         scale = LOGIT_SCALE * weights[t]
         root = min(ids)
         root_cover = float(nodes[root][1])
+        leaves = {}
 
         def walk(nid, path, z, cover):
             nonlocal base
@@ -137,8 +151,8 @@ def _build_tables(spark: SparkSession, gbt) -> TreeTables:
                     if fi not in feats:
                         feats.append(fi)
                 if feats:
-                    tt.leaves.append(LeafTable(t, feats, [(index[n], gl, fi) for n, fi, gl in path],
-                                               np.ascontiguousarray(_leaf_table(value, feats, z).T)))
+                    leaves[nid] = LeafTable(len(tt.nodes) - 1, feats, [(index[n], gl, fi) for n, fi, gl in path],
+                                            np.ascontiguousarray(_leaf_table(value, feats, z).T))
                 return
             for child, goes_left in ((left, True), (right, False)):
                 frac = nodes[child][1] / cnt if cnt else 0.0
@@ -147,10 +161,69 @@ def _build_tables(spark: SparkSession, gbt) -> TreeTables:
                 walk(child, path + [(nid, f, goes_left)], z2, cover * frac)
 
         walk(root, [], {}, 1.0 if root_cover else 0.0)
+        for way, own, under in _subtrees(nodes, root):
+            if len(way) + len(own) <= SUBTREE_BITS:
+                tt.subtrees.append(_subtree_table([index[n] for n in way + own], [leaves[n] for n in under if n in leaves]))
+            else:
+                tt.leaves += [leaves[n] for n in under]
+    tt.subtrees = [s for s in tt.subtrees if s is not None]
     tt.base_value = base
     return tt
 
 
+def _subtrees(nodes: dict[int, tuple], root: int) -> list[tuple[list, list, list]]:
+    """(nodes on the way, own inner nodes, leaves) of subtrees that hold every leaf once: the largest with at
+    most ``SUBTREE_BITS`` decisions, or a single leaf that has more on its way."""
+    inner, under = {}, {}
+    todo, order = [root], []
+    while todo:
+        nid = todo.pop()
+        order.append(nid)
+        if nodes[nid][2] >= 0:
+            todo += [nodes[nid][2], nodes[nid][3]]
+    for nid in reversed(order):
+        _, _, left, right, _, _ = nodes[nid]
+        if left < 0:
+            inner[nid], under[nid] = [], [nid]
+        else:
+            inner[nid], under[nid] = [nid, *inner[left], *inner[right]], [*under[left], *under[right]]
+    out, todo = [], [(root, [])]
+    while todo:
+        nid, way = todo.pop()
+        if nodes[nid][2] < 0 or len(way) + len(inner[nid]) <= SUBTREE_BITS:
+            out.append((way, inner[nid], under[nid]))
+        else:
+            todo += [(nodes[nid][3], [*way, nid]), (nodes[nid][2], [*way, nid])]
+    return out
+
+
+def _pattern(leaf: LeafTable, g) -> np.ndarray:
+    """The leaf's pattern of each row, from its decisions by node (whether it goes left)."""
+    sat = {}
+    for node, gl, f in leaf.steps:
+        ok = g[node] if gl else ~g[node]
+        sat[f] = ok if f not in sat else (sat[f] & ok)
+    pattern = sat[leaf.features[0]].astype(np.int64)
+    for bit, f in enumerate(leaf.features[1:], start=1):
+        pattern |= sat[f].astype(np.int64) << bit
+    return pattern
+
+
+def _subtree_table(nodes: list, leaves: list[LeafTable]) -> SubtreeTable | None:
+    """The leaves' tables added up for every pattern of decisions at ``nodes``."""
+    if not leaves:
+        return None
+    codes = np.arange(1 << len(nodes))
+    g = {node: (codes >> bit) & 1 == 1 for bit, node in enumerate(nodes)}
+    features = sorted({f for leaf in leaves for f in leaf.features})
+    table = np.zeros((len(features), len(codes)))
+    for leaf in leaves:
+        pattern = _pattern(leaf, g)
+        for k, f in enumerate(leaf.features):
+            table[features.index(f)] += leaf.table_t[k][pattern]
+    return SubtreeTable(leaves[0].tree, nodes, features, table)
+
+
 def _contributions(x: np.ndarray, tt: TreeTables) -> np.ndarray:
     """(rows, features) attributions; feature-major arrays keep every
     per-node and per-feature access contiguous."""
@@ -160,18 +233,18 @@ def _contributions(x: np.ndarray, tt: TreeTables) -> np.ndarray:
     for feat, thr in tt.nodes:
         internal = np.nonzero(feat >= 0)[0]
         g = np.zeros((len(feat), x.shape[0]), dtype=bool)
-        if len(internal):
-            g[internal] = xt[feat[internal]] <= thr[internal][:, None]
+        for node in internal:
+            np.less_equal(xt[feat[node]], thr[node], out=g[node])
         goes_left.append(g)
+    for s in tt.subtrees:
+        g = goes_left[s.tree]
+        code = np.zeros(x.shape[0], dtype=np.int64)
+        for bit, node in enumerate(s.nodes):
+            code += g[node] * np.int64(1 << bit)
+        for row, f in zip(s.table, s.features):
+            phi_t[f] += row[code]
     for leaf in tt.leaves:
-        g = goes_left[leaf.tree]
-        sat = {}
-        for node, gl, f in leaf.steps:
-            ok = g[node] if gl else ~g[node]
-            sat[f] = ok if f not in sat else (sat[f] & ok)
-        pattern = sat[leaf.features[0]].astype(np.int64)
-        for bit, f in enumerate(leaf.features[1:], start=1):
-            pattern |= sat[f].astype(np.int64) << bit
+        pattern = _pattern(leaf, goes_left[leaf.tree])
         for k, f in enumerate(leaf.features):
             phi_t[f] += leaf.table_t[k][pattern]
     return phi_t.T

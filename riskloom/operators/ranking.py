@@ -3,8 +3,8 @@
 Both work inside each row's own contribution array (36 structs): no
 explode-and-regroup, no shuffle.  The sort key (-|shap|, feature position)
 is carried as the leading struct fields, so ``sort_array`` orders by the
-type's natural ordering and ``slice`` / ``arrays_zip`` finish the job:
-compiled expressions only, no per-element lambdas.
+type's natural ordering.  The sorted array is worked out once per row: an expression that
+names it several times would sort as often.
 """
 
 from __future__ import annotations
@@ -38,8 +38,7 @@ def ranked_contributions(keyed: Column) -> Column:
 
 def plain(arr: Column) -> Column:
     """Drop the sort keys: array<struct<feature, value, shap>>."""
-    return F.arrays_zip(arr["feature"].alias("feature"), arr["value"].alias("value"),
-                        arr["shap"].alias("shap"))
+    return F.transform(arr, lambda x: F.struct(x["feature"].alias("feature"), x["value"].alias("value"), x["shap"].alias("shap")))
 
 
 def top_features(keyed: Column, k: int = TOP_FEATURES) -> Column:
@@ -58,8 +57,9 @@ def waterfall_steps(df: DataFrame, id_col: str, keyed: str = "contributions",
     window would shuffle 36 rows per application, a Python stage would move
     every array through Arrow.
     """
-    r = ranked_contributions(F.col(keyed))
-    init = F.struct(F.col(base).cast("double").alias("acc"),
+    df = df.select(id_col, F.col(base).cast("double").alias("_base"), ranked_contributions(F.col(keyed)).alias("_r"))
+    r = F.col("_r")
+    init = F.struct(F.col("_base").alias("acc"),
                     F.array().cast("array<double>").alias("starts"))
     totals = F.aggregate(r, init, lambda st, x: F.struct(
         (st["acc"] + x["shap"]).alias("acc"),
