@@ -2,7 +2,8 @@
 
 Tables under the index's folder, each commit in a folder of its own:
 
-* ``terms``  document, term, count: the postings of the commit's documents;
+* ``terms``  document, its terms, their counts: a row for each of the commit's documents, so that what
+  is held against documents is shuffled in one piece, not as postings;
 * ``docs``   document, present: the documents that the commit adds, replaces or removes;
 * ``df``     term, change of its document frequency.
 
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RETRIEVAL_K
+from ..session import scratch_path
 from .postings import search_terms, terms
 
 _COMMIT = "version int, folder string, documents long, base boolean"
-_TERMS, _DOCS, _DF = "doc long, term string, tf long", "doc long, present boolean", "term string, n long"
+_TERMS, _DOCS, _DF = "doc long, terms array<string>, tfs array<long>", "doc long, present boolean", "term string, n long"
 
 
 class TextIndex:
@@ -68,12 +70,16 @@ class TextIndex:
 
     def live_terms(self, commits: list | None = None) -> DataFrame:
         """(doc, term, tf) of the valid postings."""
+        return _postings(self._live_rows(commits))
+
+    def _live_rows(self, commits: list | None = None) -> DataFrame:
+        """(doc, terms, tfs) of the valid rows."""
         commits = self._commits() if commits is None else commits
         rows = self._table(commits, "terms", _TERMS)
         if len(commits) > 1:
             rows = rows.join(self._named_later(commits), F.col("doc") == F.col("named"), "left").filter(
                 F.col("last").isNull() | (F.col("version") >= F.col("last")))
-        return rows.select("doc", "term", "tf")
+        return rows.select("doc", "terms", "tfs")
 
     def live_documents(self, commits: list | None = None) -> DataFrame:
         """(doc) of the documents that are there."""
@@ -92,7 +98,12 @@ class TextIndex:
     def search(self, queries: DataFrame, q_id: str, k: int = RETRIEVAL_K, text_col: str = "text") -> DataFrame:
         """(q_id, rank, doc, score) of the k best documents of the last commit."""
         commits = self._commits()
-        return search_terms(queries, self.live_terms(commits), self.frequencies(commits), self.size(commits), q_id, "doc", text_col, k)
+        rows = self._live_rows(commits)
+        if len(commits) > 1:  # what is valid is worked out once, the search reads it twice
+            path = scratch_path(self.spark, "live-terms")
+            rows.write.parquet(path)
+            rows = self.spark.read.parquet(path)
+        return search_terms(queries, _postings(rows), self.frequencies(commits), self.size(commits), q_id, "doc", text_col, k)
 
     # --- writing ---
 
@@ -110,13 +121,16 @@ class TextIndex:
         version, folder = (commits[-1]["version"] + 1 if commits else 1), f"segment-{uuid.uuid4().hex[:12]}"
         rows = added.filter(F.col("doc").isNotNull())
         docs = self._write(folder, "docs", rows.select("doc").distinct().withColumn("present", F.lit(present)))
-        new = terms(rows, "doc", "text") if present else self.spark.createDataFrame([], _TERMS)
-        new = self._write(folder, "terms", new.select("doc", "term", F.col("tf").cast("long").alias("tf")))
-        change = new.select("term", F.lit(1).alias("n"))
+        new = self.spark.createDataFrame([], _TERMS)
+        if present:  # the rows of a document are in one place already
+            each = terms(rows, "doc", "text").groupBy("doc").agg(F.collect_list(F.struct("term", F.col("tf").cast("long").alias("tf"))).alias("e"))
+            new = each.select("doc", F.col("e.term").alias("terms"), F.col("e.tf").alias("tfs"))
+        new = self._write(folder, "terms", new)
+        change = new.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))
         count = docs.count() if present else 0
         if commits:  # what the documents had before goes
-            before = self.live_terms(commits).join(docs.select("doc"), "doc", "left_semi")
-            change = change.unionByName(before.select("term", F.lit(-1).alias("n")))
+            before = self._live_rows(commits).join(docs.select("doc"), "doc", "left_semi")
+            change = change.unionByName(before.select(F.explode("terms").alias("term"), F.lit(-1).alias("n")))
             count -= self.live_documents(commits).join(docs.select("doc"), "doc", "left_semi").count()
         self._write(folder, "df", change.groupBy("term").agg(F.sum("n").cast("long").alias("n")).filter("n <> 0"))
         self._commit(version, folder, count, base)
@@ -140,11 +154,17 @@ class TextIndex:
     def compact(self) -> None:
         """Writes the valid postings as a new base."""
         commits, folder = self._commits(), f"segment-{uuid.uuid4().hex[:12]}"
-        self._write(folder, "terms", self.live_terms(commits))
+        self._write(folder, "terms", self._live_rows(commits))
         docs = self._write(folder, "docs", self.live_documents(commits).withColumn("present", F.lit(True)))
         self._write(folder, "df", self.frequencies(commits).select("term", F.col("df").alias("n")))
         self._commit(commits[-1]["version"] + 1, folder, docs.count(), True)
 
 
+def _postings(rows: DataFrame) -> DataFrame:
+    """(doc, term, tf) of rows of doc, terms, tfs."""
+    each = rows.select("doc", F.explode(F.arrays_zip("terms", "tfs")).alias("e"))
+    return each.select("doc", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))

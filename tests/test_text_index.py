@@ -59,3 +59,11 @@ def test_empty(spark, tmp_path):
     index.add(frame(spark, [(5, "alpha")]))
     index.remove(frame(spark, [(5, None)]))
     assert index.size() == 0 and index.frequencies().count() == 0 and index.search(q, "item_id").count() == 0
+
+
+def test_the_terms_of_a_document_are_one_row(spark, tmp_path):
+    """What is held against documents is shuffled as a row for each document, not as postings."""
+    index = TextIndex.create(frame(spark, [(1, "alpha beta alpha"), (1, "beta"), (2, ""), (3, "gamma")]), str(tmp_path / "rows"))
+    stored = spark.read.parquet(f"{index.path}/segment-*/terms")
+    assert {r.doc: dict(zip(r.terms, r.tfs)) for r in stored.collect()} == {1: {"alpha": 2, "beta": 2}, 3: {"gamma": 1}}
+    assert sorted((r.doc, r.term, r.tf) for r in index.live_terms().collect()) == [(1, "alpha", 2), (1, "beta", 2), (3, "gamma", 1)]
