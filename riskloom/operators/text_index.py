@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import RETRIEVAL_K
 from ..session import scratch_path
-from .postings import search_terms, terms
+from .postings import postings_of, search_terms, term_lists
 
 _COMMIT = "version int, folder string, documents long, base boolean"
 _TERMS, _DOCS, _DF = "doc long, terms array<string>, tfs array<long>", "doc long, present boolean", "term string, n long"
@@ -70,7 +70,7 @@ class TextIndex:
 
     def live_terms(self, commits: list | None = None) -> DataFrame:
         """(doc, term, tf) of the valid postings."""
-        return _postings(self._live_rows(commits))
+        return postings_of(self._live_rows(commits), "doc")
 
     def _live_rows(self, commits: list | None = None) -> DataFrame:
         """(doc, terms, tfs) of the valid rows."""
@@ -103,7 +103,7 @@ class TextIndex:
             path = scratch_path(self.spark, "live-terms")
             rows.write.parquet(path)
             rows = self.spark.read.parquet(path)
-        return search_terms(queries, _postings(rows), self.frequencies(commits), self.size(commits), q_id, "doc", text_col, k)
+        return search_terms(queries, postings_of(rows, "doc"), self.frequencies(commits), self.size(commits), q_id, "doc", text_col, k)
 
     # --- writing ---
 
@@ -123,8 +123,7 @@ class TextIndex:
         docs = self._write(folder, "docs", rows.select("doc").distinct().withColumn("present", F.lit(present)))
         new = self.spark.createDataFrame([], _TERMS)
         if present:  # the rows of a document are in one place already
-            each = terms(rows, "doc", "text").groupBy("doc").agg(F.collect_list(F.struct("term", F.col("tf").cast("long").alias("tf"))).alias("e"))
-            new = each.select("doc", F.col("e.term").alias("terms"), F.col("e.tf").alias("tfs"))
+            new = term_lists(rows, "doc", "text")
         new = self._write(folder, "terms", new)
         change = new.select(F.explode("terms").alias("term"), F.lit(1).alias("n"))
         count = docs.count() if present else 0
@@ -160,11 +159,5 @@ class TextIndex:
         self._commit(commits[-1]["version"] + 1, folder, docs.count(), True)
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """(doc, term, tf) of rows of doc, terms, tfs."""
-    each = rows.select("doc", F.explode(F.arrays_zip("terms", "tfs")).alias("e"))
-    return each.select("doc", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
-
-
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))

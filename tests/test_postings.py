@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,38 @@ def test_rare_terms_are_joined_and_frequent_ones_broadcast(spark, monkeypatch):
     for n in (1, 40):
         monkeypatch.setattr(postings, "BROADCAST_TERMS", n)
         assert sorted((r.item_id, r.rank, r.doc_id, r.score) for r in tfidf_topk(q, d, k=3).collect()) == brute(queries, docs, 3)
+
+
+def test_term_lists_count_like_single_words(spark, monkeypatch):
+    """Whatever the pieces: rows of one id (or none) count together, also across pieces; odd letters part words."""
+    rng = random.Random(8)
+    parts = ["Aa", "b", "İb", "K", "é", "ß", "12", "_", "", "zebra", "A-b", "日本", "\n"]
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, "", "7", " ".join(rng.choices(parts, k=rng.randint(1, 9)))])) for _ in range(150)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    single = whole.select("doc_id", F.explode(postings.words(F.col("text"))).alias("term")).groupBy("doc_id", "term").count()
+    expected = sorted(((r[0] or -1, r[1], r[2]) for r in single.collect() if r[0] != 0), key=str)
+    for size in (1, 40, 8 << 20):
+        monkeypatch.setattr(postings, "COUNT_BYTES", size)
+        texts = [(i, (t or "").lower()) for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+        batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in x], pa.int64()), pa.array([t for _, t in x], pa.string())], ["a", "b"])
+                   for x in (texts[:50], [], texts[50:53], texts[53:])]
+        out = [r for b in postings._counted(iter(batches), ["doc_id", "terms", "tfs"]) for r in b.to_pylist()]
+        assert len({r["doc_id"] for r in out}) == len(out)  # a row for each id
+        found = [(r["doc_id"] or -1, t, n) for r in out for t, n in zip(r["terms"], r["tfs"], strict=True) if r["doc_id"] != 0]
+        assert sorted(found, key=str) == expected
+    lists = postings.term_lists(whole, "doc_id", "text")
+    found = [(r.doc_id or -1, t, n) for r in lists.collect() for t, n in zip(r.terms, r.tfs, strict=True) if r.doc_id != 0]
+    assert sorted(found, key=str) == expected
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan  # no word is a row of its own
+
+
+@pytest.mark.parametrize("name", ["context_text", "prompt_messages"])
+def test_texts_are_not_shuffled_for_few_hits(spark, name, tmp_path):
+    from riskloom.plans.catalog import registry
+    spark.range(40).selectExpr("id doc_id", "concat('loan ', id % 7, ' risk') text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(3).selectExpr("id item_id", "'risk of a loan' text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = registry()[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert "BroadcastHashJoin [doc_id" in plan and "SortMergeJoin [doc_id" not in plan
