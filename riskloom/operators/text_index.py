@@ -103,7 +103,7 @@ class TextIndex:
             path = scratch_path(self.spark, "live-terms")
             rows.write.parquet(path)
             rows = self.spark.read.parquet(path)
-        return search_terms(queries, postings_of(rows, "doc"), self.frequencies(commits), self.size(commits), q_id, "doc", text_col, k)
+        return search_terms(queries, rows, self.frequencies(commits), self.size(commits), q_id, "doc", text_col, k)
 
     # --- writing ---
 

@@ -198,3 +198,30 @@ def test_texts_are_not_shuffled_for_few_hits(spark, name, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("== Initial Plan ==")[-1]
     assert "BroadcastHashJoin [doc_id" in plan and "SortMergeJoin [doc_id" not in plan
+
+
+@pytest.mark.parametrize("ids", [500_000, 1])
+def test_only_texts_of_repeated_ids_are_dealt(spark, monkeypatch, ids):
+    """Rows of one id (or none) count together, whether few ids come again or too many to broadcast."""
+    monkeypatch.setattr(postings, "REPEATED_IDS", ids)
+    rows = [(k, f"a b{k} a") for k in range(40)] + [(3, "a c"), (5, "b5"), (None, "c"), (None, "c d"), (50, None), (51, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lists = postings.term_lists_in_place(d, "doc_id", "text").collect()
+    assert len(lists) == 41 and len({r.doc_id for r in lists}) == 41
+    found = sorted((r.doc_id or -1, t, n) for r in lists for t, n in zip(r.terms, r.tfs, strict=True) if r.doc_id != 0)
+    single = postings.postings_of(postings.term_lists(d, "doc_id", "text"), "doc_id").collect()
+    assert found == sorted((r.doc_id or -1, r.term, r.tf) for r in single if r.doc_id != 0)
+
+
+def test_documents_are_not_shuffled_for_their_norms(spark, tmp_path):
+    """Neither texts nor counted words are shuffled where ids do not come again and the terms fit the list."""
+    spark.range(400).selectExpr("id doc_id", "concat('loan risk ', chr(97 + id % 26)) text").repartition(8).write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d")
+    once = postings.term_lists_in_place(d, "doc_id", "text")
+    assert sum(once.count() for _ in range(1)) == 400
+    lists, df = postings.indexed(d, "doc_id", "text")
+    vocabulary = df.withColumn("idf", F.lit(1.5)).withColumn("n", F.when(F.col("term") == "risk", F.lit(7).cast("long")))
+    weighted = postings.weighted_documents(lists, vocabulary, "doc_id")
+    assert "Exchange" not in weighted._jdf.queryExecution().executedPlan().toString()
+    got = weighted.collect()
+    assert len(got) == 400 and all(r.terms == [7] and r.tfs == [1] and abs(r.norm - math.sqrt(3 * 2.25)) < 1e-12 for r in got)
