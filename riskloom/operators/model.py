@@ -7,6 +7,7 @@ the train fold only) -> ``VectorAssembler`` -> ``GBTClassifier``.
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..functions import encoders as E
 from ..schemas import FEATURE_ORDER, HOME_VALUES, NULL_DEFAULT_COLUMNS, PURPOSE_VALUES
-from ..session import parallelism
+from ..session import parallelism, scratch_path
 from .staging import completed_loans
 
 PUBLISHED_SCHEMA = "run_ts string, path string, published_ns long"
+#: Rows of the train fold that a task of a pass takes, at most.
+ROWS_PER_TASK = 1_000_000
 IMPUTED_SUFFIX = "__imp"
 # features that can be null after encoding; the rest never are
 NULLABLE_FEATURES = [
@@ -70,26 +73,22 @@ def gbt_estimator(max_iter: int = 100, max_depth: int = 5, step_size: float = 0.
 
 
 def train_gbt(train: DataFrame, **params) -> PipelineModel:
-    """Fit on the train fold; the fold is cached for the per-level passes.
-
-    Every tree level is one pass over the cached fold, so the fold is spread
-    round-robin over at least the cluster's cores: an upstream shuffle that
-    AQE coalesced into a few partitions would otherwise leave most cores idle
-    for all 100 x depth passes.  One task per core and pass is enough (the
-    rows are uniform in cost); twice that only added scheduling overhead to
+    """Fit on the train fold, which is written to the shared work folder first.
+
+    Every tree level is one pass over the binned rows, which Spark's trainer keeps in memory itself; the fold
+    is read for the medians, the splits and the bins only.  Kept in memory too, it would take more of it than
+    the binned rows for all the passes.  It is spread round-robin over a file for each of the cluster's
+    cores, or as many times that as keep ``ROWS_PER_TASK``: an upstream shuffle that AQE coalesced into a few
+    partitions would otherwise leave most cores idle for all 100 x depth passes.  One task per core
+    and pass is enough (the rows are uniform in cost); twice that only added scheduling overhead to
     each of the 500 passes (60 s -> 50 s at sf0.1).
     """
-    n_parts = parallelism(train.sparkSession)
-    try:
-        n_parts = max(n_parts, train.rdd.getNumPartitions())
-    except Exception:  # noqa: BLE001 - no RDD view on connect sessions
-        pass
-    data = (train.select(*FEATURE_ORDER, F.col("target").cast("double").alias("target"))
-            .repartition(n_parts).cache())
-    try:
-        return gbt_estimator(**params).fit(data)
-    finally:
-        data.unpersist()
+    spark = train.sparkSession
+    cores = parallelism(spark)
+    n_parts = cores * max(1, math.ceil(train.count() / (cores * ROWS_PER_TASK)))
+    path = scratch_path(spark, "train")
+    train.select(*FEATURE_ORDER, F.col("target").cast("double").alias("target")).repartition(n_parts).write.parquet(path)
+    return gbt_estimator(**params).fit(spark.read.parquet(path))
 
 
 def gbt_stage(model: PipelineModel) -> GBTClassificationModel:

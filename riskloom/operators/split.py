@@ -10,8 +10,10 @@ task.  Instead rows are counted per (class, key), at most modulus rows for a
 class whatever the input, the key holding each class's cut is found on that
 small table, and only the rows sharing that one key are ranked to find the
 id of the cut.  One pass then compares every row's (key, id) with its class's
-cut, one row per class, which is joined as Spark's size threshold decides.
-The rows themselves are neither shuffled nor split and joined again.
+cut, one row per class, which is written first: Spark knows how few they are
+before it plans the join and broadcasts them where they are under its size
+threshold.  Else it would deal the rows themselves by their class, all rows of
+a class to one task.
 
 Rows without an id cannot be told apart, so they do not count towards the
 fraction and are training rows; rows that share an id are always in the same
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 MODULUS = 1_000_003
 MULTIPLIER = 2_654_435_761
 
@@ -53,7 +57,9 @@ def split_cuts(df: DataFrame, label: str, id_col: str, test_fraction: float, mod
 def stratified_split(df: DataFrame, label: str = "target", id_col: str = "loan_id",
                      test_fraction: float = 0.2, modulus: int = MODULUS) -> DataFrame:
     """Add ``fold`` ('train' / 'test') to every row of ``df``."""
-    cuts = split_cuts(df, label, id_col, test_fraction, modulus)
+    path = scratch_path(df.sparkSession, "cuts")
+    split_cuts(df, label, id_col, test_fraction, modulus).write.parquet(path)
+    cuts = df.sparkSession.read.parquet(path)
     joined = df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
     key = split_key(id_col, modulus)
     test = (key < F.col("_cut_key")) | ((key == F.col("_cut_key")) & (F.col(id_col) <= F.col("_cut_id")))

@@ -1,8 +1,8 @@
 """Training plan: load -> encode -> split -> fit -> evaluate -> gate -> save.
 
-The split is checkpointed into the shared checkpoint folder so the train
-fold and the test fold are cut from one materialised table (and a lost
-executor recomputes from there, not from the raw scan).
+The split is written to the shared work folder so the train fold and the
+test fold are cut from one materialised table (and a lost executor
+recomputes from there, not from the raw scan).
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ from ..operators.metrics import auc_roc, gate_status
 from ..operators.model import save_model, score_batch, train_gbt, training_features
 from ..operators.split import stratified_split
 from ..schemas import FEATURE_ORDER
-from ..session import work_dir
+from ..session import scratch_path
 from ..sources.artifacts import write_metrics
 from ..sources.files import assert_loaded
 
 
 def fit_and_evaluate(spark: SparkSession, raw: DataFrame, **params) -> tuple[PipelineModel, dict]:
     assert_loaded(raw)
-    work_dir(spark)  # make sure a checkpoint folder is set
-    split = stratified_split(training_features(raw)).checkpoint()
+    path = scratch_path(spark, "split")  # sets a checkpoint folder, too
+    stratified_split(training_features(raw)).write.parquet(path)
+    split = spark.read.parquet(path)
     model = train_gbt(split.filter(F.col("fold") == "train"), **params)
     test = score_batch(model, split.filter(F.col("fold") == "test"), keep=["loan_id", "target"]).cache()
     auc = auc_roc(test, "default_risk", "target")

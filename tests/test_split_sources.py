@@ -49,3 +49,28 @@ def test_metrics_sink_round_trip(spark):
     write_metrics(spark, {"auc_roc": 0.82, "accuracy": 0.71, "test_size": 11}, d, "t2")
     rows = sorted(read_metrics(spark, d).collect(), key=lambda r: r.run_ts)
     assert [r.auc_roc for r in rows] == [0.81, 0.82]
+
+
+def test_rows_are_not_dealt_by_their_class(spark, tmp_path):
+    """The cuts, a row for each class, are broadcast: no task takes all rows of a class."""
+    spark.range(3000).selectExpr("id loan_id", "cast(id % 5 = 0 as int) target").write.parquet(f"{tmp_path}/loans")
+    split = stratified_split(spark.read.parquet(f"{tmp_path}/loans"))
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(coalesce(target" not in plan
+    assert {(r.target, r.fold): r["count"] for r in split.groupBy("target", "fold").count().collect()} == {
+        (0, "test"): 480, (0, "train"): 1920, (1, "test"): 120, (1, "train"): 480}
+
+
+def test_train_fold_is_not_kept_in_memory_beside_the_binned_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from riskloom.operators.model import gbt_stage, train_gbt
+    from riskloom.schemas import FEATURE_ORDER
+
+    def refuse(df):
+        raise AssertionError("the fold is cached")
+
+    rows = spark.range(400).select(*[(F.col("id") % (k + 2)).cast("double").alias(c) for k, c in enumerate(FEATURE_ORDER)],
+                                   (F.col("id") % 3 == 0).cast("int").alias("target"))
+    monkeypatch.setattr(type(rows), "cache", refuse)
+    assert gbt_stage(train_gbt(rows, max_iter=2)).getNumTrees == 2
