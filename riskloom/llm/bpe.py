@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +41,11 @@ from .common import fresh, partitions, ready
 
 #: Characters of a chunk, and of the overlap with its right neighbour.
 CHUNK, OVERLAP = 32_768, 256
-#: Pieces a worker remembers; the memory is emptied when full, results do not depend on it.
-MEMORY = 400_000
+#: Pieces a worker remembers, in two generations: when the younger is full it becomes the older one, of which only
+#: pieces that come again are kept.  Results do not depend on it.
+MEMORY = 80_000
+#: Whole texts that are Python objects at a time.
+SLICE = 256
 #: A boundary lies in front of the space, or of the mark, in any pre-tokenisation.
 _MEETING = regex.compile(r"\p{L} \p{L}|[\p{L}\p{N}][[\p{P}\p{S}]--['\u2019]]", regex.V1)
 
@@ -104,17 +108,25 @@ class Coder:
         self.iterate = regex.compile(pattern).finditer
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece(self, text: str) -> bytes:
-        ids = merge_piece(text.encode("utf-8", "surrogatepass"), self.ranks)
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.older.get(text)
+        if packed is None:
+            ids = merge_piece(text.encode("utf-8", "surrogatepass"), self.ranks)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(text) <= 64:
             self.known[text] = packed
         return packed
 
+    def forget(self) -> None:
+        """Between texts: makes the younger generation the older one when it is full."""
+        if len(self.known) >= MEMORY // 2:
+            self.older = self.known.copy()
+            self.known.clear()
+
     def pieces(self, texts: list[str]) -> bytes:
+        self.forget()
         known, piece = self.known, self.piece
         return b"".join([known.get(t) or piece(t) for t in texts])
 
@@ -194,6 +206,20 @@ def _summary(packed: bytes, c: Coder, with_ids: bool) -> tuple:
             hashlib.sha256(decoded).hexdigest())
 
 
+_SUMMARY = pa.struct([("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def _slices(texts: pa.Array) -> list[pa.Array]:
+    """A batch in parts of few texts (one at least), so that few are Python objects at a time."""
+    return [texts.slice(at, SLICE) for at in range(0, max(1, len(texts)), SLICE)]
+
+
+def _summaries(texts: pa.Array, c: Coder, with_ids: bool) -> pa.Array:
+    rows = [_summary(c.pieces(c.find(t)), c, with_ids) for t in texts.to_pylist()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_SUMMARY)
+    return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SUMMARY, strict=True)], fields=list(_SUMMARY))
+
+
 def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", with_ids: bool = True,
            chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``df`` without its text, with ``ids`` (packed little-endian unsigned 32 bit, null if not
@@ -214,12 +240,13 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", wit
     limit = chunk + overlap
     out = "struct<ids:binary,n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
-    @F.pandas_udf(out)
-    def whole(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(out)
+    def whole(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = coder(vocabulary, pattern)
-        for s in texts:
-            yield pd.DataFrame([_summary(c.pieces(c.find(t)), c, with_ids) for t in s],
-                               columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for a in texts:
+            yield pa.concat_arrays([_summaries(few, c, with_ids) for few in _slices(a)])
+        a = None
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks without the batches' memory
 
     short = source.filter(F.length(tx) <= limit).select(row, whole(tx).alias("enc"))
 

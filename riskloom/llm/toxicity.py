@@ -243,7 +243,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     by_label = chosen.mapInPandas(forms_of_texts, "form string, n long, label int").groupBy("form").agg(
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"),
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    # how many of all texts have a form
+    # how many of all texts have a form: each text's words, and their stems
     words = texts.select(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("words"))
 
@@ -252,7 +252,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                            lambda w: F.concat(F.substring(w, F.lit(1), F.lit(k)), F.lit("*")))
 
     forms = F.concat(F.col("words"), *[F.array_distinct(stems(k)) for k in STEMS])
-    everywhere = words.select(F.explode(forms).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    # only forms that can become evidence are counted: those of the sample's texts of label 1, whose number `sample` bounds
+    candidates = F.broadcast(by_label.filter((F.col("n1") > 0) & (F.col("n0") + F.col("n1") >= 3)))
+    everywhere = (words.select(F.explode(forms).alias("form")).join(candidates, "form")
+                  .groupBy("form", "n0", "n1").agg(F.count(F.lit(1)).alias("n")))
     total = chosen.agg(F.count_if(F.col("_toxic") == 0).alias("n0"), F.count_if(F.col("_toxic") == 1).alias("n1")).first()
     if not total["n0"] or not total["n1"]:
         return Model({})
@@ -263,8 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         a = F.col(c) + prior
         return F.log(a / (F.lit(total[c] + mass + 0.5) - a))
 
-    odds = (by_label.filter((F.col("n1") > 0) & (F.col("n0") + F.col("n1") >= 3)).join(everywhere, "form")
-            .withColumn("odds", log_odds("n1") - log_odds("n0"))
+    odds = (everywhere.withColumn("odds", log_odds("n1") - log_odds("n0"))
             .withColumn("sd", F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior)))
             .filter((F.col("odds") >= LEAST_ODDS) & (F.col("odds") / F.col("sd") >= Z)).select("form", "odds"))
     model = Model({r["form"]: float(r["odds"]) for r in odds.collect()})  # some forms of the sample's texts

@@ -5,6 +5,7 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from llm.helpers import ODD, SF, empty_documents, odd_documents
@@ -82,3 +83,27 @@ def test_empty_table(spark):
 def test_merges_of_long_piece(library, ranks):
     for text in ("a" * 3000, "ab" * 1000 + "c", "z"):
         assert bpe.merge_piece(text.encode(), ranks) == library.encode_ordinary(text)
+
+
+def test_few_texts_are_python_objects_at_a_time(ranks, monkeypatch):
+    """A batch of whole texts is encoded in slices; the rows are the same and in their order."""
+    texts, sizes = [f"text {k} é字" * (k % 5) for k in range(1_000)], []
+    summary = bpe._summaries
+    monkeypatch.setattr(bpe, "SLICE", 64)
+    c = bpe.Coder(ranks, PATTERN)
+    parts = [(sizes.append(len(x)), summary(x, c, True))[1] for x in bpe._slices(pa.array(texts))]
+    assert max(sizes) == 64 and sum(sizes) == 1_000
+    got = [tuple(r.values()) for r in pa.concat_arrays(parts).to_pylist()]
+    assert got == [bpe._summary(c.pieces(c.find(t)), c, True) for t in texts]
+    assert len(summary(bpe._slices(pa.array([], pa.string()))[0], c, True)) == 0
+
+
+def test_few_pieces_are_remembered(library, ranks, monkeypatch):
+    """A worker remembers two generations of pieces at most; frequent ones stay, the ids are the same."""
+    monkeypatch.setattr(bpe, "MEMORY", 40)
+    c = bpe.Coder(ranks, PATTERN)
+    for k in range(200):
+        text = f"the frequent words and {k} x{k * 7919} y{k * 104729}"
+        ids = library.encode_ordinary(text)
+        assert c.pieces(c.find(text)) == struct.pack(f"<{len(ids)}I", *ids)
+        assert len(c.known) + len(c.older) <= 2 * (20 + len(ids)) and " frequent" in c.known

@@ -102,3 +102,17 @@ def test_odd_and_empty(spark, tmp_path):
     assert queries.op2_toxicity(spark, d).count() == 0
     d = write_tables(spark, tmp_path / "c", documents=odd, labels=no_labels)
     assert {r.score < 0.3 for r in queries.op2_toxicity(spark, d).collect()} == {True}
+
+
+def test_only_forms_that_can_be_evidence_are_counted(spark, monkeypatch):
+    """The count over all texts keeps no form that the sample's texts of label 1 do not have."""
+    docs, labels = toy(spark)
+    seen = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: (seen.append(df), collect(df))[1])
+    model = toxicity.learn(docs, labels)
+    assert model.odds
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1] for df in seen]
+    plan = next(p for p in plans if "odds" in p)
+    counted = plan[plan.index("partial_count"):]  # below the count of texts by form
+    assert counted.index("BroadcastHashJoin") < counted.index("Generate")
