@@ -45,7 +45,7 @@ null component_id.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
 from itertools import groupby
@@ -197,19 +197,19 @@ def segment_keys(shingles: np.ndarray, step: int, count: int, differ: int) -> tu
 class Node:
     """A chain of hashes that no other set shares in part, and what follows it."""
 
-    __slots__ = ("hashes", "first", "last", "children", "ends", "least", "most")
+    __slots__ = ("hashes", "size", "last", "children", "ends", "least", "most")
 
-    def __init__(self, hashes: list[int]):
-        self.hashes = frozenset(hashes)
-        self.first, self.last = (hashes[0], hashes[-1]) if hashes else (0, 0)
+    def __init__(self, hashes: list[int], pack=frozenset):
+        self.hashes = pack(hashes)
+        self.size, self.last = len(hashes), hashes[-1] if hashes else 0
         self.children: list[Node] = []
         self.ends: list[int] = []
         self.least, self.most = 1 << 60, 0
 
 
-def build(sets: list[list[int]], which: list[int]) -> Node:
-    """Trie of the sets numbered in ``which``, each ascending."""
-    root = Node([])
+def build(sets: list[list[int]], which: list[int], pack=frozenset) -> Node:
+    """Trie of the sets numbered in ``which``, each ascending; ``pack`` holds the hashes of a node."""
+    root = Node([], pack)
     ordered = sorted(which, key=sets.__getitem__)
 
     def grow(node: Node, members: list[int], depth: int) -> None:
@@ -227,7 +227,7 @@ def build(sets: list[list[int]], which: list[int]) -> Node:
                 stop = min(len(a), len(b))
                 while end < stop and a[end] == b[end]:
                     end += 1
-                child = Node(a[depth:end])
+                child = Node(a[depth:end], pack)
                 node.children.append(child)
                 todo.append((child, group, end))
 
@@ -240,20 +240,24 @@ def linked(overlap: int, m: int, n: int, percent: int = PERCENT) -> bool:
     return 100 * overlap >= percent * (m + n - overlap)
 
 
-def search(trie: Node, x: frozenset, ascending: list[int], skip, percent: int = PERCENT) -> Iterator[int]:
-    """Sets of the trie that link with x; those for which ``skip`` is true are not looked at."""
-    n, both = len(x), 100 + percent
+def search(trie: Node, x, ascending: list[int], skip, percent: int = PERCENT, common=None) -> Iterator[int]:
+    """Sets of the trie that link with x; those for which ``skip`` is true are not looked at.
+
+    ``x`` holds the hashes of ``ascending`` as the trie's nodes hold theirs; ``common`` counts what two have in common.
+    """
+    n, both = len(ascending), 100 + percent
+    common = common or (lambda a, b: len(a & b))
     todo = [(trie, 0, 0)]  # node, overlap, hashes above it that x lacks
     while todo:
         node, overlap, lacking = todo.pop()
-        if node.hashes:
-            shared = len(node.hashes & x)
+        if node.size:
+            shared = common(node.hashes, x)
             overlap += shared
-            lacking += len(node.hashes) - shared
+            lacking += node.size - shared
         # a set of m hashes needs an overlap of at least percent * (m + n) / both
         if lacking * both > 100 * node.most - percent * n:
             continue
-        passed = bisect_right(ascending, node.last) if node.hashes else 0
+        passed = bisect_right(ascending, node.last) if node.size else 0
         if (passed - overlap) * both > 100 * n - percent * node.least:
             continue  # x has too many hashes that no set below has
         for m in node.ends:
@@ -285,16 +289,41 @@ class Forest:
 def join_cell(sets: list[np.ndarray], left: list[int], right: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets in ``left`` and those in ``right`` (which may
     be the same list: links within it)."""
-    lists = [s.tolist() for s in sets]
-    trie, forest, out = build(lists, right), Forest(len(sets)), []
+    lists, shared = numbered(sets)
+
+    def bits(numbers: list[int]) -> int:
+        """The shared ones of ascending numbers as bits of one integer."""
+        held = np.array(numbers[:bisect_left(numbers, shared)], dtype=np.int64)
+        return int.from_bytes(np.packbits(np.bincount(held, minlength=1).astype(bool), bitorder="little").tobytes(), "little") if len(held) else 0
+
+    trie, forest, out = build(lists, right, bits), Forest(len(sets)), []
     for x in left:
-        xs = frozenset(lists[x])
-        for y in search(trie, xs, lists[x], lambda m, x=x: m == x or forest.find(m) == forest.find(x), percent):
+        for y in search(trie, bits(lists[x]), lists[x], lambda m, x=x: m == x or forest.find(m) == forest.find(x), percent,
+                        lambda a, b: (a & b).bit_count()):
             if forest.join(x, y):
                 out.append((x, y))
     return out
 
 
+def numbered(sets: list[np.ndarray]) -> tuple[list[list[int]], int]:
+    """The sets with numbers in place of hashes, each ascending, and below which number the hashes are that several have.
+
+    Those come first, in the order of the smallest set that has them, so that the bits of small sets are few.
+    """
+    if not sets:
+        return [], 0
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    _, first, which, times = np.unique(np.concatenate([sets[k] for k in order]), return_index=True, return_inverse=True,
+                                       return_counts=True)
+    place = np.empty(len(first), dtype=np.int64)
+    place[np.lexsort((first, times < 2))] = np.arange(len(first))
+    out, at = [[]] * len(sets), 0
+    for k in order:
+        out[k] = np.sort(place[which[at:at + len(sets[k])]]).tolist()
+        at += len(sets[k])
+    return out, int((times > 1).sum())
+
+
 # ---- Spark ----
 
 def _read_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:

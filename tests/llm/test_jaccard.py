@@ -144,3 +144,54 @@ def test_odd_and_empty(spark, tmp_path):
     assert kept.columns == odd.columns and kept.filter("text LIKE 'the quick%'").count() == 1
     assert jaccard.near_copies(empty_documents(spark)).count() == 0
     assert stages.keep_one_of_near_copies(spark, empty_documents(spark), d).count() == 0
+
+
+def test_cells_compare_by_bits(monkeypatch):
+    """A cell's links are those of brute force, and no node's hashes are compared as Python sets."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 150, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(150) > rng.choice([0, 0.03, 0.08])],
+                                      rng.integers(0, 2**64, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(60)]
+    sets += [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1, 5, 400)] + [np.empty(0, dtype=np.uint64)]
+    seen = []
+    node = jaccard.Node.__init__
+    monkeypatch.setattr(jaccard.Node, "__init__", lambda self, *a: (node(self, *a), seen.append(type(self.hashes)))[0])
+
+    def groups(links):
+        forest = jaccard.Forest(len(sets))
+        for a, b in links:
+            forest.join(a, b)
+        return [forest.find(k) for k in range(len(sets))]
+
+    everything = list(range(len(sets)))
+    for left, right in ((everything, everything), (everything[::2], everything[1::2])):
+        want = [(a, b) for a in left for b in right if a != b and len(sets[a]) and jaccard.linked(
+            len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))]
+        assert groups(jaccard.join_cell(sets, left, right)) == groups(want)
+    assert set(seen) == {int}
+    assert jaccard.join_cell([], [], []) == []
+
+
+def test_rounds_of_few_links_have_few_tasks(spark, monkeypatch):
+    """The tables of a round over few links are written by few tasks, and stars end the rounds at once."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(1000 + k, 1000) for k in range(50)], "a long, b long")
+    files, keep, before = [], components.keep, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def kept(df, name):
+        df = keep(df, name)
+        files.append(len(df.inputFiles()))
+        return df
+
+    monkeypatch.setattr(components, "keep", kept)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.node: r.root for r in components.components(links).collect()}
+        assert got == {k: 0 for k in range(10)} | {1000 + k: 1000 for k in range(50)}
+        assert len(files) > 1 and max(files[1:]) <= components.parallelism(spark) < files[0]
+        files.clear()
+        components.components(links.filter("a >= 1000"))
+        assert len(files) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
