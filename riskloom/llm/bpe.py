@@ -6,7 +6,8 @@ starts inside a word begins with a wrong pre-token, but the pre-tokeniser has
 no memory beyond the current match: as soon as the left chunk's boundaries
 and the right chunk's boundaries meet once inside the overlap, they agree
 from there on.  The chunks are stitched at that point and the pieces encoded
-by rank-ordered byte-pair merges.  Decoding concatenates the raw bytes of the
+by rank-ordered byte-pair merges, all new short pieces of a slice of texts
+at a time.  Decoding concatenates the raw bytes of the
 ids.
 
 An overlap always ends behind a letter, a single space and a letter, or behind
@@ -31,6 +32,7 @@ import struct
 from collections.abc import Iterator
 from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -44,8 +46,10 @@ CHUNK, OVERLAP = 32_768, 256
 #: Pieces a worker remembers, in two generations: when the younger is full it becomes the older one, of which only
 #: pieces that come again are kept.  Results do not depend on it.
 MEMORY = 80_000
-#: Whole texts that are Python objects at a time.
-SLICE = 256
+#: Whole texts that are Python objects at a time, and whose new pieces are merged together.
+SLICE = 128
+#: Bytes up to which new pieces are merged together; a longer one is merged alone.
+SHORT = 64
 #: A boundary lies in front of the space, or of the mark, in any pre-tokenisation.
 _MEETING = regex.compile(r"\p{L} \p{L}|[\p{L}\p{N}][[\p{P}\p{S}]--['\u2019]]", regex.V1)
 
@@ -99,6 +103,63 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pairs:
+    """All pairs of tokens that are a token together, to merge many short pieces at a time."""
+
+    NONE = np.int64(1 << 62)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.of_byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+        found = [(a << 32 | b, rank) for token, rank in ranks.items() for k in range(1, len(token))
+                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
+        table = np.array(found, dtype=np.int64).reshape(-1, 2)
+        table = table[np.argsort(table[:, 0])]
+        self.keys, self.ranks = table[:, 0].copy(), table[:, 1].copy()
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of what pairs of tokens are together, ``NONE`` where they are no token."""
+        if not len(self.keys):
+            return np.full(len(left), self.NONE)
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], self.NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces (none empty): as ``merge_piece``, one merge of each piece in a round."""
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        ids = self.of_byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        pair = np.full(len(ids), self.NONE)  # rank of the token at a place with the next one of its piece
+        inside = np.flatnonzero(owner[:-1] == owner[1:])
+        pair[inside] = self.rank(ids[inside], ids[inside + 1])
+        ended = []
+        while len(ids):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            least = np.minimum.reduceat(pair, starts)
+            counts = np.diff(starts, append=len(ids))
+            going = np.repeat(least < self.NONE, counts)
+            if not going.all():
+                ended.append((owner[~going], ids[~going]))
+                owner, ids, pair = owner[going], ids[going], pair[going]
+                continue
+            hits = np.flatnonzero(pair == np.repeat(least, counts))
+            at = hits[np.searchsorted(hits, starts)]  # the leftmost of each piece
+            ids[at] = least
+            stays = np.ones(len(ids), dtype=bool)
+            stays[at + 1] = False
+            owner, ids, pair = owner[stays], ids[stays], pair[stays]
+            at = at - np.arange(len(at))  # one place of each piece before is gone
+            pair[at] = self.NONE
+            again = np.concatenate([at, at[at > 0] - 1])
+            again = again[again + 1 < len(ids)]
+            again = again[owner[again] == owner[again + 1]]
+            pair[again] = self.rank(ids[again], ids[again + 1])
+        owner = np.concatenate([o for o, _ in ended])
+        packed = np.concatenate([i for _, i in ended])[np.argsort(owner, kind="stable")].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Coder:
     """Pre-token text -> packed ids (little-endian unsigned 32 bit), and back to bytes."""
 
@@ -109,6 +170,7 @@ class Coder:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.pairs = Pairs(ranks)
 
     def piece(self, text: str) -> bytes:
         packed = self.older.get(text)
@@ -130,9 +192,32 @@ class Coder:
         known, piece = self.known, self.piece
         return b"".join([known.get(t) or piece(t) for t in texts])
 
+    def meet(self, pieces: set[str]) -> None:
+        """Remembers pieces, of which the short new ones are merged together."""
+        known, new = self.known, []
+        for text in pieces:
+            if text not in known and len(text) <= SHORT:
+                if (packed := self.older.get(text)) is not None:
+                    known[text] = packed
+                elif len(piece := text.encode("utf-8", "surrogatepass")) <= SHORT:
+                    if (rank := self.ranks.get(piece)) is not None:
+                        known[text] = struct.pack("<I", rank)
+                    else:
+                        new.append((text, piece))
+        if new:
+            texts, packed = zip(*new, strict=True)
+            known.update(zip(texts, self.pairs.merge(packed), strict=True))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts."""
+        self.forget()
+        found = [self.find(t) for t in texts]
+        self.meet(set().union(*found))
+        known, piece = self.known, self.piece
+        return [b"".join([known.get(t) or piece(t) for t in pieces]) for pieces in found]
+
     def decode(self, packed: bytes) -> bytes:
-        bytes_of = self.bytes_of
-        return b"".join([bytes_of[i] for i, in struct.iter_unpack("<I", packed)])
+        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
 _CODERS: dict[tuple[str, str], Coder] = {}
@@ -215,7 +300,7 @@ def _slices(texts: pa.Array) -> list[pa.Array]:
 
 
 def _summaries(texts: pa.Array, c: Coder, with_ids: bool) -> pa.Array:
-    rows = [_summary(c.pieces(c.find(t)), c, with_ids) for t in texts.to_pylist()]
+    rows = [_summary(ids, c, with_ids) for ids in c.texts(texts.to_pylist())]
     columns = zip(*rows, strict=True) if rows else [[]] * len(_SUMMARY)
     return pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SUMMARY, strict=True)], fields=list(_SUMMARY))
 
@@ -266,6 +351,8 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", wit
             rows = []
             for t, k in zip(part, tail, strict=True):
                 pieces, meet = encode_chunk(c, t, int(k))
+                c.forget()
+                c.meet(set(pieces))
                 # the left neighbour says later how much of the head is its own: ids in front of each
                 # boundary of the head
                 skips, at, chars, ids, head = [], [], 0, 0, 4 * overlap + 64

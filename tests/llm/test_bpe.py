@@ -107,3 +107,23 @@ def test_few_pieces_are_remembered(library, ranks, monkeypatch):
         ids = library.encode_ordinary(text)
         assert c.pieces(c.find(text)) == struct.pack(f"<{len(ids)}I", *ids)
         assert len(c.known) + len(c.older) <= 2 * (20 + len(ids)) and " frequent" in c.known
+
+
+def test_new_pieces_of_a_slice_are_merged_together(library, ranks, monkeypatch):
+    """No short piece is merged alone; ids and remembered pieces are as ever."""
+    rng = random.Random(11)
+    parts = ["ab", "é", " ", "  ", "\n", "9", "!", "'s", "字", "🙂", " the", "xyz", "thonre", "q", "\u3000", "\x1c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", "z" * 200 + " aaaa"]
+    alone = []
+    merge = bpe.merge_piece
+    monkeypatch.setattr(bpe, "merge_piece", lambda piece, r: (alone.append(piece), merge(piece, r))[1])
+    c = bpe.Coder(ranks, PATTERN)
+    for _ in range(2):
+        for text, ids in zip(texts, c.texts(texts), strict=True):
+            want = library.encode_ordinary(text)
+            assert ids == struct.pack(f"<{len(want)}I", *want) and c.decode(ids) == text.encode()
+    assert all(len(p) > bpe.SHORT for p in alone)
+    assert c.pairs.merge([b"ab", b"thonre", b"q", b"aaaaa"]) == [
+        struct.pack(f"<{len(x)}I", *x) for x in (merge(p, ranks) for p in (b"ab", b"thonre", b"q", b"aaaaa"))]
+    few = {bytes([b]): b for b in range(256)}  # a vocabulary without any pair
+    assert bpe.Coder(few, PATTERN).texts(["ab"]) == [struct.pack("<2I", 97, 98)]
