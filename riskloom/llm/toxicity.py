@@ -40,14 +40,16 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import keep, ready
 
 #: Labelled rows to learn from, at most.
 SAMPLE = 20_000
@@ -62,11 +64,16 @@ STEMS = (4, 5, 6)
 THRESHOLD = 0.3
 #: Words a worker remembers; emptied when full.
 MEMORY = 100_000
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+#: A space for any ASCII character that is no letter.
+_APART = {k: " " for k in range(128) if not chr(k).isalpha()}
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    return low.translate(_APART).split() if low.isascii() else _WORD.findall(low)
 
 
 def forms_of(word: str) -> list[str]:
@@ -74,6 +81,24 @@ def forms_of(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
 
 
+class Finder:
+    """Which of the given forms a text has, by their numbers."""
+
+    def __init__(self, forms: list[str]):
+        self.whole = {f: k for k, f in enumerate(forms) if not f.endswith("*")}
+        self.stems = {n: {f[:-1]: k for k, f in enumerate(forms) if len(f) == n + 1 and f.endswith("*")} for n in STEMS}
+
+    def of(self, low: str) -> list[int]:
+        """Those that a lower-case text has, each once."""
+        words = set(low.translate(_APART).split() if low.isascii() else _LETTERS.findall(low))
+        found = set(map(self.whole.get, words))
+        for n, stems in self.stems.items():  # ascending lengths
+            words = [w for w in words if len(w) > n]
+            found.update(map(stems.get, {w[:n] for w in words}))
+        found.discard(None)
+        return list(found)
+
+
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end exclusive, score), in linear time.
 
@@ -243,23 +268,28 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     by_label = chosen.mapInPandas(forms_of_texts, "form string, n long, label int").groupBy("form").agg(
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"),
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    # how many of all texts have a form: each text's words, and their stems
-    words = texts.select(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("words"))
-
-    def stems(k: int) -> Column:
-        return F.transform(F.filter("words", lambda w: F.length(w) > k),
-                           lambda w: F.concat(F.substring(w, F.lit(1), F.lit(k)), F.lit("*")))
-
-    forms = F.concat(F.col("words"), *[F.array_distinct(stems(k)) for k in STEMS])
-    # only forms that can become evidence are counted: those of the sample's texts of label 1, whose number `sample` bounds
-    candidates = F.broadcast(by_label.filter((F.col("n1") > 0) & (F.col("n0") + F.col("n1") >= 3)))
-    everywhere = (words.select(F.explode(forms).alias("form")).join(candidates, "form")
-                  .groupBy("form", "n0", "n1").agg(F.count(F.lit(1)).alias("n")))
     total = chosen.agg(F.count_if(F.col("_toxic") == 0).alias("n0"), F.count_if(F.col("_toxic") == 1).alias("n1")).first()
     if not total["n0"] or not total["n1"]:
         return Model({})
     mass = PRIOR * (total["n0"] + total["n1"])
+    # only forms that can become evidence are counted: those of the sample's texts of label 1, whose number `sample` bounds
+    candidates = keep(by_label.filter((F.col("n1") > 0) & (F.col("n0") + F.col("n1") >= 3))
+                      .withColumn("id", F.monotonically_increasing_id()), "toxicity-forms")
+    wanted = candidates.select("id", "form").toPandas()
+
+    @F.arrow_udf("array<long>")
+    def candidates_of(lows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        finder, ids = Finder(wanted["form"].tolist()), wanted["id"].to_numpy()
+        for a in lows:
+            found = [finder.of(t) for at in range(0, len(a), 256) for t in a.slice(at, 256).to_pylist()]
+            ends = np.cumsum([0, *map(len, found)])
+            numbers = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=ends[-1])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[numbers], pa.int64()))
+
+    # how many of all texts have a form
+    everywhere = (texts.select(F.explode(candidates_of(F.lower("text"))).alias("id"))
+                  .join(F.broadcast(candidates.select("id", "n0", "n1")), "id")
+                  .groupBy("id", "n0", "n1").agg(F.count(F.lit(1)).alias("n")))
     prior = F.col("n") / F.lit(float(texts.count())) * F.lit(mass)
 
     def log_odds(c: str) -> Column:
@@ -268,7 +298,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     odds = (everywhere.withColumn("odds", log_odds("n1") - log_odds("n0"))
             .withColumn("sd", F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior)))
-            .filter((F.col("odds") >= LEAST_ODDS) & (F.col("odds") / F.col("sd") >= Z)).select("form", "odds"))
+            .filter((F.col("odds") >= LEAST_ODDS) & (F.col("odds") / F.col("sd") >= Z))
+            .join(candidates.select("id", "form"), "id").select("form", "odds"))
     model = Model({r["form"]: float(r["odds"]) for r in odds.collect()})  # some forms of the sample's texts
     sent = model.to_json()
 

@@ -116,3 +116,25 @@ def test_only_forms_that_can_be_evidence_are_counted(spark, monkeypatch):
     plan = next(p for p in plans if "odds" in p)
     counted = plan[plan.index("partial_count"):]  # below the count of texts by form
     assert counted.index("BroadcastHashJoin") < counted.index("Generate")
+
+
+def test_forms_of_all_texts_are_found_outside_of_sql_arrays(spark, monkeypatch):
+    """The count over all texts builds no arrays of words and stems in SQL; a text has each form once."""
+    docs, labels = toy(spark)
+    seen = []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: (seen.append(df), collect(df))[1])
+    assert toxicity.learn(docs, labels).odds
+    plan = next(p for p in (df._jdf.queryExecution().toString() for df in seen) if "odds" in p)
+    assert "regexp_extract_all" not in plan and "array_distinct" not in plan
+    finder = toxicity.Finder(["vile", "vile*", "viles*", "é", "élan*", "abcd", "abcd*"])
+    names = ["vile", "vile*", "viles*", "é", "élan*", "abcd", "abcd*"]
+    for text, want in (("vile vile", {"vile"}), ("vilest viles, vile9x", {"vile", "vile*", "viles*"}), ("", set()), ("9 \x1f", set()),
+                       ("é élan élans", {"é", "élan*"}), ("abcd_abcde", {"abcd", "abcd*"}), ("²abcd", {"abcd"})):
+        got = finder.of(text)
+        assert {names[k] for k in got} == want and len(got) == len(want)
+
+
+def test_words_of_ascii_texts_are_as_of_others():
+    text = "".join(map(chr, range(128))) + " It's 9 a_b\tC-d "
+    assert toxicity.words_of(text) == toxicity._WORD.findall(text.lower())
